@@ -202,80 +202,106 @@ class AdmmState:
 
 
 def initial_state(problem: LassoProblem) -> AdmmState:
-    spark = problem.factors.sparkSession
     zero = F.array_repeat(F.lit(0.0), problem.p)
     blocks = problem.factors.select("block_id", zero.alias("x"), zero.alias("u"))
     return AdmmState(blocks, np.zeros(problem.p), problem.rho, 0)
 
 
+# Step output: one row per block (block_id set) carrying the factors and the
+# new iterate, plus one partial-sum row per partition (block_id null) with
+# Σx^{k+1}, Σu^k and the scalar sums of the partition's blocks.
 _STEP_SCHEMA = T.StructType([
     T.StructField("block_id", T.LongType()),
+    T.StructField("m", T.ArrayType(T.DoubleType())),
+    T.StructField("g", T.ArrayType(T.DoubleType())),
+    T.StructField("q0", T.ArrayType(T.DoubleType())),
     T.StructField("x", T.ArrayType(T.DoubleType())),
     T.StructField("u", T.ArrayType(T.DoubleType())),
     T.StructField("xx", T.DoubleType()),
     T.StructField("uu", T.DoubleType()),
     T.StructField("r2", T.DoubleType()),
-    T.StructField("zgz", T.DoubleType())])
+    T.StructField("zgz", T.DoubleType()),
+    T.StructField("nb", T.LongType())])
+
+_STEP_ARROW = pa.schema([
+    ("block_id", pa.int64()), ("m", pa.list_(pa.float64())), ("g", pa.list_(pa.float64())),
+    ("q0", pa.list_(pa.float64())), ("x", pa.list_(pa.float64())),
+    ("u", pa.list_(pa.float64())), ("xx", pa.float64()), ("uu", pa.float64()),
+    ("r2", pa.float64()), ("zgz", pa.float64()), ("nb", pa.int64())])
 
 
 def _step_fn(z: np.ndarray, rho: float, p: int, solve: bool = True):
     """One fused ADMM round for the blocks of a partition.
 
-    In: ``block_id, m, g, q0, x (x^k), u (u^{k-1})`` and the broadcast z^k.
-    Out: ``x^{k+1}, u^k`` plus ‖x^k‖², ‖u^k‖², ‖x^k − z^k‖², z^kᵀA_iᵀA_i z^k.
+    In (per block): ``m, g, q0, x (x^k), u (u^{k-1})`` and the broadcast z^k.
+    Out: the same row with ``x^{k+1}, u^k``, plus one partial row holding
+    Σx^{k+1}, Σu^k, Σ‖x^k‖², Σ‖u^k‖², Σ‖x^k − z^k‖², Σ z^kᵀA_iᵀA_i z^k.
     """
 
     def step(batches: Iterable[pa.RecordBatch]):
+        sx, su = np.zeros(p), np.zeros(p)
+        tot = np.zeros(4)
+        nb = 0
         for rb in batches:
             rows = rb.num_rows
             if rows == 0:
                 continue
             col = rb.schema.get_field_index
-            bid = rb.column(col("block_id"))
+            if rb.column(col("block_id")).null_count:
+                continue  # partial rows of an earlier round are not state
             M = _mat(rb.column(col("m")), rows, p * p).reshape(rows, p, p)
             G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
             q0 = _mat(rb.column(col("q0")), rows, p)
             x = _mat(rb.column(col("x")), rows, p)
-            u_prev = _mat(rb.column(col("u")), rows, p)
-            u = u_prev + x - z                                  # pending u-update
+            u = _mat(rb.column(col("u")), rows, p) + x - z       # pending u-update
+            d = x - z
             xx = np.einsum("ij,ij->i", x, x)
             uu = np.einsum("ij,ij->i", u, u)
-            d = x - z
             r2 = np.einsum("ij,ij->i", d, d)
             zgz = np.einsum("j,ijk,k->i", z, G, z)
-            if solve:
-                q = q0 + rho * (z - u)
-                x_new = np.einsum("ijk,ik->ij", M, q)
-            else:
-                x_new = x
+            x_new = np.einsum("ijk,ik->ij", M, q0 + rho * (z - u)) if solve else x
+            sx += x_new.sum(axis=0)
+            su += u.sum(axis=0)
+            tot += [xx.sum(), uu.sum(), r2.sum(), zgz.sum()]
+            nb += rows
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(col("block_id")), rb.column(col("m")), rb.column(col("g")),
+                 rb.column(col("q0")), _list_array(x_new), _list_array(u), pa.array(xx),
+                 pa.array(uu), pa.array(r2), pa.array(zgz), pa.nulls(rows, pa.int64())],
+                schema=_STEP_ARROW)
+        if nb:
+            empty = pa.nulls(1, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [bid, _list_array(x_new), _list_array(u), pa.array(xx), pa.array(uu),
-                 pa.array(r2), pa.array(zgz)], schema=pa.schema([
-                     ("block_id", pa.int64()), ("x", pa.list_(pa.float64())),
-                     ("u", pa.list_(pa.float64())), ("xx", pa.float64()),
-                     ("uu", pa.float64()), ("r2", pa.float64()), ("zgz", pa.float64())]))
+                [pa.nulls(1, pa.int64()), empty, empty, empty,
+                 _list_array(sx[None, :]), _list_array(su[None, :])]
+                + [pa.array([float(v)]) for v in tot] + [pa.array([nb], pa.int64())],
+                schema=_STEP_ARROW)
 
     return step
 
 
-def _run_step(problem: LassoProblem, blocks: DataFrame, z: np.ndarray, rho: float,
-              solve: bool = True):
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+def _carry(problem: LassoProblem, blocks: DataFrame) -> DataFrame:
+    """Factor rows with the iterate attached (a join once per fit)."""
+    cols = ["block_id", "m", "g", "q0", "x", "u"]
+    return problem.factors.join(blocks.select("block_id", "x", "u"), "block_id").select(*cols)
 
-    p, N = problem.p, problem.n_blocks
-    state_bytes = N * 2 * p * 8
-    right = F.broadcast(blocks) if state_bytes <= STATE_BROADCAST_BYTES else blocks
-    joined = problem.factors.join(right, "block_id")
-    out = joined.mapInArrow(_step_fn(z, rho, p, solve), _STEP_SCHEMA)
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
-    agg = out.agg(
-        vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("sx"),
-        vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("su"),
-        F.sum("xx").alias("xx"), F.sum("uu").alias("uu"),
-        F.sum("r2").alias("r2"), F.sum("zgz").alias("zgz"),
-        F.count(F.lit(1)).alias("nb")).first()
-    return out.select("block_id", "x", "u"), out, agg
+
+def _run_step(cur: DataFrame, z: np.ndarray, rho: float, p: int, solve: bool = True):
+    """One round = one stage: the step runs where the blocks are, its output
+    is persisted, and only the per-partition partial rows are collected."""
+    out = (cur.mapInArrow(_step_fn(z, rho, p, solve), _STEP_SCHEMA)
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    parts = out.where(F.col("block_id").isNull()).select("x", "u", "xx", "uu", "r2", "zgz",
+                                                         "nb").collect()
+    agg = {"sx": np.zeros(p), "su": np.zeros(p), "xx": 0.0, "uu": 0.0, "r2": 0.0,
+           "zgz": 0.0, "nb": 0}
+    for r in parts:
+        agg["sx"] += np.asarray(r["x"])
+        agg["su"] += np.asarray(r["u"])
+        for k in ("xx", "uu", "r2", "zgz", "nb"):
+            agg[k] += r[k]
+    state = out.where(F.col("block_id").isNotNull()).select("block_id", "m", "g", "q0", "x", "u")
+    return state, out, agg
 
 
 # ---------------------------------------------------------------- fit
@@ -369,26 +395,30 @@ def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float
     p, N = problem.p, problem.n_blocks
     rho = problem.rho
     state = init or initial_state(problem)
-    blocks, z = state.blocks, np.array(state.z, dtype=np.float64)
+    z = np.array(state.z, dtype=np.float64)
+    blocks = state.blocks
     if state.rho != rho:
         blocks = blocks.select("block_id", "x",
                                F.transform("u", lambda v: v * F.lit(state.rho / rho)).alias("u"))
+    if init is None:
+        zero = F.array_repeat(F.lit(0.0), p)
+        cur = problem.factors.select("block_id", "m", "g", "q0", zero.alias("x"), zero.alias("u"))
+    else:
+        cur = _carry(problem, blocks)
     kappa = lam / (rho * N)
     sqrt_pn = math.sqrt(p * N)
     history: list = []
     pending = None          # iteration k-1 quantities waiting for r_{k-1}
-    held: list = []         # persisted step outputs to release
+    held: list = []         # persisted step outputs still referenced
     converged = False
     it_done = 0
     xbar = np.zeros(p)
     ubar = np.zeros(p)
-    final_blocks = blocks
+    final = cur
     for k in range(max_iter + 1):
         last = k == max_iter
-        new_blocks, raw, agg = _run_step(problem, blocks, z, rho, solve=not last)
+        nxt, raw, agg = _run_step(cur, z, rho, p, solve=not last)
         held.append(raw)
-        sx = np.array(agg["sx"]) if agg["sx"] is not None else np.zeros(p)
-        su = np.array(agg["su"]) if agg["su"] is not None else np.zeros(p)
         if pending is not None:
             r_prev = math.sqrt(max(agg["r2"], 0.0))
             obj = objective(problem, z, lam, agg["zgz"])
@@ -397,9 +427,9 @@ def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float
             history.append(row)
             if logs:
                 print("iter %4d  r=%.3e  eps_pri=%.3e  s=%.3e  eps_dual=%.3e  obj=%.6f" % row)
-            it_done = pending["iter"] + 1
+            it_done = pending["iter"] + 1 - state.iteration
             xbar, ubar = pending["xbar"], pending["ubar"]
-            final_blocks = blocks
+            final = cur
             if r_prev < pending["eps_pri"] and pending["s"] < pending["eps_dual"]:
                 converged = True
                 break
@@ -409,21 +439,25 @@ def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float
         eps_dual = sqrt_pn * abs_tol + rel_tol * math.sqrt(max(agg["uu"], 0.0))
         eps_pri = sqrt_pn * abs_tol + rel_tol * max(math.sqrt(max(agg["xx"], 0.0)),
                                                     math.sqrt(N) * float(np.linalg.norm(z)))
-        xb, ub = sx / N, su / N
+        xb, ub = agg["sx"] / N, agg["su"] / N
         z_new = soft_threshold_np(xb + ub, kappa)
         s = rho * math.sqrt(N) * float(np.linalg.norm(z_new - z))
         pending = {"iter": state.iteration + k, "eps_pri": eps_pri, "eps_dual": eps_dual,
                    "s": s, "xbar": xb, "ubar": ub}
         z = z_new
-        blocks = new_blocks
+        cur = nxt
         if checkpoint_every and (k + 1) % checkpoint_every == 0:
-            blocks = blocks.checkpoint(eager=True)
-            for h in held[:-1]:
+            # cut lineage: the next rounds start from the written state
+            cur = cur.checkpoint(eager=True)
+            for h in held:
                 h.unpersist()
-            held = held[-1:]
-        # older persisted steps are no longer referenced by the next plan
-        while len(held) > 3:
+            held = []
+        while len(held) > 2:
             held.pop(0).unpersist()
+    # write the resumable state, then release the per-round caches
+    final_blocks = final.select("block_id", "x", "u").checkpoint(eager=True)
+    for h in held:
+        h.unpersist()
     new_state = AdmmState(final_blocks, z.copy(), rho, state.iteration + it_done)
     return LassoFit(z.copy(), it_done, converged, float(lam), rho, time.time() - t0,
                     history, new_state, xbar, ubar, problem)
