@@ -85,7 +85,12 @@ def parse_sample_major(lines: DataFrame, vector_col: str = "features",
     body = body.where(F.length(F.regexp_replace("value", "\\s", "")) > 0)
     cells = _cells(F.col("value"))
     df = body.select(F.element_at(cells, 1).alias("sample_id"),
-                     to_double_array(F.slice(cells, 2, 1 << 30), lenient).alias(vector_col))
+                     # guarded: Spark may evaluate inferred filters on this
+                     # column before the header filter, and a strict cast of
+                     # the header cells would fail
+                     F.when(F.col("value") != F.lit(header),
+                            to_double_array(F.slice(cells, 2, 1 << 30), lenient))
+                     .alias(vector_col))
     return LabeledMatrix(df, header_names(head), vector_col)
 
 
@@ -177,7 +182,7 @@ def parse_combined(lines: DataFrame, n_traits: int | None = None,
         first = indexed.where(F.col("line_no") == 0).select("value").first()
         n_traits = int(first["value"].split(TAB)[0])
     nt = F.lit(int(n_traits))
-    vals = to_double_array(cells, lenient)
+    vals = F.when(F.col("line_no") >= 2, to_double_array(cells, lenient))
     return indexed.where(F.col("line_no") >= 2).select(
         (F.col("line_no") - 2).alias("row_idx"),
         F.slice(vals, F.lit(1), nt).alias("traits"),
