@@ -72,76 +72,110 @@ def _mat(col: pa.Array, rows: int, width: int) -> np.ndarray:
 
 @dataclass
 class LassoProblem:
-    """Per-block factors of one (features, response) table.
-
-    ``factors``: ``block_id, m (flat (A_iᵀA_i+ρI)⁻¹), g (flat A_iᵀA_i), q0
-    (A_iᵀb_i), n, yy``. ``xty``/``yy``/``n`` are the totals, kept on the
-    driver (p numbers) for the objective.
+    """Per-block sufficient statistics and factors of one (features, response)
+    table.
+
+    ``blocks``: ``block_id, g (flat A_iᵀA_i), q0 (A_iᵀb_i), n, yy, tr`` —
+    written to the checkpoint folder, the only thing kept from the data scan.
+    ``factors``: the same rows plus ``m`` = flat (A_iᵀA_i + ρI)⁻¹, derived
+    from ``blocks`` by a narrow map (recomputed from the checkpoint if lost).
+    ``xty``/``yy``/``n`` are totals kept on the driver (p numbers).
     """
 
     factors: DataFrame
-    moments: DataFrame
+    blocks: DataFrame
     p: int
     n_blocks: int
     rho: float
     xty: np.ndarray
     yy: float
     n: int
+    trace: float
     names: DataFrame | None = None
 
     def with_rho(self, rho: float | str) -> "LassoProblem":
-        """Refactor for another ρ from the stored moments (no data rescan)."""
-        rho_v = _resolve_rho(rho, self.moments, self.n_blocks)
+        """Refactor for another ρ from the stored block statistics (no data
+        rescan)."""
+        rho_v = _resolve_rho(rho, self.trace, self.p, self.n_blocks)
         if rho_v == self.rho:
             return self
-        fac = _factor(self.moments, rho_v)
-        return LassoProblem(fac, self.moments, self.p, self.n_blocks, rho_v,
-                            self.xty, self.yy, self.n, self.names)
+        return LassoProblem(_factor(self.blocks, rho_v, self.p), self.blocks, self.p,
+                            self.n_blocks, rho_v, self.xty, self.yy, self.n, self.trace,
+                            self.names)
+
+    @property
+    def moments(self) -> DataFrame:
+        """Row form ``(block_id, i, g, c)`` of the block statistics."""
+        p = self.p
+        return self.blocks.select(
+            "block_id", F.posexplode("q0").alias("i", "c"), "g", "n", "yy").select(
+            "block_id", "i", F.slice("g", F.col("i") * p + 1, p).alias("g"), "c", "n", "yy")
 
 
-def _factor_fn(rho: float):
+def _assemble(pdf):
+    """p moment rows of one block → one row with the flat Gram matrix."""
     import pandas as pd
 
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        p = len(pdf)
-        G = np.stack(pdf["g"].to_numpy()).astype(np.float64)
-        # Cholesky raises if G + ρI is not positive definite (ρ <= 0)
-        L = np.linalg.cholesky(G + rho * np.eye(p))
-        Linv = np.linalg.solve(L, np.eye(p))
-        Minv = Linv.T @ Linv
-        return pd.DataFrame({
-            "block_id": [pdf["block_id"].iloc[0]],
-            "m": [Minv.reshape(-1)], "g": [G.reshape(-1)],
-            "q0": [pdf["c"].to_numpy(dtype=np.float64)],
-            "n": [int(pdf["n"].iloc[0])], "yy": [float(pdf["yy"].iloc[0])]})
+    pdf = pdf.sort_values("i")
+    G = np.stack(pdf["g"].to_numpy()).astype(np.float64)
+    return pd.DataFrame({
+        "block_id": [pdf["block_id"].iloc[0]], "g": [G.reshape(-1)],
+        "q0": [pdf["c"].to_numpy(dtype=np.float64)],
+        "n": [int(pdf["n"].iloc[0])], "yy": [float(pdf["yy"].iloc[0])],
+        "tr": [float(np.trace(G))]})
 
-    return factor
 
+_BLOCK_SCHEMA = T.StructType([
+    T.StructField("block_id", T.LongType()),
+    T.StructField("g", T.ArrayType(T.DoubleType())),
+    T.StructField("q0", T.ArrayType(T.DoubleType())),
+    T.StructField("n", T.LongType()),
+    T.StructField("yy", T.DoubleType()),
+    T.StructField("tr", T.DoubleType())])
 
 _FACTOR_SCHEMA = T.StructType([
     T.StructField("block_id", T.LongType()),
     T.StructField("m", T.ArrayType(T.DoubleType())),
     T.StructField("g", T.ArrayType(T.DoubleType())),
-    T.StructField("q0", T.ArrayType(T.DoubleType())),
-    T.StructField("n", T.LongType()),
-    T.StructField("yy", T.DoubleType())])
+    T.StructField("q0", T.ArrayType(T.DoubleType()))])
 
 
-def _factor(mom: DataFrame, rho: float) -> DataFrame:
-    fac = mom.groupBy("block_id").applyInPandas(_factor_fn(float(rho)), _FACTOR_SCHEMA)
-    checkpoint_dir(mom.sparkSession)
-    return fac.checkpoint(eager=True)
+def _factor_fn(rho: float, p: int):
+    def factor(batches):
+        for rb in batches:
+            rows = rb.num_rows
+            if rows == 0:
+                continue
+            col = rb.schema.get_field_index
+            G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
+            M = np.empty_like(G)
+            eye = np.eye(p)
+            for r in range(rows):
+                # Cholesky raises if G + ρI is not positive definite
+                L = np.linalg.cholesky(G[r] + rho * eye)
+                Linv = np.linalg.solve(L, eye)
+                M[r] = Linv.T @ Linv
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(col("block_id")), _list_array(M.reshape(rows, p * p)),
+                 rb.column(col("g")), rb.column(col("q0"))],
+                names=["block_id", "m", "g", "q0"])
+
+    return factor
+
 
+def _factor(blocks: DataFrame, rho: float, p: int) -> DataFrame:
+    """Add the inverse ridge factor per block (narrow map, kept in memory)."""
+    return (blocks.select("block_id", "g", "q0")
+            .mapInArrow(_factor_fn(float(rho), p), _FACTOR_SCHEMA)
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
-def _resolve_rho(rho, mom: DataFrame, n_blocks: int) -> float:
+
+def _resolve_rho(rho, trace: float, p: int, n_blocks: int) -> float:
     if isinstance(rho, str):
         if rho != "auto":
             raise ValueError("rho must be a positive number or 'auto'")
-        # mean diagonal of AᵀA per block: mean(diag(AᵀA)) / N
-        row = mom.agg(F.sum(F.element_at("g", F.col("i") + 1)).alias("tr"),
-                      F.countDistinct("i").alias("p")).first()
-        val = float(row["tr"]) / float(row["p"]) / n_blocks
+        # mean diagonal of AᵀA, per block: trace(AᵀA) / p / N
+        val = trace / p / n_blocks if p and n_blocks else 0.0
         return val if val > 0 else 1.0
     rho = float(rho)
     if not rho > 0:
@@ -149,16 +183,10 @@ def _resolve_rho(rho, mom: DataFrame, n_blocks: int) -> float:
     return rho
 
 
-def prepare(df: DataFrame, features: str = "features", label: str = "label",
-            n_blocks: int | None = None, block_col: Column | str | None = None,
-            rho: float | str = 1.0, names: DataFrame | None = None) -> LassoProblem:
-    """Scan the table once and build the per-block factors.
-
-    ``block_col`` overrides the block assignment (any integer column or
-    expression); by default blocks follow the reading task
-    (:func:`.moments.partition_blocks`) with ``n_blocks`` defaulting to the
-    cluster's default parallelism.
-    """
+def block_statistics(df: DataFrame, features: str = "features", label: str = "label",
+                     n_blocks: int | None = None,
+                     block_col: Column | str | None = None) -> DataFrame:
+    """One row per block: ``block_id, g, q0, n, yy, tr`` (lazy)."""
     spark = df.sparkSession
     if block_col is None:
         n_blocks = int(n_blocks or spark.sparkContext.defaultParallelism)
@@ -169,19 +197,66 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
                     F.col(features).alias("features"),
                     F.col(label).cast("double").alias("label"))
     mom = moments(src, "features", "label", keys=["block_id"])
-    checkpoint_dir(spark)
-    mom = mom.checkpoint(eager=True)
-    tot = (mom.groupBy("i").agg(F.sum("c").alias("c"))
-           .orderBy("i").collect())
-    blk = mom.where(F.col("i") == 0).agg(F.count(F.lit(1)).alias("N"),
-                                         F.sum("n").alias("n"), F.sum("yy").alias("yy")).first()
-    p = len(tot)
-    n_eff = int(blk["N"])  # blocks that actually hold rows
-    rho_v = _resolve_rho(rho, mom, n_eff)
-    fac = _factor(mom, rho_v)
-    return LassoProblem(fac, mom, p, n_eff, rho_v,
-                        np.array([r["c"] for r in tot], dtype=np.float64),
-                        float(blk["yy"]), int(blk["n"]), names)
+    # group size = p moment rows of one block (bounded by the feature count)
+    return mom.groupBy("block_id").applyInPandas(_assemble, _BLOCK_SCHEMA)
+
+
+def prepare(df: DataFrame, features: str = "features", label: str = "label",
+            n_blocks: int | None = None, block_col: Column | str | None = None,
+            rho: float | str = 1.0, names: DataFrame | None = None) -> LassoProblem:
+    """Scan the table once and build the per-block factors.
+
+    ``block_col`` overrides the block assignment (any integer column or
+    expression); by default blocks follow the reading task
+    (:func:`.moments.partition_blocks`) with ``n_blocks`` defaulting to the
+    cluster's default parallelism.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    checkpoint_dir(df.sparkSession)
+    # the one write of the preparation: a lost executor never re-reads data
+    blocks = block_statistics(df, features, label, n_blocks, block_col).checkpoint(eager=True)
+    tot = blocks.agg(vector_to_array(Summarizer.sum(array_to_vector("q0"))).alias("c"),
+                     F.count(F.lit(1)).alias("N"), F.sum("n").alias("n"),
+                     F.sum("yy").alias("yy"), F.sum("tr").alias("tr")).first()
+    if tot["N"] == 0:
+        raise ValueError("no rows to fit")
+    xty = np.asarray(tot["c"], dtype=np.float64)
+    p, n_eff = len(xty), int(tot["N"])  # blocks that actually hold rows
+    rho_v = _resolve_rho(rho, float(tot["tr"]), p, n_eff)
+    return LassoProblem(_factor(blocks, rho_v, p), blocks, p, n_eff, rho_v, xty,
+                        float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names)
+
+
+def gradient_check(problem: "LassoProblem", z: np.ndarray, lam: float,
+                   tol: float = 1e-6) -> DataFrame:
+    """Optimality (KKT) of a coefficient vector, per feature.
+
+    ``grad = Aᵀb − AᵀA z`` is summed over blocks Spark-side; ``kkt_ok`` holds
+    when ``|grad − λ·sign(z)| ≤ tol`` for non-zero z and ``|grad| ≤ λ + tol``
+    for zero z. Output ``(idx, coef, grad, kkt_ok)``.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    p, zz = problem.p, np.asarray(z, dtype=np.float64)
+
+    def part(batches):
+        for rb in batches:
+            rows = rb.num_rows
+            G = _mat(rb.column(rb.schema.get_field_index("g")), rows, p * p).reshape(rows, p, p)
+            q0 = _mat(rb.column(rb.schema.get_field_index("q0")), rows, p)
+            yield pa.RecordBatch.from_arrays([_list_array(q0 - G @ zz)], names=["r"])
+
+    grad = (problem.blocks.select("g", "q0").mapInArrow(part, "r array<double>")
+            .agg(vector_to_array(Summarizer.sum(array_to_vector("r"))).alias("grad")))
+    zarr = F.array(*[F.lit(float(v)) for v in zz])
+    out = grad.select(F.posexplode("grad").alias("idx", "grad"))
+    zi = F.element_at(zarr, F.col("idx") + 1)
+    ok = (F.when(zi != 0, F.abs(F.col("grad") - F.lit(float(lam)) * F.signum(zi)) <= tol)
+          .otherwise(F.abs(F.col("grad")) <= float(lam) + tol))
+    return out.select(F.col("idx").cast("int"), zi.alias("coef"), "grad", ok.alias("kkt_ok"))
 
 
 # ---------------------------------------------------------------- state
@@ -377,7 +452,7 @@ def _zgz(problem: LassoProblem, z: np.ndarray) -> float:
             G = G.reshape(rb.num_rows, p, p)
             yield pa.RecordBatch.from_arrays([pa.array(np.einsum("j,ijk,k->i", zz, G, zz))],
                                              names=["zgz"])
-    return float(problem.factors.select("g").mapInArrow(part, "zgz double")
+    return float(problem.blocks.select("g").mapInArrow(part, "zgz double")
                  .agg(F.sum("zgz")).first()[0] or 0.0)
 
 

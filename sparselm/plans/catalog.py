@@ -127,7 +127,7 @@ def q_combined_scan(spark, d):
     """Combined-matrix rows with two header lines, scanned back."""
     m = emb_matrix(spark, d)
     tr = label_traits(spark, d)
-    p = 64
+    p = m.width()
     rows = features.combined_rows(m.df.select("sample_id", "features"), tr.df, p)
     head = spark.createDataFrame([("2\t%d\t0" % (p * (p + 1) // 2),), ("names",)], "value string")
     parsed = text.parse_combined(head.union(rows.select("value")))
@@ -189,11 +189,13 @@ def q_transpose(spark, d):
 
 def q_pairwise_interactions(spark, d):
     """Every product x_k·x_j, k<j, per sample."""
-    return features.interactions_long(emb_matrix(spark, d), 64)
+    m = emb_matrix(spark, d)
+    return features.interactions_long(m, m.width())
 
 
 def q_interaction_names(spark, d):
-    m = features.interactions(emb_matrix(spark, d), 64)
+    m = emb_matrix(spark, d)
+    m = features.interactions(m, m.width())
     return m.names
 
 
@@ -290,16 +292,8 @@ def q_lasso_embeddings(spark, d):
     prob = admm.prepare(m.df, block_col=F.pmod(F.col("sample_id"), F.lit(EMB_BLOCKS)),
                         rho="auto", names=m.names)
     f = admm.fit(prob, EMB_LAMBDA, max_iter=5000, abs_tol=1e-9, rel_tol=1e-9)
-    z = [float(v) for v in f.coef]
-    zarr = F.array(*[F.lit(v) for v in z])
-    tot = moments.total_moments(prob.moments, ["block_id"])
-    grad = F.col("c") - F.aggregate(F.zip_with("g", zarr, lambda a, b: a * b),
-                                    F.lit(0.0), lambda acc, v: acc + v)
-    zi = F.element_at(zarr, F.col("i") + 1)
     tol = 1e-4 * max(1.0, EMB_LAMBDA)
-    ok = F.when(zi != 0, F.abs(grad - F.lit(EMB_LAMBDA) * F.signum(zi)) <= tol) \
-        .otherwise(F.abs(grad) <= EMB_LAMBDA + tol)
-    return tot.select(F.col("i").alias("idx"), ok.alias("kkt_ok"))
+    return admm.gradient_check(prob, f.coef, EMB_LAMBDA, tol).select("idx", "kkt_ok")
 
 
 def q_predict(spark, d):
