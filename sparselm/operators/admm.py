@@ -211,16 +211,24 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
     (:func:`.moments.partition_blocks`) with ``n_blocks`` defaulting to the
     cluster's default parallelism.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     checkpoint_dir(df.sparkSession)
     # the one write of the preparation: a lost executor never re-reads data
     blocks = block_statistics(df, features, label, n_blocks, block_col).checkpoint(eager=True)
+    return problem_from_blocks(blocks, rho, names)
+
+
+def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
+                        names: DataFrame | None = None) -> LassoProblem:
+    """LassoProblem from a block-statistics table (``block_id, g, q0, n, yy,
+    tr``), e.g. one accumulated by :mod:`sparselm.streaming`. The table
+    should already be materialised (checkpointed or written)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     tot = blocks.agg(vector_to_array(Summarizer.sum(array_to_vector("q0"))).alias("c"),
                      F.count(F.lit(1)).alias("N"), F.sum("n").alias("n"),
                      F.sum("yy").alias("yy"), F.sum("tr").alias("tr")).first()
-    if tot["N"] == 0:
+    if not tot["N"]:
         raise ValueError("no rows to fit")
     xty = np.asarray(tot["c"], dtype=np.float64)
     p, n_eff = len(xty), int(tot["N"])  # blocks that actually hold rows
@@ -229,6 +237,17 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
                         float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names)
 
 
+def merge_block_statistics(parts: DataFrame) -> DataFrame:
+    """Sum several block-statistics tables (same block ids add up)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return parts.groupBy("block_id").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
+        vector_to_array(Summarizer.sum(array_to_vector("q0"))).alias("q0"),
+        F.sum("n").alias("n"), F.sum("yy").alias("yy"), F.sum("tr").alias("tr"))
+
+
 def gradient_check(problem: "LassoProblem", z: np.ndarray, lam: float,
                    tol: float = 1e-6) -> DataFrame:
     """Optimality (KKT) of a coefficient vector, per feature.
