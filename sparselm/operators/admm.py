@@ -38,6 +38,7 @@ from typing import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -337,12 +338,13 @@ def _step_fn(z: np.ndarray, rho: float, p: int, solve: bool = True):
         tot = np.zeros(4)
         nb = 0
         for rb in batches:
+            col = rb.schema.get_field_index
+            if rb.column(col("block_id")).null_count:
+                # partial-sum rows of the previous round are not state
+                rb = rb.filter(pc.is_valid(rb.column(col("block_id"))))
             rows = rb.num_rows
             if rows == 0:
                 continue
-            col = rb.schema.get_field_index
-            if rb.column(col("block_id")).null_count:
-                continue  # partial rows of an earlier round are not state
             M = _mat(rb.column(col("m")), rows, p * p).reshape(rows, p, p)
             G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
             q0 = _mat(rb.column(col("q0")), rows, p)
@@ -394,8 +396,8 @@ def _run_step(cur: DataFrame, z: np.ndarray, rho: float, p: int, solve: bool = T
         agg["su"] += np.asarray(r["u"])
         for k in ("xx", "uu", "r2", "zgz", "nb"):
             agg[k] += r[k]
-    state = out.where(F.col("block_id").isNotNull()).select("block_id", "m", "g", "q0", "x", "u")
-    return state, out, agg
+    # the next round reads ``out`` as is: the step skips the partial rows
+    return out, out, agg
 
 
 # ---------------------------------------------------------------- fit
@@ -549,7 +551,8 @@ def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float
         while len(held) > 2:
             held.pop(0).unpersist()
     # write the resumable state, then release the per-round caches
-    final_blocks = final.select("block_id", "x", "u").checkpoint(eager=True)
+    final_blocks = (final.where(F.col("block_id").isNotNull()).select("block_id", "x", "u")
+                    .checkpoint(eager=True))
     for h in held:
         h.unpersist()
     new_state = AdmmState(final_blocks, z.copy(), rho, state.iteration + it_done)
