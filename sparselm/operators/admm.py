@@ -302,40 +302,38 @@ def initial_state(problem: LassoProblem) -> AdmmState:
     return AdmmState(blocks, np.zeros(problem.p), problem.rho, 0)
 
 
-# Step output: one row per block (block_id set) carrying the factors and the
-# new iterate, plus one partial-sum row per partition (block_id null) with
-# Σx^{k+1}, Σu^k and the scalar sums of the partition's blocks.
-_STEP_SCHEMA = T.StructType([
-    T.StructField("block_id", T.LongType()),
-    T.StructField("m", T.ArrayType(T.DoubleType())),
-    T.StructField("g", T.ArrayType(T.DoubleType())),
-    T.StructField("q0", T.ArrayType(T.DoubleType())),
-    T.StructField("x", T.ArrayType(T.DoubleType())),
-    T.StructField("u", T.ArrayType(T.DoubleType())),
-    T.StructField("xx", T.DoubleType()),
-    T.StructField("uu", T.DoubleType()),
-    T.StructField("r2", T.DoubleType()),
-    T.StructField("zgz", T.DoubleType()),
-    T.StructField("nb", T.LongType())])
-
-_STEP_ARROW = pa.schema([
-    ("block_id", pa.int64()), ("m", pa.list_(pa.float64())), ("g", pa.list_(pa.float64())),
-    ("q0", pa.list_(pa.float64())), ("x", pa.list_(pa.float64())),
-    ("u", pa.list_(pa.float64())), ("xx", pa.float64()), ("uu", pa.float64()),
-    ("r2", pa.float64()), ("zgz", pa.float64()), ("nb", pa.int64())])
-
-
-def _step_fn(z: np.ndarray, rho: float, p: int, solve: bool = True):
-    """One fused ADMM round for the blocks of a partition.
-
-    In (per block): ``m, g, q0, x (x^k), u (u^{k-1})`` and the broadcast z^k.
-    Out: the same row with ``x^{k+1}, u^k``, plus one partial row holding
-    Σx^{k+1}, Σu^k, Σ‖x^k‖², Σ‖u^k‖², Σ‖x^k − z^k‖², Σ z^kᵀA_iᵀA_i z^k.
+# Step rows: one per block, carrying the factors and, for K fits run in
+# lockstep, the iterates as K×p row-major arrays: x = x^{k+1}, u = u^k, and the
+# round's input xp = x^k, up = u^{k-1} (the resumable state of a fit that stops
+# at this round). Plus one partial-sum row per partition (block_id null):
+# x = Σx^{k+1}, u = Σu^k, and K-long Σ‖x^k‖², Σ‖u^k‖², Σ‖x^k − z^k‖², Σ zᵀA_iᵀA_i z.
+_DARR = T.ArrayType(T.DoubleType())
+_STEP_SCHEMA = T.StructType(
+    [T.StructField("block_id", T.LongType())]
+    + [T.StructField(c, _DARR) for c in ("m", "g", "q0", "x", "u", "xp", "up",
+                                         "xx", "uu", "r2", "zgz")]
+    + [T.StructField("nb", T.LongType())])
+_LIST = pa.list_(pa.float64())
+_STEP_ARROW = pa.schema(
+    [("block_id", pa.int64())]
+    + [(c, _LIST) for c in ("m", "g", "q0", "x", "u", "xp", "up", "xx", "uu", "r2", "zgz")]
+    + [("nb", pa.int64())])
+
+
+def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool = True):
+    """One fused ADMM round for the blocks of a partition, K fits at once.
+
+    Per block and fit: apply the pending u-update ``u^k = u^{k-1} + x^k − z^k``,
+    take the norms the stopping rule needs, and solve
+    ``x^{k+1} = (A_iᵀA_i + ρI)⁻¹(A_iᵀb_i + ρ(z^k − u^k))`` — for all K fits as
+    one matrix product. Fits that are not ``active`` keep their state.
     """
+    K = Z.shape[0]
+    act = active.astype(bool)[None, :, None]
 
     def step(batches: Iterable[pa.RecordBatch]):
-        sx, su = np.zeros(p), np.zeros(p)
-        tot = np.zeros(4)
+        sx, su = np.zeros((K, p)), np.zeros((K, p))
+        tot = np.zeros((4, K))
         nb = 0
         for rb in batches:
             col = rb.schema.get_field_index
@@ -348,56 +346,64 @@ def _step_fn(z: np.ndarray, rho: float, p: int, solve: bool = True):
             M = _mat(rb.column(col("m")), rows, p * p).reshape(rows, p, p)
             G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
             q0 = _mat(rb.column(col("q0")), rows, p)
-            x = _mat(rb.column(col("x")), rows, p)
-            u = _mat(rb.column(col("u")), rows, p) + x - z       # pending u-update
-            d = x - z
-            xx = np.einsum("ij,ij->i", x, x)
-            uu = np.einsum("ij,ij->i", u, u)
-            r2 = np.einsum("ij,ij->i", d, d)
-            zgz = np.einsum("j,ijk,k->i", z, G, z)
-            x_new = np.einsum("ijk,ik->ij", M, q0 + rho * (z - u)) if solve else x
-            sx += x_new.sum(axis=0)
-            su += u.sum(axis=0)
-            tot += [xx.sum(), uu.sum(), r2.sum(), zgz.sum()]
+            X = _mat(rb.column(col("x")), rows, K * p).reshape(rows, K, p)
+            Up = _mat(rb.column(col("u")), rows, K * p).reshape(rows, K, p)
+            XP = _mat(rb.column(col("xp")), rows, K * p).reshape(rows, K, p)
+            UP = _mat(rb.column(col("up")), rows, K * p).reshape(rows, K, p)
+            U = Up + X - Z                                   # pending u-update
+            D = X - Z
+            xx = np.einsum("rkj,rkj->rk", X, X)
+            uu = np.einsum("rkj,rkj->rk", U, U)
+            r2 = np.einsum("rkj,rkj->rk", D, D)
+            zgz = np.einsum("kj,rjl,kl->rk", Z, G, Z)
+            if solve:
+                Q = q0[:, None, :] + rho * (Z - U)
+                Xn = Q @ np.swapaxes(M, 1, 2)                # row r: M_r q for each fit
+            else:
+                Xn = X
+            sx += Xn.sum(axis=0)
+            su += U.sum(axis=0)
+            tot += [xx.sum(axis=0), uu.sum(axis=0), r2.sum(axis=0), zgz.sum(axis=0)]
             nb += rows
+            flat = (lambda A: _list_array(A.reshape(rows, K * p)))
+            none = pa.nulls(rows, _LIST)
             yield pa.RecordBatch.from_arrays(
                 [rb.column(col("block_id")), rb.column(col("m")), rb.column(col("g")),
-                 rb.column(col("q0")), _list_array(x_new), _list_array(u), pa.array(xx),
-                 pa.array(uu), pa.array(r2), pa.array(zgz), pa.nulls(rows, pa.int64())],
-                schema=_STEP_ARROW)
+                 rb.column(col("q0")),
+                 flat(np.where(act, Xn, X)), flat(np.where(act, U, Up)),
+                 flat(np.where(act, X, XP)), flat(np.where(act, Up, UP)),
+                 none, none, none, none, pa.nulls(rows, pa.int64())], schema=_STEP_ARROW)
         if nb:
-            empty = pa.nulls(1, pa.list_(pa.float64()))
+            one = pa.nulls(1, _LIST)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), empty, empty, empty,
-                 _list_array(sx[None, :]), _list_array(su[None, :])]
-                + [pa.array([float(v)]) for v in tot] + [pa.array([nb], pa.int64())],
-                schema=_STEP_ARROW)
+                [pa.nulls(1, pa.int64()), one, one, one,
+                 _list_array(sx.reshape(1, -1)), _list_array(su.reshape(1, -1)), one, one]
+                + [_list_array(t.reshape(1, -1)) for t in tot]
+                + [pa.array([nb], pa.int64())], schema=_STEP_ARROW)
 
     return step
 
 
-def _carry(problem: LassoProblem, blocks: DataFrame) -> DataFrame:
-    """Factor rows with the iterate attached (a join once per fit)."""
-    cols = ["block_id", "m", "g", "q0", "x", "u"]
-    return problem.factors.join(blocks.select("block_id", "x", "u"), "block_id").select(*cols)
-
-
-def _run_step(cur: DataFrame, z: np.ndarray, rho: float, p: int, solve: bool = True):
+def _run_step(cur: DataFrame, Z: np.ndarray, rho: float, p: int, active: np.ndarray,
+              solve: bool = True):
     """One round = one stage: the step runs where the blocks are, its output
     is persisted, and only the per-partition partial rows are collected."""
-    out = (cur.mapInArrow(_step_fn(z, rho, p, solve), _STEP_SCHEMA)
+    K = Z.shape[0]
+    out = (cur.mapInArrow(_step_fn(Z, rho, p, active, solve), _STEP_SCHEMA)
            .persist(StorageLevel.MEMORY_AND_DISK))
     parts = out.where(F.col("block_id").isNull()).select("x", "u", "xx", "uu", "r2", "zgz",
                                                          "nb").collect()
-    agg = {"sx": np.zeros(p), "su": np.zeros(p), "xx": 0.0, "uu": 0.0, "r2": 0.0,
-           "zgz": 0.0, "nb": 0}
+    agg = {"sx": np.zeros((K, p)), "su": np.zeros((K, p)), "nb": 0}
+    for k in ("xx", "uu", "r2", "zgz"):
+        agg[k] = np.zeros(K)
     for r in parts:
-        agg["sx"] += np.asarray(r["x"])
-        agg["su"] += np.asarray(r["u"])
-        for k in ("xx", "uu", "r2", "zgz", "nb"):
-            agg[k] += r[k]
+        agg["sx"] += np.asarray(r["x"]).reshape(K, p)
+        agg["su"] += np.asarray(r["u"]).reshape(K, p)
+        for k in ("xx", "uu", "r2", "zgz"):
+            agg[k] += np.asarray(r[k])
+        agg["nb"] += r["nb"]
     # the next round reads ``out`` as is: the step skips the partial rows
-    return out, out, agg
+    return out, agg
 
 
 # ---------------------------------------------------------------- fit
@@ -465,16 +471,26 @@ def objective(problem: LassoProblem, z: np.ndarray, lam: float, zgz: float | Non
 
 
 def _zgz(problem: LassoProblem, z: np.ndarray) -> float:
-    zz, p = z, problem.p
+    return float(_zgz_many(problem, np.asarray(z, dtype=np.float64)[None, :])[0])
+
+
+def _zgz_many(problem: LassoProblem, Z: np.ndarray) -> np.ndarray:
+    """``z_kᵀ AᵀA z_k`` for each row of Z, summed over blocks in one job."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    ZZ, p = np.asarray(Z, dtype=np.float64), problem.p
 
     def part(batches):
         for rb in batches:
             G = _mat(rb.column(rb.schema.get_field_index("g")), rb.num_rows, p * p)
             G = G.reshape(rb.num_rows, p, p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.einsum("j,ijk,k->i", zz, G, zz))],
-                                             names=["zgz"])
-    return float(problem.blocks.select("g").mapInArrow(part, "zgz double")
-                 .agg(F.sum("zgz")).first()[0] or 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [_list_array(np.einsum("kj,rjl,kl->rk", ZZ, G, ZZ))], names=["zgz"])
+
+    row = (problem.blocks.select("g").mapInArrow(part, "zgz array<double>")
+           .agg(vector_to_array(Summarizer.sum(array_to_vector("zgz"))).alias("s")).first())
+    return np.asarray(row["s"] if row["s"] is not None else np.zeros(len(ZZ)))
 
 
 def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float = 1e-6,
@@ -485,64 +501,91 @@ def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float
     ``init`` resumes from an earlier fit's state (warm start). When that state
     was built for a different ρ the scaled dual is rescaled by ρ_old/ρ_new.
     """
-    if lam < 0:
+    return fit_many(problem, [lam], max_iter, abs_tol, rel_tol, init, checkpoint_every,
+                    logs)[0]
+
+
+def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float = 1e-6,
+             rel_tol: float = 1e-6, init: AdmmState | None = None,
+             checkpoint_every: int = 10, logs: bool = False) -> list[LassoFit]:
+    """Fit several penalties in lockstep: one Spark stage per round for all.
+
+    Each fit follows exactly the iterate sequence of a single :func:`fit`
+    (same start, same stopping rule) and stops on its own; a stopped fit's
+    state is frozen in the block rows. A grid therefore costs as many rounds
+    as its slowest member instead of the sum. ``init`` (one state) starts
+    every fit.
+    """
+    lams = [float(v) for v in lams]
+    if not lams or min(lams) < 0:
         raise ValueError("lambda must be non-negative")
     t0 = time.time()
-    p, N = problem.p, problem.n_blocks
-    rho = problem.rho
+    K, p, N, rho = len(lams), problem.p, problem.n_blocks, problem.rho
     state = init or initial_state(problem)
-    z = np.array(state.z, dtype=np.float64)
     blocks = state.blocks
     if state.rho != rho:
         blocks = blocks.select("block_id", "x",
                                F.transform("u", lambda v: v * F.lit(state.rho / rho)).alias("u"))
+    base = ["block_id", "m", "g", "q0"]
     if init is None:
-        zero = F.array_repeat(F.lit(0.0), p)
-        cur = problem.factors.select("block_id", "m", "g", "q0", zero.alias("x"), zero.alias("u"))
+        zero = F.array_repeat(F.lit(0.0), K * p)
+        cur = problem.factors.select(*base, zero.alias("x"), zero.alias("u"),
+                                     zero.alias("xp"), zero.alias("up"))
     else:
-        cur = _carry(problem, blocks)
-    kappa = lam / (rho * N)
+        def tile(c):
+            return F.flatten(F.array_repeat(F.col(c), K)) if K > 1 else F.col(c)
+        # one join per fit call to attach the saved iterate to the factors
+        cur = problem.factors.join(blocks.select("block_id", tile("x").alias("x"),
+                                                 tile("u").alias("u")), "block_id") \
+            .select(*base, "x", "u", F.col("x").alias("xp"), F.col("u").alias("up"))
+    Z = np.tile(np.asarray(state.z, dtype=np.float64), (K, 1))
+    kappa = np.array(lams) / (rho * N)
     sqrt_pn = math.sqrt(p * N)
-    history: list = []
-    pending = None          # iteration k-1 quantities waiting for r_{k-1}
-    held: list = []         # persisted step outputs still referenced
-    converged = False
-    it_done = 0
-    xbar = np.zeros(p)
-    ubar = np.zeros(p)
-    final = cur
-    for k in range(max_iter + 1):
-        last = k == max_iter
-        nxt, raw, agg = _run_step(cur, z, rho, p, solve=not last)
-        held.append(raw)
-        if pending is not None:
-            r_prev = math.sqrt(max(agg["r2"], 0.0))
-            obj = objective(problem, z, lam, agg["zgz"])
-            row = (pending["iter"], r_prev, pending["eps_pri"], pending["s"],
-                   pending["eps_dual"], obj)
-            history.append(row)
-            if logs:
-                print("iter %4d  r=%.3e  eps_pri=%.3e  s=%.3e  eps_dual=%.3e  obj=%.6f" % row)
-            it_done = pending["iter"] + 1 - state.iteration
-            xbar, ubar = pending["xbar"], pending["ubar"]
-            final = cur
-            if r_prev < pending["eps_pri"] and pending["s"] < pending["eps_dual"]:
-                converged = True
-                break
-        if last:
+    history: list = [[] for _ in range(K)]
+    pending: list = [None] * K       # iteration k-1 quantities waiting for r_{k-1}
+    done = np.zeros(K, dtype=bool)
+    converged = [False] * K
+    it_done = [0] * K
+    xbar, ubar = np.zeros((K, p)), np.zeros((K, p))
+    held: list = []                  # persisted round outputs still referenced
+    for j in range(max_iter + 1):
+        last = j == max_iter
+        active = ~done
+        out, agg = _run_step(cur, Z, rho, p, active, solve=not last)
+        held.append(out)
+        for k in np.flatnonzero(active):
+            pend = pending[k]
+            if pend is not None:
+                r_prev = math.sqrt(max(agg["r2"][k], 0.0))
+                obj = objective(problem, Z[k], lams[k], agg["zgz"][k])
+                row = (pend["iter"], r_prev, pend["eps_pri"], pend["s"], pend["eps_dual"], obj)
+                history[k].append(row)
+                if logs:
+                    print(("lam=%g " % lams[k]) + "iter %4d  r=%.3e  eps_pri=%.3e  s=%.3e  "
+                          "eps_dual=%.3e  obj=%.6f" % row)
+                it_done[k] = pend["iter"] + 1 - state.iteration
+                xbar[k], ubar[k] = pend["xbar"], pend["ubar"]
+                if r_prev < pend["eps_pri"] and pend["s"] < pend["eps_dual"]:
+                    converged[k] = True
+                    done[k] = True           # state frozen as this round's input
+                    continue
+            if last:
+                done[k] = True
+                continue
+            # finish iteration j on the driver: tolerances, z-update, dual residual
+            eps_dual = sqrt_pn * abs_tol + rel_tol * math.sqrt(max(agg["uu"][k], 0.0))
+            eps_pri = sqrt_pn * abs_tol + rel_tol * max(math.sqrt(max(agg["xx"][k], 0.0)),
+                                                        math.sqrt(N) * float(np.linalg.norm(Z[k])))
+            xb, ub = agg["sx"][k] / N, agg["su"][k] / N
+            z_new = soft_threshold_np(xb + ub, kappa[k])
+            s = rho * math.sqrt(N) * float(np.linalg.norm(z_new - Z[k]))
+            pending[k] = {"iter": state.iteration + j, "eps_pri": eps_pri, "eps_dual": eps_dual,
+                          "s": s, "xbar": xb, "ubar": ub}
+            Z[k] = z_new
+        cur = out
+        if done.all():
             break
-        # finish iteration k on the driver: tolerances, z-update, dual residual
-        eps_dual = sqrt_pn * abs_tol + rel_tol * math.sqrt(max(agg["uu"], 0.0))
-        eps_pri = sqrt_pn * abs_tol + rel_tol * max(math.sqrt(max(agg["xx"], 0.0)),
-                                                    math.sqrt(N) * float(np.linalg.norm(z)))
-        xb, ub = agg["sx"] / N, agg["su"] / N
-        z_new = soft_threshold_np(xb + ub, kappa)
-        s = rho * math.sqrt(N) * float(np.linalg.norm(z_new - z))
-        pending = {"iter": state.iteration + k, "eps_pri": eps_pri, "eps_dual": eps_dual,
-                   "s": s, "xbar": xb, "ubar": ub}
-        z = z_new
-        cur = nxt
-        if checkpoint_every and (k + 1) % checkpoint_every == 0:
+        if checkpoint_every and (j + 1) % checkpoint_every == 0:
             # cut lineage: the next rounds start from the written state
             cur = cur.checkpoint(eager=True)
             for h in held:
@@ -550,14 +593,20 @@ def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float
             held = []
         while len(held) > 2:
             held.pop(0).unpersist()
-    # write the resumable state, then release the per-round caches
-    final_blocks = (final.where(F.col("block_id").isNotNull()).select("block_id", "x", "u")
-                    .checkpoint(eager=True))
+    # write the resumable states (frozen xp/up of every fit), release caches
+    final = (cur.where(F.col("block_id").isNotNull()).select("block_id", "xp", "up")
+             .checkpoint(eager=True))
     for h in held:
         h.unpersist()
-    new_state = AdmmState(final_blocks, z.copy(), rho, state.iteration + it_done)
-    return LassoFit(z.copy(), it_done, converged, float(lam), rho, time.time() - t0,
-                    history, new_state, xbar, ubar, problem)
+    seconds = time.time() - t0
+    fits = []
+    for k in range(K):
+        blk = final.select("block_id", F.slice("xp", k * p + 1, p).alias("x"),
+                           F.slice("up", k * p + 1, p).alias("u"))
+        st = AdmmState(blk, Z[k].copy(), rho, state.iteration + it_done[k])
+        fits.append(LassoFit(Z[k].copy(), it_done[k], converged[k], lams[k], rho, seconds,
+                             history[k], st, xbar[k].copy(), ubar[k].copy(), problem))
+    return fits
 
 
 def lambda_max(problem: LassoProblem) -> float:

@@ -34,25 +34,34 @@ def in_sample_mse(problem: "admm.LassoProblem", z: np.ndarray) -> float:
     return max(sse, 0.0) / problem.n
 
 
-def lambda_grid(problem: "admm.LassoProblem", lambdas, warm_start: bool = True,
+def lambda_grid(problem: "admm.LassoProblem", lambdas, warm_start: bool = False,
                 **fit_kw) -> GridResult:
-    """Fit every λ in the given order; pick the smallest in-sample MSE.
+    """Fit every λ of the grid; pick the smallest in-sample MSE.
 
-    Ties go to the earliest grid position. Returns the per-λ table and the
-    *best* fit (not the last one).
+    ``warm_start=False`` (default) runs all λ in lockstep from zero
+    (:func:`admm.fit_many`): one Spark stage per round for the whole grid.
+    ``warm_start=True`` fits them one after another, each continuing from the
+    previous state (the same optima, more rounds). Ties go to the earliest
+    grid position. Returns the per-λ table and the *best* fit (not the last).
     """
     spark = problem.factors.sparkSession
-    rows, fits = [], []
-    state = None
-    for pos, lam in enumerate(lambdas):
-        f = admm.fit(problem, float(lam), init=state if warm_start else None, **fit_kw)
-        zgz = admm._zgz(problem, f.coef)
-        sse = zgz - 2.0 * float(f.coef @ problem.xty) + problem.yy
+    lambdas = [float(v) for v in lambdas]
+    if warm_start:
+        fits, state = [], None
+        for lam in lambdas:
+            f = admm.fit(problem, lam, init=state, **fit_kw)
+            fits.append(f)
+            state = f.state
+    else:
+        fits = admm.fit_many(problem, lambdas, **fit_kw)
+    Z = np.stack([f.coef for f in fits])
+    zgz = admm._zgz_many(problem, Z)
+    rows = []
+    for pos, (lam, f) in enumerate(zip(lambdas, fits)):
+        sse = float(zgz[pos]) - 2.0 * float(f.coef @ problem.xty) + problem.yy
         mse = max(sse, 0.0) / problem.n
-        obj = 0.5 * sse + float(lam) * float(np.abs(f.coef).sum())
-        rows.append((pos, float(lam), mse, obj, f.iterations, f.converged, f.nnz(), f.seconds))
-        fits.append(f)
-        state = f.state
+        obj = 0.5 * sse + lam * float(np.abs(f.coef).sum())
+        rows.append((pos, lam, mse, obj, f.iterations, f.converged, f.nnz(), f.seconds))
     best_pos = min(range(len(rows)), key=lambda i: (rows[i][2], i))
     return GridResult(spark.createDataFrame(rows, GRID_SCHEMA), fits[best_pos], best_pos, fits)
 
