@@ -467,7 +467,8 @@ def objective(problem: LassoProblem, z: np.ndarray, lam: float, zgz: float | Non
     """½‖Az − b‖² + λ‖z‖₁ from the sufficient statistics."""
     if zgz is None:
         zgz = _zgz(problem, z)
-    return 0.5 * zgz - float(z @ problem.xty) + 0.5 * problem.yy + lam * float(np.abs(z).sum())
+    return float(0.5 * zgz - float(z @ problem.xty) + 0.5 * problem.yy
+                 + lam * float(np.abs(z).sum()))
 
 
 def _zgz(problem: LassoProblem, z: np.ndarray) -> float:
@@ -558,7 +559,8 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
             if pend is not None:
                 r_prev = math.sqrt(max(agg["r2"][k], 0.0))
                 obj = objective(problem, Z[k], lams[k], agg["zgz"][k])
-                row = (pend["iter"], r_prev, pend["eps_pri"], pend["s"], pend["eps_dual"], obj)
+                row = (int(pend["iter"]), float(r_prev), float(pend["eps_pri"]), float(pend["s"]),
+                       float(pend["eps_dual"]), float(obj))
                 history[k].append(row)
                 if logs:
                     print(("lam=%g " % lams[k]) + "iter %4d  r=%.3e  eps_pri=%.3e  s=%.3e  "
