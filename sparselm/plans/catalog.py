@@ -264,6 +264,23 @@ def q_admm_step(spark, d):
     return f.coefficients().select("idx", r6(F.col("coef")).alias("z"))
 
 
+def q_admm_three_rounds(spark, d):
+    """Three ADMM rounds from zero (ρ=1, four blocks) — checks the
+    u-update carried between rounds."""
+    prob, names, _ = onehot_problem(spark, d, rho=1.0)
+    f = admm.fit(prob, STEP_LAMBDA, max_iter=3)
+    return f.coefficients().select("idx", r6(F.col("coef")).alias("z"))
+
+
+def q_history_two_rounds(spark, d):
+    """Residuals and objective logged for the first two rounds."""
+    prob, names, _ = onehot_problem(spark, d, rho=1.0)
+    f = admm.fit(prob, STEP_LAMBDA, max_iter=2)
+    return f.history().select("iter", r6(F.col("resid_primal")).alias("resid_primal"),
+                              r6(F.col("resid_dual")).alias("resid_dual"),
+                              F.round(F.col("objective"), 2).alias("objective"))
+
+
 def q_warm_start(spark, d):
     """5 rounds, then resume from the saved state to convergence."""
     prob, names, _ = onehot_problem(spark, d)
@@ -358,6 +375,8 @@ QUERIES = {
     "ridge_solve_p2": q_ridge_solve_p2,
     "lasso_onehot": q_lasso_onehot,
     "admm_step": q_admm_step,
+    "admm_three_rounds": q_admm_three_rounds,
+    "history_two_rounds": q_history_two_rounds,
     "warm_start": q_warm_start,
     "final_state": q_final_state,
     "fit_history": q_fit_history,

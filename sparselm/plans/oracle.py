@@ -160,6 +160,64 @@ SELECT CAST(dense_rank() OVER (ORDER BY lvl) - 1 AS INTEGER) AS idx,
        round({_st('xbar', 'k')}, 6) + 0.0 AS z
   FROM x""",
 
+    "admm_three_rounds": f"""
+WITH b AS (SELECT DISTINCT o_orderkey % 4 AS b FROM orders),
+     g AS (SELECT DISTINCT o_orderpriority AS lvl FROM orders),
+     obs AS (SELECT o_orderkey % 4 AS b, o_orderpriority AS lvl, count(*) AS n, sum({Y}) AS s
+               FROM orders GROUP BY o_orderkey % 4, o_orderpriority),
+     bg AS (SELECT b.b, g.lvl, coalesce(obs.n, 0) AS n, coalesce(obs.s, 0.0) AS s
+              FROM b CROSS JOIN g LEFT JOIN obs ON obs.b = b.b AND obs.lvl = g.lvl),
+     k AS (SELECT {STEP_LAMBDA!r} / count(*) AS k, count(*) AS nb FROM b),
+     r1 AS (SELECT bg.*, s / (n + 1.0) AS x1 FROM bg),
+     z1 AS (SELECT lvl, {_st('sum(x1) / max(k.nb)', 'max(k.k)')} AS z1
+              FROM r1 CROSS JOIN k GROUP BY lvl),
+     r2 AS (SELECT r1.*, z1.z1, x1 - z1.z1 AS u1,
+                   (s + (z1.z1 - (x1 - z1.z1))) / (n + 1.0) AS x2
+              FROM r1 JOIN z1 ON r1.lvl = z1.lvl),
+     z2 AS (SELECT lvl, {_st('(sum(x2) + sum(u1)) / max(k.nb)', 'max(k.k)')} AS z2
+              FROM r2 CROSS JOIN k GROUP BY lvl),
+     r3 AS (SELECT r2.*, z2.z2, u1 + x2 - z2.z2 AS u2 FROM r2 JOIN z2 ON r2.lvl = z2.lvl),
+     r3x AS (SELECT r3.*, (s + (z2 - u2)) / (n + 1.0) AS x3 FROM r3),
+     z3 AS (SELECT lvl, {_st('(sum(x3) + sum(u2)) / max(k.nb)', 'max(k.k)')} AS z3
+              FROM r3x CROSS JOIN k GROUP BY lvl)
+SELECT CAST(dense_rank() OVER (ORDER BY lvl) - 1 AS INTEGER) AS idx,
+       round(z3, 6) + 0.0 AS z
+  FROM z3""",
+
+    "history_two_rounds": f"""
+WITH b AS (SELECT DISTINCT o_orderkey % 4 AS b FROM orders),
+     g AS (SELECT DISTINCT o_orderpriority AS lvl FROM orders),
+     obs AS (SELECT o_orderkey % 4 AS b, o_orderpriority AS lvl, count(*) AS n, sum({Y}) AS s
+               FROM orders GROUP BY o_orderkey % 4, o_orderpriority),
+     tot AS (SELECT o_orderpriority AS lvl, count(*) AS n, sum({Y}) AS s, sum({Y} * {Y}) AS ss
+               FROM orders GROUP BY o_orderpriority),
+     bg AS (SELECT b.b, g.lvl, coalesce(obs.n, 0) AS n, coalesce(obs.s, 0.0) AS s
+              FROM b CROSS JOIN g LEFT JOIN obs ON obs.b = b.b AND obs.lvl = g.lvl),
+     k AS (SELECT {STEP_LAMBDA!r} / count(*) AS k, count(*) AS nb FROM b),
+     r1 AS (SELECT bg.*, s / (n + 1.0) AS x1 FROM bg),
+     z1 AS (SELECT lvl, {_st('sum(x1) / max(k.nb)', 'max(k.k)')} AS z1
+              FROM r1 CROSS JOIN k GROUP BY lvl),
+     r2 AS (SELECT r1.*, z1.z1, x1 - z1.z1 AS u1,
+                   (s + (z1.z1 - (x1 - z1.z1))) / (n + 1.0) AS x2
+              FROM r1 JOIN z1 ON r1.lvl = z1.lvl),
+     z2 AS (SELECT lvl, {_st('(sum(x2) + sum(u1)) / max(k.nb)', 'max(k.k)')} AS z2
+              FROM r2 CROSS JOIN k GROUP BY lvl),
+     zz AS (SELECT z1.lvl, z1.z1, z2.z2, tot.n, tot.s, tot.ss
+              FROM z1 JOIN z2 ON z1.lvl = z2.lvl JOIN tot ON tot.lvl = z1.lvl),
+     res AS (SELECT sqrt(sum((r2.x1 - r2.z1) * (r2.x1 - r2.z1))) AS r0,
+                    sqrt(sum((r2.x2 - z2.z2) * (r2.x2 - z2.z2))) AS r1
+               FROM r2 JOIN z2 ON r2.lvl = z2.lvl),
+     dual AS (SELECT sqrt(max(k.nb)) * sqrt(sum(z1 * z1)) AS s0,
+                     sqrt(max(k.nb)) * sqrt(sum((z2 - z1) * (z2 - z1))) AS s1,
+                     0.5 * sum(n * z1 * z1 - 2 * z1 * s + ss) + {STEP_LAMBDA!r} * sum(abs(z1)) AS o0,
+                     0.5 * sum(n * z2 * z2 - 2 * z2 * s + ss) + {STEP_LAMBDA!r} * sum(abs(z2)) AS o1
+                FROM zz CROSS JOIN k)
+SELECT CAST(0 AS INTEGER) AS iter, round(r0, 6) + 0.0 AS resid_primal,
+       round(s0, 6) + 0.0 AS resid_dual, round(o0, 2) AS objective FROM res CROSS JOIN dual
+UNION ALL
+SELECT CAST(1 AS INTEGER), round(r1, 6) + 0.0, round(s1, 6) + 0.0, round(o1, 2)
+  FROM res CROSS JOIN dual""",
+
     "warm_start": f"""
 SELECT idx, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS coef FROM {ONEHOT}""",
 
