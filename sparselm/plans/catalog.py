@@ -38,6 +38,7 @@ GRID = [0.0, 2000.0, 8000.0, 20000.0]
 STEP_LAMBDA = 8.0
 THRESHOLD = 20.0
 FIT_TOL = 1e-10
+JOB_LAMBDA = 1.0
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -313,6 +314,24 @@ def q_lasso_embeddings(spark, d):
     return admm.gradient_check(prob, f.coef, EMB_LAMBDA, tol).select("idx", "kkt_ok")
 
 
+def q_lasso_job_files(spark, d):
+    """M19 end to end on files: both tables written as sample-major TSV,
+    scanned, joined on id, fitted (response: the ``quality`` trait), then the
+    optimality of every coefficient."""
+    from .jobs import lasso_job
+
+    m = emb_matrix(spark, d)
+    tr = label_traits(spark, d)
+    base = scratch_path(spark, "lasso-job")
+    text.write_sample_major(m.df, "features", m.names, f"{base}/geno")
+    text.write_sample_major(tr.df, "traits", tr.names, f"{base}/pheno", id_label="id")
+    res = lasso_job(spark, f"{base}/geno", f"{base}/pheno", out=f"{base}/out", lam=JOB_LAMBDA,
+                    rho="auto", abs_tol=1e-9, rel_tol=1e-9, max_iter=5000, trait="quality",
+                    n_blocks=EMB_BLOCKS)
+    return admm.gradient_check(res["problem"], res["fit"].coef, JOB_LAMBDA,
+                               1e-4).select("idx", "kkt_ok")
+
+
 def q_predict(spark, d):
     """Score every sample with w = Aᵀb / n."""
     m = emb_matrix(spark, d)
@@ -381,6 +400,7 @@ QUERIES = {
     "final_state": q_final_state,
     "fit_history": q_fit_history,
     "lasso_embeddings": q_lasso_embeddings,
+    "lasso_job_files": q_lasso_job_files,
     "predict": q_predict,
     "mse": q_mse,
     "lambda_grid": q_lambda_grid,

@@ -229,6 +229,9 @@ SELECT idx, name, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS z,
     "lasso_embeddings": f"""
 SELECT DISTINCT idx, true AS kkt_ok FROM {EMB_LONG}""",
 
+    "lasso_job_files": f"""
+SELECT DISTINCT idx, true AS kkt_ok FROM {EMB_LONG}""",
+
     "predict": f"""
 WITH w AS (SELECT idx, sum(v * y) / count(*) AS w FROM {EMB_LONG} GROUP BY idx)
 SELECT e.vec_id AS sample_id, round(sum(e.v * w.w), 6) + 0.0 AS prediction

@@ -194,5 +194,33 @@ def combined_header(n_traits: int, feature_names: list[str], n_samples: int) ->
             TAB.join(feature_names)]
 
 
+def write_sample_major(df: DataFrame, vector_col: str, names: DataFrame, path: str,
+                       id_label: str = "<Marker>", mode: str = "overwrite") -> None:
+    """Write a keyed matrix as sample-major TSV files, each with its header.
+
+    Every output file starts with the header line (as a per-file CSV header
+    would), so any file of the folder — and the folder as a whole — scans back
+    with :func:`read_sample_major`. The header (p names) comes from the
+    dictionary; the data lines never leave their tasks.
+    """
+    import pyarrow as pa
+
+    names_sorted = [r["name"] for r in names.orderBy("idx").select("name").collect()]
+    header = TAB.join([id_label] + names_sorted)
+    body = df.select(F.concat_ws(TAB, F.col("sample_id").cast("string"),
+                                 F.concat_ws(TAB, F.transform(vector_col,
+                                                              lambda v: v.cast("string"))))
+                     .alias("value"))
+
+    schema = pa.schema([pa.field("value", pa.string(), nullable=True)])
+
+    def with_header(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], schema=schema)
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([rb.column(0)], schema=schema)
+
+    body.mapInArrow(with_header, "value string").write.mode(mode).text(path)
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.select("value").write.mode(mode).text(path)

@@ -78,3 +78,18 @@ def test_format_roundtrip(spark):
     assert sorted((r["sample_id"], r["features"]) for r in back.df.collect()) == [
         ("a", [1.0, 2.5e-7]), ("b", [3.0, -4.0])]
     assert [r["name"] for r in back.names.orderBy("idx").collect()] == ["u", "v"]
+
+
+def test_write_sample_major_every_file_has_header(spark, tmpdir_path):
+    rows = [(f"s{i}", [float(i), float(-i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_id string, features array<double>").repartition(4)
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "idx int, name string")
+    out = os.path.join(tmpdir_path, "written")
+    text.write_sample_major(df, "features", names, out, id_label="id")
+    parts = [f for f in os.listdir(out) if f.startswith("part-")]
+    assert len(parts) >= 2
+    for f in parts:
+        with open(os.path.join(out, f)) as fh:
+            assert fh.readline().rstrip("\n") == "id\ta\tb"
+    back = text.read_sample_major(spark, out)
+    assert sorted((r["sample_id"], r["features"]) for r in back.df.collect()) == sorted(rows)
