@@ -234,6 +234,11 @@ def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
     xty = np.asarray(tot["c"], dtype=np.float64)
     p, n_eff = len(xty), int(tot["N"])  # blocks that actually hold rows
     rho_v = _resolve_rho(rho, float(tot["tr"]), p, n_eff)
+    # one round runs one task per partition of the block table: at most one
+    # partition per block, at most the cluster's parallelism
+    parts = max(1, min(n_eff, blocks.sparkSession.sparkContext.defaultParallelism))
+    if blocks.rdd.getNumPartitions() > parts:
+        blocks = blocks.coalesce(parts)
     return LassoProblem(_factor(blocks, rho_v, p), blocks, p, n_eff, rho_v, xty,
                         float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names)
 

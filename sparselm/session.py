@@ -49,6 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to other executors
+            raise ValueError("set spark.checkpoint.dir to a shared folder "
+                             "(e.g. on the cluster's distributed file system)")
         d = tempfile.mkdtemp(prefix="sparselm-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
