@@ -4,6 +4,8 @@
   consensus-ADMM fit → coefficient / history / evaluation outputs.
 * :func:`interaction_job` — marker-major genotype + phenotype table →
   combined matrix rows (traits, main effects, pairwise products) as text.
+* :func:`grid_job` — combined matrix (two header lines) → λ grid → the best
+  model saved with its grid table.
 """
 
 from __future__ import annotations
@@ -74,3 +76,27 @@ def interaction_job(spark: SparkSession, marker_major_path: str, pheno_path: str
     rows.select("value").write.mode("overwrite").text(out)
     pheno = text.read_traits(spark, pheno_path)
     return pheno.width()
+
+
+def grid_job(spark: SparkSession, combined_path: str, lambdas, out: str | None = None,
+             trait: int = 0, rho: float | str = "auto", n_blocks: int | None = None,
+             **fit_kw) -> dict:
+    """Combined-matrix file → penalty grid → best model.
+
+    The response is trait ``trait`` (first by default, as in the combined
+    layout); features follow the traits. All λ share one data scan and run in
+    lockstep; the model with the smallest in-sample MSE is saved to
+    ``out/model`` and the grid table to ``out/grid``.
+    """
+    from ..operators import tune
+
+    rows = text.parse_combined(spark.read.text(combined_path))
+    data = align.design(rows, trait=trait)
+    problem = admm.prepare(data, n_blocks=n_blocks, rho=rho)
+    grid = tune.lambda_grid(problem, lambdas, **fit_kw)
+    best = model.LassoModel.from_fit(grid.best)
+    best.mse = float(grid.results.where(F.col("pos") == grid.best_pos).first()["mse"])
+    if out:
+        best.save(spark, os.path.join(out, "model"))
+        grid.results.write.mode("overwrite").parquet(os.path.join(out, "grid"))
+    return {"grid": grid, "model": best, "problem": problem}

@@ -113,3 +113,21 @@ def test_interaction_job(spark, tmpdir_path):
     pos = sorted(r["value"] for r in jobs.interaction_rows(spark, mm, ph, positional=True)[0]
                  .collect())
     assert pos == lines
+
+
+def test_grid_job_on_combined_file(spark, tmpdir_path):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(80, 4))
+    y = X @ np.array([1.5, 0.0, -0.8, 0.0]) + 0.05 * rng.normal(size=80)
+    lines = ["2\t4\t80", "a\tb\tc\td"] + [
+        "\t".join(repr(float(v)) for v in [y[i], 7.0] + X[i].tolist()) for i in range(80)]
+    p = write(os.path.join(tmpdir_path, "combined.tsv"), lines)
+    out = os.path.join(tmpdir_path, "grid")
+    res = jobs.grid_job(spark, p, [30.0, 3.0, 0.3], out=out, max_iter=5000,
+                        abs_tol=1e-10, rel_tol=1e-10)
+    assert res["grid"].best_pos == 2
+    ols = np.linalg.lstsq(X, y, rcond=None)[0]
+    assert np.allclose(res["model"].weights, ols, atol=0.02)
+    back = model.LassoModel.load(spark, os.path.join(out, "model"))
+    assert np.allclose(back.weights, res["model"].weights)
+    assert spark.read.parquet(os.path.join(out, "grid")).count() == 3
