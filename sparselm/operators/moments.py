@@ -197,17 +197,6 @@ def row_sq_norms(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn("sq_norm", sq_norm(features))
 
 
-def total_moments(mom: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum block moments over ``keys`` → one moments table for all blocks."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    return (mom.groupBy("i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
-        F.sum("c").alias("c"), F.sum("s").alias("s"),
-        F.sum("n").alias("n"), F.sum("yy").alias("yy")))
-
-
 # ---------------------------------------------------------------- ridge solve
 
 
