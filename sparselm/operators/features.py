@@ -87,10 +87,22 @@ def combined_rows(features: DataFrame, traits: DataFrame, p: int,
 
     Samples and traits are matched on ``key`` (the positional pairing of the
     original tool is available through :func:`..align.positional_join`).
-    Output ``(sample_id, value)`` where ``value`` is the tab-joined line; the
-    one-marker case still ends its line (no product columns then).
+    Trait cells are copied verbatim when the trait table carries its raw text
+    (``<traits_col>_text``, see ``read_traits(keep_text=True)``), otherwise
+    the parsed values are printed. Output ``(sample_id, value)`` where
+    ``value`` is the tab-joined line; the one-marker case still ends its line
+    (no product columns then).
     """
     j = features.join(traits, key)
-    cells = F.concat(F.col(traits_col), F.col(features_col), pair_products(features_col, p))
-    return j.select(key, F.concat_ws(TAB, F.transform(cells, lambda v: v.cast("string")))
-                    .alias("value"))
+    return j.select(key, combined_line(traits, p, features_col, traits_col).alias("value"))
+
+
+def combined_line(traits: DataFrame, p: int, features_col: str = "features",
+                  traits_col: str = "traits"):
+    """The tab-joined combined-matrix line as a column expression."""
+    text_col = traits_col + "_text"
+    trait_cells = (F.col(text_col) if text_col in traits.columns
+                   else F.transform(traits_col, lambda v: v.cast("string")))
+    numbers = F.concat(F.col(features_col), pair_products(features_col, p))
+    return F.concat_ws(TAB, F.concat(trait_cells,
+                                     F.transform(numbers, lambda v: v.cast("string"))))

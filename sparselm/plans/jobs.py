@@ -49,26 +49,19 @@ def interaction_rows(spark: SparkSession, marker_major_path: str, pheno_path: st
     """Combined rows ``(sample_id, value)`` and the marker count."""
     mm = text.read_marker_major(spark, marker_major_path, lead)
     geno = features.transpose_long(mm)
-    pheno = text.read_traits(spark, pheno_path)
+    pheno = text.read_traits(spark, pheno_path, keep_text=True)  # traits copied verbatim
     p = geno.width()
     if positional:
         # i-th sample column ↔ i-th trait row, ids ignored
         g = geno.df.select(F.col("sample_idx").alias("pos"), "sample_id", "features")
-        t = align.with_row_index(pheno.df.select("traits"), "pos")
+        t = align.with_row_index(pheno.df.select("traits", "traits_text"), "pos")
         pairs = g.join(t, "pos")
-        rows = _combined_from_pairs(pairs, p)
+        rows = pairs.select("sample_id", features.combined_line(pairs, p).alias("value"))
     else:
         rows = features.combined_rows(geno.df.select("sample_id", "features"), pheno.df, p)
     return rows, p
 
 
-def _combined_from_pairs(pairs: DataFrame, p: int) -> DataFrame:
-    from ..functions.vectors import pair_products
-    cells = F.concat(F.col("traits"), F.col("features"), pair_products("features", p))
-    return pairs.select("sample_id", F.concat_ws("\t", F.transform(
-        cells, lambda v: v.cast("string"))).alias("value"))
-
-
 def interaction_job(spark: SparkSession, marker_major_path: str, pheno_path: str, out: str,
                     lead: int = 5, positional: bool = False) -> int:
     """Write the combined matrix as headerless TSV text; returns the trait count."""

@@ -61,13 +61,15 @@ def header_names(header: DataFrame, skip: int = 1) -> DataFrame:
 
 
 def parse_sample_major(lines: DataFrame, vector_col: str = "features",
-                       lenient: bool = False, header: str | None = None) -> LabeledMatrix:
+                       lenient: bool = False, header: str | None = None,
+                       keep_text: bool = False) -> LabeledMatrix:
     """Parse sample-major lines (column ``value``) into a LabeledMatrix.
 
     The header line is the first line (or the given text); every line equal
     to it is dropped, which also handles a folder of files that each repeat
     the header. Cell 0 is the id, kept as text (quotes included); the rest
     are cast to double, failing on a bad cell unless ``lenient``.
+    ``keep_text`` also keeps the raw cells as ``<vector_col>_text``.
     """
     spark = lines.sparkSession
     if header is None:
@@ -90,7 +92,9 @@ def parse_sample_major(lines: DataFrame, vector_col: str = "features",
                      # the header cells would fail
                      F.when(F.col("value") != F.lit(header),
                             to_double_array(F.slice(cells, 2, 1 << 30), lenient))
-                     .alias(vector_col))
+                     .alias(vector_col),
+                     *([F.slice(cells, 2, 1 << 30).alias(vector_col + "_text")]
+                       if keep_text else []))
     return LabeledMatrix(df, header_names(head), vector_col)
 
 
@@ -100,9 +104,11 @@ def read_sample_major(spark: SparkSession, path: str, vector_col: str = "feature
     return parse_sample_major(spark.read.text(path), vector_col, lenient)
 
 
-def read_traits(spark: SparkSession, path: str, lenient: bool = False) -> LabeledMatrix:
-    """Phenotype table: same layout, vector column ``traits``."""
-    return read_sample_major(spark, path, "traits", lenient)
+def read_traits(spark: SparkSession, path: str, lenient: bool = False,
+                keep_text: bool = False) -> LabeledMatrix:
+    """Phenotype table: same layout, vector column ``traits`` (and the raw
+    cells as ``traits_text`` with ``keep_text``)."""
+    return parse_sample_major(spark.read.text(path), "traits", lenient, keep_text=keep_text)
 
 
 def format_sample_major(df: DataFrame, vector_col: str, names: DataFrame,

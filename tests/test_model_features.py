@@ -131,3 +131,13 @@ def test_grid_job_on_combined_file(spark, tmpdir_path):
     back = model.LassoModel.load(spark, os.path.join(out, "model"))
     assert np.allclose(back.weights, res["model"].weights)
     assert spark.read.parquet(os.path.join(out, "grid")).count() == 3
+
+
+def test_interaction_job_copies_trait_text(spark, tmpdir_path):
+    mm = _marker_major(tmpdir_path)
+    ph = write(os.path.join(tmpdir_path, "ph2.tsv"),
+               ["id\tt1", "A\t1.190813250933200", "B\t2", "C\t0.50"])
+    out = os.path.join(tmpdir_path, "combined2")
+    jobs.interaction_job(spark, mm, ph, out)
+    firsts = sorted(r["value"].split("\t")[0] for r in spark.read.text(out).collect())
+    assert firsts == ["0.50", "1.190813250933200", "2"]
