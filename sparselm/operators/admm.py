@@ -104,6 +104,10 @@ class LassoProblem:
                             self.n_blocks, rho_v, self.xty, self.yy, self.n, self.trace,
                             self.names)
 
+    def release(self) -> None:
+        """Drop the cached factor rows (the checkpointed statistics stay)."""
+        self.factors.unpersist()
+
     @property
     def moments(self) -> DataFrame:
         """Row form ``(block_id, i, g, c)`` of the block statistics."""

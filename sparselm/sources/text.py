@@ -118,6 +118,7 @@ def format_sample_major(df: DataFrame, vector_col: str, names: DataFrame,
     The header is built Spark-side from the dictionary; ``union`` keeps the
     header partition ahead of the data partitions, so ``limit(1)`` reads it.
     """
+    # one group holding the p names of the dictionary (bounded by the width)
     head = (names.agg(F.concat_ws(TAB, F.lit(id_label),
                                   F.concat_ws(TAB, F.transform(
                                       F.array_sort(F.collect_list(F.struct("idx", "name"))),
