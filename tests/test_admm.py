@@ -146,3 +146,16 @@ def test_golden_objectives_on_sample_files(spark):
             assert abs(f.objective() - GOLDEN[lam]) < 1e-6, (blocks, lam, f.objective())
     # every λ above max|Aᵀb| gives all zeros
     assert np.isclose(admm.lambda_max(prob), 19.49214815)
+
+
+def test_resume_after_caches_are_lost(spark):
+    df, X, y = _random(spark)
+    prob = admm.prepare(df, block_col=F.pmod("sample_id", F.lit(2)), rho="auto")
+    f1 = admm.fit(prob, 3.0, max_iter=12, abs_tol=1e-10, rel_tol=1e-10)
+    # drop every cached frame (as if the executors holding them were lost):
+    # the block statistics and the fit state come back from the checkpoints
+    spark.catalog.clearCache()
+    f2 = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10, init=f1.state)
+    cold = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10)
+    assert f1.iterations + f2.iterations == cold.iterations
+    assert np.allclose(f2.coef, cd_lasso(X, y, 3.0), atol=1e-6)
