@@ -39,6 +39,8 @@ STEP_LAMBDA = 8.0
 THRESHOLD = 20.0
 FIT_TOL = 1e-10
 JOB_LAMBDA = 1.0
+LINEITEM_LAMBDA = 3000.0
+LINEITEM_CENTER = 53.0
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -258,6 +260,22 @@ def q_lasso_onehot(spark, d):
         "idx", "name", r4(F.col("coef")).alias("coef"))
 
 
+def q_lasso_lineitem(spark, d):
+    """M11/M19 on the largest table: one-hot (return flag, line status) design,
+    blocks tied to the reading tasks (the default), all coefficients."""
+    li = _t(spark, d, "lineitem")
+    levels = sorted((r[0], r[1]) for r in
+                    li.select("l_returnflag", "l_linestatus").distinct().collect())
+    feats = F.array(*[F.when((F.col("l_returnflag") == a) & (F.col("l_linestatus") == b),
+                             F.lit(1.0)).otherwise(F.lit(0.0)) for a, b in levels])
+    df = li.select(feats.alias("features"),
+                   (F.col("l_extendedprice") / 1000 - LINEITEM_CENTER).alias("label"))
+    names = _names_df(spark, [f"{a}{b}" for a, b in levels])
+    prob = admm.prepare(df, n_blocks=4, rho="auto", names=names)
+    f = admm.fit(prob, LINEITEM_LAMBDA, max_iter=5000, abs_tol=FIT_TOL, rel_tol=FIT_TOL)
+    return f.coefficients().select("idx", "name", r4(F.col("coef")).alias("coef"))
+
+
 def q_admm_step(spark, d):
     """M1/M2/M4/M5: one ADMM round from zero, ρ=1, four blocks."""
     prob, names, _ = onehot_problem(spark, d, rho=1.0)
@@ -393,6 +411,7 @@ QUERIES = {
     "soft_threshold": q_soft_threshold,
     "ridge_solve_p2": q_ridge_solve_p2,
     "lasso_onehot": q_lasso_onehot,
+    "lasso_lineitem": q_lasso_lineitem,
     "admm_step": q_admm_step,
     "admm_three_rounds": q_admm_three_rounds,
     "history_two_rounds": q_history_two_rounds,

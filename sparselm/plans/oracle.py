@@ -8,8 +8,8 @@ Parameters are the fixed values of :mod:`.catalog`.
 
 from __future__ import annotations
 
-from .catalog import (DROP_POSITIONS, EMB_LAMBDA, GRID, ONEHOT_CENTER, ONEHOT_LAMBDA,
-                      STEP_LAMBDA, THRESHOLD)
+from .catalog import (DROP_POSITIONS, EMB_LAMBDA, GRID, LINEITEM_CENTER, LINEITEM_LAMBDA,
+                      ONEHOT_CENTER, ONEHOT_LAMBDA, STEP_LAMBDA, THRESHOLD)
 
 EMB_LONG = """(SELECT vec_id,
         CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS idx,
@@ -150,6 +150,14 @@ SELECT l_returnflag, l_linestatus, CAST(1 AS INTEGER) AS i,
 SELECT idx, name, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS coef
   FROM {ONEHOT} WHERE abs(s) > {ONEHOT_LAMBDA!r}""",
 
+    "lasso_lineitem": f"""
+WITH g AS (SELECT l_returnflag || l_linestatus AS name, count(*) AS n,
+                  sum(l_extendedprice / 1000 - {LINEITEM_CENTER!r}) AS s
+             FROM lineitem GROUP BY l_returnflag, l_linestatus)
+SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS idx, name,
+       round({_onehot_coef(LINEITEM_LAMBDA)}, 4) + 0.0 AS coef
+  FROM g""",
+
     "admm_step": f"""
 WITH bg AS (SELECT o_orderkey % 4 AS b, o_orderpriority AS lvl, count(*) AS n, sum({Y}) AS s
               FROM orders GROUP BY o_orderkey % 4, o_orderpriority),
