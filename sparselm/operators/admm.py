@@ -93,16 +93,22 @@ class LassoProblem:
     n: int
     trace: float
     names: DataFrame | None = None
+    fat: bool = False
+
+    @property
+    def factor_cols(self) -> list[str]:
+        return list(_FAT_FACTOR_COLS if self.fat else _DENSE_FACTOR_COLS)
 
     def with_rho(self, rho: float | str) -> "LassoProblem":
         """Refactor for another ρ from the stored block statistics (no data
         rescan)."""
-        rho_v = _resolve_rho(rho, self.trace, self.p, self.n_blocks)
+        rho_v = _resolve_rho(rho, self.trace, self.p, self.n_blocks,
+                             self.n if self.fat else None)
         if rho_v == self.rho:
             return self
-        return LassoProblem(_factor(self.blocks, rho_v, self.p), self.blocks, self.p,
+        return LassoProblem(_factor(self.blocks, rho_v, self.p, self.fat), self.blocks, self.p,
                             self.n_blocks, rho_v, self.xty, self.yy, self.n, self.trace,
-                            self.names)
+                            self.names, self.fat)
 
     def release(self) -> None:
         """Drop the cached factor rows (the checkpointed statistics stay)."""
@@ -111,6 +117,8 @@ class LassoProblem:
     @property
     def moments(self) -> DataFrame:
         """Row form ``(block_id, i, g, c)`` of the block statistics."""
+        if self.fat:
+            raise ValueError("fat blocks keep their rows, not a Gram matrix")
         p = self.p
         return self.blocks.select(
             "block_id", F.posexplode("q0").alias("i", "c"), "g", "n", "yy").select(
@@ -168,19 +176,114 @@ def _factor_fn(rho: float, p: int):
     return factor
 
 
-def _factor(blocks: DataFrame, rho: float, p: int) -> DataFrame:
+def _factor(blocks: DataFrame, rho: float, p: int, fat: bool = False) -> DataFrame:
     """Add the inverse ridge factor per block (narrow map, kept in memory)."""
-    return (blocks.select("block_id", "g", "q0")
-            .mapInArrow(_factor_fn(float(rho), p), _FACTOR_SCHEMA)
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    if fat:
+        out = (blocks.select("block_id", "a", "ni", "q0")
+               .mapInArrow(_fat_factor_fn(float(rho), p), _FAT_FACTOR_SCHEMA))
+    else:
+        out = (blocks.select("block_id", "g", "q0")
+               .mapInArrow(_factor_fn(float(rho), p), _FACTOR_SCHEMA))
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+# ---------------------------------------------------------------- fat blocks
+#
+# When a block has fewer rows than features (p > n_i: wide genotype tables,
+# interaction features) the p×p factor is wasteful or impossible. A fat block
+# keeps its rows A_i (n_i × p) and the small factor K_i = (ρI + A_iA_iᵀ)⁻¹, and
+# the x-update uses the matrix inversion lemma:
+#     (A_iᵀA_i + ρI)⁻¹ q = (q − A_iᵀ K_i A_i q) / ρ
+# so a round costs O(n_i·p) per block instead of O(p²), and no p×p matrix is
+# ever formed. Blocks are runs of at most ``rows_per_block`` consecutive rows
+# of a reading task, so their size is bounded whatever the key distribution.
+
+_DENSE_FACTOR_COLS = ("m", "g", "q0")
+_FAT_FACTOR_COLS = ("a", "k", "ni", "q0")
+
+_FAT_BLOCK_SCHEMA = T.StructType([
+    T.StructField("block_id", T.LongType()),
+    T.StructField("a", T.ArrayType(T.DoubleType())),
+    T.StructField("ni", T.LongType()),
+    T.StructField("q0", T.ArrayType(T.DoubleType())),
+    T.StructField("n", T.LongType()),
+    T.StructField("yy", T.DoubleType()),
+    T.StructField("tr", T.DoubleType())])
+
+_FAT_FACTOR_SCHEMA = T.StructType([
+    T.StructField("block_id", T.LongType()),
+    T.StructField("a", T.ArrayType(T.DoubleType())),
+    T.StructField("k", T.ArrayType(T.DoubleType())),
+    T.StructField("ni", T.LongType()),
+    T.StructField("q0", T.ArrayType(T.DoubleType()))])
+
 
+def _fat_assemble(pdf):
+    """Rows of one (bounded) fat block → its matrix, Aᵀb, n, bᵀb, ‖A‖²."""
+    import pandas as pd
+
+    A = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+    b = pdf["label"].to_numpy(dtype=np.float64)
+    return pd.DataFrame({
+        "block_id": [pdf["block_id"].iloc[0]], "a": [A.reshape(-1)], "ni": [len(b)],
+        "q0": [A.T @ b], "n": [len(b)], "yy": [float(b @ b)], "tr": [float((A * A).sum())]})
+
+
+def _row_values(col: pa.Array, r: int) -> np.ndarray:
+    return col[r].values.to_numpy(zero_copy_only=False)
+
+
+def _fat_factor_fn(rho: float, p: int):
+    def factor(batches):
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            col = rb.schema.get_field_index
+            ks = []
+            for r in range(rb.num_rows):
+                ni = int(rb.column(col("ni"))[r].as_py())
+                A = _row_values(rb.column(col("a")), r).reshape(ni, p)
+                L = np.linalg.cholesky(rho * np.eye(ni) + A @ A.T)
+                Linv = np.linalg.solve(L, np.eye(ni))
+                ks.append((Linv.T @ Linv).reshape(-1))
+            k = pa.array(ks, type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(col("block_id")), rb.column(col("a")), k, rb.column(col("ni")),
+                 rb.column(col("q0"))], names=["block_id", "a", "k", "ni", "q0"])
 
-def _resolve_rho(rho, trace: float, p: int, n_blocks: int) -> float:
+    return factor
+
+
+def fat_block_statistics(df: DataFrame, features: str = "features", label: str = "label",
+                         rows_per_block: int = 512,
+                         block_col: Column | str | None = None) -> DataFrame:
+    """One row per fat block: ``block_id, a (flat rows), ni, q0, n, yy, tr``.
+
+    By default a block is a run of at most ``rows_per_block`` consecutive rows
+    of one reading task (partition id and position inside the partition), so
+    the group handed to ``applyInPandas`` is bounded by ``rows_per_block``.
+    """
+    if block_col is None:
+        pid = F.spark_partition_id().cast("long")
+        local = F.monotonically_increasing_id() - F.shiftleft(pid, 33)
+        block = pid * F.lit(1 << 31) + F.floor(local / F.lit(int(rows_per_block)))
+    else:
+        block = F.col(block_col) if isinstance(block_col, str) else block_col
+    src = df.select(block.cast("long").alias("block_id"),
+                    F.col(features).alias("features"),
+                    F.col(label).cast("double").alias("label"))
+    return src.groupBy("block_id").applyInPandas(_fat_assemble, _FAT_BLOCK_SCHEMA)
+
+
+def _resolve_rho(rho, trace: float, p: int, n_blocks: int, n: int | None = None) -> float:
     if isinstance(rho, str):
         if rho != "auto":
             raise ValueError("rho must be a positive number or 'auto'")
-        # mean diagonal of AᵀA, per block: trace(AᵀA) / p / N
-        val = trace / p / n_blocks if p and n_blocks else 0.0
+        # mean diagonal of A_iᵀA_i: trace/p/N. For fat blocks (given n) the
+        # trace is spread over min(p, rows per block) directions instead —
+        # A_iᵀA_i has no more non-zero eigenvalues than rows
+        rank = min(p, n / n_blocks) if n and n_blocks else p
+        val = trace / rank / n_blocks if rank and n_blocks else 0.0
         return val if val > 0 else 1.0
     rho = float(rho)
     if not rho > 0:
@@ -208,18 +311,28 @@ def block_statistics(df: DataFrame, features: str = "features", label: str = "la
 
 def prepare(df: DataFrame, features: str = "features", label: str = "label",
             n_blocks: int | None = None, block_col: Column | str | None = None,
-            rho: float | str = 1.0, names: DataFrame | None = None) -> LassoProblem:
+            rho: float | str = 1.0, names: DataFrame | None = None,
+            mode: str = "dense", rows_per_block: int = 512) -> LassoProblem:
     """Scan the table once and build the per-block factors.
 
+    ``mode="dense"`` (default): each block is reduced to its p×p Gram matrix
+    (any number of rows per block; p up to a few thousand). ``mode="fat"``:
+    blocks of at most ``rows_per_block`` rows keep their rows and a small
+    n_i×n_i factor (for p ≫ rows per block, e.g. interaction features).
     ``block_col`` overrides the block assignment (any integer column or
-    expression); by default blocks follow the reading task
+    expression); by default dense blocks follow the reading task
     (:func:`.moments.partition_blocks`) with ``n_blocks`` defaulting to the
     cluster's default parallelism.
     """
     checkpoint_dir(df.sparkSession)
+    if mode == "fat":
+        stats = fat_block_statistics(df, features, label, rows_per_block, block_col)
+    elif mode == "dense":
+        stats = block_statistics(df, features, label, n_blocks, block_col)
+    else:
+        raise ValueError("mode must be 'dense' or 'fat'")
     # the one write of the preparation: a lost executor never re-reads data
-    blocks = block_statistics(df, features, label, n_blocks, block_col).checkpoint(eager=True)
-    return problem_from_blocks(blocks, rho, names)
+    return problem_from_blocks(stats.checkpoint(eager=True), rho, names)
 
 
 def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
@@ -237,14 +350,16 @@ def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
         raise ValueError("no rows to fit")
     xty = np.asarray(tot["c"], dtype=np.float64)
     p, n_eff = len(xty), int(tot["N"])  # blocks that actually hold rows
-    rho_v = _resolve_rho(rho, float(tot["tr"]), p, n_eff)
+    fat = "a" in blocks.columns
+    # fat blocks: spread the trace over the rows of a block (see _resolve_rho)
+    rho_v = _resolve_rho(rho, float(tot["tr"]), p, n_eff, int(tot["n"]) if fat else None)
     # one round runs one task per partition of the block table: at most one
     # partition per block, at most the cluster's parallelism
     parts = max(1, min(n_eff, blocks.sparkSession.sparkContext.defaultParallelism))
     if blocks.rdd.getNumPartitions() > parts:
         blocks = blocks.coalesce(parts)
-    return LassoProblem(_factor(blocks, rho_v, p), blocks, p, n_eff, rho_v, xty,
-                        float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names)
+    return LassoProblem(_factor(blocks, rho_v, p, fat), blocks, p, n_eff, rho_v, xty,
+                        float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat)
 
 
 def merge_block_statistics(parts: DataFrame) -> DataFrame:
@@ -271,14 +386,23 @@ def gradient_check(problem: "LassoProblem", z: np.ndarray, lam: float,
 
     p, zz = problem.p, np.asarray(z, dtype=np.float64)
 
+    fat = problem.fat
+
     def part(batches):
         for rb in batches:
             rows = rb.num_rows
-            G = _mat(rb.column(rb.schema.get_field_index("g")), rows, p * p).reshape(rows, p, p)
             q0 = _mat(rb.column(rb.schema.get_field_index("q0")), rows, p)
-            yield pa.RecordBatch.from_arrays([_list_array(q0 - G @ zz)], names=["r"])
+            if fat:
+                col = rb.schema.get_field_index
+                gz = np.stack([(lambda A: A.T @ (A @ zz))(
+                    _row_values(rb.column(col("a")), r).reshape(-1, p)) for r in range(rows)])
+            else:
+                G = _mat(rb.column(rb.schema.get_field_index("g")), rows, p * p)
+                gz = G.reshape(rows, p, p) @ zz
+            yield pa.RecordBatch.from_arrays([_list_array(q0 - gz)], names=["r"])
 
-    grad = (problem.blocks.select("g", "q0").mapInArrow(part, "r array<double>")
+    src = problem.blocks.select("a" if fat else "g", "q0")
+    grad = (src.mapInArrow(part, "r array<double>")
             .agg(vector_to_array(Summarizer.sum(array_to_vector("r"))).alias("grad")))
     zarr = F.array(*[F.lit(float(v)) for v in zz])
     out = grad.select(F.posexplode("grad").alias("idx", "grad"))
@@ -317,28 +441,61 @@ def initial_state(problem: LassoProblem) -> AdmmState:
 # at this round). Plus one partial-sum row per partition (block_id null):
 # x = Σx^{k+1}, u = Σu^k, and K-long Σ‖x^k‖², Σ‖u^k‖², Σ‖x^k − z^k‖², Σ zᵀA_iᵀA_i z.
 _DARR = T.ArrayType(T.DoubleType())
-_STEP_SCHEMA = T.StructType(
-    [T.StructField("block_id", T.LongType())]
-    + [T.StructField(c, _DARR) for c in ("m", "g", "q0", "x", "u", "xp", "up",
-                                         "xx", "uu", "r2", "zgz")]
-    + [T.StructField("nb", T.LongType())])
 _LIST = pa.list_(pa.float64())
-_STEP_ARROW = pa.schema(
-    [("block_id", pa.int64())]
-    + [(c, _LIST) for c in ("m", "g", "q0", "x", "u", "xp", "up", "xx", "uu", "r2", "zgz")]
-    + [("nb", pa.int64())])
+_STATE_COLS = ("x", "u", "xp", "up", "xx", "uu", "r2", "zgz")
+
+
+def _step_schemas(fat: bool):
+    fcols = _FAT_FACTOR_COLS if fat else _DENSE_FACTOR_COLS
+    spark_fields = [T.StructField("block_id", T.LongType())]
+    arrow_fields = [("block_id", pa.int64())]
+    for c in fcols + _STATE_COLS:
+        long_col = c == "ni"
+        spark_fields.append(T.StructField(c, T.LongType() if long_col else _DARR))
+        arrow_fields.append((c, pa.int64() if long_col else _LIST))
+    spark_fields.append(T.StructField("nb", T.LongType()))
+    arrow_fields.append(("nb", pa.int64()))
+    return T.StructType(spark_fields), pa.schema(arrow_fields), fcols
+
+
+def _solve_dense(rb, col, rows, p, Q):
+    M = _mat(rb.column(col("m")), rows, p * p).reshape(rows, p, p)
+    return Q @ np.swapaxes(M, 1, 2)                      # row r: M_r q for each fit
+
+
+def _solve_fat(rb, col, rows, p, Q, rho):
+    out = np.empty_like(Q)
+    for r in range(rows):
+        ni = int(rb.column(col("ni"))[r].as_py())
+        A = _row_values(rb.column(col("a")), r).reshape(ni, p)
+        K = _row_values(rb.column(col("k")), r).reshape(ni, ni)
+        # (AᵀA + ρI)⁻¹ q = (q − Aᵀ (ρI + AAᵀ)⁻¹ A q) / ρ  for all fits at once
+        out[r] = (Q[r] - ((Q[r] @ A.T) @ K) @ A) / rho
+    return out
+
 
+def _zgz_rows(rb, col, rows, p, Z, fat):
+    if fat:
+        return np.stack([((_row_values(rb.column(col("a")), r).reshape(-1, p) @ Z.T) ** 2)
+                         .sum(axis=0) for r in range(rows)])
+    G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
+    return np.einsum("kj,rjl,kl->rk", Z, G, Z)
 
-def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool = True):
+
+def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool = True,
+             fat: bool = False):
     """One fused ADMM round for the blocks of a partition, K fits at once.
 
     Per block and fit: apply the pending u-update ``u^k = u^{k-1} + x^k − z^k``,
     take the norms the stopping rule needs, and solve
     ``x^{k+1} = (A_iᵀA_i + ρI)⁻¹(A_iᵀb_i + ρ(z^k − u^k))`` — for all K fits as
-    one matrix product. Fits that are not ``active`` keep their state.
+    one matrix product (dense blocks: the stored inverse; fat blocks: the
+    matrix inversion lemma on the block rows). Fits that are not ``active``
+    keep their state.
     """
     K = Z.shape[0]
     act = active.astype(bool)[None, :, None]
+    _, arrow_schema, fcols = _step_schemas(fat)
 
     def step(batches: Iterable[pa.RecordBatch]):
         sx, su = np.zeros((K, p)), np.zeros((K, p))
@@ -352,8 +509,6 @@ def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool
             rows = rb.num_rows
             if rows == 0:
                 continue
-            M = _mat(rb.column(col("m")), rows, p * p).reshape(rows, p, p)
-            G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
             q0 = _mat(rb.column(col("q0")), rows, p)
             X = _mat(rb.column(col("x")), rows, K * p).reshape(rows, K, p)
             Up = _mat(rb.column(col("u")), rows, K * p).reshape(rows, K, p)
@@ -364,10 +519,11 @@ def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool
             xx = np.einsum("rkj,rkj->rk", X, X)
             uu = np.einsum("rkj,rkj->rk", U, U)
             r2 = np.einsum("rkj,rkj->rk", D, D)
-            zgz = np.einsum("kj,rjl,kl->rk", Z, G, Z)
+            zgz = _zgz_rows(rb, col, rows, p, Z, fat)
             if solve:
                 Q = q0[:, None, :] + rho * (Z - U)
-                Xn = Q @ np.swapaxes(M, 1, 2)                # row r: M_r q for each fit
+                Xn = (_solve_fat(rb, col, rows, p, Q, rho) if fat
+                      else _solve_dense(rb, col, rows, p, Q))
             else:
                 Xn = X
             sx += Xn.sum(axis=0)
@@ -377,28 +533,30 @@ def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool
             flat = (lambda A: _list_array(A.reshape(rows, K * p)))
             none = pa.nulls(rows, _LIST)
             yield pa.RecordBatch.from_arrays(
-                [rb.column(col("block_id")), rb.column(col("m")), rb.column(col("g")),
-                 rb.column(col("q0")),
-                 flat(np.where(act, Xn, X)), flat(np.where(act, U, Up)),
-                 flat(np.where(act, X, XP)), flat(np.where(act, Up, UP)),
-                 none, none, none, none, pa.nulls(rows, pa.int64())], schema=_STEP_ARROW)
+                [rb.column(col("block_id"))] + [rb.column(col(c)) for c in fcols]
+                + [flat(np.where(act, Xn, X)), flat(np.where(act, U, Up)),
+                   flat(np.where(act, X, XP)), flat(np.where(act, Up, UP)),
+                   none, none, none, none, pa.nulls(rows, pa.int64())], schema=arrow_schema)
         if nb:
-            one = pa.nulls(1, _LIST)
+            def empty(c):
+                return pa.nulls(1, pa.int64() if c == "ni" else _LIST)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), one, one, one,
-                 _list_array(sx.reshape(1, -1)), _list_array(su.reshape(1, -1)), one, one]
+                [pa.nulls(1, pa.int64())] + [empty(c) for c in fcols]
+                + [_list_array(sx.reshape(1, -1)), _list_array(su.reshape(1, -1)),
+                   empty("xp"), empty("up")]
                 + [_list_array(t.reshape(1, -1)) for t in tot]
-                + [pa.array([nb], pa.int64())], schema=_STEP_ARROW)
+                + [pa.array([nb], pa.int64())], schema=arrow_schema)
 
     return step
 
 
 def _run_step(cur: DataFrame, Z: np.ndarray, rho: float, p: int, active: np.ndarray,
-              solve: bool = True):
+              solve: bool = True, fat: bool = False):
     """One round = one stage: the step runs where the blocks are, its output
     is persisted, and only the per-partition partial rows are collected."""
     K = Z.shape[0]
-    out = (cur.mapInArrow(_step_fn(Z, rho, p, active, solve), _STEP_SCHEMA)
+    schema, _, _ = _step_schemas(fat)
+    out = (cur.mapInArrow(_step_fn(Z, rho, p, active, solve, fat), schema)
            .persist(StorageLevel.MEMORY_AND_DISK))
     parts = out.where(F.col("block_id").isNull()).select("x", "u", "xx", "uu", "r2", "zgz",
                                                          "nb").collect()
@@ -491,14 +649,20 @@ def _zgz_many(problem: LassoProblem, Z: np.ndarray) -> np.ndarray:
 
     ZZ, p = np.asarray(Z, dtype=np.float64), problem.p
 
+    fat = problem.fat
+
     def part(batches):
         for rb in batches:
-            G = _mat(rb.column(rb.schema.get_field_index("g")), rb.num_rows, p * p)
-            G = G.reshape(rb.num_rows, p, p)
-            yield pa.RecordBatch.from_arrays(
-                [_list_array(np.einsum("kj,rjl,kl->rk", ZZ, G, ZZ))], names=["zgz"])
+            if fat:
+                out = np.stack([
+                    ((_row_values(rb.column(0), r).reshape(-1, p) @ ZZ.T) ** 2).sum(axis=0)
+                    for r in range(rb.num_rows)]) if rb.num_rows else np.zeros((0, len(ZZ)))
+            else:
+                G = _mat(rb.column(rb.schema.get_field_index("g")), rb.num_rows, p * p)
+                out = np.einsum("kj,rjl,kl->rk", ZZ, G.reshape(rb.num_rows, p, p), ZZ)
+            yield pa.RecordBatch.from_arrays([_list_array(out)], names=["zgz"])
 
-    row = (problem.blocks.select("g").mapInArrow(part, "zgz array<double>")
+    row = (problem.blocks.select("a" if fat else "g").mapInArrow(part, "zgz array<double>")
            .agg(vector_to_array(Summarizer.sum(array_to_vector("zgz"))).alias("s")).first())
     return np.asarray(row["s"] if row["s"] is not None else np.zeros(len(ZZ)))
 
@@ -536,7 +700,7 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     if state.rho != rho:
         blocks = blocks.select("block_id", "x",
                                F.transform("u", lambda v: v * F.lit(state.rho / rho)).alias("u"))
-    base = ["block_id", "m", "g", "q0"]
+    base = ["block_id", *problem.factor_cols]
     if init is None:
         zero = F.array_repeat(F.lit(0.0), K * p)
         cur = problem.factors.select(*base, zero.alias("x"), zero.alias("u"),
@@ -561,7 +725,7 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     for j in range(max_iter + 1):
         last = j == max_iter
         active = ~done
-        out, agg = _run_step(cur, Z, rho, p, active, solve=not last)
+        out, agg = _run_step(cur, Z, rho, p, active, solve=not last, fat=problem.fat)
         held.append(out)
         for k in np.flatnonzero(active):
             pend = pending[k]

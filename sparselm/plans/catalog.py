@@ -40,6 +40,8 @@ THRESHOLD = 20.0
 FIT_TOL = 1e-10
 JOB_LAMBDA = 1.0
 LINEITEM_LAMBDA = 3000.0
+WIDE_LAMBDA = 20.0
+WIDE_ROWS_PER_BLOCK = 128
 LINEITEM_CENTER = 53.0
 
 
@@ -350,6 +352,19 @@ def q_lasso_job_files(spark, d):
                                1e-4).select("idx", "kkt_ok")
 
 
+def q_lasso_interactions(spark, d):
+    """M18/P10 + M11: LASSO over all main effects and pairwise products of the
+    embeddings (p(p+1)/2 features, more than the rows of any block), fitted
+    with fat blocks; the optimality of every coefficient."""
+    m = emb_matrix(spark, d)
+    wide = features.interactions(m, m.width())
+    prob = admm.prepare(wide.df, rho="auto", mode="fat", rows_per_block=WIDE_ROWS_PER_BLOCK,
+                        names=wide.names)
+    f = admm.fit(prob, WIDE_LAMBDA, max_iter=5000, abs_tol=1e-8, rel_tol=1e-8)
+    return admm.gradient_check(prob, f.coef, WIDE_LAMBDA, 1e-3 * WIDE_LAMBDA) \
+        .select("idx", "kkt_ok")
+
+
 def q_predict(spark, d):
     """Score every sample with w = Aᵀb / n."""
     m = emb_matrix(spark, d)
@@ -420,6 +435,7 @@ QUERIES = {
     "fit_history": q_fit_history,
     "lasso_embeddings": q_lasso_embeddings,
     "lasso_job_files": q_lasso_job_files,
+    "lasso_interactions": q_lasso_interactions,
     "predict": q_predict,
     "mse": q_mse,
     "lambda_grid": q_lambda_grid,
