@@ -143,6 +143,18 @@ def moments(df: DataFrame, features: str = "features", label: str | None = "labe
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
+    keys = list(keys or [])
+    partial = partial_moments(df, features, label, keys, width)
+    return (partial.groupBy(*keys, "i").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
+        F.sum("c").alias("c"), F.sum("s").alias("s"),
+        F.sum("n").alias("n"), F.sum("yy").alias("yy")))
+
+
+def partial_moments(df: DataFrame, features: str = "features", label: str | None = "label",
+                    keys: list[str] | None = None, width: int | None = None) -> DataFrame:
+    """Per-task partial moments, before the cross-task sum: p rows per group
+    and task. Stateless, so it also runs on a streaming DataFrame."""
     keys = list(keys or [])
     cols = keys + [features] + ([label] if label else [])
     src = df.select(*cols)
@@ -155,11 +167,7 @@ def moments(df: DataFrame, features: str = "features", label: str | None = "labe
             T.StructField("s", T.DoubleType(), False),
             T.StructField("n", T.LongType(), False),
             T.StructField("yy", T.DoubleType(), False)])
-    partial = src.mapInArrow(_partials_fn(keys, features, label, width), out_schema)
-    return (partial.groupBy(*keys, "i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
-        F.sum("c").alias("c"), F.sum("s").alias("s"),
-        F.sum("n").alias("n"), F.sum("yy").alias("yy")))
+    return src.mapInArrow(_partials_fn(keys, features, label, width), out_schema)
 
 
 # ---------------------------------------------------------------- views

@@ -365,6 +365,30 @@ def q_lasso_interactions(spark, d):
         .select("idx", "kkt_ok")
 
 
+def q_streaming_statistics(spark, d):
+    """Streaming form of the block statistics: the embeddings written as
+    sample-major files, read back as a file stream one file per micro-batch,
+    joined to their labels (stream-static), accumulated per block; returns
+    Aᵀb of everything seen."""
+    from .. import streaming
+
+    m = emb_matrix(spark, d)
+    base = scratch_path(spark, "stream")
+    folder = f"{base}/incoming"
+    text.write_sample_major(m.df.repartition(3, "sample_id"), "features", m.names, folder)
+    header = "\t".join(["<Marker>"] + [r["name"] for r in m.names.orderBy("idx").collect()])
+    labels = m.df.select(F.col("sample_id").cast("string").alias("sample_id"), "label")
+    stream = streaming.stream_sample_major(spark, folder, header, max_files_per_trigger=1)
+    q = streaming.accumulate_block_statistics(stream.df.join(labels, "sample_id"),
+                                              f"{base}/stats", f"{base}/checkpoint",
+                                              n_blocks=EMB_BLOCKS)
+    q.awaitTermination()
+    blocks = streaming.read_block_statistics(spark, f"{base}/stats")
+    return (blocks.select(F.posexplode("q0").alias("i", "c"))
+            .groupBy("i").agg(r6(F.sum("c")).alias("xty"))
+            .select(F.col("i").cast("int"), "xty"))
+
+
 def q_predict(spark, d):
     """Score every sample with w = Aᵀb / n."""
     m = emb_matrix(spark, d)
@@ -436,6 +460,7 @@ QUERIES = {
     "lasso_embeddings": q_lasso_embeddings,
     "lasso_job_files": q_lasso_job_files,
     "lasso_interactions": q_lasso_interactions,
+    "streaming_statistics": q_streaming_statistics,
     "predict": q_predict,
     "mse": q_mse,
     "lambda_grid": q_lambda_grid,

@@ -244,6 +244,9 @@ SELECT DISTINCT idx, true AS kkt_ok FROM {EMB_LONG}""",
 SELECT CAST(unnest(range(p * (p + 1) // 2)) AS INTEGER) AS idx, true AS kkt_ok
   FROM (SELECT max(len(embedding)) AS p FROM embeddings)""",
 
+    "streaming_statistics": f"""
+SELECT idx AS i, round(sum(v * y), 6) + 0.0 AS xty FROM {EMB_LONG} GROUP BY idx""",
+
     "predict": f"""
 WITH w AS (SELECT idx, sum(v * y) / count(*) AS w FROM {EMB_LONG} GROUP BY idx)
 SELECT e.vec_id AS sample_id, round(sum(e.v * w.w), 6) + 0.0 AS prediction

@@ -1,24 +1,23 @@
 """Block statistics of a growing sample table, with Structured Streaming.
 
 New sample-major TSV files dropped into a folder are parsed with the same
-expressions as the batch scan, and every micro-batch's block statistics
-(``A_iᵀA_i``, ``A_iᵀb_i``, ``n_i``, ``b_iᵀb_i`` — see
-:func:`sparselm.operators.admm.block_statistics`) are written under
-``table_path/batch_id=K``. Rewriting a batch id replaces its output, so a
-retried micro-batch is idempotent; the stream's own checkpoint location
-tracks which files were consumed. Summing the table per block gives the
-statistics of all rows seen so far, from which a fit starts without
-rescanning any data.
+expressions as the batch scan. The stream is stateless: each micro-batch task
+turns its rows into partial moments (``A_iᵀA_i`` rows, ``A_iᵀb_i``, ``n_i``,
+``b_iᵀb_i`` — :func:`sparselm.operators.moments.partial_moments`) which the
+Parquet file sink appends exactly once (the sink's commit log and the query's
+checkpoint location track what was consumed and written). Summing the table per
+block gives the statistics of every row seen so far, from which a fit starts
+without rescanning any data. No state store, no Python callback.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import admm
+from ..operators.moments import partial_moments, partition_blocks
 from ..sources.text import parse_sample_major
 
 
@@ -41,26 +40,35 @@ def accumulate_block_statistics(samples: DataFrame, table_path: str, checkpoint_
                                 features: str = "features", label: str = "label",
                                 n_blocks: int | None = None,
                                 available_now: bool = True) -> StreamingQuery:
-    """Start a query that appends each micro-batch's block statistics.
+    """Start a query appending every micro-batch's partial block moments.
 
     ``samples`` is a streaming DataFrame with ``features`` and ``label``.
-    With ``available_now`` the query processes what is there and stops.
+    Blocks follow the micro-batch task (``partition id mod n_blocks``). With
+    ``available_now`` the query processes what is there and stops.
     """
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        stats = admm.block_statistics(batch, features, label, n_blocks)
-        stats.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
-
-    writer = (samples.writeStream.foreachBatch(write_batch)
-              .option("checkpointLocation", checkpoint_location))
+    n_blocks = int(n_blocks or samples.sparkSession.sparkContext.defaultParallelism)
+    src = samples.select(partition_blocks(n_blocks).alias("block_id"),
+                         F.col(features).alias("features"),
+                         F.col(label).cast("double").alias("label"))
+    parts = partial_moments(src, "features", "label", keys=["block_id"])
+    writer = (parts.writeStream.format("parquet").outputMode("append")
+              .option("path", table_path).option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 
 
 def read_block_statistics(spark: SparkSession, table_path: str) -> DataFrame:
-    """All accumulated micro-batches summed per block."""
-    parts = spark.read.parquet(table_path).drop("batch_id")
-    return admm.merge_block_statistics(parts)
+    """Everything committed so far, summed per block: ``block_id, g, q0, n,
+    yy, tr`` (the table a fit starts from)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    parts = spark.read.parquet(table_path)
+    mom = parts.groupBy("block_id", "i").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
+        F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("yy").alias("yy"))
+    # group size = p moment rows of one block (bounded by the feature count)
+    return mom.groupBy("block_id").applyInPandas(admm._assemble, admm._BLOCK_SCHEMA)
 
 
 def problem_from_stream(spark: SparkSession, table_path: str, rho: float | str = 1.0,
