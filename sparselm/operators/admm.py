@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import bounded_broadcast, checkpoint_dir
 from .moments import _list_array, moments, partition_blocks
 
 # state rows up to this size are broadcast to the factor side
@@ -598,7 +598,8 @@ class LassoFit:
                 if (v != 0 or not nonzero_only)]
         df = spark.createDataFrame(rows, "idx int, coef double")
         if self.problem.names is not None:
-            df = df.join(F.broadcast(self.problem.names.select("idx", "name")), "idx", "left")
+            df = df.join(bounded_broadcast(self.problem.names.select("idx", "name"),
+                                           self.problem.p), "idx", "left")
         else:
             df = df.withColumn("name", F.concat(F.lit("x"), F.col("idx").cast("string")))
         return df.select("idx", "name", "coef")
@@ -614,7 +615,8 @@ class LassoFit:
                 for i in range(self.problem.p)]
         df = spark.createDataFrame(rows, "idx int, z double, xbar double, ubar double")
         if self.problem.names is not None:
-            df = df.join(F.broadcast(self.problem.names.select("idx", "name")), "idx", "left")
+            df = df.join(bounded_broadcast(self.problem.names.select("idx", "name"),
+                                           self.problem.p), "idx", "left")
         else:
             df = df.withColumn("name", F.concat(F.lit("x"), F.col("idx").cast("string")))
         return df.select("idx", "name", "z", "xbar", "ubar")

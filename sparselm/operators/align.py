@@ -34,6 +34,7 @@ def with_row_index(df: DataFrame, name: str = "row_idx", order_by: list | None =
     offsets = (tagged.groupBy("_rix_pid").agg(F.count(F.lit(1)).alias("_rix_n"))
                .select("_rix_pid", F.coalesce(F.sum("_rix_n").over(w), F.lit(0)).alias("_rix_off")))
     local = F.col("_rix_mid") - F.shiftleft(F.col("_rix_pid").cast("long"), 33)
+    # one row per partition: bounded by the partition count, never by the data
     return (tagged.join(F.broadcast(offsets), "_rix_pid")
             .withColumn(name, F.col("_rix_off") + local)
             .drop("_rix_pid", "_rix_mid", "_rix_off"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import drop_positions, pair_index, pair_products
+from ..session import bounded_broadcast
 from ..sources.text import TAB, LabeledMatrix, MarkerMajor
 
 
@@ -62,7 +63,7 @@ def interactions(m: LabeledMatrix, p: int | None = None, keep_main: bool = True,
     a = base.select(F.col("idx").alias("k"), F.col("name").alias("a"))
     b = base.select(F.col("idx").alias("j"), F.col("name").alias("b"))
     # the dictionary has p rows: the broadcast is bounded by the feature count
-    pair_names = (pairs.join(F.broadcast(a), "k").join(F.broadcast(b), "j")
+    pair_names = (pairs.join(bounded_broadcast(a, p), "k").join(bounded_broadcast(b, p), "j")
                   .select((F.lit(p if keep_main else 0) + F.col("k") * (2 * p - F.col("k") - 1) / 2
                            + (F.col("j") - F.col("k") - 1)).cast("int").alias("idx"),
                           F.concat_ws(":", "a", "b").alias("name")))

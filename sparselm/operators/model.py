@@ -124,5 +124,6 @@ def nonzero_coefficients(coef: DataFrame, names: DataFrame | None = None) -> Dat
     """Keep ``coef != 0`` and attach names from the dictionary by ``idx``."""
     out = coef.where(F.col("coef") != 0)
     if names is not None:
-        out = out.drop("name").join(F.broadcast(names.select("idx", "name")), "idx", "left")
+        # the dictionary's size is not known here: the planner decides
+        out = out.drop("name").join(names.select("idx", "name"), "idx", "left")
     return out

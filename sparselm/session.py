@@ -64,3 +64,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     import uuid
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+# rows up to which a side with a known row count is hinted for broadcast
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df, rows: int, max_rows: int | None = None):
+    """Broadcast hint for a side whose row count is known (a dictionary of p
+    names, per-partition offsets), only while it stays under the limit;
+    beyond it the planner (and AQE, from measured sizes) picks the join."""
+    from pyspark.sql import functions as F
+
+    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if rows <= limit else df
