@@ -24,7 +24,8 @@ def test_registry_consistent():
 
 @pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.001"), reason="no test tables")
 @pytest.mark.parametrize("name", ["gram", "alignment_report", "ridge_solve_p2", "admm_step",
-                                  "lasso_onehot"])
+                                  "lasso_onehot", "admm_three_rounds", "history_two_rounds",
+                                  "lasso_lineitem", "streaming_statistics"])
 def test_queries_against_duckdb(spark, name):
     import duckdb
 
