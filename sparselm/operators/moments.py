@@ -61,8 +61,29 @@ def _py(v):
     return v.item() if isinstance(v, np.generic) else v
 
 
-def _partials_fn(keys: list[str], features: str, label: str | None, width: int | None):
-    """Build the per-task accumulator used by ``mapInArrow``."""
+# memory a task may spend on open accumulators before it emits them early
+ACCUMULATOR_BUDGET_BYTES = 256 << 20
+
+
+def _partials_fn(keys: list[str], features: str, label: str | None, width: int | None,
+                 budget: int | None = None):
+    """Build the per-task accumulator used by ``mapInArrow``.
+
+    One running ``XᵀX`` per group key seen by the task. When the open
+    accumulators exceed the byte budget (many distinct keys in one task) they
+    are emitted and reset: the downstream ``groupBy`` sums partials anyway, so
+    memory stays bounded whatever the key cardinality.
+    """
+    limit = ACCUMULATOR_BUDGET_BYTES if budget is None else budget
+
+    def emit(acc, ktypes, p):
+        for key, (G, c, s, n, yy) in acc.items():
+            cols = {k: pa.array([_py(v)] * p, type=ktypes[k]) for k, v in zip(keys, key)}
+            cols.update({"i": pa.array(np.arange(p, dtype=np.int32)), "g": _list_array(G),
+                         "c": pa.array(c), "s": pa.array(s),
+                         "n": pa.array(np.full(p, n, dtype=np.int64)),
+                         "yy": pa.array(np.full(p, yy))})
+            yield pa.RecordBatch.from_pydict(cols)
 
     def run(batches: Iterable[pa.RecordBatch]):
         acc: dict = {}
@@ -122,13 +143,10 @@ def _partials_fn(keys: list[str], features: str, label: str | None, width: int |
                 a[2] += Xg.sum(axis=0)
                 a[3] += Xg.shape[0]
                 a[4] += float(yg @ yg)
-        for key, (G, c, s, n, yy) in acc.items():
-            cols = {k: pa.array([_py(v)] * p, type=ktypes[k]) for k, v in zip(keys, key)}
-            cols.update({"i": pa.array(np.arange(p, dtype=np.int32)), "g": _list_array(G),
-                         "c": pa.array(c), "s": pa.array(s),
-                         "n": pa.array(np.full(p, n, dtype=np.int64)),
-                         "yy": pa.array(np.full(p, yy))})
-            yield pa.RecordBatch.from_pydict(cols)
+            if len(acc) * 8 * (p * p + 2 * p + 2) > limit:
+                yield from emit(acc, ktypes, p)
+                acc = {}
+        yield from emit(acc, ktypes, p)
 
     return run
 

@@ -56,3 +56,18 @@ def test_ragged_rows_rejected(spark):
                                                                    "label double").coalesce(1)
     with pytest.raises(Exception):
         moments.moments(df).collect()
+
+
+def test_accumulator_budget_flushes_without_changing_sums(spark):
+    from sparselm.operators import moments as M
+
+    df, X, y, g = _data(spark, n=400, p=5, parts=2)
+    full = {(r["grp"], r["i"]): r["g"] for r in M.moments(df, keys=["grp"]).collect()}
+    old = M.ACCUMULATOR_BUDGET_BYTES
+    M.ACCUMULATOR_BUDGET_BYTES = 1        # flush after every batch
+    try:
+        tiny = {(r["grp"], r["i"]): r["g"] for r in M.moments(df, keys=["grp"]).collect()}
+    finally:
+        M.ACCUMULATOR_BUDGET_BYTES = old
+    assert full.keys() == tiny.keys()
+    assert all(np.allclose(full[k], tiny[k]) for k in full)
