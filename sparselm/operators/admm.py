@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_broadcast, checkpoint_dir
-from .moments import _list_array, moments, partition_blocks
+from .moments import _list_array, full_from_upper_rows, moments, partition_blocks
 
 # state rows up to this size are broadcast to the factor side
 STATE_BROADCAST_BYTES = 64 << 20
@@ -130,7 +130,7 @@ def _assemble(pdf):
     import pandas as pd
 
     pdf = pdf.sort_values("i")
-    G = np.stack(pdf["g"].to_numpy()).astype(np.float64)
+    G = full_from_upper_rows(pdf["g"].to_numpy(), len(pdf))
     return pd.DataFrame({
         "block_id": [pdf["block_id"].iloc[0]], "g": [G.reshape(-1)],
         "q0": [pdf["c"].to_numpy(dtype=np.float64)],

@@ -2,7 +2,8 @@
 
 One scan produces, per group (an ADMM block, or any grouping key):
 
-* ``g``  — row ``i`` of the Gram matrix ``AᵀA`` (``array<double>``, length p)
+* ``g``  — row ``i`` of the Gram matrix ``AᵀA`` from the diagonal on,
+  ``(AᵀA)[i, i:]`` (symmetric, so only the upper triangle is shuffled)
 * ``c``  — ``(Aᵀb)_i``
 * ``s``  — column sum ``Σ_rows A[:, i]``
 * ``n``  — row count, ``yy`` — ``bᵀb``
@@ -57,6 +58,22 @@ def _list_array(mat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1), type=pa.float64()))
 
 
+def _upper_rows(G: np.ndarray) -> pa.Array:
+    """Row i of a symmetric matrix from the diagonal on: ``G[i, i:]``."""
+    p = G.shape[0]
+    offsets = np.concatenate([[0], np.cumsum(p - np.arange(p))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets),
+                                    pa.array(G[np.triu_indices(p)], type=pa.float64()))
+
+
+def full_from_upper_rows(rows, p: int) -> np.ndarray:
+    """Symmetric p×p matrix from rows ``i → G[i, i:]`` (in ``i`` order)."""
+    G = np.zeros((p, p))
+    for i, r in enumerate(rows):
+        G[i, i:] = r
+    return G + np.triu(G, 1).T
+
+
 def _py(v):
     return v.item() if isinstance(v, np.generic) else v
 
@@ -79,7 +96,7 @@ def _partials_fn(keys: list[str], features: str, label: str | None, width: int |
     def emit(acc, ktypes, p):
         for key, (G, c, s, n, yy) in acc.items():
             cols = {k: pa.array([_py(v)] * p, type=ktypes[k]) for k, v in zip(keys, key)}
-            cols.update({"i": pa.array(np.arange(p, dtype=np.int32)), "g": _list_array(G),
+            cols.update({"i": pa.array(np.arange(p, dtype=np.int32)), "g": _upper_rows(G),
                          "c": pa.array(c), "s": pa.array(s),
                          "n": pa.array(np.full(p, n, dtype=np.int64)),
                          "yy": pa.array(np.full(p, yy))})
@@ -192,12 +209,16 @@ def partial_moments(df: DataFrame, features: str = "features", label: str | None
 
 
 def gram(mom: DataFrame, keys: list[str] | None = None, upper: bool = True) -> DataFrame:
-    """Long Gram ``(keys..., i, j, g)`` from a moments table (``i <= j`` if upper)."""
+    """Long Gram ``(keys..., i, j, g)`` from a moments table (``i <= j`` if
+    upper, both triangles otherwise)."""
     keys = list(keys or [])
-    out = mom.select(*keys, "i", F.posexplode("g").alias("j", "gij"))
-    if upper:
-        out = out.where(F.col("i") <= F.col("j"))
-    return out.select(*keys, "i", F.col("j").cast("int").alias("j"), F.col("gij").alias("g"))
+    out = mom.select(*keys, "i", F.posexplode("g").alias("d", "g")).select(
+        *keys, "i", (F.col("i") + F.col("d")).cast("int").alias("j"), "g")
+    if not upper:
+        mirror = out.where(F.col("j") > F.col("i")).select(
+            *keys, F.col("j").alias("i"), F.col("i").alias("j"), "g")
+        out = out.unionByName(mirror)
+    return out
 
 
 def xty(mom: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -214,7 +235,7 @@ def block_sq_norms(mom: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Σ over rows of ‖x‖² per group, i.e. trace(AᵀA) (A5), plus counts."""
     keys = list(keys or [])
     return (mom.groupBy(*keys).agg(
-        F.sum(F.element_at("g", F.col("i") + 1)).alias("sq_norm"),
+        F.sum(F.element_at("g", 1)).alias("sq_norm"),        # diagonal entry
         F.first("n").alias("n"), F.first("yy").alias("yy")))
 
 
@@ -232,7 +253,7 @@ def _solve_groups(keys: list[str], rho: float):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         p = len(pdf)
-        G = np.stack(pdf["g"].to_numpy())
+        G = full_from_upper_rows(pdf["g"].to_numpy(), p)
         c = pdf["c"].to_numpy(dtype=np.float64)
         L = np.linalg.cholesky(G + rho * np.eye(p))
         x = np.linalg.solve(L.T, np.linalg.solve(L, c))

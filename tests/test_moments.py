@@ -19,8 +19,12 @@ def _data(spark, n=300, p=5, seed=1, parts=4):
 def test_moments_match_numpy(spark):
     df, X, y, _ = _data(spark)
     rows = moments.moments(df).orderBy("i").collect()
-    G = np.array([r["g"] for r in rows])
+    G = moments.full_from_upper_rows([r["g"] for r in rows], 5)
     assert np.allclose(G, X.T @ X)
+    assert all(len(r["g"]) == 5 - r["i"] for r in rows)      # upper triangle only
+    full = moments.gram(moments.moments(df), upper=False).collect()
+    assert len(full) == 25
+    assert all(np.isclose(r["g"], (X.T @ X)[r["i"], r["j"]]) for r in full)
     assert np.allclose([r["c"] for r in rows], X.T @ y)
     assert np.allclose([r["s"] for r in rows], X.sum(axis=0))
     assert rows[0]["n"] == len(y) and np.isclose(rows[0]["yy"], y @ y)
@@ -32,7 +36,8 @@ def test_grouped_moments_and_views(spark):
     for k in range(3):
         sel = g == k
         rows = mom.where(F.col("grp") == k).orderBy("i").collect()
-        assert np.allclose(np.array([r["g"] for r in rows]), X[sel].T @ X[sel])
+        assert np.allclose(moments.full_from_upper_rows([r["g"] for r in rows], 5),
+                           X[sel].T @ X[sel])
     norms = {r["grp"]: r["sq_norm"] for r in moments.block_sq_norms(mom, ["grp"]).collect()}
     assert np.isclose(norms[1], (X[g == 1] ** 2).sum())
     means = moments.column_means(moments.moments(df)).orderBy("i").collect()
