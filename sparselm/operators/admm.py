@@ -198,6 +198,11 @@ def _factor(blocks: DataFrame, rho: float, p: int, fat: bool = False) -> DataFra
 # ever formed. Blocks are runs of at most ``rows_per_block`` consecutive rows
 # of a reading task, so their size is bounded whatever the key distribution.
 
+# largest caller-chosen fat block accepted (rows gathered into one group)
+FAT_MAX_ROWS = 65536
+# widest design fitted with dense blocks by ``mode="auto"``
+DENSE_MAX_FEATURES = 2048
+
 _DENSE_FACTOR_COLS = ("m", "g", "q0")
 _FAT_FACTOR_COLS = ("a", "k", "ni", "q0")
 
@@ -272,6 +277,13 @@ def fat_block_statistics(df: DataFrame, features: str = "features", label: str =
     src = df.select(block.cast("long").alias("block_id"),
                     F.col(features).alias("features"),
                     F.col(label).cast("double").alias("label"))
+    if block_col is not None:
+        # caller-chosen blocks: check their sizes (per-key counts, map-side
+        # combined) before any block is gathered into one group
+        largest = src.groupBy("block_id").count().agg(F.max("count")).first()[0] or 0
+        if largest > max(int(rows_per_block), FAT_MAX_ROWS):
+            raise ValueError(f"a fat block holds {largest} rows; use smaller blocks "
+                             f"(at most {max(int(rows_per_block), FAT_MAX_ROWS)})")
     return src.groupBy("block_id").applyInPandas(_fat_assemble, _FAT_BLOCK_SCHEMA)
 
 
@@ -319,18 +331,26 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
     (any number of rows per block; p up to a few thousand). ``mode="fat"``:
     blocks of at most ``rows_per_block`` rows keep their rows and a small
     n_i×n_i factor (for p ≫ rows per block, e.g. interaction features).
+    ``mode="auto"`` reads the width of one row and picks dense up to
+    ``DENSE_MAX_FEATURES`` features, fat beyond.
     ``block_col`` overrides the block assignment (any integer column or
     expression); by default dense blocks follow the reading task
     (:func:`.moments.partition_blocks`) with ``n_blocks`` defaulting to the
     cluster's default parallelism.
     """
     checkpoint_dir(df.sparkSession)
+    if mode == "auto":
+        # the width of one row decides: a p×p factor per block, or fat blocks
+        first = df.select(F.size(features).alias("p")).first()
+        if first is None:
+            raise ValueError("no rows to fit")
+        mode = "dense" if first["p"] <= DENSE_MAX_FEATURES else "fat"
     if mode == "fat":
         stats = fat_block_statistics(df, features, label, rows_per_block, block_col)
     elif mode == "dense":
         stats = block_statistics(df, features, label, n_blocks, block_col)
     else:
-        raise ValueError("mode must be 'dense' or 'fat'")
+        raise ValueError("mode must be 'dense', 'fat' or 'auto'")
     # the one write of the preparation: a lost executor never re-reads data
     return problem_from_blocks(stats.checkpoint(eager=True), rho, names)
 

@@ -187,3 +187,21 @@ def test_fat_blocks_match_dense(spark):
     auto = admm.prepare(df.repartition(2), rho="auto", mode="fat", rows_per_block=10)
     sizes = [r["ni"] for r in auto.blocks.select("ni").collect()]
     assert sum(sizes) == n and max(sizes) <= 10
+
+
+def test_mode_auto_and_fat_block_size_check(spark):
+    df, X, y = _random(spark)
+    assert not admm.prepare(df, rho="auto", mode="auto").fat          # p = 6: dense
+    old = admm.DENSE_MAX_FEATURES
+    admm.DENSE_MAX_FEATURES = 4
+    try:
+        assert admm.prepare(df, rho="auto", mode="auto", rows_per_block=32).fat
+    finally:
+        admm.DENSE_MAX_FEATURES = old
+    old_max = admm.FAT_MAX_ROWS
+    admm.FAT_MAX_ROWS = 50
+    try:
+        with pytest.raises(ValueError):
+            admm.prepare(df, block_col=F.lit(0), mode="fat", rows_per_block=10)
+    finally:
+        admm.FAT_MAX_ROWS = old_max
