@@ -132,7 +132,8 @@ def test_fit_many_matches_single_fits(spark):
 GOLDEN = {0.128: 0.77781616, 0.5: 1.16073114, 1.0: 1.65430871, 5.0: 5.12633990}
 
 
-@pytest.mark.skipif(not os.path.exists(SAMPLE_GENO), reason="sample files not present")
+@pytest.mark.skipif(not (SAMPLE_GENO and os.path.exists(SAMPLE_GENO)),
+                    reason="set SPARSELM_SAMPLE_GENO / SPARSELM_SAMPLE_PHENO")
 def test_golden_objectives_on_sample_files(spark):
     geno = text.read_sample_major(spark, SAMPLE_GENO)
     pheno = text.read_traits(spark, SAMPLE_PHENO)

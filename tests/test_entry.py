@@ -48,7 +48,8 @@ def test_queries_against_duckdb(spark, name):
                 assert x == y
 
 
-@pytest.mark.skipif(not os.path.exists(SAMPLE_GENO), reason="sample files not present")
+@pytest.mark.skipif(not (SAMPLE_GENO and os.path.exists(SAMPLE_GENO)),
+                    reason="set SPARSELM_SAMPLE_GENO / SPARSELM_SAMPLE_PHENO")
 def test_lasso_job(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "job")
     res = jobs.lasso_job(spark, SAMPLE_GENO, SAMPLE_PHENO, out, lam=0.5, rho="auto",
