@@ -63,3 +63,24 @@ def test_lasso_job(spark, tmpdir_path):
     assert state == 10
     assert np.isclose(res["model"].mse, 2 * (res["fit"].objective()
                                              - 0.5 * np.abs(res["fit"].coef).sum()) / 19)
+
+
+# fixed values: golden LASSO objectives (λ=5, all 64 dims, response `label`)
+# on the driver's `embeddings` table, with their non-zero counts
+EMB_GOLDEN = {"sf0.001": (6996.162401, 46), "sf0.01": (6525.344577, 49)}
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("sf", sorted(EMB_GOLDEN))
+def test_golden_objective_on_embeddings(spark, sf):
+    from pyspark.sql import functions as F
+
+    from sparselm.operators import admm
+    from sparselm.plans import catalog
+
+    m = catalog.emb_matrix(spark, f"{TESTDATA}/{sf}")
+    prob = admm.prepare(m.df, block_col=F.pmod(F.col("sample_id"), F.lit(4)), rho="auto")
+    fit = admm.fit(prob, 5.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10)
+    want_obj, want_nnz = EMB_GOLDEN[sf]
+    assert abs(fit.objective() - want_obj) < 1e-5
+    assert fit.nnz() == want_nnz
