@@ -783,8 +783,13 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
         if done.all():
             break
         if checkpoint_every and (j + 1) % checkpoint_every == 0:
-            # cut lineage: the next rounds start from the written state
-            cur = cur.checkpoint(eager=True)
+            # cut lineage: write only the iterates (K·p per block, not the
+            # p×p factors — those come back from the checkpointed block
+            # statistics by a narrow map) and re-attach them to the factors
+            state_ck = (cur.where(F.col("block_id").isNotNull())
+                        .select("block_id", "x", "u", "xp", "up").checkpoint(eager=True))
+            cur = problem.factors.join(state_ck, "block_id").select(
+                *base, "x", "u", "xp", "up")
             for h in held:
                 h.unpersist()
             held = []
