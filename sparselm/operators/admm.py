@@ -49,6 +49,9 @@ from .moments import _list_array, full_from_upper_rows, moments, partition_block
 
 # state rows up to this size are broadcast to the factor side
 STATE_BROADCAST_BYTES = 64 << 20
+# factor tables up to this size are checkpointed whole with the iterates;
+# larger ones only write the iterates and re-attach them to the cached factors
+CHECKPOINT_FULL_BYTES = 256 << 20
 
 
 # ---------------------------------------------------------------- helpers
@@ -744,6 +747,9 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     it_done = [0] * K
     xbar, ubar = np.zeros((K, p)), np.zeros((K, p))
     held: list = []                  # persisted round outputs still referenced
+    rows_per_block = problem.n / max(N, 1)
+    factor_bytes = 8 * N * ((rows_per_block * p + rows_per_block ** 2) if problem.fat
+                            else 2 * p * p)
     for j in range(max_iter + 1):
         last = j == max_iter
         active = ~done
@@ -782,14 +788,27 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
         cur = out
         if done.all():
             break
-        if checkpoint_every and (j + 1) % checkpoint_every == 0:
+        if checkpoint_every and (j + 1) % checkpoint_every == 0 and factor_bytes <= CHECKPOINT_FULL_BYTES:
+            # cut lineage: small factors — write the whole rows (one job)
+            cur = cur.checkpoint(eager=True)
+            for h in held:
+                h.unpersist()
+            held = []
+        elif checkpoint_every and (j + 1) % checkpoint_every == 0:
             # cut lineage: write only the iterates (K·p per block, not the
             # p×p factors — those come back from the checkpointed block
             # statistics by a narrow map) and re-attach them to the factors
             state_ck = (cur.where(F.col("block_id").isNotNull())
                         .select("block_id", "x", "u", "xp", "up").checkpoint(eager=True))
-            cur = problem.factors.join(state_ck, "block_id").select(
-                *base, "x", "u", "xp", "up")
+            # the iterates are N rows of 4·K·p doubles: broadcast them while
+            # that stays small, so the factor rows keep their partitioning
+            # (one task per factor partition, as before the checkpoint)
+            if N * 4 * K * p * 8 <= STATE_BROADCAST_BYTES:
+                joined = problem.factors.join(F.broadcast(state_ck), "block_id")
+            else:
+                joined = problem.factors.join(state_ck, "block_id").coalesce(
+                    problem.factors.rdd.getNumPartitions())
+            cur = joined.select(*base, "x", "u", "xp", "up")
             for h in held:
                 h.unpersist()
             held = []

@@ -206,3 +206,20 @@ def test_mode_auto_and_fat_block_size_check(spark):
             admm.prepare(df, block_col=F.lit(0), mode="fat", rows_per_block=10)
     finally:
         admm.FAT_MAX_ROWS = old_max
+
+
+def test_iterate_only_checkpoints_give_same_fit(spark):
+    df, X, y = _random(spark)
+    prob = admm.prepare(df, block_col=F.pmod("sample_id", F.lit(3)), rho="auto")
+    ref = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10, checkpoint_every=4)
+    old_full, old_bc = admm.CHECKPOINT_FULL_BYTES, admm.STATE_BROADCAST_BYTES
+    try:
+        admm.CHECKPOINT_FULL_BYTES = 0          # large-factor path: iterates only
+        for bc in (old_bc, 0):                  # broadcast re-attach, then a join
+            admm.STATE_BROADCAST_BYTES = bc
+            f = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10,
+                         checkpoint_every=4)
+            assert f.iterations == ref.iterations
+            assert np.allclose(f.coef, ref.coef, atol=1e-10)
+    finally:
+        admm.CHECKPOINT_FULL_BYTES, admm.STATE_BROADCAST_BYTES = old_full, old_bc
