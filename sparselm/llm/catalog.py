@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from sparselm.llm import minhash_dedup
+from sparselm.llm import minhash_dedup, packing, token_counts
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op10_minhash": minhash_dedup.op10_minhash,
 }
 
