@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from sparselm.llm import minhash_dedup, packing, token_counts
+from sparselm.llm import (
+    decontaminate,
+    minhash_dedup,
+    packing,
+    quality,
+    secret_scan,
+    token_counts,
+)
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_packing": packing.op4_packing,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_quality": quality.op8_quality,
     "op10_minhash": minhash_dedup.op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# the other queries are tested against brute-force versions in tests/llm
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
+}

@@ -45,21 +45,6 @@ SLOTS, BAND_ROWS = 144, 6
 SHINGLE = 5
 BLOCK_MEMBERS = 256         # members of one block of the exact phase
 STAR_PIVOTS = (1, 8)
-_BATCH_BYTES = 8 << 20
-
-
-def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of about 8 MB of text, so that numpy work space stays bounded
-    (a single longer text is one slice)."""
-    n = batch.num_rows
-    if n == 0:
-        return
-    size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(
-        zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(size) // _BATCH_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
 
 
 def _sets(batch: pa.RecordBatch, shingle: int):
@@ -78,7 +63,7 @@ def _fingerprint(values: np.ndarray) -> bytes:
 def _signature_pass(shingle: int, slots: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _pieces(whole, "text"):
+            for b in textblock.text_slices(whole, "text"):
                 h, d = _sets(b, shingle)
                 n = b.num_rows
                 keys = band_keys(signatures(h, d, n, slots), rows).view(np.int64)
@@ -98,7 +83,7 @@ def _signature_pass(shingle: int, slots: int, rows: int):
 def _set_pass(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _pieces(whole, "text"):
+            for b in textblock.text_slices(whole, "text"):
                 h, d = _sets(b, shingle)
                 at = np.searchsorted(d, np.arange(b.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(

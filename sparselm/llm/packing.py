@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparselm.llm.tables import saved
-from sparselm.llm.tokens import default_tokenizer, encoder, text_slices, texts_of
+from sparselm.llm.textblock import text_slices
+from sparselm.llm.tokens import default_tokenizer, encoder, texts_of
 
 CAPACITY = 2048
 END_ID = 0

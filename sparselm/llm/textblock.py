@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUES = _rng.integers(0, 2 ** 64, 256, dtype=np.uint64)
@@ -21,9 +22,23 @@ ODD_INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SLICE_BYTES = 8 << 20
 IS_WORD_BYTE = ~_SPACE                          # words [^\x20\x09-\x0D]+
 
 
+def text_slices(batch: pa.RecordBatch, column: str):
+    """Slices of a batch of about 8 MB of text (null counts as empty); a single
+    longer text is a slice of its own."""
+    n = batch.num_rows
+    if n == 0:
+        return
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size.astype(np.int64)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def block(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

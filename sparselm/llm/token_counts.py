@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparselm.llm.tables import saved
-from sparselm.llm.tokens import default_tokenizer, encoder, text_slices, texts_of
+from sparselm.llm.textblock import text_slices
+from sparselm.llm.tokens import default_tokenizer, encoder, texts_of
 
 RANGE = 1024                # lengths of one range of the histogram
 

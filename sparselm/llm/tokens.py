@@ -114,21 +114,5 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def text_slices(batch: pa.RecordBatch, column: str):
-    """Slices of a batch of about 8 MB of text (null counts as empty); a single
-    longer text is a slice of its own."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    n = batch.num_rows
-    if n == 0:
-        return
-    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size.astype(np.int64)) // _BATCH_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
-
-
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
