@@ -160,7 +160,8 @@ _LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.B
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text", percent: int = 80, shingle: int = SHINGLE,
                     slots: int = SLOTS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """One row per document row: ``id, tkey, n_shingles, component_id, kept``.
+    """One row per document row: ``id, tkey, n_shingles, component_id, kept``
+    and ``component``, the component's own key (null for an empty set).
 
     Documents are linked when 100 * |intersection| >= percent * |union| of
     their sets of distinct word shingles; ``component_id`` is the smallest id
@@ -199,11 +200,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
     lows = label.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = label.join(lows, "component").select("cls", "component_id")
+    label = label.join(lows, "component").select("cls", "component", "component_id")
     out = rows.join(label, "cls", "left")
     cid = F.coalesce("component_id", "id")
     return out.select("id", "tkey", "n_shingles", cid.alias("component_id"),
-                      F.col("id").eqNullSafe(cid).alias("kept"))
+                      F.col("id").eqNullSafe(cid).alias("kept"), "component")
+
+
+def keepers(found: DataFrame) -> DataFrame:
+    """(id, tkey) of one document per component, the one of smallest id (a null
+    id last), and of every document with an empty set."""
+    best = found.where("component IS NOT NULL").groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "tkey")).alias("k"))
+    return best.select("k.id", "k.tkey").union(
+        found.where("component IS NULL").select("id", "tkey").distinct())
 
 
 def _confirmed_links(spark: SparkSession, members: DataFrame, sets: DataFrame,
