@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from sparselm.llm import (
     decontaminate,
+    embedding_dedup,
+    license_scan,
     minhash_dedup,
     packing,
     quality,
@@ -12,8 +14,10 @@ from sparselm.llm import (
 )
 
 QUERIES = {
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_packing": packing.op4_packing,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality": quality.op8_quality,
@@ -22,5 +26,6 @@ QUERIES = {
 
 # the other queries are tested against brute-force versions in tests/llm
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
 }
