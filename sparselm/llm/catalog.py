@@ -10,10 +10,12 @@ from sparselm.llm import (
     packing,
     quality,
     secret_scan,
+    suffix_dedup,
     token_counts,
 )
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_packing": packing.op4_packing,
