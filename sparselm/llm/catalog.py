@@ -6,6 +6,7 @@ from sparselm.llm import (
     decontaminate,
     embedding_dedup,
     license_scan,
+    maxent_lm,
     minhash_dedup,
     packing,
     quality,
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality": quality.op8_quality,
+    "op9_maxent_lm": maxent_lm.op9_maxent_lm,
     "op10_minhash": minhash_dedup.op10_minhash,
 }
 
