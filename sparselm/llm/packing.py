@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from sparselm.llm.tables import saved
 from sparselm.llm.textblock import text_slices
-from sparselm.llm.tokens import default_tokenizer, encoder, texts_of
+from sparselm.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -58,7 +58,10 @@ def _piece_pass(path: str, capacity: int, end_id: int, with_ids: bool):
         for whole in batches:
             for b in text_slices(whole, "text"):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(enc.encode(texts_of(b, "text"), end)):
+                tokens, off = enc.encode(b.column("text"))
+                tokens = tokens.astype("<u4").tobytes()
+                for i, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                    raw = tokens[4 * lo:4 * hi] + end
                     for k, (s, n) in enumerate(_cut(len(raw) // 4, capacity)):
                         part = raw[4 * s:4 * (s + n)]
                         row.append(i)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparselm.llm.tables import saved
 from sparselm.llm.textblock import text_slices
-from sparselm.llm.tokens import default_tokenizer, encoder, texts_of
+from sparselm.llm.tokens import default_tokenizer, encoder
 
 RANGE = 1024                # lengths of one range of the histogram
 
@@ -33,8 +33,8 @@ def _length_pass(path: str):
         enc = encoder(path)
         for whole in batches:
             for b in text_slices(whole, "text"):
-                n = np.array([len(x) // 4 for x in enc.encode(texts_of(b, "text"))], np.int64)
-                size, count = np.unique(n, return_counts=True)      # map-side combine
+                _, off = enc.encode(b.column("text"), with_ids=False)
+                size, count = np.unique(np.diff(off), return_counts=True)   # map-side combine
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(size), pa.array(count.astype(np.int64))], names=["length", "n"])
     return run

@@ -1,33 +1,30 @@
 """Token ids of whole texts in Spark tasks, with a bounded cache.
 
 A byte-level BPE splits a text into pieces before merging; a single space
-between two non-space characters always starts a piece.  Texts are cut there,
-every distinct unit is encoded once per worker by the tokenizer itself and the
-ids of a text are the concatenation of its units' ids.  Units are keyed
-without their leading space, the first unit of a text apart from the others.
+between two characters that are not white space always starts a piece.  Texts
+are cut there, every distinct unit is encoded by the tokenizer itself, and the
+ids of a text are the concatenation of its units' ids.  Units are looked up by
+64-bit fingerprint in arrays that live as long as the worker; they are bounded,
+and emptied when full.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-# white space other than the space and the newline
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a"
-                         "\u2028\u2029\u202f\u205f\u3000]")
-_LONG_UNIT = 64             # longer units are not kept
+from sparselm.llm import textblock
 
+CACHE_UNITS = 4_000_000     # some 150 MB
+_LONG_UNIT = 64             # longer units are encoded anew each time
 
-def _units(text: str) -> list[str]:
-    """Cut at every single space between two non-space characters."""
-    if (" " * 2 in text or " \n" in text or "\n " in text or text[:1] == " "
-            or text[-1:] == " " or _RARE_SPACE.search(text)):
-        return _CUT.split(text)
-    return text.split(" ")
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE = np.zeros(256, dtype=bool)
+_WIDE[0xE1:0xE4] = True     # lead bytes of the wide white space characters
 
 
 def default_tokenizer() -> str:
@@ -40,68 +37,98 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Units:
-    """Ids by unit, in two generations of bounded size."""
-
-    def __init__(self, tok, lead: str, limit: int):
-        self._tok, self._lead, self._limit = tok, lead, limit
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def ids(self, units: set[str]) -> dict[str, bytes]:
-        """A table that holds all of ``units``, valid until the next call."""
-        if len(self._new) > self._limit:
-            self._old, self._new = self._new, {}
-        known = self._new
-        miss = units - known.keys()
-        if self._old:
-            again = miss & self._old.keys()
-            for u in again:
-                known[u] = self._old[u]
-            miss -= again
-        ask = list(miss)
-        for lo in range(0, len(ask), 20_000):
-            part = ask[lo:lo + 20_000]
-            for u, e in zip(part, self._tok.encode_batch_fast(
-                    [self._lead + u for u in part], add_special_tokens=False)):
-                known[u] = array("I", e.ids).tobytes()
-        return known
-
-    def forget(self, units: set[str]) -> None:
-        for u in units:
-            if len(u) > _LONG_UNIT:
-                self._new.pop(u, None)
+def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Byte starts of all units of a block: the starts of its texts that are
+    not empty, and every space between two characters that are surely no white
+    space (not to cut is always right)."""
+    n = len(data)
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[off[:-1][np.diff(off) > 0]] = True
+    at = np.flatnonzero(data == 0x20)
+    at = at[(at > 0) & (at < n - 1)]
+    if len(at):
+        before, after = data[at - 1], data[at + 1]
+        ok = ~_SPACE[before] & ~_SPACE[after] & ~_WIDE[after]
+        # NEL and the no-break space are C2 85 and C2 A0
+        ok &= ~((after == 0xC2) & np.isin(data[np.minimum(at + 2, n - 1)], (0x85, 0xA0)))
+        ok &= ~((data[np.maximum(at - 2, 0)] == 0xC2) & np.isin(before, (0x85, 0xA0)))
+        ok &= ~((before >= 0x80) & _WIDE[data[np.maximum(at - 3, 0)]])
+        at = at[ok]
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[off] = True
+        at = at[~edge[at] & ~edge[at + 1]]              # both neighbours in the text
+        begins[at] = True
+    return np.flatnonzero(begins[:n])
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        self._first = _Units(tok, "", cache_entries // 8)
-        self._next = _Units(tok, " ", cache_entries)
-
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        """Ids of every text, followed by ``end``."""
-        parts = [_units(t) for t in texts]
-        head = {p[0] for p in parts}
-        tail: set[str] = set()
-        for p in parts:
-            tail.update(p)
-        first = self._first.ids(head)
-        rest = self._next.ids(tail)
-        out = []
-        for p in parts:
-            ids = [rest[u] for u in p]
-            ids[0] = first[p[0]]
-            ids.append(end)
-            out.append(b"".join(ids))
-        self._first.forget(head)
-        self._next.forget(tail)
-        return out
+        self._tok = Tokenizer.from_file(path)
+        self._limit = cache_units
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known = np.zeros(0, np.uint64)            # sorted fingerprints
+        self._start = np.zeros(0, np.int64)             # into the pool
+        self._size = np.zeros(0, np.int64)
+        self._pool = np.zeros(0, np.uint32)
+
+    def _encode(self, units: list[str]):
+        """(ids of all units, size of each)."""
+        sizes, ids = [], array("I")
+        for lo in range(0, len(units), 20_000):
+            for e in self._tok.encode_batch_fast(units[lo:lo + 20_000],
+                                                 add_special_tokens=False):
+                x = e.ids
+                sizes.append(len(x))
+                ids.extend(x)
+        return np.frombuffer(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64)
+
+    def encode(self, texts: pa.Array, with_ids: bool = True):
+        """(ids, offsets): ids[offsets[i]:offsets[i + 1]] are those of text i;
+        null counts as empty.  Without ``with_ids`` the ids are None."""
+        data, off = textblock.block(texts, lower=False)
+        start = unit_starts(data, off)
+        n = len(off) - 1
+        if len(start) == 0:
+            return (np.zeros(0, np.uint32) if with_ids else None), np.zeros(n + 1, np.int64)
+        end = np.r_[start[1:], len(data)]
+        word, first, inverse = np.unique(textblock.RangeHasher(data)(start, end),
+                                         return_index=True, return_inverse=True)
+        at = np.searchsorted(self._known, word)
+        if len(self._known):
+            new = self._known[np.minimum(at, len(self._known) - 1)] != word
+        else:
+            new = np.ones(len(word), dtype=bool)
+        if new.any():
+            raw = data.tobytes()
+            ask = first[new]
+            ids, size = self._encode([raw[s:e].decode() for s, e in
+                                      zip(start[ask].tolist(), end[ask].tolist())])
+            place = np.cumsum(size) - size + len(self._pool)
+            self._pool = np.concatenate([self._pool, ids])
+            spot = at[new]
+            self._known = np.insert(self._known, spot, word[new])
+            self._start = np.insert(self._start, spot, place)
+            self._size = np.insert(self._size, spot, size)
+            at = np.searchsorted(self._known, word)
+        where, size = self._start[at][inverse], self._size[at][inverse]
+        # units belong to the text that holds their first byte
+        edge = np.searchsorted(start, off)
+        total = np.r_[0, np.cumsum(size)]
+        out = None
+        if with_ids:
+            out = self._pool[np.repeat(where - total[:-1], size) + np.arange(total[-1])]
+        if len(self._known) > self._limit or len(self._pool) > 16 * self._limit:
+            self._forget()
+        elif new.any() and (long := (end - start)[first[new]] > _LONG_UNIT).any():
+            keep = ~np.isin(self._known, word[new][long])
+            self._known, self._start, self._size = (
+                self._known[keep], self._start[keep], self._size[keep])
+        return out, total[edge]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -112,7 +139,3 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
-
-
-def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
-    return [t or "" for t in batch.column(column).to_pylist()]
