@@ -1,8 +1,9 @@
 """Token ids of whole texts in Spark tasks, with a bounded cache.
 
-A byte-level BPE splits a text into pieces before merging; a single space
-between two characters that are not white space always starts a piece.  Texts
-are cut there, every distinct unit is encoded by the tokenizer itself, and the
+A byte-level BPE splits a text into pieces before merging.  A single space or
+line feed between two characters that are not white space always starts a
+piece, and so does a punctuation mark behind a letter or digit.  Texts are cut
+there, every distinct unit is encoded by the tokenizer itself, and the
 ids of a text are the concatenation of its units' ids.  Units are looked up by
 64-bit fingerprint in arrays that live as long as the worker; they are bounded,
 and emptied when full.
@@ -23,6 +24,10 @@ _LONG_UNIT = 64             # longer units are encoded anew each time
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LETTER = np.zeros(256, dtype=bool)     # ASCII letters and digits
+_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, dtype=bool)       # ASCII marks, but for the bar of special tokens
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), 0x7B, 0x7D, 0x7E]] = True
 _WIDE = np.zeros(256, dtype=bool)
 _WIDE[0xE1:0xE4] = True     # lead bytes of the wide white space characters
 
@@ -39,12 +44,12 @@ def default_tokenizer() -> str:
 
 def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Byte starts of all units of a block: the starts of its texts that are
-    not empty, and every space between two characters that are surely no white
-    space (not to cut is always right)."""
+    not empty, and places where a piece surely starts (not to cut is always
+    right)."""
     n = len(data)
     begins = np.zeros(n + 1, dtype=bool)
     begins[off[:-1][np.diff(off) > 0]] = True
-    at = np.flatnonzero(data == 0x20)
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
     at = at[(at > 0) & (at < n - 1)]
     if len(at):
         before, after = data[at - 1], data[at + 1]
@@ -58,6 +63,14 @@ def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         edge[off] = True
         at = at[~edge[at] & ~edge[at + 1]]              # both neighbours in the text
         begins[at] = True
+    mark = np.flatnonzero(_MARK[data])
+    mark = mark[mark > 1]
+    if len(mark):
+        before = data[mark - 1]
+        ok = _LETTER[before]
+        # letters of Latin-1: C3 80 to C3 BF without the times and division signs
+        ok |= (data[mark - 2] == 0xC3) & (before >= 0x80) & ~np.isin(before, (0x97, 0xB7))
+        begins[mark[ok]] = True
     return np.flatnonzero(begins[:n])
 
 
