@@ -17,16 +17,20 @@ original method): stop when ``r < ε_pri`` and ``s < ε_dual`` with
 Spark layout:
 
 * The raw table is read **once**: :func:`prepare` builds the block moments
-  (see :mod:`.moments`), then one ``applyInPandas`` per block inverts
-  ``A_iᵀA_i + ρI`` (Cholesky). The factor table (N rows) is written to the
-  checkpoint folder, so a lost executor never re-reads the raw data.
-* Each iteration is **one Spark job**: ``factors ⋈ state`` (state is N rows of
-  2p doubles, broadcast with that size bound checked) → ``mapInArrow`` step
-  that applies the pending u-update, computes every norm the stopping rule
-  needs and the next x_i → an element-wise vector sum (Summarizer) that
-  returns Σx_i, Σu_i and the scalar sums. Only p-vectors reach the driver.
-* The state is persisted each round and checkpointed every
-  ``checkpoint_every`` rounds, which bounds lineage and plan size.
+  (see :mod:`.moments`) and writes the block statistics to the checkpoint
+  folder, so a lost executor never re-reads the raw data. A narrow map adds
+  each block's ridge factor (Cholesky); that factor table is cached.
+* A round applies the pending u-update, takes every norm the stopping rule
+  needs and solves for the next x_i, block by block, in one ``mapInArrow``
+  step. Several penalties run in lockstep in the same step.
+* Factor tables up to ``FUSED_BYTES`` travel with the iterates: a round is one
+  stage without a shuffle, and the partitions' sums are added on the driver.
+  Beyond it the factors stay where they are cached, partitioned by block; the
+  step returns iterates only, which are joined back on the block id, and the
+  sums are added on the executors, so that one vector reaches the driver.
+  The choice is physical: both give the same iterates.
+* The iterates are checkpointed every ``checkpoint_every`` rounds, which
+  bounds lineage and plan size; a superseded checkpoint is deleted.
 """
 
 from __future__ import annotations
@@ -44,14 +48,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, checkpoint_dir
-from .moments import _list_array, full_from_upper_rows, moments, partition_blocks
+from ..session import bounded_broadcast, checkpoint_dir, delete_path, written
+from .moments import _list_array, full_from_upper_rows, hash_blocks, moments, partition_blocks
 
 # state rows up to this size are broadcast to the factor side
 STATE_BROADCAST_BYTES = 64 << 20
-# factor tables up to this size are checkpointed whole with the iterates;
-# larger ones only write the iterates and re-attach them to the cached factors
-CHECKPOINT_FULL_BYTES = 256 << 20
+# factor tables up to this size travel with the iterates (see the module text)
+FUSED_BYTES = 32 << 20
+
+
+_LIST = pa.list_(pa.float64())
 
 
 # ---------------------------------------------------------------- helpers
@@ -201,10 +207,11 @@ def _factor(blocks: DataFrame, rho: float, p: int, fat: bool = False) -> DataFra
 # ever formed. Blocks are runs of at most ``rows_per_block`` consecutive rows
 # of a reading task, so their size is bounded whatever the key distribution.
 
-# largest caller-chosen fat block accepted (rows gathered into one group)
-FAT_MAX_ROWS = 65536
-# widest design fitted with dense blocks by ``mode="auto"``
+# widest design that ``mode="auto"`` fits with dense blocks: a factor of 32 MB
 DENSE_MAX_FEATURES = 2048
+# bytes of one fat block's rows, from which the rows per block are derived
+FAT_BLOCK_BYTES = 16 << 20
+FAT_BLOCK_ROWS = 512
 
 _DENSE_FACTOR_COLS = ("m", "g", "q0")
 _FAT_FACTOR_COLS = ("a", "k", "ni", "q0")
@@ -226,17 +233,6 @@ _FAT_FACTOR_SCHEMA = T.StructType([
     T.StructField("q0", T.ArrayType(T.DoubleType()))])
 
 
-def _fat_assemble(pdf):
-    """Rows of one (bounded) fat block → its matrix, Aᵀb, n, bᵀb, ‖A‖²."""
-    import pandas as pd
-
-    A = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-    b = pdf["label"].to_numpy(dtype=np.float64)
-    return pd.DataFrame({
-        "block_id": [pdf["block_id"].iloc[0]], "a": [A.reshape(-1)], "ni": [len(b)],
-        "q0": [A.T @ b], "n": [len(b)], "yy": [float(b @ b)], "tr": [float((A * A).sum())]})
-
-
 def _row_values(col: pa.Array, r: int) -> np.ndarray:
     return col[r].values.to_numpy(zero_copy_only=False)
 
@@ -262,32 +258,96 @@ def _fat_factor_fn(rho: float, p: int):
     return factor
 
 
+def fat_rows(p: int) -> int:
+    """Rows of a fat block of p features: ``FAT_BLOCK_ROWS``, or fewer so that
+    its cell stays within ``FAT_BLOCK_BYTES``."""
+    return max(1, min(FAT_BLOCK_ROWS, FAT_BLOCK_BYTES // (8 * max(p, 1))))
+
+
+def _pair_columns(X: np.ndarray) -> np.ndarray:
+    """Main effects, then the products x_k·x_j for k<j in that order."""
+    k, j = np.triu_indices(X.shape[1], 1)
+    return np.concatenate([X, X[:, k] * X[:, j]], axis=1)
+
+
+def _fat_blocks_fn(rows_per_block: int | None, pairs: bool):
+    """Blocks of consecutive rows of one key, built in the reading task."""
+
+    def block(pid, seq, parts):
+        A = np.concatenate([x for x, _ in parts])
+        b = np.concatenate([y for _, y in parts])
+        if pairs:
+            A = _pair_columns(A)
+        return pa.RecordBatch.from_pydict({
+            "block_id": pa.array([(pid << 31) + seq], pa.int64()),
+            "a": pa.array([A.reshape(-1)], _LIST), "ni": pa.array([len(b)], pa.int64()),
+            "q0": pa.array([A.T @ b], _LIST), "n": pa.array([len(b)], pa.int64()),
+            "yy": pa.array([float(b @ b)]), "tr": pa.array([float((A * A).sum())])})
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        pid, seq, p, limit = TaskContext.get().partitionId(), 0, None, None
+        open_: dict = {}                # key -> (rows so far, parts)
+        held = 0
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            feats, y = rb.column(1), rb.column(2)
+            lens = feats.value_lengths().to_numpy(zero_copy_only=False)
+            if p is None:
+                p = int(lens[0])
+                wide = p * (p + 1) // 2 if pairs else p
+                limit = int(rows_per_block or fat_rows(wide))
+            flat = feats.flatten()
+            if feats.null_count or flat.null_count or y.null_count or (lens != p).any():
+                raise ValueError(f"null or ragged rows: expected {p} features and a response")
+            X = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, p)
+            y = y.to_numpy(zero_copy_only=False).astype(np.float64)
+            keys = rb.column(0).to_numpy(zero_copy_only=False)
+            for key in dict.fromkeys(keys.tolist()):
+                at = np.flatnonzero(keys == key)
+                while len(at):
+                    have, parts = open_.get(key, (0, []))
+                    take, at = at[:limit - have], at[limit - have:]
+                    open_[key] = (have + len(take), [*parts, (X[take], y[take])])
+                    held += len(take)
+                    if have + len(take) == limit:
+                        yield block(pid, seq, open_.pop(key)[1])
+                        seq, held = seq + 1, held - limit
+            while held * p * 8 > 4 * FAT_BLOCK_BYTES and len(open_) > 1:
+                # many keys in one task: close the fullest
+                key = max(open_, key=lambda k: open_[k][0])
+                have, parts = open_.pop(key)
+                yield block(pid, seq, parts)
+                seq, held = seq + 1, held - have
+        for have, parts in open_.values():
+            yield block(pid, seq, parts)
+            seq += 1
+
+    return run
+
+
 def fat_block_statistics(df: DataFrame, features: str = "features", label: str = "label",
-                         rows_per_block: int = 512,
-                         block_col: Column | str | None = None) -> DataFrame:
+                         rows_per_block: int | None = None,
+                         block_col: Column | str | None = None,
+                         pairs: bool = False) -> DataFrame:
     """One row per fat block: ``block_id, a (flat rows), ni, q0, n, yy, tr``.
 
-    By default a block is a run of at most ``rows_per_block`` consecutive rows
-    of one reading task (partition id and position inside the partition), so
-    the group handed to ``applyInPandas`` is bounded by ``rows_per_block``.
+    A block is a run of at most ``rows_per_block`` (default :func:`fat_rows`)
+    rows of one reading task, built in that task: the rows are not shuffled,
+    and a retried task builds its blocks anew as a whole. With ``block_col`` the
+    rows are dealt to tasks by its value and rows of different values never
+    share a block; a value of more rows has several. ``pairs`` appends all pairwise products to the features, in numpy,
+    after the scan.
     """
-    if block_col is None:
-        pid = F.spark_partition_id().cast("long")
-        local = F.monotonically_increasing_id() - F.shiftleft(pid, 33)
-        block = pid * F.lit(1 << 31) + F.floor(local / F.lit(int(rows_per_block)))
-    else:
-        block = F.col(block_col) if isinstance(block_col, str) else block_col
-    src = df.select(block.cast("long").alias("block_id"),
-                    F.col(features).alias("features"),
+    key = F.lit(0) if block_col is None else (
+        F.col(block_col) if isinstance(block_col, str) else block_col)
+    src = df.select(key.cast("long").alias("key"), F.col(features).alias("features"),
                     F.col(label).cast("double").alias("label"))
     if block_col is not None:
-        # caller-chosen blocks: check their sizes (per-key counts, map-side
-        # combined) before any block is gathered into one group
-        largest = src.groupBy("block_id").count().agg(F.max("count")).first()[0] or 0
-        if largest > max(int(rows_per_block), FAT_MAX_ROWS):
-            raise ValueError(f"a fat block holds {largest} rows; use smaller blocks "
-                             f"(at most {max(int(rows_per_block), FAT_MAX_ROWS)})")
-    return src.groupBy("block_id").applyInPandas(_fat_assemble, _FAT_BLOCK_SCHEMA)
+        src = src.repartition("key")        # asked for: rows of a value in one task
+    return src.mapInArrow(_fat_blocks_fn(rows_per_block, pairs), _FAT_BLOCK_SCHEMA)
 
 
 def _resolve_rho(rho, trace: float, p: int, n_blocks: int, n: int | None = None) -> float:
@@ -311,9 +371,11 @@ def block_statistics(df: DataFrame, features: str = "features", label: str = "la
                      block_col: Column | str | None = None) -> DataFrame:
     """One row per block: ``block_id, g, q0, n, yy, tr`` (lazy)."""
     spark = df.sparkSession
-    if block_col is None:
-        n_blocks = int(n_blocks or spark.sparkContext.defaultParallelism)
-        block = partition_blocks(n_blocks)
+    if block_col is None and n_blocks:
+        # asked for: the same blocks however the rows are partitioned
+        block = hash_blocks(F.struct(F.col(features), F.col(label)), int(n_blocks))
+    elif block_col is None:
+        block = partition_blocks(spark.sparkContext.defaultParallelism)
     else:
         block = F.col(block_col) if isinstance(block_col, str) else block_col
     src = df.select(block.cast("long").alias("block_id"),
@@ -327,35 +389,48 @@ def block_statistics(df: DataFrame, features: str = "features", label: str = "la
 def prepare(df: DataFrame, features: str = "features", label: str = "label",
             n_blocks: int | None = None, block_col: Column | str | None = None,
             rho: float | str = 1.0, names: DataFrame | None = None,
-            mode: str = "dense", rows_per_block: int = 512) -> LassoProblem:
+            mode: str = "dense", rows_per_block: int | None = None,
+            pairs: bool = False) -> LassoProblem:
     """Scan the table once and build the per-block factors.
 
     ``mode="dense"`` (default): each block is reduced to its p×p Gram matrix
     (any number of rows per block; p up to a few thousand). ``mode="fat"``:
     blocks of at most ``rows_per_block`` rows keep their rows and a small
-    n_i×n_i factor (for p ≫ rows per block, e.g. interaction features).
-    ``mode="auto"`` reads the width of one row and picks dense up to
-    ``DENSE_MAX_FEATURES`` features, fat beyond.
+    n_i×n_i factor (for p ≫ rows per block, e.g. interaction features; with
+    ``pairs`` the pairwise products are appended while the blocks are built).
+    The layout sets N and with it every iterate, so it is the caller's choice;
+    ``mode="auto"`` derives it from the memory of a dense factor (dense up to
+    ``DENSE_MAX_FEATURES`` features). ``LassoProblem.fat`` and ``n_blocks``
+    record what was used.
+
     ``block_col`` overrides the block assignment (any integer column or
-    expression); by default dense blocks follow the reading task
-    (:func:`.moments.partition_blocks`) with ``n_blocks`` defaulting to the
-    cluster's default parallelism.
+    expression); ``n_blocks`` asks for that many dense blocks by a hash of the
+    row, the same for every partitioning. With neither, dense blocks follow the
+    reading task (:func:`.moments.partition_blocks`), the cheapest to reduce.
     """
     checkpoint_dir(df.sparkSession)
     if mode == "auto":
-        # the width of one row decides: a p×p factor per block, or fat blocks
         first = df.select(F.size(features).alias("p")).first()
         if first is None:
             raise ValueError("no rows to fit")
-        mode = "dense" if first["p"] <= DENSE_MAX_FEATURES else "fat"
+        p = first["p"] * (first["p"] + 1) // 2 if pairs else first["p"]
+        mode = "dense" if p <= DENSE_MAX_FEATURES and not pairs else "fat"
     if mode == "fat":
-        stats = fat_block_statistics(df, features, label, rows_per_block, block_col)
+        stats = fat_block_statistics(df, features, label, rows_per_block, block_col, pairs)
     elif mode == "dense":
+        if pairs:
+            raise ValueError("pairs needs mode='fat'; else use features.interactions")
         stats = block_statistics(df, features, label, n_blocks, block_col)
     else:
         raise ValueError("mode must be 'dense', 'fat' or 'auto'")
     # the one write of the preparation: a lost executor never re-reads data
-    return problem_from_blocks(stats.checkpoint(eager=True), rho, names)
+    return problem_from_blocks(written(df.sparkSession, stats, "lasso-blocks")[0], rho, names)
+
+
+def _factor_bytes(p: int, n_blocks: int, n: int, fat: bool) -> int:
+    """Size of the factor table."""
+    rows = n / max(n_blocks, 1)
+    return int(8 * n_blocks * ((rows * p + rows ** 2) if fat else 2 * p * p))
 
 
 def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
@@ -373,13 +448,18 @@ def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
         raise ValueError("no rows to fit")
     xty = np.asarray(tot["c"], dtype=np.float64)
     p, n_eff = len(xty), int(tot["N"])  # blocks that actually hold rows
+    if names is not None and names.count() != p:
+        raise ValueError(f"the dictionary has {names.count()} names, the rows {p} features")
     fat = "a" in blocks.columns
     # fat blocks: spread the trace over the rows of a block (see _resolve_rho)
     rho_v = _resolve_rho(rho, float(tot["tr"]), p, n_eff, int(tot["n"]) if fat else None)
     # one round runs one task per partition of the block table: at most one
     # partition per block, at most the cluster's parallelism
     parts = max(1, min(n_eff, blocks.sparkSession.sparkContext.defaultParallelism))
-    if blocks.rdd.getNumPartitions() > parts:
+    if _factor_bytes(p, n_eff, int(tot["n"]), fat) > FUSED_BYTES:
+        # iterates are joined to these rows every round: shuffled once, here
+        blocks = blocks.repartition(n_eff if n_eff < 4 * parts else 4 * parts, "block_id")
+    elif blocks.rdd.getNumPartitions() > parts:
         blocks = blocks.coalesce(parts)
     return LassoProblem(_factor(blocks, rho_v, p, fat), blocks, p, n_eff, rho_v, xty,
                         float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat)
@@ -464,12 +544,11 @@ def initial_state(problem: LassoProblem) -> AdmmState:
 # at this round). Plus one partial-sum row per partition (block_id null):
 # x = Σx^{k+1}, u = Σu^k, and K-long Σ‖x^k‖², Σ‖u^k‖², Σ‖x^k − z^k‖², Σ zᵀA_iᵀA_i z.
 _DARR = T.ArrayType(T.DoubleType())
-_LIST = pa.list_(pa.float64())
 _STATE_COLS = ("x", "u", "xp", "up", "xx", "uu", "r2", "zgz")
 
 
-def _step_schemas(fat: bool):
-    fcols = _FAT_FACTOR_COLS if fat else _DENSE_FACTOR_COLS
+def _step_schemas(fat: bool, carry: bool = True):
+    fcols = (_FAT_FACTOR_COLS if fat else _DENSE_FACTOR_COLS) if carry else ()
     spark_fields = [T.StructField("block_id", T.LongType())]
     arrow_fields = [("block_id", pa.int64())]
     for c in fcols + _STATE_COLS:
@@ -506,7 +585,7 @@ def _zgz_rows(rb, col, rows, p, Z, fat):
 
 
 def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool = True,
-             fat: bool = False):
+             fat: bool = False, carry: bool = True):
     """One fused ADMM round for the blocks of a partition, K fits at once.
 
     Per block and fit: apply the pending u-update ``u^k = u^{k-1} + x^k − z^k``,
@@ -518,7 +597,7 @@ def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool
     """
     K = Z.shape[0]
     act = active.astype(bool)[None, :, None]
-    _, arrow_schema, fcols = _step_schemas(fat)
+    _, arrow_schema, fcols = _step_schemas(fat, carry)
 
     def step(batches: Iterable[pa.RecordBatch]):
         sx, su = np.zeros((K, p)), np.zeros((K, p))
@@ -574,19 +653,26 @@ def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool
 
 
 def _run_step(cur: DataFrame, Z: np.ndarray, rho: float, p: int, active: np.ndarray,
-              solve: bool = True, fat: bool = False):
-    """One round = one stage: the step runs where the blocks are, its output
-    is persisted, and only the per-partition partial rows are collected."""
+              solve: bool = True, fat: bool = False, carry: bool = True):
+    """One round: the step runs where the blocks are and its output is
+    persisted; with ``carry`` the factors travel along and the per-partition
+    sums come to the driver, else only one row of totals does."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     K = Z.shape[0]
-    schema, _, _ = _step_schemas(fat)
-    out = (cur.mapInArrow(_step_fn(Z, rho, p, active, solve, fat), schema)
+    schema, _, _ = _step_schemas(fat, carry)
+    out = (cur.mapInArrow(_step_fn(Z, rho, p, active, solve, fat, carry), schema)
            .persist(StorageLevel.MEMORY_AND_DISK))
-    parts = out.where(F.col("block_id").isNull()).select("x", "u", "xx", "uu", "r2", "zgz",
-                                                         "nb").collect()
+    vectors = ("x", "u", "xx", "uu", "r2", "zgz")
+    parts = out.where(F.col("block_id").isNull()).select(*vectors, "nb")
+    if not carry:
+        parts = parts.agg(*[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
+                            for c in vectors], F.sum("nb").alias("nb"))
     agg = {"sx": np.zeros((K, p)), "su": np.zeros((K, p)), "nb": 0}
     for k in ("xx", "uu", "r2", "zgz"):
         agg[k] = np.zeros(K)
-    for r in parts:
+    for r in parts.collect():
         agg["sx"] += np.asarray(r["x"]).reshape(K, p)
         agg["su"] += np.asarray(r["u"]).reshape(K, p)
         for k in ("xx", "uu", "r2", "zgz"):
@@ -719,6 +805,7 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     if not lams or min(lams) < 0:
         raise ValueError("lambda must be non-negative")
     t0 = time.time()
+    spark = problem.factors.sparkSession
     K, p, N, rho = len(lams), problem.p, problem.n_blocks, problem.rho
     state = init or initial_state(problem)
     blocks = state.blocks
@@ -747,13 +834,20 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     it_done = [0] * K
     xbar, ubar = np.zeros((K, p)), np.zeros((K, p))
     held: list = []                  # persisted round outputs still referenced
-    rows_per_block = problem.n / max(N, 1)
-    factor_bytes = 8 * N * ((rows_per_block * p + rows_per_block ** 2) if problem.fat
-                            else 2 * p * p)
+    carry = _factor_bytes(p, N, problem.n, problem.fat) <= FUSED_BYTES
+    saved_path = None                # the last checkpoint of the iterates
+
+    def attach(iterates: DataFrame) -> DataFrame:
+        """The cached factors with N rows of 4·K·p doubles: broadcast while
+        that is small, else joined on the factors' partitioning."""
+        if N * 4 * K * p * 8 <= STATE_BROADCAST_BYTES:
+            iterates = F.broadcast(iterates)
+        return problem.factors.join(iterates, "block_id").select(*base, "x", "u", "xp", "up")
     for j in range(max_iter + 1):
         last = j == max_iter
         active = ~done
-        out, agg = _run_step(cur, Z, rho, p, active, solve=not last, fat=problem.fat)
+        out, agg = _run_step(cur, Z, rho, p, active, solve=not last, fat=problem.fat,
+                             carry=carry)
         held.append(out)
         for k in np.flatnonzero(active):
             pend = pending[k]
@@ -785,40 +879,31 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
             pending[k] = {"iter": state.iteration + j, "eps_pri": eps_pri, "eps_dual": eps_dual,
                           "s": s, "xbar": xb, "ubar": ub}
             Z[k] = z_new
-        cur = out
+        iterates = out.where(F.col("block_id").isNotNull()).select("block_id", "x", "u", "xp",
+                                                                   "up")
         if done.all():
             break
-        if checkpoint_every and (j + 1) % checkpoint_every == 0 and factor_bytes <= CHECKPOINT_FULL_BYTES:
-            # cut lineage: small factors — write the whole rows (one job)
-            cur = cur.checkpoint(eager=True)
-            for h in held:
-                h.unpersist()
-            held = []
-        elif checkpoint_every and (j + 1) % checkpoint_every == 0:
-            # cut lineage: write only the iterates (K·p per block, not the
-            # p×p factors — those come back from the checkpointed block
-            # statistics by a narrow map) and re-attach them to the factors
-            state_ck = (cur.where(F.col("block_id").isNotNull())
-                        .select("block_id", "x", "u", "xp", "up").checkpoint(eager=True))
-            # the iterates are N rows of 4·K·p doubles: broadcast them while
-            # that stays small, so the factor rows keep their partitioning
-            # (one task per factor partition, as before the checkpoint)
-            if N * 4 * K * p * 8 <= STATE_BROADCAST_BYTES:
-                joined = problem.factors.join(F.broadcast(state_ck), "block_id")
-            else:
-                joined = problem.factors.join(state_ck, "block_id").coalesce(
-                    problem.factors.rdd.getNumPartitions())
-            cur = joined.select(*base, "x", "u", "xp", "up")
+        if checkpoint_every and (j + 1) % checkpoint_every == 0:
+            # cut lineage: the iterates are written, the factors come back from
+            # the written block statistics by a narrow map
+            before = saved_path
+            iterates, saved_path = written(spark, iterates, "lasso-iterates")
+            cur = attach(iterates)
             for h in held:
                 h.unpersist()
             held = []
+            if before:
+                delete_path(spark, before)
+        else:
+            cur = out if carry else attach(iterates)
         while len(held) > 2:
             held.pop(0).unpersist()
     # write the resumable states (frozen xp/up of every fit), release caches
-    final = (cur.where(F.col("block_id").isNotNull()).select("block_id", "xp", "up")
-             .checkpoint(eager=True))
+    final, _ = written(spark, iterates.select("block_id", "xp", "up"), "lasso-state")
     for h in held:
         h.unpersist()
+    if saved_path:
+        delete_path(spark, saved_path)
     seconds = time.time() - t0
     fits = []
     for k in range(K):

@@ -13,31 +13,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.text import LabeledMatrix
+from ..session import written
+from ..sources.text import LINE_PLACE, LabeledMatrix
 
 
 def with_row_index(df: DataFrame, name: str = "row_idx", order_by: list | None = None) -> DataFrame:
-    """Add a dense 0-based row index in scan order (or in ``order_by`` order).
-
-    The DataFrame analogue of ``zipWithIndex``: every row gets
-    ``offset(partition) + position inside the partition``. Offsets come from a
-    per-partition count (one row per partition, so broadcasting it is bounded
-    by the partition count, not by the data). With ``order_by`` the frame is
-    first range-partitioned and sorted; the order should be total (add a
-    tie-breaker) so that a recomputed partition gets the same positions.
+    """Add a dense 0-based row index in ``order_by`` order, or in scan order.
+
+    Scan order is the order of :func:`..sources.text.read_lines` (file name,
+    place in the file) when its position columns are there, else the order of
+    partitions and of rows inside them.
+
+    The ordered frame, each row tagged with its partition and its place there,
+    is **written once** to the checkpoint folder; partition offsets and rows
+    both come from that copy, so they always belong together (two runs of a
+    plan may partition differently). Offsets are one row per partition: the
+    broadcast and the window over them grow with the partition count only.
+    Raises if the result would not have as many rows as the input.
     """
+    spark = df.sparkSession
+    placed = all(c in df.columns for c in LINE_PLACE)
+    cols = [c for c in df.columns if c not in LINE_PLACE]
     if order_by:
         df = df.orderBy(*order_by)
-    tagged = (df.withColumn("_rix_pid", F.spark_partition_id())
-                .withColumn("_rix_mid", F.monotonically_increasing_id()))
-    w = Window.orderBy("_rix_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (tagged.groupBy("_rix_pid").agg(F.count(F.lit(1)).alias("_rix_n"))
-               .select("_rix_pid", F.coalesce(F.sum("_rix_n").over(w), F.lit(0)).alias("_rix_off")))
-    local = F.col("_rix_mid") - F.shiftleft(F.col("_rix_pid").cast("long"), 33)
-    # one row per partition: bounded by the partition count, never by the data
-    return (tagged.join(F.broadcast(offsets), "_rix_pid")
-            .withColumn(name, F.col("_rix_off") + local)
-            .drop("_rix_pid", "_rix_mid", "_rix_off"))
+    local = F.monotonically_increasing_id()
+    if placed and not order_by:
+        # a split of a file is read by one task, in order
+        group = [F.col(c).alias(f"_rix_{i}") for i, c in enumerate(LINE_PLACE)]
+    else:
+        group = [F.lit("").alias("_rix_0"), F.spark_partition_id().cast("long").alias("_rix_1")]
+    tagged, _ = written(spark, df.select(*cols, *group, local.alias("_rix_mid")), "row-index")
+    keys = ["_rix_0", "_rix_1"]
+    w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rix_n"),
+                                      F.min("_rix_mid").alias("_rix_first"),
+                                      F.max("_rix_mid").alias("_rix_last"))
+    # ids of a partition (or split) run without a gap
+    whole = parts.select(F.bool_and(F.col("_rix_last") - F.col("_rix_first") + 1
+                                    == F.col("_rix_n"))).first()[0]
+    if whole is False:
+        raise RuntimeError("row positions of a partition are not contiguous")
+    offsets = parts.select(*keys, "_rix_first",
+                           F.coalesce(F.sum("_rix_n").over(w), F.lit(0)).alias("_rix_off"))
+    return (tagged.join(F.broadcast(offsets), keys)
+            .withColumn(name, F.col("_rix_off") + F.col("_rix_mid") - F.col("_rix_first"))
+            .select(*cols, name))
 
 
 def join_samples(left: DataFrame | LabeledMatrix, right: DataFrame | LabeledMatrix,

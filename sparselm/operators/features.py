@@ -16,13 +16,18 @@ def transpose_long(mm: MarkerMajor) -> LabeledMatrix:
 
     Groups by sample (group size = number of markers, bounded by p, never by
     the sample count), orders each group by marker index, then attaches the
-    sample names and the marker dictionary. Missing cells would shorten a row,
-    so the row width is checked against the marker count by the caller if
-    needed (``LabeledMatrix.width``).
+    sample names and the marker dictionary. A sample with a missing or a
+    repeated cell raises: its row would have shifted values.
     """
     rows = (mm.long.groupBy("sample_idx")
-            .agg(F.array_sort(F.collect_list(F.struct("marker_idx", "value"))).alias("cells"))
-            .select("sample_idx", F.transform("cells", lambda c: c["value"]).alias("features")))
+            .agg(F.array_sort(F.collect_list(F.struct("marker_idx", "value"))).alias("cells"),
+                 F.count_distinct("marker_idx").alias("found"))
+            .crossJoin(F.broadcast(mm.markers.agg(F.count("*").alias("p")))))     # one number
+    whole = (F.col("found") == F.col("p")) & (F.size("cells") == F.col("p"))
+    rows = rows.select("sample_idx", F.when(whole, F.transform("cells", lambda c: c["value"]))
+                       .otherwise(F.raise_error(F.concat(
+                           F.lit("a sample does not have one cell per marker: "),
+                           F.col("sample_idx").cast("string")))).alias("features"))
     df = rows.join(mm.samples, "sample_idx").select("sample_idx", "sample_id", "features")
     names = mm.markers.select(F.col("marker_idx").alias("idx"), F.col("marker").alias("name"))
     return LabeledMatrix(df, names, "features")

@@ -1,9 +1,8 @@
 """Fitted linear model: coefficients as a DataFrame, batch prediction, error
 measures and persistence.
 
-Prediction stays JVM-side: for a sparse model the linear form is written as
-plain arithmetic over the non-zero positions (fully code-generated); a dense
-model uses ``zip_with`` + ``aggregate`` against an array literal.
+Prediction stays JVM-side: one array fold over the non-zero positions and
+weights (two array constants), the same at every number of non-zeros.
 """
 
 from __future__ import annotations
@@ -17,25 +16,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# non-zero coefficient count up to which prediction is unrolled arithmetic
-UNROLL_MAX = 512
 FORMAT_VERSION = "1.0"
 
 
 def linear_form(weights: np.ndarray, features: str | Column = "features",
                 intercept: float = 0.0) -> Column:
-    """``features · w + intercept`` as a Spark expression."""
+    """``features · w + intercept`` as a Spark expression.
+
+    Only positions with a non-zero weight are read, so a NaN or null elsewhere
+    does not matter and one there makes the result NaN or null. A row of
+    another width than the weights raises; a null vector gives null.
+    """
     x = F.col(features) if isinstance(features, str) else features
     w = np.asarray(weights, dtype=np.float64)
     nz = np.flatnonzero(w)
-    if len(nz) <= UNROLL_MAX:
-        expr = F.lit(float(intercept))
-        for j in nz:
-            expr = expr + F.element_at(x, int(j) + 1) * F.lit(float(w[j]))
-        return expr
-    warr = F.array(*[F.lit(float(v)) for v in w])
-    return F.aggregate(F.zip_with(x, warr, lambda a, b: a * b),
-                       F.lit(float(intercept)), lambda acc, v: acc + v)
+    # array constants from text: one expression node each, whatever the count
+    at = F.from_json(F.lit(json.dumps((nz + 1).tolist())), "array<int>")
+    by = F.from_json(F.lit(json.dumps(w[nz].tolist())), "array<double>")
+    terms = F.zip_with(at, by, lambda i, v: F.element_at(x, i) * v)
+    value = F.aggregate(terms, F.lit(float(intercept)), lambda acc, v: acc + v)
+    return (F.when(x.isNull(), F.lit(None).cast("double"))
+            .when(F.size(x) == len(w), value)
+            .otherwise(F.raise_error(F.concat(
+                F.lit(f"expected {len(w)} features, got "), F.size(x).cast("string")))))
 
 
 @dataclass
@@ -96,6 +99,13 @@ class LassoModel:
                               "mse double, training_seconds double, nnz int") \
             .write.mode(mode).option("ignoreNullFields", "false").json(os.path.join(path, "eval"))
 
+    @staticmethod
+    def read_coefficient_text(spark: SparkSession, path: str) -> DataFrame:
+        """``coef.txt`` of a saved model: ``coef, name`` of the non-zeros."""
+        line = spark.read.text(os.path.join(path, "coef.txt"))
+        return line.select(F.substring_index("value", ",", 1).cast("double").alias("coef"),
+                           F.expr("substr(value, instr(value, ',') + 1)").alias("name"))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LassoModel":
         meta = json.loads(spark.read.text(os.path.join(path, "metadata")).first()["value"])

@@ -74,10 +74,6 @@ def full_from_upper_rows(rows, p: int) -> np.ndarray:
     return G + np.triu(G, 1).T
 
 
-def _py(v):
-    return v.item() if isinstance(v, np.generic) else v
-
-
 # memory a task may spend on open accumulators before it emits them early
 ACCUMULATOR_BUDGET_BYTES = 256 << 20
 
@@ -95,7 +91,7 @@ def _partials_fn(keys: list[str], features: str, label: str | None, width: int |
 
     def emit(acc, ktypes, p):
         for key, (G, c, s, n, yy) in acc.items():
-            cols = {k: pa.array([_py(v)] * p, type=ktypes[k]) for k, v in zip(keys, key)}
+            cols = {k: pa.array([v] * p, type=ktypes[k]) for k, v in zip(keys, key)}
             cols.update({"i": pa.array(np.arange(p, dtype=np.int32)), "g": _upper_rows(G),
                          "c": pa.array(c), "s": pa.array(s),
                          "n": pa.array(np.full(p, n, dtype=np.int64)),
@@ -130,15 +126,17 @@ def _partials_fn(keys: list[str], features: str, label: str | None, width: int |
             else:
                 y = np.zeros(X.shape[0])
             if keys:
-                import pandas as pd
-                kcols = [rb.column(rb.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
-                         for k in keys]
-                if len(kcols) == 1:
-                    codes, uniq = pd.factorize(pd.Series(kcols[0]), use_na_sentinel=False)
-                    uniq = [(u,) for u in uniq]
-                else:
-                    codes, uniq = pd.MultiIndex.from_arrays(kcols).factorize()
-                    uniq = [tuple(u) for u in uniq]
+                # codes per key column; nulls are a group like any other
+                codes = np.zeros(rb.num_rows, dtype=np.int64)
+                for kf in keys:
+                    d = rb.column(rb.schema.get_field_index(kf)).dictionary_encode(
+                        null_encoding="encode")
+                    codes = codes * max(len(d.dictionary), 1) + d.indices.to_numpy(
+                        zero_copy_only=False)
+                    _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+                rows_of = pa.array(first)
+                uniq = list(zip(*(rb.column(rb.schema.get_field_index(k)).take(rows_of)
+                                  .to_pylist() for k in keys)))
                 for kf in keys:
                     ktypes.setdefault(kf, rb.schema.field(kf).type)
                 if len(uniq) == 1:
@@ -257,9 +255,8 @@ def _solve_groups(keys: list[str], rho: float):
         c = pdf["c"].to_numpy(dtype=np.float64)
         L = np.linalg.cholesky(G + rho * np.eye(p))
         x = np.linalg.solve(L.T, np.linalg.solve(L, c))
-        out = {k: [pdf[k].iloc[0]] * p for k in keys}
-        out.update({"i": np.arange(p, dtype=np.int32), "x": x})
-        return pd.DataFrame(out)
+        out = {k: pdf[k] for k in keys}         # of one value, null included
+        return pd.DataFrame(out).assign(i=np.arange(p, dtype=np.int32), x=x)
 
     return solve
 

@@ -1,8 +1,9 @@
 """Penalty-grid selection.
 
 All λ values share one data scan and one factorisation (``LassoProblem``);
-each fit starts from the previous one's state (warm start, as when the same
-solver object is re-run). In-sample MSE comes from the sufficient statistics,
+by default all fits advance in lockstep, one stage per round for the whole
+grid; ``warm_start`` fits them one after another instead, each from the state
+of the one before. In-sample MSE comes from the sufficient statistics,
 ``(zᵀAᵀAz − 2zᵀAᵀb + bᵀb)/n``, so no λ rescans the data.
 """
 

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import soft_threshold
 from ..operators import admm, align, features, model, moments, tune
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import text
 from ..sources.text import LabeledMatrix, MarkerMajor
+from . import jobs
 
 # fixed parameters of the registered queries
 DROP_POSITIONS = [0, 31, 63]
@@ -34,14 +35,17 @@ EMB_BLOCKS = 4
 EMB_LAMBDA = 5.0
 ONEHOT_LAMBDA = 8000.0
 ONEHOT_CENTER = 250.0
-GRID = [0.0, 2000.0, 8000.0, 20000.0]
+GRID = [8000.0, 2000.0, 0.0, 20000.0]      # the best one is not the first
 STEP_LAMBDA = 8.0
 THRESHOLD = 20.0
 FIT_TOL = 1e-10
+HISTORY_TOL = 1e-4
+LINEITEM_BLOCKS = 4
 JOB_LAMBDA = 1.0
 LINEITEM_LAMBDA = 3000.0
 WIDE_LAMBDA = 20.0
 WIDE_ROWS_PER_BLOCK = 128
+JOB_ROWS_PER_BLOCK = 32     # fewer than the 64 features
 LINEITEM_CENTER = 53.0
 
 
@@ -128,20 +132,62 @@ def q_feature_dictionary(spark, d):
     return text.parse_sample_major(lines).names
 
 
-def q_combined_scan(spark, d):
-    """Combined-matrix rows with two header lines, scanned back."""
+def _combined_files(spark, d):
+    """Combined matrix of embeddings and labels, written with its header."""
     m = emb_matrix(spark, d)
     tr = label_traits(spark, d)
     p = m.width()
-    rows = features.combined_rows(m.df.select("sample_id", "features"), tr.df, p)
-    head = spark.createDataFrame([("2\t%d\t0" % (p * (p + 1) // 2),), ("names",)], "value string")
-    parsed = text.parse_combined(head.union(rows.select("value")))
-    return parsed.select(
+    rows, _ = written(spark, features.combined_rows(m.df.select("sample_id", "features"), tr.df,
+                                                    p).select("value"), "combined-rows")
+    names = [r["name"] for r in features.interactions(m, p).names.orderBy("idx").collect()]
+    path = scratch_path(spark, "combined")
+    text.write_combined(rows, path, 2, names, rows.count())
+    return text.read_combined(spark, path)
+
+
+def q_combined_scan(spark, d):
+    """Combined-matrix files with two header lines, scanned back; the
+    declared counts are checked."""
+    parsed = _combined_files(spark, d)
+    parsed.check_rows(parsed.df.count())
+    return parsed.df.select(
         F.element_at("traits", 1).alias("quality"), F.element_at("traits", 2).alias("toxic"),
         F.size("features").alias("n_features"),
         r6(F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).alias("feature_sum"))
 
 
+def q_combined_names(spark, d):
+    """The names line of the combined matrix."""
+    return _combined_files(spark, d).names
+
+
+def q_interaction_files(spark, d):
+    """The embeddings written as marker-major files, the labels
+    as a trait table, the interaction job over both, its output scanned back."""
+    m = emb_matrix(spark, d)
+    tr = label_traits(spark, d)
+    base = scratch_path(spark, "interaction-job")
+    ids = [str(r[0]) for r in m.df.select("sample_id").orderBy("sample_id").collect()]
+    cells = m.long().groupBy("idx").agg(F.array_sort(F.collect_list(
+        F.struct("sample_id", "value"))).alias("cells")).join(m.names, "idx")
+    lines = cells.orderBy("idx").select(F.concat_ws(
+        text.TAB, "name", F.lit("A/C"), F.lit("1"), F.col("idx").cast("string"), F.lit("+"),
+        F.concat_ws(text.TAB, F.transform("cells", lambda c: c["value"].cast("string"))))
+        .alias("value"))
+    text.write_with_header(lines, f"{base}/geno",
+                           text.TAB.join(["rs", "alleles", "chrom", "pos", "strand", *ids]))
+    text.write_sample_major(tr.df, "traits", tr.names, f"{base}/pheno", id_label="id")
+    jobs.interaction_job(spark, f"{base}/geno", f"{base}/pheno", f"{base}/out", header=True)
+    back = text.read_combined(spark, f"{base}/out")
+    back.check_rows(back.df.count())
+    first = F.element_at("features", 1)
+    return back.df.select(
+        F.element_at("traits", 1).alias("quality"), F.element_at("traits", 2).alias("toxic"),
+        F.size("features").alias("n_features"), first.alias("first_marker"),
+        F.element_at("features", -1).alias("last_product"),
+        r6(F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).alias("feature_sum"))
+
+
 # ---------------------------------------------------------------- joins
 
 
@@ -264,7 +310,7 @@ def q_lasso_onehot(spark, d):
 
 def q_lasso_lineitem(spark, d):
     """M11/M19 on the largest table: one-hot (return flag, line status) design,
-    blocks tied to the reading tasks (the default), all coefficients."""
+    four hash blocks, all coefficients."""
     li = _t(spark, d, "lineitem")
     levels = sorted((r[0], r[1]) for r in
                     li.select("l_returnflag", "l_linestatus").distinct().collect())
@@ -273,9 +319,11 @@ def q_lasso_lineitem(spark, d):
     df = li.select(feats.alias("features"),
                    (F.col("l_extendedprice") / 1000 - LINEITEM_CENTER).alias("label"))
     names = _names_df(spark, [f"{a}{b}" for a, b in levels])
-    prob = admm.prepare(df, n_blocks=4, rho="auto", names=names)
+    prob = admm.prepare(df, n_blocks=LINEITEM_BLOCKS, rho="auto", names=names)
     f = admm.fit(prob, LINEITEM_LAMBDA, max_iter=5000, abs_tol=FIT_TOL, rel_tol=FIT_TOL)
-    return f.coefficients().select("idx", "name", r4(F.col("coef")).alias("coef"))
+    return f.coefficients().select("idx", "name", r4(F.col("coef")).alias("coef"),
+                                   F.lit(prob.n_blocks).alias("n_blocks"),
+                                   F.lit(prob.n).cast("long").alias("n"))
 
 
 def q_admm_step(spark, d):
@@ -294,14 +342,26 @@ def q_admm_three_rounds(spark, d):
 
 
 def q_history_two_rounds(spark, d):
-    """Residuals and objective logged for the first two rounds."""
+    """Residuals, tolerances and objective of the first two rounds."""
     prob, names, _ = onehot_problem(spark, d, rho=1.0)
     f = admm.fit(prob, STEP_LAMBDA, max_iter=2)
     return f.history().select("iter", r6(F.col("resid_primal")).alias("resid_primal"),
                               r6(F.col("resid_dual")).alias("resid_dual"),
+                              F.round("eps_primal", 8).alias("eps_primal"),
+                              F.round("eps_dual", 8).alias("eps_dual"),
                               F.round(F.col("objective"), 2).alias("objective"))
 
 
+def q_admm_history(spark, d):
+    """Every round up to the stop test's, automatic ρ."""
+    prob, _, _ = onehot_problem(spark, d)
+    f = admm.fit(prob, ONEHOT_LAMBDA, max_iter=200, abs_tol=HISTORY_TOL, rel_tol=HISTORY_TOL)
+    return f.history().select("iter", *[r4(F.col(c)).alias(c) for c in (
+        "resid_primal", "eps_primal", "resid_dual", "eps_dual")],
+        F.round("objective", 1).alias("objective"), F.lit(f.iterations).alias("iterations"),
+        F.lit(f.converged).alias("converged"))
+
+
 def q_warm_start(spark, d):
     """5 rounds, then resume from the saved state to convergence."""
     prob, names, _ = onehot_problem(spark, d)
@@ -312,10 +372,11 @@ def q_warm_start(spark, d):
 
 
 def q_final_state(spark, d):
-    """Consensus z and the block mean x̄ at convergence."""
+    """Consensus z and the block means x̄ and ū at convergence."""
     f, _, _ = onehot_fit(spark, d)
     return f.final_state().select("idx", "name", r4(F.col("z")).alias("z"),
-                                  r4(F.col("xbar")).alias("xbar"))
+                                  r4(F.col("xbar")).alias("xbar"),
+                                  r4(F.col("ubar")).alias("ubar"))
 
 
 def q_fit_history(spark, d):
@@ -330,26 +391,40 @@ def q_lasso_embeddings(spark, d):
     prob = admm.prepare(m.df, block_col=F.pmod(F.col("sample_id"), F.lit(EMB_BLOCKS)),
                         rho="auto", names=m.names)
     f = admm.fit(prob, EMB_LAMBDA, max_iter=5000, abs_tol=1e-9, rel_tol=1e-9)
-    tol = 1e-4 * max(1.0, EMB_LAMBDA)
-    return admm.gradient_check(prob, f.coef, EMB_LAMBDA, tol).select("idx", "kkt_ok")
+    return _optimality(spark, prob, f, EMB_LAMBDA, 1e-4 * EMB_LAMBDA)
 
 
-def q_lasso_job_files(spark, d):
-    """M19 end to end on files: both tables written as sample-major TSV,
-    scanned, joined on id, fitted (response: the ``quality`` trait), then the
-    optimality of every coefficient."""
-    from .jobs import lasso_job
+def _optimality(spark, prob, f, lam, tol):
+    """KKT flag per coefficient next to what the block building kept of the
+    data: Aᵀb and the row count."""
+    xty = spark.createDataFrame([(i, float(v)) for i, v in enumerate(prob.xty)],
+                                "idx int, xty double")
+    return admm.gradient_check(prob, f.coef, lam, tol).join(xty, "idx").select(
+        "idx", "kkt_ok", r4(F.col("xty")).alias("xty"), F.lit(prob.n).cast("long").alias("n"))
 
+
+def _job_files(spark, d, name, **kw):
     m = emb_matrix(spark, d)
     tr = label_traits(spark, d)
-    base = scratch_path(spark, "lasso-job")
+    base = scratch_path(spark, name)
     text.write_sample_major(m.df, "features", m.names, f"{base}/geno")
     text.write_sample_major(tr.df, "traits", tr.names, f"{base}/pheno", id_label="id")
-    res = lasso_job(spark, f"{base}/geno", f"{base}/pheno", out=f"{base}/out", lam=JOB_LAMBDA,
-                    rho="auto", abs_tol=1e-9, rel_tol=1e-9, max_iter=5000, trait="quality",
-                    n_blocks=EMB_BLOCKS)
-    return admm.gradient_check(res["problem"], res["fit"].coef, JOB_LAMBDA,
-                               1e-4).select("idx", "kkt_ok")
+    res = jobs.lasso_job(spark, f"{base}/geno", f"{base}/pheno", out=f"{base}/out",
+                         lam=JOB_LAMBDA, rho="auto", abs_tol=1e-9, rel_tol=1e-9, max_iter=5000,
+                         trait="quality", **kw)
+    return _optimality(spark, res["problem"], res["fit"], JOB_LAMBDA, 1e-4)
+
+
+def q_lasso_job_files(spark, d):
+    """M19 end to end on files: both tables written as sample-major TSV,
+    scanned, joined on id, fitted (response: the ``quality`` trait), then the
+    optimality of every coefficient."""
+    return _job_files(spark, d, "lasso-job", n_blocks=EMB_BLOCKS)
+
+
+def q_lasso_job_wide(spark, d):
+    """M18/M19 on files, with fat blocks of fewer rows than features."""
+    return _job_files(spark, d, "lasso-job-wide", mode="fat", rows_per_block=JOB_ROWS_PER_BLOCK)
 
 
 def q_lasso_interactions(spark, d):
@@ -357,12 +432,11 @@ def q_lasso_interactions(spark, d):
     embeddings (p(p+1)/2 features, more than the rows of any block), fitted
     with fat blocks; the optimality of every coefficient."""
     m = emb_matrix(spark, d)
-    wide = features.interactions(m, m.width())
-    prob = admm.prepare(wide.df, rho="auto", mode="fat", rows_per_block=WIDE_ROWS_PER_BLOCK,
-                        names=wide.names)
+    names = features.interactions(m, m.width()).names
+    prob = admm.prepare(m.df, rho="auto", mode="fat", rows_per_block=WIDE_ROWS_PER_BLOCK,
+                        names=names, pairs=True)
     f = admm.fit(prob, WIDE_LAMBDA, max_iter=5000, abs_tol=1e-8, rel_tol=1e-8)
-    return admm.gradient_check(prob, f.coef, WIDE_LAMBDA, 1e-3 * WIDE_LAMBDA) \
-        .select("idx", "kkt_ok")
+    return _optimality(spark, prob, f, WIDE_LAMBDA, 1e-3)
 
 
 def q_streaming_statistics(spark, d):
@@ -407,7 +481,7 @@ def q_mse(spark, d):
 
 
 def q_lambda_grid(spark, d):
-    """Fit a λ grid (warm starts), in-sample MSE and sparsity per λ."""
+    """Fit a λ grid in lockstep, in-sample MSE and sparsity per λ."""
     prob, _, _ = onehot_problem(spark, d)
     g = tune.lambda_grid(prob, GRID, max_iter=5000, abs_tol=FIT_TOL, rel_tol=FIT_TOL)
     return g.results.select("pos", "lambda", r4(F.col("mse")).alias("mse"), "nnz")
@@ -422,19 +496,28 @@ def q_lambda_best(spark, d):
 
 
 def q_model_roundtrip(spark, d):
-    """Save the model, load it back, list its coefficients."""
-    f, names, _ = onehot_fit(spark, d)
+    """Save the model, load it back; its coefficients, those of the
+    text file, and the saved error."""
+    prob, names, _ = onehot_problem(spark, d)
+    f = admm.fit(prob, ONEHOT_LAMBDA, max_iter=5000, abs_tol=FIT_TOL, rel_tol=FIT_TOL)
     mdl = model.LassoModel.from_fit(f, names)
+    mdl.mse = tune.in_sample_mse(prob, f.coef)
     path = scratch_path(spark, "model")
     mdl.save(spark, path)
     back = model.LassoModel.load(spark, path)
-    return back.coefficients(spark).select("idx", "name", r4(F.col("coef")).alias("coef"))
+    lines = model.LassoModel.read_coefficient_text(spark, path).select(
+        "name", F.col("coef").alias("text_coef"))
+    return back.coefficients(spark).join(lines, "name", "left").select(
+        "idx", "name", r4(F.col("coef")).alias("coef"), r4(F.col("text_coef")).alias("text_coef"),
+        F.lit(round(back.mse, 4)).alias("mse"))
 
 
 QUERIES = {
     "sample_matrix_long": q_sample_matrix_long,
     "feature_dictionary": q_feature_dictionary,
     "combined_scan": q_combined_scan,
+    "combined_names": q_combined_names,
+    "interaction_files": q_interaction_files,
     "sample_join": q_sample_join,
     "alignment_report": q_alignment_report,
     "positional_join": q_positional_join,
@@ -454,11 +537,13 @@ QUERIES = {
     "admm_step": q_admm_step,
     "admm_three_rounds": q_admm_three_rounds,
     "history_two_rounds": q_history_two_rounds,
+    "admm_history": q_admm_history,
     "warm_start": q_warm_start,
     "final_state": q_final_state,
     "fit_history": q_fit_history,
     "lasso_embeddings": q_lasso_embeddings,
     "lasso_job_files": q_lasso_job_files,
+    "lasso_job_wide": q_lasso_job_wide,
     "lasso_interactions": q_lasso_interactions,
     "streaming_statistics": q_streaming_statistics,
     "predict": q_predict,

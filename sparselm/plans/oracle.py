@@ -8,8 +8,8 @@ Parameters are the fixed values of :mod:`.catalog`.
 
 from __future__ import annotations
 
-from .catalog import (DROP_POSITIONS, EMB_LAMBDA, GRID, LINEITEM_CENTER, LINEITEM_LAMBDA,
-                      ONEHOT_CENTER, ONEHOT_LAMBDA, STEP_LAMBDA, THRESHOLD)
+from .catalog import (DROP_POSITIONS, GRID, HISTORY_TOL, LINEITEM_BLOCKS, LINEITEM_CENTER,
+                      LINEITEM_LAMBDA, ONEHOT_CENTER, ONEHOT_LAMBDA, STEP_LAMBDA, THRESHOLD)
 
 EMB_LONG = """(SELECT vec_id,
         CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS idx,
@@ -48,6 +48,59 @@ SELECT CAST(pos AS INTEGER) AS pos, CAST(lam_v AS DOUBLE) AS "lambda",
        CAST(count(CASE WHEN z <> 0 THEN 1 END) AS INTEGER) AS nnz
   FROM z GROUP BY pos, lam_v"""
 
+# the rounds by recursion: x, u are block values before round `iter`, z the
+# consensus before it; u2, x2, z2 the values after
+_HISTORY_SQL = f"""
+WITH RECURSIVE obs AS (
+  SELECT o_orderkey % 4 AS b, o_orderpriority AS lvl, count(*) AS n, sum({Y}) AS s
+    FROM orders GROUP BY o_orderkey % 4, o_orderpriority),
+c AS (SELECT count(DISTINCT o_orderkey % 4) AS nb, count(DISTINCT o_orderpriority) AS p,
+             count(*) / count(DISTINCT o_orderpriority) / count(DISTINCT o_orderkey % 4) AS rho,
+             sum({Y} * {Y}) AS ss FROM orders),
+bg AS (SELECT b.b, g.lvl, coalesce(n, 0) AS n, coalesce(s, 0.0) AS s
+         FROM (SELECT DISTINCT b FROM obs) b CROSS JOIN (SELECT DISTINCT lvl FROM obs) g
+         LEFT JOIN obs USING (b, lvl)),
+step AS (
+  SELECT 0 AS iter, b, lvl, n, s, 0.0::DOUBLE AS x, 0.0::DOUBLE AS u, 0.0::DOUBLE AS z,
+         0.0::DOUBLE AS u2, (s / (n + rho))::DOUBLE AS x2,
+         {_st('(sum(s / (n + rho)) OVER (PARTITION BY lvl) / nb)', f'{ONEHOT_LAMBDA!r} / (rho * nb)')}::DOUBLE AS z2
+    FROM bg CROSS JOIN c
+  UNION ALL
+  SELECT iter + 1, b, lvl, n, s, x, u, z, u, x2,
+         {_st('(sum(x2 + u) OVER (PARTITION BY lvl) / nb)', f'{ONEHOT_LAMBDA!r} / (rho * nb)')}
+    FROM (SELECT iter, b, lvl, n, s, x2 AS x, u2 + x2 - z2 AS u, z2 AS z,
+                 (s + rho * (z2 - (u2 + x2 - z2))) / (n + rho) AS x2, nb, rho
+            FROM step CROSS JOIN c WHERE iter < 200)),
+logged AS (
+  SELECT iter, sqrt(sum((x2 - z2) * (x2 - z2))) AS r,
+         sqrt(max(p) * max(nb)) * {HISTORY_TOL!r}
+           + {HISTORY_TOL!r} * greatest(sqrt(sum(x * x)), sqrt(sum(z * z))) AS ep,
+         max(rho) * sqrt(sum((z2 - z) * (z2 - z))) AS sd,
+         sqrt(max(p) * max(nb)) * {HISTORY_TOL!r} + {HISTORY_TOL!r} * sqrt(sum(u * u)) AS ed,
+         0.5 * (sum(n * z2 * z2 - 2 * z2 * s) + max(ss))
+           + {ONEHOT_LAMBDA!r} * sum(abs(z2)) / max(nb) AS obj
+    FROM step CROSS JOIN c GROUP BY iter),
+stopped AS (SELECT min(iter) AS last FROM logged WHERE r < ep AND sd < ed)
+SELECT CAST(iter AS INTEGER) AS iter, round(r, 4) + 0.0 AS resid_primal,
+       round(ep, 4) + 0.0 AS eps_primal, round(sd, 4) + 0.0 AS resid_dual,
+       round(ed, 4) + 0.0 AS eps_dual, round(obj, 1) AS objective,
+       CAST(last + 1 AS INTEGER) AS iterations, true AS converged
+  FROM logged CROSS JOIN stopped WHERE iter <= last"""
+
+_JOB_SQL = f"""
+SELECT idx, true AS kkt_ok, round(sum(v * quality), 4) + 0.0 AS xty,
+       CAST(count(*) AS BIGINT) AS n
+  FROM {EMB_LONG} JOIN labels ON vec_id = doc_id GROUP BY idx"""
+
+_NAMES_SQL = f"""
+WITH n AS (SELECT DISTINCT idx, 'e' || CAST(idx AS VARCHAR) AS name FROM {EMB_LONG}),
+     p AS (SELECT count(*) AS p FROM n)
+SELECT idx, name FROM n
+UNION ALL
+SELECT CAST(p.p + a.idx * (2 * p.p - a.idx - 1) // 2 + (b.idx - a.idx - 1) AS INTEGER) AS idx,
+       a.name || ':' || b.name AS name
+  FROM n a JOIN n b ON a.idx < b.idx CROSS JOIN p"""
+
 ORACLE_SQL = {
     "sample_matrix_long": f"""
 SELECT CAST(vec_id AS VARCHAR) AS sample_id, idx, v AS value FROM {EMB_LONG}""",
@@ -63,6 +116,19 @@ SELECT CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic,
        round(x.s1 + (x.s1 * x.s1 - x.s2) / 2, 6) + 0.0 AS feature_sum
   FROM x JOIN labels l ON x.vec_id = l.doc_id""",
 
+    "combined_names": _NAMES_SQL,
+
+    "interaction_files": f"""
+WITH x AS (SELECT vec_id, sum(v) AS s1, sum(v * v) AS s2, count(*) AS p,
+                  max(CASE WHEN idx = 0 THEN v END) AS first_marker
+             FROM {EMB_LONG} GROUP BY vec_id),
+     last AS (SELECT vec_id, CAST(embedding[-1] AS DOUBLE) * CAST(embedding[-2] AS DOUBLE) AS v
+                FROM embeddings)
+SELECT CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic,
+       CAST(x.p + x.p * (x.p - 1) // 2 AS INTEGER) AS n_features, first_marker,
+       last.v AS last_product, round(x.s1 + (x.s1 * x.s1 - x.s2) / 2, 6) + 0.0 AS feature_sum
+  FROM x JOIN labels l ON x.vec_id = l.doc_id JOIN last ON last.vec_id = x.vec_id""",
+
     "sample_join": f"""
 WITH x AS (SELECT vec_id, sum(v) AS s1, count(*) AS p FROM {EMB_LONG} GROUP BY vec_id)
 SELECT x.vec_id AS sample_id, CAST(l.quality AS DOUBLE) AS y, CAST(x.p AS INTEGER) AS n_features,
@@ -99,14 +165,7 @@ SELECT CAST(vec_id AS VARCHAR) AS sample_id, idx, v AS value FROM {EMB_LONG}""",
 SELECT a.vec_id AS sample_id, a.idx AS k, b.idx AS j, a.v * b.v AS value
   FROM {EMB_LONG} a JOIN {EMB_LONG} b ON a.vec_id = b.vec_id AND a.idx < b.idx""",
 
-    "interaction_names": f"""
-WITH n AS (SELECT DISTINCT idx, 'e' || CAST(idx AS VARCHAR) AS name FROM {EMB_LONG}),
-     p AS (SELECT count(*) AS p FROM n)
-SELECT idx, name FROM n
-UNION ALL
-SELECT CAST(p.p + a.idx * (2 * p.p - a.idx - 1) // 2 + (b.idx - a.idx - 1) AS INTEGER) AS idx,
-       a.name || ':' || b.name AS name
-  FROM n a JOIN n b ON a.idx < b.idx CROSS JOIN p""",
+    "interaction_names": _NAMES_SQL,
 
     "gram": f"""
 SELECT a.idx AS i, b.idx AS j, round(sum(a.v * b.v), 6) + 0.0 AS g
@@ -155,7 +214,8 @@ WITH g AS (SELECT l_returnflag || l_linestatus AS name, count(*) AS n,
                   sum(l_extendedprice / 1000 - {LINEITEM_CENTER!r}) AS s
              FROM lineitem GROUP BY l_returnflag, l_linestatus)
 SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS idx, name,
-       round({_onehot_coef(LINEITEM_LAMBDA)}, 4) + 0.0 AS coef
+       round({_onehot_coef(LINEITEM_LAMBDA)}, 4) + 0.0 AS coef,
+       CAST({LINEITEM_BLOCKS} AS INTEGER) AS n_blocks, CAST(sum(n) OVER () AS BIGINT) AS n
   FROM g""",
 
     "admm_step": f"""
@@ -213,36 +273,52 @@ WITH b AS (SELECT DISTINCT o_orderkey % 4 AS b FROM orders),
      zz AS (SELECT z1.lvl, z1.z1, z2.z2, tot.n, tot.s, tot.ss
               FROM z1 JOIN z2 ON z1.lvl = z2.lvl JOIN tot ON tot.lvl = z1.lvl),
      res AS (SELECT sqrt(sum((r2.x1 - r2.z1) * (r2.x1 - r2.z1))) AS r0,
-                    sqrt(sum((r2.x2 - z2.z2) * (r2.x2 - z2.z2))) AS r1
+                    sqrt(sum((r2.x2 - z2.z2) * (r2.x2 - z2.z2))) AS r1,
+                    sqrt(sum(r2.x1 * r2.x1)) AS x1
                FROM r2 JOIN z2 ON r2.lvl = z2.lvl),
      dual AS (SELECT sqrt(max(k.nb)) * sqrt(sum(z1 * z1)) AS s0,
                      sqrt(max(k.nb)) * sqrt(sum((z2 - z1) * (z2 - z1))) AS s1,
+                     sqrt(count(*) * max(k.nb)) * 1e-6 AS e0,
                      0.5 * sum(n * z1 * z1 - 2 * z1 * s + ss) + {STEP_LAMBDA!r} * sum(abs(z1)) AS o0,
                      0.5 * sum(n * z2 * z2 - 2 * z2 * s + ss) + {STEP_LAMBDA!r} * sum(abs(z2)) AS o1
                 FROM zz CROSS JOIN k)
 SELECT CAST(0 AS INTEGER) AS iter, round(r0, 6) + 0.0 AS resid_primal,
-       round(s0, 6) + 0.0 AS resid_dual, round(o0, 2) AS objective FROM res CROSS JOIN dual
+       round(s0, 6) + 0.0 AS resid_dual, round(e0, 8) AS eps_primal, round(e0, 8) AS eps_dual,
+       round(o0, 2) AS objective FROM res CROSS JOIN dual
 UNION ALL
-SELECT CAST(1 AS INTEGER), round(r1, 6) + 0.0, round(s1, 6) + 0.0, round(o1, 2)
+SELECT CAST(1 AS INTEGER), round(r1, 6) + 0.0, round(s1, 6) + 0.0,
+       round(e0 + 1e-6 * greatest(x1, s0), 8), round(e0 + 1e-6 * r0, 8), round(o1, 2)
   FROM res CROSS JOIN dual""",
 
+    "admm_history": _HISTORY_SQL,
+
     "warm_start": f"""
 SELECT idx, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS coef FROM {ONEHOT}""",
 
     "final_state": f"""
 SELECT idx, name, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS z,
-       round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS xbar
+       round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS xbar,
+       round((s - n * {_onehot_coef(ONEHOT_LAMBDA)}) * count(*) OVER () / sum(n) OVER (), 4)
+         + 0.0 AS ubar
   FROM {ONEHOT}""",
 
     "lasso_embeddings": f"""
-SELECT DISTINCT idx, true AS kkt_ok FROM {EMB_LONG}""",
+SELECT idx, true AS kkt_ok, round(sum(v * y), 4) + 0.0 AS xty,
+       CAST(count(*) AS BIGINT) AS n FROM {EMB_LONG} GROUP BY idx""",
 
-    "lasso_job_files": f"""
-SELECT DISTINCT idx, true AS kkt_ok FROM {EMB_LONG}""",
+    "lasso_job_files": _JOB_SQL,
 
-    "lasso_interactions": """
-SELECT CAST(unnest(range(p * (p + 1) // 2)) AS INTEGER) AS idx, true AS kkt_ok
-  FROM (SELECT max(len(embedding)) AS p FROM embeddings)""",
+    "lasso_job_wide": _JOB_SQL,
+
+    "lasso_interactions": f"""
+WITH e AS {EMB_LONG}, p AS (SELECT max(idx) + 1 AS p FROM e)
+SELECT idx, true AS kkt_ok, round(sum(v * y), 4) + 0.0 AS xty, CAST(count(*) AS BIGINT) AS n
+  FROM e GROUP BY idx
+UNION ALL
+SELECT CAST(p + a.idx * (2 * p - a.idx - 1) // 2 + (b.idx - a.idx - 1) AS INTEGER), true,
+       round(sum(a.v * b.v * a.y), 4) + 0.0, CAST(count(*) AS BIGINT)
+  FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.idx < b.idx CROSS JOIN p
+ GROUP BY p, a.idx, b.idx""",
 
     "streaming_statistics": f"""
 SELECT idx AS i, round(sum(v * y), 6) + 0.0 AS xty FROM {EMB_LONG} GROUP BY idx""",
@@ -265,7 +341,7 @@ WITH grid AS ({_GRID_SQL})
 SELECT "lambda" AS best_lambda, mse AS best_mse FROM grid ORDER BY mse, pos LIMIT 1""",
 
     "model_roundtrip": f"""
-SELECT idx, name, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS coef FROM {ONEHOT}""",
+WITH z AS (SELECT *, {_onehot_coef(ONEHOT_LAMBDA)} AS z FROM {ONEHOT})
+SELECT idx, name, round(z, 4) + 0.0 AS coef, CASE WHEN z <> 0 THEN round(z, 4) END AS text_coef,
+       round(sum(n * z * z - 2 * z * s + ss) OVER () / sum(n) OVER (), 4) AS mse FROM z""",
 }
-
-_ = EMB_LAMBDA  # the embeddings fit is checked through its optimality conditions

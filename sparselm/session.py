@@ -66,6 +66,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(spark: SparkSession, df, name: str):
+    """``(table, path)``: ``df`` written once below the checkpoint folder and
+    read back, so that every later reader sees the rows of one execution."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table written by :func:`written`, on whatever file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # rows up to which a side with a known row count is hinted for broadcast
 BROADCAST_MAX_ROWS = 1_000_000
 

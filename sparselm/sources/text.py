@@ -25,6 +25,25 @@ from pyspark.sql import functions as F
 from ..functions.vectors import to_double_array
 
 TAB = "\t"
+# position of a line: file, and start of the file's split that holds it
+LINE_PLACE = ("_file", "_split")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (``value``) with their place. Scans deal splits to tasks by size,
+    so neither partitions nor files come in name order; the place columns say
+    where a line belongs."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"))
+
+
+def head_lines(lines: DataFrame, n: int = 1) -> list[str]:
+    """The first ``n`` lines: of the first file by name, else of the frame."""
+    if all(c in lines.columns for c in LINE_PLACE):
+        first = lines.agg(F.min("_file")).first()[0]
+        lines = lines.where((F.col("_file") == first) & (F.col("_split") == 0))
+    return [r["value"] for r in lines.select("value").take(n)]
 
 
 @dataclass
@@ -62,53 +81,55 @@ def header_names(header: DataFrame, skip: int = 1) -> DataFrame:
 
 def parse_sample_major(lines: DataFrame, vector_col: str = "features",
                        lenient: bool = False, header: str | None = None,
-                       keep_text: bool = False) -> LabeledMatrix:
+                       keep_text: bool = False, keep: list[str] = ()) -> LabeledMatrix:
     """Parse sample-major lines (column ``value``) into a LabeledMatrix.
 
     The header line is the first line (or the given text); every line equal
     to it is dropped, which also handles a folder of files that each repeat
     the header. Cell 0 is the id, kept as text (quotes included); the rest
-    are cast to double, failing on a bad cell unless ``lenient``.
-    ``keep_text`` also keeps the raw cells as ``<vector_col>_text``.
+    are cast to double; a bad cell, or a row of another width than the header,
+    fails unless ``lenient``.
+    ``keep_text`` also keeps the raw cells as ``<vector_col>_text``; ``keep``
+    names columns of ``lines`` to carry along.
     """
     spark = lines.sparkSession
     if header is None:
-        # first() scans partition 0 first, so this is the file's first line
-        # (the header); as in any header-aware reader, it is read once on the
-        # driver. A limit(1) inside the join would not be ordered.
-        first = lines.select("value").first()
-        if first is None:
+        # read once on the driver, as in any header-aware reader
+        first = head_lines(lines)
+        if not first:
             raise ValueError("empty input: no header line")
-        header = first["value"]
+        header = first[0]
     head = spark.createDataFrame([(header,)], "value string")
     # every copy of the header line is dropped (a folder of files each with
     # its own header); one literal comparison, no join
     body = lines.where(F.col("value") != F.lit(header))
     body = body.where(F.length(F.regexp_replace("value", "\\s", "")) > 0)
     cells = _cells(F.col("value"))
+    width = len(header.rstrip(TAB).split(TAB))
+    vector = F.slice(cells, 2, 1 << 30)
+    values = F.when(F.col("value") == F.lit(header), F.lit(None))
+    if not lenient:
+        values = values.when(F.size(cells) != width, F.raise_error(F.concat(
+            F.lit(f"a row does not have the header's {width} cells: "), F.element_at(cells, 1))))
+    # guarded: Spark may evaluate inferred filters on this column before the
+    # header filter, and a strict cast of the header cells would fail
     df = body.select(F.element_at(cells, 1).alias("sample_id"),
-                     # guarded: Spark may evaluate inferred filters on this
-                     # column before the header filter, and a strict cast of
-                     # the header cells would fail
-                     F.when(F.col("value") != F.lit(header),
-                            to_double_array(F.slice(cells, 2, 1 << 30), lenient))
-                     .alias(vector_col),
-                     *([F.slice(cells, 2, 1 << 30).alias(vector_col + "_text")]
-                       if keep_text else []))
+                     values.otherwise(to_double_array(vector, lenient)).alias(vector_col),
+                     *([vector.alias(vector_col + "_text")] if keep_text else []), *keep)
     return LabeledMatrix(df, header_names(head), vector_col)
 
 
 def read_sample_major(spark: SparkSession, path: str, vector_col: str = "features",
                       lenient: bool = False) -> LabeledMatrix:
     """Scan a sample-major TSV file or folder (genotype or phenotype table)."""
-    return parse_sample_major(spark.read.text(path), vector_col, lenient)
+    return parse_sample_major(read_lines(spark, path), vector_col, lenient)
 
 
 def read_traits(spark: SparkSession, path: str, lenient: bool = False,
                 keep_text: bool = False) -> LabeledMatrix:
     """Phenotype table: same layout, vector column ``traits`` (and the raw
     cells as ``traits_text`` with ``keep_text``)."""
-    return parse_sample_major(spark.read.text(path), "traits", lenient, keep_text=keep_text)
+    return parse_sample_major(read_lines(spark, path), "traits", lenient, keep_text=keep_text)
 
 
 def format_sample_major(df: DataFrame, vector_col: str, names: DataFrame,
@@ -147,53 +168,134 @@ class MarkerMajor:
 def parse_marker_major(lines: DataFrame, lead: int = 5, lenient: bool = False) -> MarkerMajor:
     """Marker-major lines → long form.
 
-    The marker index is the line position (distributed row index, no driver
-    pass); sample names are the header cells after the ``lead`` leading
-    columns. Values are cells ``lead+1 ...`` of each marker line.
+    The marker index is the line position in file order (distributed row
+    index, no driver pass); sample names are the cells of the first file's
+    header after the ``lead`` leading columns, and copies of that line in
+    other files are dropped. Values are cells ``lead+1 ...`` of each marker
+    line, which must have as many cells as the header.
     """
     from ..operators.align import with_row_index
 
-    indexed = with_row_index(lines.select("value"), "line_no").persist()
+    place = [c for c in LINE_PLACE if c in lines.columns]
+    header = head_lines(lines)
+    if not header:
+        raise ValueError("empty input: no header line")
+    names = header[0].rstrip(TAB).split(TAB)[lead:]
+    # every file may repeat the header
+    body = lines.select("value", *place).where(
+        (F.col("value") != F.lit(header[0]))
+        & (F.length(F.regexp_replace("value", "\\s", "")) > 0))
+    indexed = with_row_index(body, "marker_idx").withColumn(
+        "marker_idx", F.col("marker_idx").cast("int"))
     cells = _cells(F.col("value"))
-    head = indexed.where(F.col("line_no") == 0)
-    samples = head.select(F.posexplode(F.slice(cells, lead + 1, 1 << 30))
-                          .alias("sample_idx", "sample_id"))
-    body = indexed.where(F.col("line_no") > 0)
+    samples = lines.sparkSession.createDataFrame(list(enumerate(names)),
+                                                 "sample_idx int, sample_id string")
     cast = (lambda v: v.try_cast("double")) if lenient else (lambda v: v.cast("double"))
-    markers = body.select((F.col("line_no") - 1).cast("int").alias("marker_idx"),
-                          F.element_at(cells, 1).alias("marker"))
-    long = body.select((F.col("line_no") - 1).cast("int").alias("marker_idx"),
-                       F.posexplode(F.slice(cells, lead + 1, 1 << 30)).alias("sample_idx", "cell"))
+    markers = indexed.select("marker_idx", F.element_at(cells, 1).alias("marker"))
+    # a missing cell would shift every later one to another sample
+    whole = F.when(F.size(cells) == lead + len(names), F.slice(cells, lead + 1, 1 << 30)) \
+        .otherwise(F.raise_error(F.concat(
+            F.lit(f"a marker line does not have the header's {lead + len(names)} cells: "),
+            F.element_at(cells, 1))))
+    long = indexed.select("marker_idx", F.posexplode(whole).alias("sample_idx", "cell"))
     long = long.select("marker_idx", F.col("sample_idx").cast("int").alias("sample_idx"),
                        cast(F.col("cell")).alias("value"))
-    return MarkerMajor(long, markers, samples.select(F.col("sample_idx").cast("int"), "sample_id"))
+    return MarkerMajor(long, markers, samples)
 
 
 def read_marker_major(spark: SparkSession, path: str, lead: int = 5,
                       lenient: bool = False) -> MarkerMajor:
-    return parse_marker_major(spark.read.text(path), lead, lenient)
+    return parse_marker_major(read_lines(spark, path), lead, lenient)
 
 
-def parse_combined(lines: DataFrame, n_traits: int | None = None,
-                   lenient: bool = False) -> DataFrame:
-    """Combined matrix with its two header lines → ``row_idx, traits, features``.
+@dataclass
+class CombinedMatrix:
+    """``df``: ``traits``, ``features`` (``array<double>``); ``names``: ``idx,
+    name`` of the features; the three counts of the first line."""
+
+    df: DataFrame
+    names: DataFrame
+    n_traits: int
+    n_features: int
+    n_samples: int
+
+    def check_rows(self, found: int) -> None:
+        if found != self.n_samples:
+            raise ValueError(f"the header declares {self.n_samples} samples, the matrix has {found}")
 
-    The trait count is cell 0 of line 1 unless given (one three-number line is
-    read on the driver, as metadata). Line order is the scan order.
-    """
-    from ..operators.align import with_row_index
 
-    indexed = with_row_index(lines.select("value"), "line_no")
+def parse_combined(lines: DataFrame, lenient: bool = False) -> CombinedMatrix:
+    """Combined matrix with its two header lines.
+
+    Both header lines are those of the first file by name; they are read on
+    the driver, as metadata. The counts are checked against the names, and
+    every row against the counts (unless ``lenient``); ``check_rows`` compares
+    the declared number of samples with a row count that the caller has.
+    Numeric rows need no position: only the two lines are taken out.
+    """
+    head = head_lines(lines, 2)
+    if len(head) < 2:
+        raise ValueError("a combined matrix starts with two header lines")
+    counts = [c.strip() for c in head[0].rstrip(TAB).split(TAB)]
+    if len(counts) != 3:
+        raise ValueError(f"expected three counts in the first line, got {head[0]!r}")
+    nt, nf, ns = (int(c) for c in counts)
+    names = head[1].rstrip(TAB).split(TAB) if nf else []
+    if len(names) != nf:
+        raise ValueError(f"the header declares {nf} features and names {len(names)}")
+    if all(c in lines.columns for c in LINE_PLACE):
+        first = lines.agg(F.min("_file")).first()[0]
+        at_head = (F.col("_file") == first) & (F.col("_split") == 0)
+    else:
+        at_head = F.lit(True)
+    if nt + nf <= 3:
+        # a row could read like a header line: take the lines out by position
+        from ..operators.align import with_row_index
+
+        place = [c for c in LINE_PLACE if c in lines.columns]
+        body = with_row_index(lines.select("value", *place), "_line").where("_line >= 2")
+        is_head = F.lit(False)
+    else:
+        is_head = at_head & F.col("value").isin(head)
+        body = lines.where(~is_head)
+    body = body.where(F.length(F.regexp_replace("value", "\\s", "")) > 0)
     cells = _cells(F.col("value"))
-    if n_traits is None:
-        first = indexed.where(F.col("line_no") == 0).select("value").first()
-        n_traits = int(first["value"].split(TAB)[0])
-    nt = F.lit(int(n_traits))
-    vals = F.when(F.col("line_no") >= 2, to_double_array(cells, lenient))
-    return indexed.where(F.col("line_no") >= 2).select(
-        (F.col("line_no") - 2).alias("row_idx"),
-        F.slice(vals, F.lit(1), nt).alias("traits"),
-        F.slice(vals, nt + 1, F.lit(1 << 30)).alias("features"))
+    vals = F.when(is_head, F.lit(None))
+    if not lenient:
+        vals = vals.when(F.size(cells) != nt + nf, F.raise_error(
+            F.lit(f"a row does not have {nt} + {nf} cells")))
+    vals = vals.otherwise(to_double_array(cells, lenient))
+    df = body.select(F.slice(vals, F.lit(1), F.lit(nt)).alias("traits"),
+                     F.slice(vals, F.lit(nt + 1), F.lit(1 << 30)).alias("features"))
+    dictionary = lines.sparkSession.createDataFrame(list(enumerate(names)),
+                                                    "idx int, name string")
+    return CombinedMatrix(df, dictionary, nt, nf, ns)
+
+
+def read_combined(spark: SparkSession, path: str, lenient: bool = False) -> CombinedMatrix:
+    """Scan a combined-matrix file, or a folder whose first file by name starts
+    with the two header lines."""
+    return parse_combined(read_lines(spark, path), lenient)
+
+
+def write_combined(rows: DataFrame, path: str, n_traits: int, feature_names: list[str],
+                   n_samples: int, mode: str = "overwrite") -> None:
+    """Write combined rows (``value``) under their two header lines. The header
+    goes to the folder's first file by name; rows are written by their tasks."""
+    import pyarrow as pa
+
+    head = combined_header(n_traits, feature_names, n_samples)
+    schema = pa.schema([pa.field("value", pa.string(), nullable=True)])
+
+    def with_header(batches):
+        from pyspark import TaskContext
+
+        if TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], schema=schema)
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([rb.column(0)], schema=schema)
+
+    rows.select("value").mapInArrow(with_header, "value string").write.mode(mode).text(path)
 
 
 def combined_header(n_traits: int, feature_names: list[str], n_samples: int) -> list[str]:
@@ -210,14 +312,17 @@ def write_sample_major(df: DataFrame, vector_col: str, names: DataFrame, path: s
     with :func:`read_sample_major`. The header (p names) comes from the
     dictionary; the data lines never leave their tasks.
     """
-    import pyarrow as pa
-
     names_sorted = [r["name"] for r in names.orderBy("idx").select("name").collect()]
-    header = TAB.join([id_label] + names_sorted)
     body = df.select(F.concat_ws(TAB, F.col("sample_id").cast("string"),
                                  F.concat_ws(TAB, F.transform(vector_col,
                                                               lambda v: v.cast("string"))))
                      .alias("value"))
+    write_with_header(body, path, TAB.join([id_label] + names_sorted), mode)
+
+
+def write_with_header(lines: DataFrame, path: str, header: str, mode: str = "overwrite") -> None:
+    """Write lines (``value``) as text files that each start with ``header``."""
+    import pyarrow as pa
 
     schema = pa.schema([pa.field("value", pa.string(), nullable=True)])
 
@@ -226,7 +331,7 @@ def write_sample_major(df: DataFrame, vector_col: str, names: DataFrame, path: s
         for rb in batches:
             yield pa.RecordBatch.from_arrays([rb.column(0)], schema=schema)
 
-    body.mapInArrow(with_header, "value string").write.mode(mode).text(path)
+    lines.select("value").mapInArrow(with_header, "value string").write.mode(mode).text(path)
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -199,22 +199,64 @@ def test_mode_auto_and_fat_block_size_check(spark):
         assert admm.prepare(df, rho="auto", mode="auto", rows_per_block=32).fat
     finally:
         admm.DENSE_MAX_FEATURES = old
-    old_max = admm.FAT_MAX_ROWS
-    admm.FAT_MAX_ROWS = 50
-    try:
-        with pytest.raises(ValueError):
-            admm.prepare(df, block_col=F.lit(0), mode="fat", rows_per_block=10)
-    finally:
-        admm.FAT_MAX_ROWS = old_max
+    # a block chosen by the caller that is larger than a fat block is split
+    prob = admm.prepare(df, block_col=F.lit(0), rho="auto", mode="fat", rows_per_block=10)
+    sizes = [r["ni"] for r in prob.blocks.select("ni").collect()]
+    assert prob.n == len(y) and max(sizes) <= 10 and len(sizes) == 12
+    assert np.allclose(prob.xty, X.T @ y)
+
+
+def test_fat_blocks_expand_pairs_in_the_scan(spark):
+    df, X, y = _random(spark)
+    k, j = np.triu_indices(X.shape[1], 1)
+    wide = np.concatenate([X, X[:, k] * X[:, j]], axis=1)
+    stats = admm.fat_block_statistics(df.repartition(3), rows_per_block=7, pairs=True)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1                      # the test's own repartition
+    prob = admm.prepare(df.repartition(3), mode="fat", rows_per_block=7, pairs=True, rho="auto")
+    assert prob.p == wide.shape[1] and prob.n == len(y)
+    assert np.allclose(prob.xty, wide.T @ y)
+    f = admm.fit(prob, 5.0, max_iter=5000, abs_tol=1e-9, rel_tol=1e-9)
+    assert abs(f.objective() - obj(wide, y, cd_lasso(wide, y, 5.0), 5.0)) < 1e-4
+
+
+def test_asked_blocks_do_not_depend_on_partitioning(spark):
+    df, X, y = _random(spark)
+    coefs = []
+    for parts in (1, 2, 4):
+        prob = admm.prepare(df.repartition(parts), n_blocks=4, rho=1.0)
+        assert prob.n_blocks == 4
+        coefs.append(admm.fit(prob, 2.0, max_iter=5).coef)
+    assert np.allclose(coefs[0], coefs[1], atol=1e-12)
+    assert np.allclose(coefs[0], coefs[2], atol=1e-12)
+
+
+def test_names_of_another_length_are_rejected(spark):
+    df, X, y = _random(spark)
+    names = spark.createDataFrame([(0, "a")], "idx int, name string")
+    with pytest.raises(ValueError, match="names"):
+        admm.prepare(df, names=names)
+
+
+def test_superseded_iterates_are_deleted(spark):
+    import glob
+
+    df, X, y = _random(spark)
+    prob = admm.prepare(df, block_col=F.pmod("sample_id", F.lit(3)), rho="auto")
+    base = spark.sparkContext.getCheckpointDir().replace("file:", "")
+    before = set(glob.glob(f"{base}/lasso-iterates*"))
+    admm.fit(prob, 3.0, max_iter=20, abs_tol=0.0, rel_tol=0.0, checkpoint_every=4)
+    assert set(glob.glob(f"{base}/lasso-iterates*")) == before
 
 
 def test_iterate_only_checkpoints_give_same_fit(spark):
     df, X, y = _random(spark)
     prob = admm.prepare(df, block_col=F.pmod("sample_id", F.lit(3)), rho="auto")
     ref = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10, checkpoint_every=4)
-    old_full, old_bc = admm.CHECKPOINT_FULL_BYTES, admm.STATE_BROADCAST_BYTES
+    old_full, old_bc = admm.FUSED_BYTES, admm.STATE_BROADCAST_BYTES
     try:
-        admm.CHECKPOINT_FULL_BYTES = 0          # large-factor path: iterates only
+        admm.FUSED_BYTES = 0                    # large-factor path: iterates only
+        prob = prob.with_rho(prob.rho)
         for bc in (old_bc, 0):                  # broadcast re-attach, then a join
             admm.STATE_BROADCAST_BYTES = bc
             f = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10,
@@ -222,4 +264,4 @@ def test_iterate_only_checkpoints_give_same_fit(spark):
             assert f.iterations == ref.iterations
             assert np.allclose(f.coef, ref.coef, atol=1e-10)
     finally:
-        admm.CHECKPOINT_FULL_BYTES, admm.STATE_BROADCAST_BYTES = old_full, old_bc
+        admm.FUSED_BYTES, admm.STATE_BROADCAST_BYTES = old_full, old_bc

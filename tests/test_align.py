@@ -49,3 +49,36 @@ def test_positional_join(spark):
     b = spark.createDataFrame([(9, 0.5), (7, 1.5)], "k2 int, b double")
     out = align.positional_join(a, b, ["k"], ["k2"]).orderBy("pos").collect()
     assert [(r["pos"], r["a"], r["b"]) for r in out] == [(0, "y", 1.5), (1, "z", 0.5)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_index_keeps_every_wide_row(spark, adaptive):
+    """Wide rows in key order: partitions by size, not by count."""
+    n = 300_000
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(n).select(
+            F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), "id",
+            F.repeat(F.col("id").cast("string"), 40).alias("payload"))
+        idx = align.with_row_index(df, "pos", ["k", "id"])
+        got = idx.agg(F.count("*"), F.count_distinct("pos"), F.min("pos"), F.max("pos")).first()
+        assert tuple(got) == (n, n, 0, n - 1)
+        from pyspark.sql import Window
+        before = F.lag("k").over(Window.partitionBy(F.floor(F.col("pos") / 1000)).orderBy("pos"))
+        assert idx.select((before > F.col("k")).alias("bad")).where("bad").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_positional_join_through_shuffles(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(50_000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 200).alias("w"))
+        b = spark.range(40_000).select((F.col("id") * 2).alias("k2"))
+        out = align.positional_join(a.repartition(7), b.repartition(3), ["k"], ["k2"])
+        assert out.count() == 40_000
+        assert out.where("k <> pos OR k2 <> 2 * pos").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

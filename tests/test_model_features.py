@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import write
@@ -28,14 +29,6 @@ def test_predict_and_mse(spark):
     assert np.allclose(pred, X @ w)
     r = m.mean_squared_error(df).first()
     assert r["n"] == 50 and np.isclose(r["mse"], 0.01)
-    # dense path (more non-zeros than the unrolled limit) agrees
-    old = model.UNROLL_MAX
-    model.UNROLL_MAX = 1
-    try:
-        pred2 = np.array([r["prediction"] for r in m.predict(df).collect()])
-    finally:
-        model.UNROLL_MAX = old
-    assert np.allclose(pred2, X @ w)
 
 
 def test_save_load_roundtrip(spark, tmpdir_path):
@@ -141,3 +134,39 @@ def test_interaction_job_copies_trait_text(spark, tmpdir_path):
     jobs.interaction_job(spark, mm, ph, out)
     firsts = sorted(r["value"].split("\t")[0] for r in spark.read.text(out).collect())
     assert firsts == ["0.50", "1.190813250933200", "2"]
+
+
+@pytest.mark.parametrize("nonzero", [0, 3, 300, 400, 512, 513, 5000])
+def test_prediction_is_one_path_at_every_size(spark, nonzero):
+    p = 5200
+    rng = np.random.default_rng(nonzero)
+    w = np.zeros(p)
+    w[rng.choice(p - 1, nonzero, replace=False)] = rng.normal(size=nonzero)
+    X = rng.normal(size=(4, p))
+    X[1, p - 1] = np.nan                    # at a weight of zero
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(4)],
+                               "i int, features array<double>")
+    got = {r["i"]: r["prediction"] for r in model.LassoModel(w).predict(df).collect()}
+    want = np.nan_to_num(X) @ w
+    assert np.allclose([got[i] for i in range(4)], want)
+    short = spark.createDataFrame([(X[0].tolist()[:-1],)], "features array<double>")
+    with pytest.raises(Exception, match="expected 5200 features"):
+        model.LassoModel(w).predict(short).collect()
+
+
+def test_transpose_rejects_a_missing_cell(spark):
+    long = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0)],
+                                 "marker_idx int, sample_idx int, value double")
+    markers = spark.createDataFrame([(0, "a"), (1, "b")], "marker_idx int, marker string")
+    samples = spark.createDataFrame([(0, "s"), (1, "t")], "sample_idx int, sample_id string")
+    with pytest.raises(Exception, match="one cell per marker"):
+        features.transpose_long(text.MarkerMajor(long, markers, samples)).df.collect()
+
+
+def test_interaction_output_feeds_the_grid_job(spark, tmpdir_path):
+    mm = _marker_major(tmpdir_path)
+    ph = write(os.path.join(tmpdir_path, "ph3.tsv"), ["id\tt1", "A\t0.5", "B\t1.5", "C\t2.5"])
+    out = os.path.join(tmpdir_path, "combined3")
+    jobs.interaction_job(spark, mm, ph, out, header=True)
+    res = jobs.grid_job(spark, out, [0.1, 1.0], max_iter=200)
+    assert res["model"].names == ["mk1", "mk2", "mk3", "mk1:mk2", "mk1:mk3", "mk2:mk3"]

@@ -76,3 +76,14 @@ def test_accumulator_budget_flushes_without_changing_sums(spark):
         M.ACCUMULATOR_BUDGET_BYTES = old
     assert full.keys() == tiny.keys()
     assert all(np.allclose(full[k], tiny[k]) for k in full)
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, "x", [1.0], 2.0), (None, "x", [2.0], 1.0),
+                                (7, None, [3.0], 1.0), (7, "x", [5.0], 2.0)],
+                               "a int, b string, features array<double>, label double")
+    got = {(r["a"], r["b"]): (r["n"], r["c"]) for r in
+           moments.moments(df, keys=["a", "b"]).collect()}
+    assert got == {(None, "x"): (2, 4.0), (7, None): (1, 3.0), (7, "x"): (1, 10.0)}
+    x = {(r["a"], r["b"]): r["x"] for r in moments.ridge_solve(df, ["a", "b"]).collect()}
+    assert abs(x[(None, "x")] - 4.0 / 6.0) < 1e-12 and set(x) == set(got)

@@ -65,9 +65,65 @@ def test_combined_scan(spark, tmpdir_path):
         "0.5\t1.5\t1\t2\t3",
         "0.25\t2.5\t4\t5\t6",
     ])
-    df = text.parse_combined(spark.read.text(p))
-    rows = sorted((r["row_idx"], r["traits"], r["features"]) for r in df.collect())
-    assert rows == [(0, [0.5, 1.5], [1.0, 2.0, 3.0]), (1, [0.25, 2.5], [4.0, 5.0, 6.0])]
+    m = text.read_combined(spark, p)
+    rows = sorted((r["traits"], r["features"]) for r in m.df.collect())
+    assert rows == [([0.25, 2.5], [4.0, 5.0, 6.0]), ([0.5, 1.5], [1.0, 2.0, 3.0])]
+    assert [r["name"] for r in m.names.orderBy("idx").collect()] == ["f1", "f2", "f3"]
+    m.check_rows(2)
+    with pytest.raises(ValueError):
+        m.check_rows(3)
+
+
+def test_combined_header_is_checked(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "bad.tsv"), ["1\t3\t1", "a\tb", "1\t2\t3\t4"])
+    with pytest.raises(ValueError, match="names 2"):
+        text.read_combined(spark, p)
+    p = write(os.path.join(tmpdir_path, "short.tsv"), ["1\t3\t1", "a\tb\tc", "1\t2\t3"])
+    with pytest.raises(Exception, match="cells"):
+        text.read_combined(spark, p).df.collect()
+
+
+def test_combined_rows_that_look_like_the_header(spark, tmpdir_path):
+    # one trait, two features: rows as wide as the line of counts
+    p = write(os.path.join(tmpdir_path, "three.tsv"), ["1\t2\t2", "a\tb", "1\t2\t2", "5\t6\t7"])
+    m = text.read_combined(spark, p)
+    assert sorted(r["traits"][0] for r in m.df.collect()) == [1.0, 5.0]
+
+
+def _folder(tmp, name, files):
+    d = os.path.join(tmp, name)
+    os.makedirs(d)
+    for f, lines in files:
+        write(os.path.join(d, f), lines)
+    return d
+
+
+def test_folders_are_read_in_file_order(spark, tmpdir_path):
+    """The second file is much larger, so scans deal it out first."""
+    head = "rs\ta\tc\tp\ts\tA\tB"
+    d = _folder(tmpdir_path, "mm", [
+        ("a.tsv", [head, "m0\tx\t1\t1\t+\t1\t2", "m1\tx\t1\t1\t+\t3\t4"]),
+        ("b.tsv", [head] + [f"m{i}\tx\t1\t1\t+\t{i}.0000000001\t{i}" for i in range(2, 400)])])
+    mm = text.read_marker_major(spark, d)
+    assert [r["sample_id"] for r in mm.samples.orderBy("sample_idx").collect()] == ["A", "B"]
+    assert [r["marker"] for r in mm.markers.orderBy("marker_idx").collect()] == [
+        f"m{i}" for i in range(400)]
+    d = _folder(tmpdir_path, "comb", [
+        ("part-0", ["1\t3\t301", "a\tb\tc", "0\t1\t1\t1"]),
+        ("part-1", [f"{i}\t{i}.5\t2.00000000001\t3" for i in range(1, 301)])])
+    m = text.read_combined(spark, d)
+    assert [r["name"] for r in m.names.orderBy("idx").collect()] == ["a", "b", "c"]
+    assert sorted(r["traits"][0] for r in m.df.collect()) == [float(i) for i in range(301)]
+
+
+def test_rows_of_another_width_are_rejected(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "w.tsv"), ["id\tx\ty", "a\t1\t2", "b\t1"])
+    with pytest.raises(Exception, match="cells"):
+        text.read_sample_major(spark, p).df.collect()
+    p = write(os.path.join(tmpdir_path, "r.tsv"), [
+        "rs\ta\tc\tp\ts\tA\tB", "m0\tx\t1\t1\t+\t1\t2", "m1\tx\t1\t1\t+\t3"])
+    with pytest.raises(Exception, match="cells"):
+        text.read_marker_major(spark, p).long.collect()
 
 
 def test_format_roundtrip(spark):
