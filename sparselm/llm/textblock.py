@@ -22,12 +22,12 @@ ODD_INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 IS_WORD_BYTE = ~_SPACE                          # words [^\x20\x09-\x0D]+
 
 
 def text_slices(batch: pa.RecordBatch, column: str):
-    """Slices of a batch of about 8 MB of text (null counts as empty); a single
+    """Slices of a batch of about 2 MB of text (null counts as empty); a single
     longer text is a slice of its own."""
     n = batch.num_rows
     if n == 0:

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from sparselm.llm import textblock
 
-CACHE_UNITS = 4_000_000     # some 150 MB
+CACHE_UNITS = 2_000_000     # some 90 MB
 _LONG_UNIT = 64             # longer units are encoded anew each time
 
 _SPACE = np.zeros(256, dtype=bool)
