@@ -224,7 +224,8 @@ def _score_pass(shared):
                     [pa.array(np.arange(row, row + n)), b.column("id"),
                      pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
                      pa.array(np.bincount(doc[known], minlength=n).astype(np.int64)),
-                     pa.array(np.bincount(doc[known], weights=base[known], minlength=n)),
+                     pa.array(np.bincount(doc[known], weights=base[known], minlength=n)
+                              .astype(float)),                  # int if all are unknown
                      pa.array(np.bincount(doc, weights=logp, minlength=n) / np.log(10)),
                      pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)),
                                               pa.array(word[rest].view(np.int64)))],
