@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselm.llm.tables import saved
+from sparselm.session import delete_path, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -37,20 +37,16 @@ def connected_components(spark: SparkSession, edges: DataFrame,
     ignored."""
     e = (edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
          .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    e = saved(spark, e, "cc-edges")
+    e, path = written(spark, e, "cc-edges")
     for _ in range(max_rounds):
-        nxt = saved(spark, _small_star(_large_star(e)), "cc-edges")
+        before = path
+        e, path = written(spark, _small_star(_large_star(e)), "cc-edges")
+        delete_path(spark, before)
         # done when every vertex hangs on one root and no root hangs on another
-        state = nxt.groupBy("b").agg(F.count("*").alias("n")).agg(
-            F.max("n").alias("most")).first()
-        if state["most"] is None:
-            e = nxt
+        most = e.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most is None or most == 1 and e.select(F.col("a").alias("b")).join(
+                e.select("b"), "b", "left_semi").limit(1).count() == 0:
             break
-        if state["most"] == 1 and nxt.select(F.col("a").alias("b")).distinct().join(
-                nxt.select("b"), "b", "left_semi").limit(1).count() == 0:
-            e = nxt
-            break
-        e = nxt
     else:
         raise RuntimeError("components did not converge")
     return (e.select(F.col("b").alias("id"), F.col("a").alias("component"))

@@ -67,7 +67,7 @@ def _block_pass(length: int):
 def _cut_pass(length: int):
     """Bytes of the asked variants; of windows of crowded cores, hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in textblock.text_slices(whole, "text")):
             rows = {k: [] for k in ("core", "hull", "width", "back", "n", "bytes", "windows")}
             for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist()):
                 raw = (text or "").encode()
@@ -127,11 +127,11 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def _remove_pass(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in textblock.text_slices(whole, "text")):
             removed, count, sha, spans, texts = [], [], [], [], []
             for text, found in zip(b.column("text").to_pylist(), b.column("found")):
                 raw = (text or "").encode()
-                f = found.values
+                f = found.values            # of this row
                 start = f.field("start").to_numpy()
                 runs = merged(np.stack([start, start + f.field("more").to_numpy() + length], 1))
                 kept, at = [], 0

@@ -63,20 +63,21 @@ def token_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text",
     totals = totals.select(
         "range", (F.sum("rn").over(after) - F.col("rn")).alias("n_above"),
         (F.sum("rt").over(after) - F.col("rt")).alias("t_above"))
-    all_ = hist.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("total_tokens"))
+    docs_, tokens_ = hist.agg(F.sum("n_docs"), F.sum("tokens")).first()     # two numbers
+    docs_, tokens_ = F.lit(docs_ or 0).cast("long"), F.lit(tokens_ or 0).cast("long")
     inside = Window.partitionBy("range").orderBy(F.col("length").desc())
     longer = F.sum("n_docs").over(inside) - F.col("n_docs") + F.col("n_above")
     beyond = F.sum("tokens").over(inside) - F.col("tokens") + F.col("t_above")
     sums = hist.join(totals, "range").select(
         "length", "n_docs", longer.alias("n_longer"), beyond.alias("t_longer"))
-    return sums.join(F.broadcast(all_)).select(          # one row
-        F.col("length").alias("context_limit"), "n_docs", "n_longer", "total_tokens",
-        (F.col("total_tokens") - F.col("t_longer") + F.col("n_longer") * F.col("length"))
-        .alias("truncated_tokens"),
-        (F.col("total_tokens") - F.col("t_longer")).alias("tokens_within"),
-        ((F.col("all_docs") - F.col("n_longer")) / F.col("all_docs")).alias("doc_share"),
-        (F.when(F.col("total_tokens") == 0, 1.0).otherwise(
-            (F.col("total_tokens") - F.col("t_longer")) / F.col("total_tokens")))
+    within = tokens_ - F.col("t_longer")
+    return sums.select(
+        F.col("length").alias("context_limit"), "n_docs", "n_longer",
+        tokens_.alias("total_tokens"),
+        (within + F.col("n_longer") * F.col("length")).alias("truncated_tokens"),
+        within.alias("tokens_within"),
+        ((docs_ - F.col("n_longer")) / F.nullif(docs_, F.lit(0))).alias("doc_share"),
+        F.when(tokens_ == 0, 1.0).otherwise(within / F.nullif(tokens_, F.lit(0)))
         .alias("token_share"))
 
 
