@@ -21,9 +21,9 @@ def transpose_long(mm: MarkerMajor) -> LabeledMatrix:
     """
     rows = (mm.long.groupBy("sample_idx")
             .agg(F.array_sort(F.collect_list(F.struct("marker_idx", "value"))).alias("cells"),
-                 F.count_distinct("marker_idx").alias("found"))
-            .crossJoin(F.broadcast(mm.markers.agg(F.count("*").alias("p")))))     # one number
-    whole = (F.col("found") == F.col("p")) & (F.size("cells") == F.col("p"))
+                 F.count_distinct("marker_idx").alias("found")))
+    p = mm.markers.count()
+    whole = (F.col("found") == p) & (F.size("cells") == p)
     rows = rows.select("sample_idx", F.when(whole, F.transform("cells", lambda c: c["value"]))
                        .otherwise(F.raise_error(F.concat(
                            F.lit("a sample does not have one cell per marker: "),
