@@ -68,6 +68,42 @@ def test_lasso_job(spark, tmpdir_path):
                                              - 0.5 * np.abs(res["fit"].coef).sum()) / 19)
 
 
+def _handmade(folder):
+    """19 samples x 10 markers of rank 7: two constant markers, one of zeros,
+    one that repeats another; a response with small deviations."""
+    rng = np.random.default_rng(19)
+    X = rng.integers(0, 2, (19, 10)).astype(float)
+    X[:, 4] = X[:, 9] = 1.0
+    X[:, 5] = 0.0
+    X[:, 7] = X[:, 2]
+    y = 1.0 + 0.3 * X[:, 0] - 0.2 * X[:, 2] + 0.05 * rng.normal(size=19)
+    assert np.linalg.matrix_rank(X) == 7
+    ids = [f"s:{i}" for i in range(19)]
+    with open(os.path.join(folder, "geno.tsv"), "w") as f:
+        f.write("\t".join(["<Marker>", *(f"m{j}" for j in range(10))]) + "\n")
+        f.writelines("\t".join([s, *map(str, x)]) + "\n" for s, x in zip(ids, X))
+    with open(os.path.join(folder, "pheno.tsv"), "w") as f:
+        f.write("id\ttrait\n")
+        f.writelines(f"{s}\t{float(v)!r}\n" for s, v in zip(ids, y))
+    return X, y
+
+
+def test_lasso_job_on_handmade_files(spark, tmpdir_path):
+    from test_admm import cd_lasso, obj
+
+    X, y = _handmade(tmpdir_path)
+    out = os.path.join(tmpdir_path, "job")
+    for lam in (0.5, 100.0):
+        res = jobs.lasso_job(spark, os.path.join(tmpdir_path, "geno.tsv"),
+                             os.path.join(tmpdir_path, "pheno.tsv"), out, lam=lam, rho="auto",
+                             n_blocks=3, abs_tol=1e-8, rel_tol=1e-8, max_iter=20000, strict=True)
+        # the minimiser is not unique, its objective is
+        assert abs(res["fit"].objective() - obj(X, y, cd_lasso(X, y, lam), lam)) < 1e-6
+    assert res["fit"].nnz() == 0                    # above max|Aᵀb|
+    assert res["report"].first()["joined_rows"] == 19
+    assert spark.read.parquet(os.path.join(out, "state")).count() == 10
+
+
 # fixed values: golden LASSO objectives (λ=5, all 64 dims, response `label`)
 # on the driver's `embeddings` table, with their non-zero counts
 EMB_GOLDEN = {"sf0.001": (6996.162401, 46), "sf0.01": (6525.344577, 49)}
