@@ -29,7 +29,7 @@ Spark layout:
   step returns iterates only, which are joined back on the block id, and the
   sums are added on the executors, so that one vector reaches the driver.
   The choice is physical: both give the same iterates.
-* The iterates are checkpointed every ``checkpoint_every`` rounds, which
+* Iterates (fused: whole rows) are checkpointed every ``checkpoint_every`` rounds, which
   bounds lineage and plan size; a superseded checkpoint is deleted.
 """
 
@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, checkpoint_dir, delete_path, written
+from ..session import bounded_broadcast, checkpoint_dir, checkpointed, delete_path
 from .moments import _list_array, full_from_upper_rows, hash_blocks, moments, partition_blocks
 
 # state rows up to this size are broadcast to the factor side
@@ -424,7 +424,7 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
     else:
         raise ValueError("mode must be 'dense', 'fat' or 'auto'")
     # the one write of the preparation: a lost executor never re-reads data
-    return problem_from_blocks(written(df.sparkSession, stats, "lasso-blocks")[0], rho, names)
+    return problem_from_blocks(stats.checkpoint(eager=True), rho, names)
 
 
 def _factor_bytes(p: int, n_blocks: int, n: int, fat: bool) -> int:
@@ -837,6 +837,9 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     carry = _factor_bytes(p, N, problem.n, problem.fat) <= FUSED_BYTES
     saved_path = None                # the last checkpoint of the iterates
 
+    def iterates_of(step: DataFrame) -> DataFrame:
+        return step.where(F.col("block_id").isNotNull()).select("block_id", "x", "u", "xp", "up")
+
     def attach(iterates: DataFrame) -> DataFrame:
         """The cached factors with N rows of 4·K·p doubles: broadcast while
         that is small, else joined on the factors' partitioning."""
@@ -879,27 +882,28 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
             pending[k] = {"iter": state.iteration + j, "eps_pri": eps_pri, "eps_dual": eps_dual,
                           "s": s, "xbar": xb, "ubar": ub}
             Z[k] = z_new
-        iterates = out.where(F.col("block_id").isNotNull()).select("block_id", "x", "u", "xp",
-                                                                   "up")
         if done.all():
             break
         if checkpoint_every and (j + 1) % checkpoint_every == 0:
-            # cut lineage: the iterates are written, the factors come back from
-            # the written block statistics by a narrow map
+            # cut lineage: rows with their factors as they are; else the iterates
+            # alone, and the factors come back from the block statistics
             before = saved_path
-            iterates, saved_path = written(spark, iterates, "lasso-iterates")
-            cur = attach(iterates)
+            if carry:
+                cur, saved_path = checkpointed(out.where(F.col("block_id").isNotNull()))
+            else:
+                iterates, saved_path = checkpointed(iterates_of(out))
+                cur = attach(iterates)
             for h in held:
                 h.unpersist()
             held = []
             if before:
                 delete_path(spark, before)
         else:
-            cur = out if carry else attach(iterates)
+            cur = out if carry else attach(iterates_of(out))
         while len(held) > 2:
             held.pop(0).unpersist()
     # write the resumable states (frozen xp/up of every fit), release caches
-    final, _ = written(spark, iterates.select("block_id", "xp", "up"), "lasso-state")
+    final = iterates_of(out).select("block_id", "xp", "up").checkpoint(eager=True)
     for h in held:
         h.unpersist()
     if saved_path:

@@ -74,6 +74,14 @@ def written(spark: SparkSession, df, name: str):
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def checkpointed(df):
+    """``(frame, path)``: a reliable checkpoint and the folder that holds it,
+    for :func:`delete_path` once it is superseded."""
+    out = df.checkpoint(eager=True)
+    kept = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return out, kept.get() if kept.isDefined() else None
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`written`, on whatever file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
