@@ -54,7 +54,7 @@ from .moments import _list_array, full_from_upper_rows, hash_blocks, moments, pa
 # state rows up to this size are broadcast to the factor side
 STATE_BROADCAST_BYTES = 64 << 20
 # factor tables up to this size travel with the iterates (see the module text)
-FUSED_BYTES = 32 << 20
+FUSED_BYTES = 256 << 20
 
 
 _LIST = pa.list_(pa.float64())
