@@ -461,6 +461,9 @@ def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
         blocks = blocks.repartition(n_eff if n_eff < 4 * parts else 4 * parts, "block_id")
     elif blocks.rdd.getNumPartitions() > parts:
         blocks = blocks.coalesce(parts)
+    elif fat and blocks.rdd.getNumPartitions() < parts:
+        # built by fewer tasks than the rounds can use: dealt out once
+        blocks = blocks.repartition(parts)
     return LassoProblem(_factor(blocks, rho_v, p, fat), blocks, p, n_eff, rho_v, xty,
                         float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat)
 
