@@ -262,14 +262,22 @@ def _confirmed_links(spark: SparkSession, members: DataFrame, sets: DataFrame,
 
     # exact remainder: members not yet compared, in blocks of bounded size
     rest = state.join(tested, ["bucket", "cls"], "left_anti")
-    open_ = rest.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("component").alias("c0"),
-        F.max("component").alias("c1")).where("c0 <> c1")
-    rest = rest.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-                                  .alias("k")), "bucket")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), "k").cast("int"))
-    met = rest.select("bucket", "cls", "component", "block", "k", F.explode(
-        F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    # a bucket's largest component is not compared with itself: its blocks meet
+    # the other members' blocks only
+    parts = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("bucket").agg(
+        F.max_by("component", "n").alias("main"), F.sum("n").alias("n"),
+        F.max("n").alias("n_main")).where("n > n_main")
+    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")       # noqa: E731
+    rest = rest.join(open_.select("bucket", "main", blocks(F.col("n") - F.col("n_main"))
+                                  .alias("k"), blocks(F.col("n_main")).alias("k_main")), "bucket")
+    h = F.xxhash64("cls")
+    rest = rest.withColumn("is_main", F.col("component") == F.col("main")).withColumn(
+        "block", F.when(F.col("is_main"), F.col("k") + F.pmod(h, "k_main"))
+        .otherwise(F.pmod(h, "k")).cast("int"))
+    met = rest.select("bucket", "cls", "component", "block", F.explode(F.sequence(
+        F.lit(0), F.when(F.col("is_main"), F.col("k")).otherwise(F.col("k") + F.col("k_main"))
+        - 1)).alias("other"))
     met = met.select(
         "bucket", "cls", "component", F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
