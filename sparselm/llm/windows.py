@@ -55,7 +55,9 @@ def window_blocks(data: np.ndarray, off: np.ndarray, length: int, hasher: RangeH
     stretch = (anchor - start) // STRETCH
     ref = anchor - stretch * STRETCH
     new = np.ones(len(start), dtype=bool)
-    new[1:] = (ref[1:] != ref[:-1]) | (start[1:] != start[:-1] + 1)
+    # the next anchor, at the far end of its window, may give the same ref
+    new[1:] = ((ref[1:] != ref[:-1]) | (stretch[1:] != stretch[:-1])
+               | (start[1:] != start[:-1] + 1))
     head = np.flatnonzero(new)
     tail = np.r_[head[1:], len(start)] - 1
     ref, first, last = ref[head], start[head], start[tail]

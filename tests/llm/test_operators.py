@@ -86,6 +86,18 @@ def test_suffix_dedup_of_a_crowded_core(spark, monkeypatch):
          [(k, *w) for k, w in enumerate(want)])
 
 
+def test_suffix_dedup_of_passages_copied_to_the_start_of_a_text(spark):
+    """First equal windows that lie behind the head of the source's block."""
+    source = prose(60_000, 20)
+    texts = [source] + [source[t:t + 420] for t in range(200, len(source) - 420, 450)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.repeated_strings(spark, df).collect()
+    want = brute.repeated_bytes(texts, 400)
+    assert len(texts) > 500 and all(n == gone for n, gone, _, _ in want[1:])
+    same([(r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got],
+         [(k, *w) for k, w in enumerate(want)])
+
+
 def test_license_scan(spark, docs, none):
     got = {}
     for r in license_scan.license_scan(spark, docs).collect():
