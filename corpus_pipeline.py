@@ -38,8 +38,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    kept = minhash_dedup.keepers(minhash_dedup.near_duplicates(spark, docs))
+    """One document of each group of near duplicates stays.  28 bands of 5
+    slots: a pair at the stage's 0.8 is missed with probability 1.5e-5."""
+    kept = minhash_dedup.keepers(minhash_dedup.near_duplicates(spark, docs, slots=140, band_rows=5))
     return _keyed(docs).join(_key(kept), "key", "left_semi").dropDuplicates(["key"]).select(
         "row.*")
 

@@ -87,3 +87,17 @@ def test_run(spark):
     rows = P.run(spark, SF).collect()
     assert rows and all(r["offset"] + r["length"] <= 2048 for r in rows)
     assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs at 0.8 that 24 bands of 6 slots all miss (four of 7,000 tried)."""
+    import corpus_pipeline as P
+
+    rows = []
+    for k in (33767, 35297, 36261, 36287):
+        w = prose(104, k).split()
+        rows += [(2 * k, " ".join(w[:94])), (2 * k + 1, " ".join(w[10:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in dict(P.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    want = {c for _, c in brute.near_duplicates(rows, 80)}
+    assert got == want and len(want) == 4
