@@ -3,23 +3,25 @@
 Built from DataFrame functions only.  Two findings per document:
 
 * *base*: places where a phrase's words stand consecutively;
-* *templates*: text blocks (lines) whose word set contains at least
-  ``threshold`` of a license template's word set.  Tokens are ordered by their
-  corpus frequency, rarest first.  With o = ceil(threshold * |T|) words to be
-  shared, a block that meets T holds one of T's first |T| - o + 1 tokens
-  (prefix filter) and at least o template words (length filter); the position
-  of the first shared token bounds the overlap that is still possible
-  (positional filter).  What passes is compared in full, so the join is exact.
+* *templates*: text blocks whose word set contains at least ``threshold`` of a
+  license template's word set.  A block is a run of ceil(L / threshold) words
+  of the text, L the template's number of words, wherever lines break (a shorter
+  text is one block).  Tokens are ordered by their corpus frequency, rarest
+  first.  With o = ceil(threshold * |T|) words to be shared, a block that meets T
+  holds one of T's first |T| - o + 1 tokens (prefix filter), so only the blocks
+  around those are looked at; the words around must hold o of T's tokens from the
+  shared one on (positional filter).  What passes is compared in full, block by
+  block, so the join is exact.
 
 Only template words are counted and ordered: words that are in no template can
 add nothing to an overlap.  The templates are constants of this module (or a
 caller's short list); frequencies of their words, at most a few hundred rows,
-are the only thing that reaches the driver.  Lines are narrowed down inside the
-scan, and only lines with a prefix token are written and joined.
+are the only thing that reaches the driver.  Only the words within a block's reach of a
+prefix token are written and joined.
 
 A null or empty text has no words, places or labels and score 0.  Rows that
-repeat id and text get the same result; ids may be null.  A text without line
-breaks is one block, whatever its length.  Empty tables give empty results.
+repeat id and text get the same result; ids may be null.  Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -68,10 +70,11 @@ THRESHOLD = 0.9
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(template, label, tokens: distinct words)."""
+    """(template, label, tokens: distinct words, n_words)."""
     raw = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)],
                                 "template int, label string, text string")
-    return raw.select("template", "label", F.array_distinct(words(F.col("text"))).alias("tokens"))
+    return raw.select("template", "label", F.array_distinct(words(F.col("text"))).alias("tokens"),
+                      F.size(words(F.col("text"))).alias("n_words"))
 
 
 def _preceded(w: Column, back: int, part: str):
@@ -94,8 +97,9 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                  threshold: float = THRESHOLD) -> DataFrame:
     """One row per document row: id, tkey, n_words, n_base, first_word,
     last_word, base_labels, labels (arrays, sorted), score (the highest
-    template containment of a block; 1 where a base phrase stands), blocks
-    (line number, template label, containment)."""
+    template containment of a block; 1 where a base phrase stands), blocks (the
+    best block around each prefix token that meets a template: line number of
+    its first template word, template label, containment)."""
     src = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tkey"),
                       F.col(text_col).alias("text"))
     tmpl = template_table(spark, templates)
@@ -108,20 +112,22 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         .groupBy("token").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda t: (freq.get(t, 0), t))
     rank = {t: i for i, t in enumerate(order)}
-    index = []                  # (token, template, position, size, needed)
+    index = []                  # of each template's prefix tokens
+    reach = {}                  # words of the longest block around a prefix token
     for r in tmpl.collect():
         tokens = sorted(r["tokens"], key=rank.get)
         need = math.ceil(threshold * len(tokens) - 1e-9)
+        width = math.ceil(r["n_words"] / threshold - 1e-9)
         for p, t in enumerate(tokens[:len(tokens) - need + 1]):
-            index.append((t, r["template"], r["label"], p, tokens, need))
-    prefix = sorted({x[0] for x in index})
-    shortest = min(x[5] for x in index)
+            index.append((t, r["template"], r["label"], tokens, tokens[p:], need, width))
+            reach[t] = max(reach.get(t, 0), width)
+    prefix = sorted(reach)
     index = spark.createDataFrame(
-        index, "token string, template int, label string, pos int, tokens array<string>, "
-               "need int")
+        index, "token string, template int, label string, tokens array<string>, "
+               "later array<string>, need int, width int")
 
-    ordered = F.array(*[F.lit(t) for t in order])
     marks = F.array(*[F.lit(t) for t in prefix])
+    reaches = F.create_map(*[F.lit(x) for t in prefix for x in (t, reach[t])])
     w = src.select("id", "tkey", "text", words(F.col("text")).alias("w"))
     has_mark = F.arrays_overlap("w", marks)
     starts = {}
@@ -131,35 +137,51 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         last = phrase.split()[-1]
         cols.append(F.when(F.array_contains("w", last), _places(F.col("w"), phrase))
                     .otherwise(F.array().cast("array<int>")).alias(f"_at{k}"))
-    lines = F.when(has_mark, F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("t"))),
-        lambda s: F.arrays_overlap(words(s["t"]), marks)))
-    found = saved(spark, w.select(
-        "id", "tkey", F.size("w").cast("long").alias("n_words"), *cols, lines.alias("lines")),
-        "license-blocks")
-
-    # candidates: blocks that share a prefix token with a template
-    block = found.select("id", "tkey", F.explode("lines").alias("s")).select(
-        "id", "tkey", F.col("s.line").alias("line"),
-        F.array_intersect(ordered, words(F.col("s.t"))).alias("have"))
-    block = block.where(F.size("have") >= shortest)                 # length filter
-    shared = block.withColumn("token", F.explode(F.array_intersect("have", marks))).join(
-        F.broadcast(index), "token")
-    at = F.array_position("have", F.col("token")) - 1
-    shared = shared.where(F.size("have") >= F.col("need")).groupBy(
-        "id", "tkey", "line", "template", "label", "need", "tokens", "have").agg(
-        F.min(F.struct("pos", at.alias("at"))).alias("first"))
-    possible = 1 + F.least(F.size("tokens") - F.col("first.pos") - 1,
-                           F.size("have") - F.col("first.at") - 1)  # positional filter
-    shared = shared.where(possible >= F.col("need")).withColumn(
-        "overlap", F.size(F.array_intersect("tokens", "have"))).where("overlap >= need")
+    # words with their line numbers, of texts with a prefix token
+    placed = F.when(has_mark, F.flatten(F.transform(
+        F.split("text", "\n"), lambda x, i: F.transform(
+            words(x), lambda t: F.struct(t.alias("t"), i.alias("line"))))))
+    found = w.select("id", "tkey", F.size("w").cast("long").alias("n_words"), *cols,
+                     placed.alias("placed"))
+    at = F.filter(F.transform("placed", lambda x, i: F.when(F.array_contains(marks, x["t"]), i)),
+                  lambda i: i.isNotNull())
+
+    def around(i):
+        token = F.get(F.col("placed"), i)["t"]
+        wide = F.element_at(reaches, token)
+        first = F.greatest(i - wide + 1, F.lit(0))
+        return F.struct(token.alias("token"), (i - first).alias("at"),
+                        F.slice("placed", first + 1, i - first + wide).alias("near"))
+
+    found = saved(spark, found.withColumn("places", F.transform(at, around)).drop("placed"),
+                  "license-blocks")
+
+    # candidates: the words within a block's reach of a template's prefix token
+    shared = found.select("id", "tkey", F.explode("places").alias("s")).select(
+        "id", "tkey", "s.*").join(F.broadcast(index), "token")
+    first = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
+    shared = shared.select("id", "tkey", "label", "tokens", "later", "need", "width", F.slice(
+        "near", first + 1, F.col("at") - first + F.col("width")).alias("near"))
+    shared = shared.where(                                          # positional filter
+        F.size(F.array_intersect("later", F.col("near.t"))) >= F.col("need"))
+    # the best block, the first of equals
+    n_near = F.size("near")
+    starts_ = F.sequence(F.lit(1), F.greatest(n_near - F.col("width") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts_, lambda i: F.struct(
+        F.size(F.array_intersect("tokens", F.slice(F.col("near.t"), i, F.col("width"))))
+        .alias("overlap"), (-i).alias("back"))))
+    shared = shared.withColumn("best", best).where("best.overlap >= need").select(
+        "id", "tkey", "label", "tokens", F.col("best.overlap").alias("overlap"),
+        F.get(F.filter(F.slice("near", -F.col("best.back"), F.col("width")),
+                       lambda x: F.array_contains("tokens", x["t"])), F.lit(0))["line"]
+        .alias("line"))
     hits = shared.groupBy("id", "tkey").agg(
         F.collect_set("label").alias("more"),
         F.max(F.col("overlap") / F.size("tokens")).alias("best"),
         F.collect_set(F.struct("line", "label", (F.col("overlap") / F.size("tokens"))
                                .alias("containment"))).alias("blocks"))
 
-    out = found.drop("lines").alias("f").join(
+    out = found.drop("places").alias("f").join(
         hits.alias("h"), F.col("f.id").eqNullSafe(F.col("h.id"))
         & (F.col("f.tkey") == F.col("h.tkey")), "left")
     every = F.concat(*[F.col(c) for c in starts.values()])
@@ -187,7 +209,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """DuckDB: brute force over every line and template."""
+    """DuckDB: brute force over every line and template (of notices on one line)."""
     split = ("list_filter(regexp_split_to_array(translate(coalesce({0}, ''), "
              "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
              r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")

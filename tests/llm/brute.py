@@ -94,6 +94,20 @@ def contamination(docs, items, n=10):
     return out
 
 
+def license_blocks(text, templates, least):
+    """(labels, highest containment) over all runs of ceil(words / least) words."""
+    w = words(text)
+    labels, best = set(), 0
+    for label, body in templates:
+        t = words(body)
+        wide, tokens = math.ceil(len(t) / least - 1e-9), set(t)
+        top = max(len(tokens & set(w[i:i + wide])) for i in range(max(len(w) - wide, 0) + 1))
+        if top >= math.ceil(least * len(tokens) - 1e-9):
+            labels.add(label)
+            best = max(best, top / len(tokens))
+    return labels, best
+
+
 BASE = (("assign", re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])"
                               r"|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])"
                               r"|(?:[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?"

@@ -113,6 +113,38 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_scan(spark, none).count() == 0
 
 
+def test_license_scan_of_wrapped_notices_and_scattered_words(spark):
+    """Every template hard-wrapped, amid prose; its words strewn over a text."""
+    def wrapped(text, n):
+        w = text.split()
+        return "\n * ".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+
+    rows, r = [], random.Random(11)
+    for k, (_, text) in enumerate(license_scan.TEMPLATES):
+        rows.append((3 * k, f"{prose(30, 40 + k)}\n{wrapped(text, 2 + k % 9)}\n{prose(30, 60 + k)}"))
+        w = text.split()
+        w[len(w) // 2:len(w) // 2] = ["zz"] * (len(w) // 10 + k % 2)
+        rows.append((3 * k + 1, wrapped(" ".join(w), 12)))
+        strewn = [x for t in r.sample(text.split(), len(text.split()))
+                  for x in (t, *prose(40, r.random()).split())]
+        rows.append((3 * k + 2, " ".join(strewn)))
+    rows += [(900, "All of it. " + prose(50, 80) + " rights " + prose(50, 81) + " reserved"),
+             (901, prose(3000, 82) + "\nAll\nrights\nreserved"), (902, "all rights"), (903, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["id"]: x for x in license_scan.license_scan(spark, df).collect()}
+    for i, text in rows:
+        labels, best = brute.license_blocks(text, license_scan.TEMPLATES, 0.9)
+        x = got[i]
+        assert set(x["labels"]) == labels | set(x["base_labels"])
+        assert {b["label"] for b in x["blocks"] or ()} == labels
+        assert max((b["containment"] for b in x["blocks"] or ()), default=0) == best
+    for k, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[3 * k]["labels"] and got[3 * k]["blocks"][0]["line"] >= 1
+        assert not got[3 * k + 2]["blocks"]
+    assert got[901]["labels"] == ["all-rights-reserved"] and got[901]["blocks"][0]["line"] == 1
+    assert not got[900]["labels"] and not got[902]["labels"]
+
+
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontaminate.contamination(spark, docs, items).collect()
