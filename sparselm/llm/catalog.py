@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparselm.llm import (
     decontaminate,
     embedding_dedup,
+    hard_negatives,
     license_scan,
     maxent_lm,
     minhash_dedup,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_maxent_lm": maxent_lm.op9_maxent_lm,
     "op10_minhash": minhash_dedup.op10_minhash,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 # the other queries are tested against brute-force versions in tests/llm
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

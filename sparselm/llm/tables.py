@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselm.session import scratch_path
+from sparselm.session import delete_path, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,15 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     read it back: cuts lineage, and every later reader sees the same rows."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete tables written by :func:`saved` whose last reader is done."""
+    for df in frames:
+        delete_path(spark, df.saved_path)
 
 
 def n_partitions(spark: SparkSession) -> int:
