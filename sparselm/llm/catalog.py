@@ -10,7 +10,9 @@ from sparselm.llm import (
     maxent_lm,
     minhash_dedup,
     packing,
+    personal_data,
     quality,
+    ranked_search,
     secret_scan,
     suffix_dedup,
     token_counts,
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_maxent_lm": maxent_lm.op9_maxent_lm,
     "op10_minhash": minhash_dedup.op10_minhash,
+    "op11_personal_data": personal_data.op11_personal_data,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
@@ -34,5 +38,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
