@@ -18,26 +18,29 @@ Spark layout:
 
 * The raw table is read **once**: :func:`prepare` builds the block moments
   (see :mod:`.moments`) and writes the block statistics to the checkpoint
-  folder, so a lost executor never re-reads the raw data. A narrow map adds
-  each block's ridge factor (Cholesky); that factor table is cached.
-* A round applies the pending u-update, takes every norm the stopping rule
-  needs and solves for the next x_i, block by block, in one ``mapInArrow``
-  step. Several penalties run in lockstep in the same step.
-* Factor tables up to ``FUSED_BYTES`` travel with the iterates: a round is one
-  stage without a shuffle, and the partitions' sums are added on the driver.
-  Beyond it the factors stay where they are cached, partitioned by block; the
-  step returns iterates only, which are joined back on the block id, and the
-  sums are added on the executors, so that one vector reaches the driver.
-  The choice is physical: both give the same iterates.
-* Iterates (fused: whole rows) are checkpointed every ``checkpoint_every`` rounds, which
-  bounds lineage and plan size; a superseded checkpoint is deleted.
+  folder, so a lost executor never re-reads the raw data.
+* A narrow map adds each block's *eigen-factor*: rows B and values s with
+  ``A_iᵀA_i = Bᵀ diag(s) B`` (dense) or ``A_iᵀA_i = BᵀB, BBᵀ = diag(s)`` (fat).
+  One decomposition answers every ρ and gives ``zᵀA_iᵀA_i z`` as well. Factors
+  are binary columns, hash-partitioned by block and cached.
+* A block's iterate is a function of a saved iterate and the z of the rounds
+  since. A round *replays* those rounds in the task that holds the factor, in
+  one ``mapInArrow`` step that applies the pending u-update, takes every norm
+  the stopping rule needs and solves for x_i, for all penalties in lockstep.
+  Only sums leave it: neither iterates nor factors are moved or copied.
+* The partitions' sums are added on the executors, in levels
+  (:func:`.reduction.added`) until a bounded number of rows is left.
+* Every ``checkpoint_every`` rounds the iterates are written, partitioned like
+  the factors and cached, which bounds the replay and the lineage; a superseded
+  checkpoint is deleted. Both sides of the join are partitioned by block, so no
+  round has an exchange of either, at any size.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Iterable
 
 import numpy as np
@@ -49,13 +52,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_broadcast, checkpoint_dir, checkpointed, delete_path
-from .moments import _list_array, full_from_upper_rows, hash_blocks, moments, partition_blocks
-
-# state rows up to this size are broadcast to the factor side
-STATE_BROADCAST_BYTES = 64 << 20
-# factor tables up to this size travel with the iterates (see the module text)
-FUSED_BYTES = 256 << 20
-
+from .moments import _list_array, full_from_upper_rows, hash_blocks, moments
+from .reduction import added
 
 _LIST = pa.list_(pa.float64())
 
@@ -87,8 +85,9 @@ class LassoProblem:
 
     ``blocks``: ``block_id, g (flat A_iᵀA_i), q0 (A_iᵀb_i), n, yy, tr`` —
     written to the checkpoint folder, the only thing kept from the data scan.
-    ``factors``: the same rows plus ``m`` = flat (A_iᵀA_i + ρI)⁻¹, derived
-    from ``blocks`` by a narrow map (recomputed from the checkpoint if lost).
+    ``factors``: ``block_id, b, s, q0`` (see the module text), derived from
+    ``blocks`` by a narrow map (recomputed from the checkpoint if lost); the
+    same for every ρ.
     ``xty``/``yy``/``n`` are totals kept on the driver (p numbers).
     """
 
@@ -103,21 +102,13 @@ class LassoProblem:
     trace: float
     names: DataFrame | None = None
     fat: bool = False
-
-    @property
-    def factor_cols(self) -> list[str]:
-        return list(_FAT_FACTOR_COLS if self.fat else _DENSE_FACTOR_COLS)
+    partitions: int = 1
 
     def with_rho(self, rho: float | str) -> "LassoProblem":
-        """Refactor for another ρ from the stored block statistics (no data
-        rescan)."""
+        """The same problem for another ρ: the decomposition serves every ρ."""
         rho_v = _resolve_rho(rho, self.trace, self.p, self.n_blocks,
                              self.n if self.fat else None)
-        if rho_v == self.rho:
-            return self
-        return LassoProblem(_factor(self.blocks, rho_v, self.p, self.fat), self.blocks, self.p,
-                            self.n_blocks, rho_v, self.xty, self.yy, self.n, self.trace,
-                            self.names, self.fat)
+        return self if rho_v == self.rho else replace(self, rho=rho_v)
 
     def release(self) -> None:
         """Drop the cached factor rows (the checkpointed statistics stay)."""
@@ -157,65 +148,79 @@ _BLOCK_SCHEMA = T.StructType([
 
 _FACTOR_SCHEMA = T.StructType([
     T.StructField("block_id", T.LongType()),
-    T.StructField("m", T.ArrayType(T.DoubleType())),
-    T.StructField("g", T.ArrayType(T.DoubleType())),
+    T.StructField("b", T.BinaryType()),
+    T.StructField("s", T.BinaryType()),
     T.StructField("q0", T.ArrayType(T.DoubleType()))])
 
 
-def _factor_fn(rho: float, p: int):
+def eigen_factor(G: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows B and values s of a Gram matrix: ``G = Bᵀ diag(s) B``, ``BBᵀ = I``."""
+    s, V = np.linalg.eigh(G)
+    return np.ascontiguousarray(V.T), np.maximum(s, 0.0)
+
+
+def eigen_rows(A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows B and values s of a block of rows: ``AᵀA = BᵀB``, ``BBᵀ = diag(s)``."""
+    s, W = np.linalg.eigh(A @ A.T)
+    return np.ascontiguousarray(W.T @ A), np.maximum(s, 0.0)
+
+
+def _factor_fn(p: int, fat: bool):
     def factor(batches):
         for rb in batches:
-            rows = rb.num_rows
-            if rows == 0:
-                continue
             col = rb.schema.get_field_index
-            G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
-            M = np.empty_like(G)
-            eye = np.eye(p)
-            for r in range(rows):
-                # Cholesky raises if G + ρI is not positive definite
-                L = np.linalg.cholesky(G[r] + rho * eye)
-                Linv = np.linalg.solve(L, eye)
-                M[r] = Linv.T @ Linv
+            rows = rb.column(col("a" if fat else "g"))
+            found = [(eigen_rows if fat else eigen_factor)(
+                _row_values(rows, r).reshape(-1, p)) for r in range(rb.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [rb.column(col("block_id")), _list_array(M.reshape(rows, p * p)),
-                 rb.column(col("g")), rb.column(col("q0"))],
-                names=["block_id", "m", "g", "q0"])
+                [rb.column(col("block_id")),
+                 pa.array([b.tobytes() for b, _ in found], pa.binary()),
+                 pa.array([v.tobytes() for _, v in found], pa.binary()),
+                 rb.column(col("q0"))], names=["block_id", "b", "s", "q0"])
 
     return factor
 
 
-def _factor(blocks: DataFrame, rho: float, p: int, fat: bool = False) -> DataFrame:
-    """Add the inverse ridge factor per block (narrow map, kept in memory)."""
-    if fat:
-        out = (blocks.select("block_id", "a", "ni", "q0")
-               .mapInArrow(_fat_factor_fn(float(rho), p), _FAT_FACTOR_SCHEMA))
-    else:
-        out = (blocks.select("block_id", "g", "q0")
-               .mapInArrow(_factor_fn(float(rho), p), _FACTOR_SCHEMA))
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+# block ids whose spread over partitions is looked at, at most
+_SPREAD_BLOCKS = 4096
+
+
+def _partitions_for(blocks: DataFrame, n_blocks: int, parts: int) -> int:
+    """Partitions of the factor table. With few blocks a hash puts some of them
+    together; the smallest count near ``parts`` that does so least is taken."""
+    if n_blocks > _SPREAD_BLOCKS:
+        return 4 * parts
+    ids = np.array([r[0] for r in blocks.select(F.hash("block_id")).collect()], dtype=np.int64)
+    load = {k: int(np.bincount(ids % k).max(initial=0)) for k in range(parts, 4 * parts + 1)}
+    return min(load, key=lambda k: (load[k], k))
+
+
+def _factor(blocks: DataFrame, p: int, fat: bool, parts: int) -> DataFrame:
+    """The eigen-factor per block, partitioned by block and kept in memory."""
+    return (blocks.select("block_id", "a" if fat else "g", "q0")
+            .mapInArrow(_factor_fn(p, fat), _FACTOR_SCHEMA)
+            .repartition(parts, "block_id").persist(StorageLevel.MEMORY_AND_DISK))
 
 
 # ---------------------------------------------------------------- fat blocks
 #
 # When a block has fewer rows than features (p > n_i: wide genotype tables,
 # interaction features) the p×p factor is wasteful or impossible. A fat block
-# keeps its rows A_i (n_i × p) and the small factor K_i = (ρI + A_iA_iᵀ)⁻¹, and
-# the x-update uses the matrix inversion lemma:
-#     (A_iᵀA_i + ρI)⁻¹ q = (q − A_iᵀ K_i A_i q) / ρ
+# keeps its rows A_i (n_i × p); with A_iA_iᵀ = W diag(s) Wᵀ and B = WᵀA_i the
+# x-update uses the matrix inversion lemma:
+#     (A_iᵀA_i + ρI)⁻¹ q = (q − Bᵀ diag(1/(s+ρ)) B q) / ρ
 # so a round costs O(n_i·p) per block instead of O(p²), and no p×p matrix is
 # ever formed. Blocks are runs of at most ``rows_per_block`` consecutive rows
 # of a reading task, so their size is bounded whatever the key distribution.
 
+# dense blocks of a fit that asks for no number
+DEFAULT_BLOCKS = 4
 # widest design that ``mode="auto"`` fits with dense blocks: a factor of 32 MB
 DENSE_MAX_FEATURES = 2048
 # bytes of one fat block's rows, from which the rows per block are derived
 FAT_BLOCK_BYTES = 16 << 20
 FAT_BLOCK_ROWS = 512
 
-_DENSE_FACTOR_COLS = ("m", "g", "q0")
-_FAT_FACTOR_COLS = ("a", "k", "ni", "q0")
-
 _FAT_BLOCK_SCHEMA = T.StructType([
     T.StructField("block_id", T.LongType()),
     T.StructField("a", T.ArrayType(T.DoubleType())),
@@ -225,39 +230,10 @@ _FAT_BLOCK_SCHEMA = T.StructType([
     T.StructField("yy", T.DoubleType()),
     T.StructField("tr", T.DoubleType())])
 
-_FAT_FACTOR_SCHEMA = T.StructType([
-    T.StructField("block_id", T.LongType()),
-    T.StructField("a", T.ArrayType(T.DoubleType())),
-    T.StructField("k", T.ArrayType(T.DoubleType())),
-    T.StructField("ni", T.LongType()),
-    T.StructField("q0", T.ArrayType(T.DoubleType()))])
-
-
 def _row_values(col: pa.Array, r: int) -> np.ndarray:
     return col[r].values.to_numpy(zero_copy_only=False)
 
 
-def _fat_factor_fn(rho: float, p: int):
-    def factor(batches):
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            col = rb.schema.get_field_index
-            ks = []
-            for r in range(rb.num_rows):
-                ni = int(rb.column(col("ni"))[r].as_py())
-                A = _row_values(rb.column(col("a")), r).reshape(ni, p)
-                L = np.linalg.cholesky(rho * np.eye(ni) + A @ A.T)
-                Linv = np.linalg.solve(L, np.eye(ni))
-                ks.append((Linv.T @ Linv).reshape(-1))
-            k = pa.array(ks, type=pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(col("block_id")), rb.column(col("a")), k, rb.column(col("ni")),
-                 rb.column(col("q0"))], names=["block_id", "a", "k", "ni", "q0"])
-
-    return factor
-
-
 def fat_rows(p: int) -> int:
     """Rows of a fat block of p features: ``FAT_BLOCK_ROWS``, or fewer so that
     its cell stays within ``FAT_BLOCK_BYTES``."""
@@ -371,11 +347,10 @@ def block_statistics(df: DataFrame, features: str = "features", label: str = "la
                      block_col: Column | str | None = None) -> DataFrame:
     """One row per block: ``block_id, g, q0, n, yy, tr`` (lazy)."""
     spark = df.sparkSession
-    if block_col is None and n_blocks:
-        # asked for: the same blocks however the rows are partitioned
-        block = hash_blocks(F.struct(F.col(features), F.col(label)), int(n_blocks))
-    elif block_col is None:
-        block = partition_blocks(spark.sparkContext.defaultParallelism)
+    if block_col is None:
+        # the same blocks however the rows are partitioned
+        block = hash_blocks(F.struct(F.col(features), F.col(label)),
+                            int(n_blocks or DEFAULT_BLOCKS))
     else:
         block = F.col(block_col) if isinstance(block_col, str) else block_col
     src = df.select(block.cast("long").alias("block_id"),
@@ -404,9 +379,10 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
     record what was used.
 
     ``block_col`` overrides the block assignment (any integer column or
-    expression); ``n_blocks`` asks for that many dense blocks by a hash of the
-    row, the same for every partitioning. With neither, dense blocks follow the
-    reading task (:func:`.moments.partition_blocks`), the cheapest to reduce.
+    expression); ``n_blocks`` (``DEFAULT_BLOCKS`` if not given) asks for that many
+    dense blocks by a hash of the row: the same blocks, and the same iterates,
+    for every partitioning. ``block_col=moments.partition_blocks(n)`` follows the
+    reading task instead, the cheapest to reduce.
     """
     checkpoint_dir(df.sparkSession)
     if mode == "auto":
@@ -427,12 +403,6 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
     return problem_from_blocks(stats.checkpoint(eager=True), rho, names)
 
 
-def _factor_bytes(p: int, n_blocks: int, n: int, fat: bool) -> int:
-    """Size of the factor table."""
-    rows = n / max(n_blocks, 1)
-    return int(8 * n_blocks * ((rows * p + rows ** 2) if fat else 2 * p * p))
-
-
 def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
                         names: DataFrame | None = None) -> LassoProblem:
     """LassoProblem from a block-statistics table (``block_id, g, q0, n, yy,
@@ -453,19 +423,14 @@ def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
     fat = "a" in blocks.columns
     # fat blocks: spread the trace over the rows of a block (see _resolve_rho)
     rho_v = _resolve_rho(rho, float(tot["tr"]), p, n_eff, int(tot["n"]) if fat else None)
-    # one round runs one task per partition of the block table: at most one
-    # partition per block, at most the cluster's parallelism
-    parts = max(1, min(n_eff, blocks.sparkSession.sparkContext.defaultParallelism))
-    if _factor_bytes(p, n_eff, int(tot["n"]), fat) > FUSED_BYTES:
-        # iterates are joined to these rows every round: shuffled once, here
-        blocks = blocks.repartition(n_eff if n_eff < 4 * parts else 4 * parts, "block_id")
-    elif blocks.rdd.getNumPartitions() > parts:
-        blocks = blocks.coalesce(parts)
-    elif fat and blocks.rdd.getNumPartitions() < parts:
-        # built by fewer tasks than the rounds can use: dealt out once
-        blocks = blocks.repartition(parts)
-    return LassoProblem(_factor(blocks, rho_v, p, fat), blocks, p, n_eff, rho_v, xty,
-                        float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat)
+    # a decomposition per block, by all cores; then one task per partition a round
+    wide = blocks.sparkSession.sparkContext.defaultParallelism
+    have = blocks.rdd.getNumPartitions()
+    if have < min(n_eff, wide):
+        blocks = blocks.repartition(min(n_eff, wide))
+    parts = _partitions_for(blocks, n_eff, max(1, min(n_eff, wide)))
+    return LassoProblem(_factor(blocks, p, fat, parts), blocks, p, n_eff, rho_v, xty,
+                        float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat, parts)
 
 
 def merge_block_statistics(parts: DataFrame) -> DataFrame:
@@ -541,148 +506,101 @@ def initial_state(problem: LassoProblem) -> AdmmState:
     return AdmmState(blocks, np.zeros(problem.p), problem.rho, 0)
 
 
-# Step rows: one per block, carrying the factors and, for K fits run in
-# lockstep, the iterates as K×p row-major arrays: x = x^{k+1}, u = u^k, and the
-# round's input xp = x^k, up = u^{k-1} (the resumable state of a fit that stops
-# at this round). Plus one partial-sum row per partition (block_id null):
-# x = Σx^{k+1}, u = Σu^k, and K-long Σ‖x^k‖², Σ‖u^k‖², Σ‖x^k − z^k‖², Σ zᵀA_iᵀA_i z.
+# Iterate rows: one per block, for K fits run in lockstep as K×p row-major
+# arrays: x = x^{k+1}, u = u^k, and the last round's input xp = x^k, up = u^{k-1}
+# (the resumable state of a fit that stops there).
 _DARR = T.ArrayType(T.DoubleType())
-_STATE_COLS = ("x", "u", "xp", "up", "xx", "uu", "r2", "zgz")
-
-
-def _step_schemas(fat: bool, carry: bool = True):
-    fcols = (_FAT_FACTOR_COLS if fat else _DENSE_FACTOR_COLS) if carry else ()
-    spark_fields = [T.StructField("block_id", T.LongType())]
-    arrow_fields = [("block_id", pa.int64())]
-    for c in fcols + _STATE_COLS:
-        long_col = c == "ni"
-        spark_fields.append(T.StructField(c, T.LongType() if long_col else _DARR))
-        arrow_fields.append((c, pa.int64() if long_col else _LIST))
-    spark_fields.append(T.StructField("nb", T.LongType()))
-    arrow_fields.append(("nb", pa.int64()))
-    return T.StructType(spark_fields), pa.schema(arrow_fields), fcols
-
-
-def _solve_dense(rb, col, rows, p, Q):
-    M = _mat(rb.column(col("m")), rows, p * p).reshape(rows, p, p)
-    return Q @ np.swapaxes(M, 1, 2)                      # row r: M_r q for each fit
-
-
-def _solve_fat(rb, col, rows, p, Q, rho):
-    out = np.empty_like(Q)
-    for r in range(rows):
-        ni = int(rb.column(col("ni"))[r].as_py())
-        A = _row_values(rb.column(col("a")), r).reshape(ni, p)
-        K = _row_values(rb.column(col("k")), r).reshape(ni, ni)
-        # (AᵀA + ρI)⁻¹ q = (q − Aᵀ (ρI + AAᵀ)⁻¹ A q) / ρ  for all fits at once
-        out[r] = (Q[r] - ((Q[r] @ A.T) @ K) @ A) / rho
-    return out
-
-
-def _zgz_rows(rb, col, rows, p, Z, fat):
-    if fat:
-        return np.stack([((_row_values(rb.column(col("a")), r).reshape(-1, p) @ Z.T) ** 2)
-                         .sum(axis=0) for r in range(rows)])
-    G = _mat(rb.column(col("g")), rows, p * p).reshape(rows, p, p)
-    return np.einsum("kj,rjl,kl->rk", Z, G, Z)
-
-
-def _step_fn(Z: np.ndarray, rho: float, p: int, active: np.ndarray, solve: bool = True,
-             fat: bool = False, carry: bool = True):
-    """One fused ADMM round for the blocks of a partition, K fits at once.
-
-    Per block and fit: apply the pending u-update ``u^k = u^{k-1} + x^k − z^k``,
-    take the norms the stopping rule needs, and solve
-    ``x^{k+1} = (A_iᵀA_i + ρI)⁻¹(A_iᵀb_i + ρ(z^k − u^k))`` — for all K fits as
-    one matrix product (dense blocks: the stored inverse; fat blocks: the
-    matrix inversion lemma on the block rows). Fits that are not ``active``
-    keep their state.
+_STATE = ("x", "u", "xp", "up")
+_STATE_SCHEMA = T.StructType([T.StructField("block_id", T.LongType()),
+                              *[T.StructField(c, _DARR) for c in _STATE]])
+_SUM_SCHEMA = T.StructType([T.StructField("v", _DARR), T.StructField("nb", T.LongType())])
+
+
+def _solve(B, s, Q, rho: float, fat: bool) -> np.ndarray:
+    """(A_iᵀA_i + ρI)⁻¹ q for every block and fit: B rows×r×p, s rows×1×r, Q rows×K×p."""
+    T_ = (Q @ np.swapaxes(B, 1, 2)) / (s + rho)
+    return (Q - T_ @ B) / rho if fat else T_ @ B
+
+
+def _same_size(rb: pa.RecordBatch):
+    """Runs of blocks with factors of one size, so that they stack."""
+    size = pc.binary_length(rb.column("s")).to_numpy(zero_copy_only=False)
+    cut = np.flatnonzero(np.diff(size)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), rb.num_rows]):
+        if hi > lo:
+            yield rb.slice(lo, hi - lo)
+
+
+def _stacked(col: pa.Array, rows: int) -> np.ndarray:
+    """Binary cells of one size as a rows × n matrix, without a copy."""
+    _, off, data = col.buffers()
+    kind = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    off = np.frombuffer(off, dtype=kind)[col.offset:col.offset + rows + 1]
+    return np.frombuffer(data, dtype="<f8", offset=int(off[0]),
+                         count=int(off[-1] - off[0]) // 8).reshape(rows, -1)
+
+
+def _replay_fn(rounds: list, rho: float, p: int, fat: bool, sums: bool):
+    """Replay ``rounds`` (Z, active, solve) on the blocks of a partition, K fits
+    at once, from their saved iterates.
+
+    A round, per block and fit: apply the pending u-update
+    ``u^k = u^{k-1} + x^k − z^k`` and solve
+    ``x^{k+1} = (A_iᵀA_i + ρI)⁻¹(A_iᵀb_i + ρ(z^k − u^k))``. Fits that are not
+    ``active`` keep their state. With ``sums`` the output is one row: Σx^{k+1},
+    Σu^k, and per fit Σ‖x^k‖², Σ‖u^k‖², Σ‖x^k − z^k‖², Σ zᵀA_iᵀA_i z of the last
+    round; else the iterates after it.
     """
-    K = Z.shape[0]
-    act = active.astype(bool)[None, :, None]
-    _, arrow_schema, fcols = _step_schemas(fat, carry)
-
-    def step(batches: Iterable[pa.RecordBatch]):
-        sx, su = np.zeros((K, p)), np.zeros((K, p))
-        tot = np.zeros((4, K))
-        nb = 0
-        for rb in batches:
-            col = rb.schema.get_field_index
-            if rb.column(col("block_id")).null_count:
-                # partial-sum rows of the previous round are not state
-                rb = rb.filter(pc.is_valid(rb.column(col("block_id"))))
+    K = rounds[-1][0].shape[0]
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        sx, su, tot, nb = np.zeros((K, p)), np.zeros((K, p)), np.zeros((4, K)), 0
+        for rb in (part for batch in batches for part in _same_size(batch)):
             rows = rb.num_rows
-            if rows == 0:
+            s = _stacked(rb.column("s"), rows)[:, None, :]
+            B = _stacked(rb.column("b"), rows).reshape(rows, -1, p)
+            q0 = _mat(rb.column("q0"), rows, p)[:, None, :]
+            X, Up, XP, UP = (_mat(rb.column(c), rows, K * p).reshape(rows, K, p) for c in _STATE)
+            for Z, active, solve in rounds:
+                U = Up + X - Z                                   # pending u-update
+                Xn = _solve(B, s, q0 + rho * (Z - U), rho, fat) if solve else X
+                last = X
+                if active.all():
+                    X, Up, XP, UP = Xn, U, X, Up
+                else:
+                    act = active[None, :, None]
+                    X, Up, XP, UP = (np.where(act, Xn, X), np.where(act, U, Up),
+                                     np.where(act, X, XP), np.where(act, Up, UP))
+            if not sums:
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column("block_id"), *[_list_array(M.reshape(rows, K * p))
+                                              for M in (X, Up, XP, UP)]],
+                    names=["block_id", *_STATE])
                 continue
-            q0 = _mat(rb.column(col("q0")), rows, p)
-            X = _mat(rb.column(col("x")), rows, K * p).reshape(rows, K, p)
-            Up = _mat(rb.column(col("u")), rows, K * p).reshape(rows, K, p)
-            XP = _mat(rb.column(col("xp")), rows, K * p).reshape(rows, K, p)
-            UP = _mat(rb.column(col("up")), rows, K * p).reshape(rows, K, p)
-            U = Up + X - Z                                   # pending u-update
-            D = X - Z
-            xx = np.einsum("rkj,rkj->rk", X, X)
-            uu = np.einsum("rkj,rkj->rk", U, U)
-            r2 = np.einsum("rkj,rkj->rk", D, D)
-            zgz = _zgz_rows(rb, col, rows, p, Z, fat)
-            if solve:
-                Q = q0[:, None, :] + rho * (Z - U)
-                Xn = (_solve_fat(rb, col, rows, p, Q, rho) if fat
-                      else _solve_dense(rb, col, rows, p, Q))
-            else:
-                Xn = X
             sx += Xn.sum(axis=0)
             su += U.sum(axis=0)
-            tot += [xx.sum(axis=0), uu.sum(axis=0), r2.sum(axis=0), zgz.sum(axis=0)]
+            D, BZ = last - Z, Z @ np.swapaxes(B, 1, 2)
+            tot += [np.einsum("rkj,rkj->k", last, last), np.einsum("rkj,rkj->k", U, U),
+                    np.einsum("rkj,rkj->k", D, D),
+                    np.einsum("rkj,rkj->k", BZ if fat else BZ * s, BZ)]
             nb += rows
-            flat = (lambda A: _list_array(A.reshape(rows, K * p)))
-            none = pa.nulls(rows, _LIST)
+        if sums:
+            v = np.concatenate([sx.ravel(), su.ravel(), tot.ravel()])
             yield pa.RecordBatch.from_arrays(
-                [rb.column(col("block_id"))] + [rb.column(col(c)) for c in fcols]
-                + [flat(np.where(act, Xn, X)), flat(np.where(act, U, Up)),
-                   flat(np.where(act, X, XP)), flat(np.where(act, Up, UP)),
-                   none, none, none, none, pa.nulls(rows, pa.int64())], schema=arrow_schema)
-        if nb:
-            def empty(c):
-                return pa.nulls(1, pa.int64() if c == "ni" else _LIST)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64())] + [empty(c) for c in fcols]
-                + [_list_array(sx.reshape(1, -1)), _list_array(su.reshape(1, -1)),
-                   empty("xp"), empty("up")]
-                + [_list_array(t.reshape(1, -1)) for t in tot]
-                + [pa.array([nb], pa.int64())], schema=arrow_schema)
+                [_list_array(v[None, :]), pa.array([nb], pa.int64())], names=["v", "nb"])
 
-    return step
+    return run
 
 
-def _run_step(cur: DataFrame, Z: np.ndarray, rho: float, p: int, active: np.ndarray,
-              solve: bool = True, fat: bool = False, carry: bool = True):
-    """One round: the step runs where the blocks are and its output is
-    persisted; with ``carry`` the factors travel along and the per-partition
-    sums come to the driver, else only one row of totals does."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    K = Z.shape[0]
-    schema, _, _ = _step_schemas(fat, carry)
-    out = (cur.mapInArrow(_step_fn(Z, rho, p, active, solve, fat, carry), schema)
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    vectors = ("x", "u", "xx", "uu", "r2", "zgz")
-    parts = out.where(F.col("block_id").isNull()).select(*vectors, "nb")
-    if not carry:
-        parts = parts.agg(*[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
-                            for c in vectors], F.sum("nb").alias("nb"))
-    agg = {"sx": np.zeros((K, p)), "su": np.zeros((K, p)), "nb": 0}
-    for k in ("xx", "uu", "r2", "zgz"):
-        agg[k] = np.zeros(K)
-    for r in parts.collect():
-        agg["sx"] += np.asarray(r["x"]).reshape(K, p)
-        agg["su"] += np.asarray(r["u"]).reshape(K, p)
-        for k in ("xx", "uu", "r2", "zgz"):
-            agg[k] += np.asarray(r[k])
-        agg["nb"] += r["nb"]
-    # the next round reads ``out`` as is: the step skips the partial rows
-    return out, agg
+def _round_sums(joined: DataFrame, rounds: list, rho: float, p: int, fat: bool,
+                partitions: int) -> dict:
+    """Sums of the last of ``rounds``; a bounded number of rows reaches the driver."""
+    K = rounds[-1][0].shape[0]
+    v, nb = added(joined.mapInArrow(_replay_fn(rounds, rho, p, fat, True), _SUM_SCHEMA),
+                  partitions)
+    tot = v[2 * K * p:].reshape(4, K)
+    return {"sx": v[:K * p].reshape(K, p), "su": v[K * p:2 * K * p].reshape(K, p),
+            **dict(zip(("xx", "uu", "r2", "zgz"), tot)), "nb": nb}
 
 
 # ---------------------------------------------------------------- fit
@@ -701,6 +619,7 @@ class LassoFit:
     xbar: np.ndarray
     ubar: np.ndarray
     problem: LassoProblem = field(repr=False)
+    round_seconds: list = field(default_factory=list)
 
     # -- DataFrame views -------------------------------------------------
     def coefficients(self, nonzero_only: bool = False) -> DataFrame:
@@ -720,6 +639,12 @@ class LassoFit:
         spark = self.problem.factors.sparkSession
         return spark.createDataFrame(self.history_rows, HISTORY_SCHEMA)
 
+    def timings(self) -> DataFrame:
+        """``(iter, seconds)``: wall-clock time of every round's job."""
+        spark = self.problem.factors.sparkSession
+        return spark.createDataFrame([(int(i), float(t)) for i, t in self.round_seconds],
+                                     "iter int, seconds double")
+
     def final_state(self) -> DataFrame:
         """``(idx, name, z, xbar, ubar)``."""
         spark = self.problem.factors.sparkSession
@@ -782,7 +707,7 @@ def _zgz_many(problem: LassoProblem, Z: np.ndarray) -> np.ndarray:
 
 
 def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float = 1e-6,
-        rel_tol: float = 1e-6, init: AdmmState | None = None, checkpoint_every: int = 10,
+        rel_tol: float = 1e-6, init: AdmmState | None = None, checkpoint_every: int = 20,
         logs: bool = False) -> LassoFit:
     """Run consensus ADMM to convergence (or ``max_iter`` rounds).
 
@@ -795,7 +720,7 @@ def fit(problem: LassoProblem, lam: float, max_iter: int = 1000, abs_tol: float
 
 def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float = 1e-6,
              rel_tol: float = 1e-6, init: AdmmState | None = None,
-             checkpoint_every: int = 10, logs: bool = False) -> list[LassoFit]:
+             checkpoint_every: int = 20, logs: bool = False) -> list[LassoFit]:
     """Fit several penalties in lockstep: one Spark stage per round for all.
 
     Each fit follows exactly the iterate sequence of a single :func:`fit`
@@ -815,18 +740,30 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     if state.rho != rho:
         blocks = blocks.select("block_id", "x",
                                F.transform("u", lambda v: v * F.lit(state.rho / rho)).alias("u"))
-    base = ["block_id", *problem.factor_cols]
+    parts = problem.partitions
+
+    def tile(c):
+        return F.flatten(F.array_repeat(F.col(c), K)).alias(c) if K > 1 else F.col(c)
+
     if init is None:
         zero = F.array_repeat(F.lit(0.0), K * p)
-        cur = problem.factors.select(*base, zero.alias("x"), zero.alias("u"),
-                                     zero.alias("xp"), zero.alias("up"))
+        start = problem.factors.select("block_id", *[zero.alias(c) for c in _STATE])
     else:
-        def tile(c):
-            return F.flatten(F.array_repeat(F.col(c), K)) if K > 1 else F.col(c)
-        # one join per fit call to attach the saved iterate to the factors
-        cur = problem.factors.join(blocks.select("block_id", tile("x").alias("x"),
-                                                 tile("u").alias("u")), "block_id") \
-            .select(*base, "x", "u", F.col("x").alias("xp"), F.col("u").alias("up"))
+        start = blocks.select("block_id", tile("x"), tile("u")).select(
+            "block_id", "x", "u", F.col("x").alias("xp"), F.col("u").alias("up"))
+
+    def placed(iterates: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(factors with iterates, the cached iterates): both sides lie by block
+        on the same partitions, so the join moves neither."""
+        held = iterates.repartition(parts, "block_id").persist(StorageLevel.MEMORY_AND_DISK)
+        return problem.factors.join(held.hint("shuffle_hash"), "block_id").select(
+            "block_id", "b", "s", "q0", *_STATE), held
+
+    if init is None:                # all zeros where the factors are: nothing to place
+        joined, held = problem.factors.select(
+            "block_id", "b", "s", "q0", *[zero.alias(c) for c in _STATE]), None
+    else:
+        joined, held = placed(start)
     Z = np.tile(np.asarray(state.z, dtype=np.float64), (K, 1))
     kappa = np.array(lams) / (rho * N)
     sqrt_pn = math.sqrt(p * N)
@@ -835,26 +772,17 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     done = np.zeros(K, dtype=bool)
     converged = [False] * K
     it_done = [0] * K
+    spent: list = []                 # (round, seconds)
     xbar, ubar = np.zeros((K, p)), np.zeros((K, p))
-    held: list = []                  # persisted round outputs still referenced
-    carry = _factor_bytes(p, N, problem.n, problem.fat) <= FUSED_BYTES
     saved_path = None                # the last checkpoint of the iterates
-
-    def iterates_of(step: DataFrame) -> DataFrame:
-        return step.where(F.col("block_id").isNotNull()).select("block_id", "x", "u", "xp", "up")
-
-    def attach(iterates: DataFrame) -> DataFrame:
-        """The cached factors with N rows of 4·K·p doubles: broadcast while
-        that is small, else joined on the factors' partitioning."""
-        if N * 4 * K * p * 8 <= STATE_BROADCAST_BYTES:
-            iterates = F.broadcast(iterates)
-        return problem.factors.join(iterates, "block_id").select(*base, "x", "u", "xp", "up")
+    rounds: list = []                # (z, active, solve) since the saved iterates
     for j in range(max_iter + 1):
         last = j == max_iter
         active = ~done
-        out, agg = _run_step(cur, Z, rho, p, active, solve=not last, fat=problem.fat,
-                             carry=carry)
-        held.append(out)
+        rounds.append((Z.copy(), active, not last))
+        t_round = time.time()
+        agg = _round_sums(joined, rounds, rho, p, problem.fat, parts)
+        spent.append((state.iteration + j, time.time() - t_round))
         for k in np.flatnonzero(active):
             pend = pending[k]
             if pend is not None:
@@ -888,27 +816,20 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
         if done.all():
             break
         if checkpoint_every and (j + 1) % checkpoint_every == 0:
-            # cut lineage: rows with their factors as they are; else the iterates
-            # alone, and the factors come back from the block statistics
-            before = saved_path
-            if carry:
-                cur, saved_path = checkpointed(out.where(F.col("block_id").isNotNull()))
-            else:
-                iterates, saved_path = checkpointed(iterates_of(out))
-                cur = attach(iterates)
-            for h in held:
-                h.unpersist()
-            held = []
+            before, gone = saved_path, held
+            iterates, saved_path = checkpointed(joined.mapInArrow(
+                _replay_fn(rounds, rho, p, problem.fat, False), _STATE_SCHEMA))
+            joined, held = placed(iterates)
+            rounds = []
+            if gone is not None:
+                gone.unpersist()
             if before:
                 delete_path(spark, before)
-        else:
-            cur = out if carry else attach(iterates_of(out))
-        while len(held) > 2:
-            held.pop(0).unpersist()
     # write the resumable states (frozen xp/up of every fit), release caches
-    final = iterates_of(out).select("block_id", "xp", "up").checkpoint(eager=True)
-    for h in held:
-        h.unpersist()
+    final = joined.mapInArrow(_replay_fn(rounds, rho, p, problem.fat, False), _STATE_SCHEMA) \
+        .select("block_id", "xp", "up").checkpoint(eager=True)
+    if held is not None:
+        held.unpersist()
     if saved_path:
         delete_path(spark, saved_path)
     seconds = time.time() - t0
@@ -918,7 +839,7 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
                            F.slice("up", k * p + 1, p).alias("u"))
         st = AdmmState(blk, Z[k].copy(), rho, state.iteration + it_done[k])
         fits.append(LassoFit(Z[k].copy(), it_done[k], converged[k], lams[k], rho, seconds,
-                             history[k], st, xbar[k].copy(), ubar[k].copy(), problem))
+                             history[k], st, xbar[k].copy(), ubar[k].copy(), problem, spent))
     return fits
 
 

@@ -249,19 +249,78 @@ def test_superseded_iterates_are_deleted(spark):
     assert len(set(glob.glob(f"{base}/rdd-*")) - before) == 1        # the final state
 
 
-def test_iterate_only_checkpoints_give_same_fit(spark):
+def test_replayed_rounds_are_the_same_rounds(spark):
+    """The iterates do not depend on how often they are written."""
     df, X, y = _random(spark)
     prob = admm.prepare(df, block_col=F.pmod("sample_id", F.lit(3)), rho="auto")
-    ref = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10, checkpoint_every=4)
-    old_full, old_bc = admm.FUSED_BYTES, admm.STATE_BROADCAST_BYTES
-    try:
-        admm.FUSED_BYTES = 0                    # large-factor path: iterates only
-        prob = prob.with_rho(prob.rho)
-        for bc in (old_bc, 0):                  # broadcast re-attach, then a join
-            admm.STATE_BROADCAST_BYTES = bc
-            f = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-10, rel_tol=1e-10,
-                         checkpoint_every=4)
-            assert f.iterations == ref.iterations
-            assert np.allclose(f.coef, ref.coef, atol=1e-10)
-    finally:
-        admm.FUSED_BYTES, admm.STATE_BROADCAST_BYTES = old_full, old_bc
+    ref = admm.fit(prob, 3.0, max_iter=12, abs_tol=1e-10, rel_tol=1e-10, checkpoint_every=2)
+    for every in (5, 0):
+        f = admm.fit(prob, 3.0, max_iter=12, abs_tol=1e-10, rel_tol=1e-10,
+                     checkpoint_every=every)
+        assert f.iterations == ref.iterations
+        assert np.array_equal(f.coef, ref.coef)
+    seconds = [r["seconds"] for r in ref.timings().collect()]
+    assert len(seconds) >= ref.iterations and min(seconds) > 0 and sum(seconds) <= ref.seconds
+
+
+def test_a_round_moves_neither_factors_nor_iterates(spark):
+    """After iterates are placed, the only exchanges of a round are of sums."""
+    df, X, y = _random(spark)
+    prob = admm.prepare(df, n_blocks=5, rho=1.0)
+    zero = F.array_repeat(F.lit(0.0), prob.p)
+    held = prob.factors.select("block_id", *[zero.alias(c) for c in admm._STATE]).repartition(
+        prob.partitions, "block_id").persist()
+    held.count()
+    joined = prob.factors.join(held.hint("shuffle_hash"), "block_id").select(
+        "block_id", "b", "s", "q0", *admm._STATE)
+    rounds = [(np.zeros((1, prob.p)), np.ones(1, bool), True)]
+    step = joined.mapInArrow(admm._replay_fn(rounds, 1.0, prob.p, False, True), admm._SUM_SCHEMA)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("InMemoryRelation")[0]
+    assert "ShuffledHashJoin" in above and "Exchange" not in above
+    assert "ENSURE_REQUIREMENTS" not in plan
+    assert step.columns == ["v", "nb"]
+    held.unpersist()
+
+
+@pytest.mark.parametrize("parts", [1, 5, 70, 300])
+def test_sums_are_added_in_levels(spark, parts):
+    from sparselm.operators import reduction
+
+    v = spark.range(parts, numPartitions=parts).select(
+        F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"), F.lit(2).cast("long").alias("nb"))
+    total, n = reduction.added(v, parts)
+    assert (list(total), n) == ([parts * (parts - 1) / 2, float(parts)], 2 * parts)
+
+
+def test_one_decomposition_serves_every_rho(spark):
+    df, X, y = _random(spark)
+    for kw in ({"n_blocks": 3}, {"mode": "fat", "rows_per_block": 7}):
+        prob = admm.prepare(df, rho=1.0, **kw)
+        other = prob.with_rho(4.0)
+        assert other.factors is prob.factors and other.rho == 4.0
+        a = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-9, rel_tol=1e-9)
+        b = admm.fit(other, 3.0, max_iter=5000, abs_tol=1e-9, rel_tol=1e-9, init=a.state)
+        assert np.allclose(a.coef, b.coef, atol=1e-5)
+    A = np.random.Generator(np.random.PCG64(1)).standard_normal((9, 6))
+    for rho in (0.1, 30.0):
+        for M, fat in ((A, True), (A[:4], True), (A.T @ A, False)):
+            B, s = admm.eigen_rows(M) if fat else admm.eigen_factor(M)
+            G = M.T @ M if fat else M
+            q = np.arange(6.0)
+            x = admm._solve(B[None], s[None, None], q[None, None], rho, fat)[0, 0]
+            assert np.allclose((G + rho * np.eye(6)) @ x, q)
+
+
+def test_default_blocks_do_not_follow_the_partitioning(spark):
+    df, X, y = _random(spark)
+    fits = []
+    for parts in (1, 2, 4):
+        prob = admm.prepare(df.repartition(parts))
+        assert prob.n_blocks == admm.DEFAULT_BLOCKS
+        fits.append(admm.fit(prob, 2.0, max_iter=5))
+    rows = [f.history().select("iter", "resid_primal", "resid_dual").collect() for f in fits]
+    assert len(rows[0]) == 5
+    for f, r in zip(fits[1:], rows[1:]):
+        assert np.allclose(f.coef, fits[0].coef, atol=1e-12)
+        assert np.allclose(np.array(r, dtype=float), np.array(rows[0], dtype=float), atol=1e-9)
