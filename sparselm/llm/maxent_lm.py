@@ -1,18 +1,21 @@
 """Language-model scoring by a hashed maximum-entropy model (operator 9).
 
-The next word's probability is P(class | context) * P(word | class) is a softmax with one weight per word, whose maximum
-  likelihood weights are log counts, in closed form.  In the last class the
-  event "a word not seen in training" takes the share ``UNKNOWN``, the known
-  words share the rest by their counts.  The events of the model are those of
-  the base score: the training words, and one for all others.
+The next word's probability is P(class | context) * P(word | class).  The class
+factor is a softmax over ``CLASSES`` strata of word frequency whose features are
+the previous word, the word before it, and both, hashed to ``BUCKETS`` contexts
+each.  P(word | class) is the word's share of its class: a softmax with one
+weight per word, whose maximum likelihood is known in closed form.  In the last
+class the event "a word not seen in training" takes the share ``UNKNOWN``, the
+known words share the rest by their counts.  The events of the model are those
+of the base score: the training words, and one for all others.
 
 Training: one exact distributed word count over all training documents, then
 ``ROUNDS`` rounds of distributed gradient updates, each over its own share of
 all training documents.  In a round every task runs mini-batch gradient steps
 from the common weights; the tasks' updates are averaged by their tokens, in
 two grouped steps, and only the sum (the size of the model) reaches the driver.
-Weights and lexicon are of fixed size at any corpus size; the word counts stay distributed and are joined to the tokens that the lexicon does
-not hold.
+Weights and lexicon are of fixed size at any corpus size; the word counts stay
+distributed and are joined to the tokens that the lexicon does not hold.
 
 Words are told apart by 64-bit fingerprints.  A null or empty text is one end
 token.  Without training documents counts are 0 and the model is uniform.
@@ -100,6 +103,12 @@ class Model:
         return np.where(known, self.cls[at], CLASSES - 1)
 
 
+def _shared(spark: SparkSession, model: Model):
+    """Broadcast as plain arrays, which executors read without this package."""
+    return spark.sparkContext.broadcast((model.words, model.counts, model.cls, model.inside,
+                                         model.weights, model.bias))
+
+
 def initial_model(words: np.ndarray, counts: np.ndarray, total: int) -> Model:
     """Lexicon and class shares from word counts; no context weights yet."""
     by = np.lexsort((words, -counts))
@@ -159,7 +168,7 @@ def gradient_steps(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows
 
 def _train_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Model(*shared.value)
         weights = model.weights.copy()
         seen = np.zeros(len(weights), np.float32)
         n = 0
@@ -209,7 +218,7 @@ def log_probabilities(model: Model, word: np.ndarray, doc: np.ndarray) -> np.nda
 
 def _score_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Model(*shared.value)
         row = TaskContext.get().partitionId() << 40         # rows are written once
         for whole in batches:
             for b in textblock.text_slices(whole, "text"):
@@ -247,7 +256,7 @@ def train(spark: SparkSession, docs: DataFrame, share: Column, text_col: str = "
                           top["n"].to_numpy().astype(np.int64), int(n))
     kind = "part int, lane int, tokens double, sums binary"
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = _shared(spark, model)
         part = src.where(F.pmod(F.col("share"), F.lit(rounds)) == r).select("text")
         sums = (part.mapInArrow(_train_pass(shared), kind)
                 .groupBy("part", "lane").applyInPandas(_added, kind)
@@ -267,7 +276,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: Model, counts: Data
                 v: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: id, n_tokens, n_known, base_score, score."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(model)
+    shared = _shared(spark, model)
     L, D = T.LongType(), T.DoubleType()
     rows = saved(spark, src.mapInArrow(_score_pass(shared), T.StructType([
         T.StructField("row", L), src.schema["id"], T.StructField("n_tokens", L),

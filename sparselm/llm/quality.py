@@ -1,8 +1,9 @@
 """Quality classifier by nearest-neighbour voting (operator 8).
 
 Texts are byte 3-gram counts, hashed, damped and weighted by rarity, next to
-counts of words that repeat the word before them; a truncated singular value decomposition of a bounded sample of labelled texts
-gives the latent-semantic axes.  The sample's vectors and labels (``SAMPLE`` x
+counts of words that repeat the word before them; a truncated singular value
+decomposition of a bounded sample of labelled texts gives the latent-semantic
+axes.  The sample's vectors and labels (``SAMPLE`` x
 ``AXES`` numbers, the same at every corpus size) are sent to every task, which
 takes exact cosine products of each document with all of them in blocks and
 weighs the labels of the ``NEIGHBOURS`` nearest by a power of the similarity.
@@ -17,12 +18,12 @@ score alike; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparselm.llm import textblock
 from sparselm.llm.tables import crc_mod5, table
@@ -71,23 +72,29 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return z / np.where(size > 0, size, 1)
 
 
-class Model:
+class Model(NamedTuple):
     """Rarity weights, axes, and the labelled vectors."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, axes: int = AXES):
+    labels: np.ndarray
+    base: float
+    rarity: np.ndarray
+    axes: np.ndarray
+    vectors: np.ndarray
+
+    @classmethod
+    def fit(cls, counts: np.ndarray, labels: np.ndarray, axes: int = AXES) -> "Model":
         n = len(labels)
-        self.labels = labels.astype(np.float32)
-        self.base = float(self.labels.mean()) if n else 0.5
-        self.rarity = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.05
-        x = _weighted(counts, self.rarity)
+        labels = labels.astype(np.float32)
+        rarity = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.05
+        x = _weighted(counts, rarity)
         # subspace iteration for the leading right singular vectors
         basis = np.random.Generator(np.random.PCG64(8)).standard_normal(
             (x.shape[1], axes + 16)).astype(np.float32)
         for _ in range(8):
             basis, _ = np.linalg.qr(x.T @ (x @ basis))
         _, _, right = np.linalg.svd(x @ basis, full_matrices=False)
-        self.axes = np.ascontiguousarray((basis @ right.T)[:, :axes]).astype(np.float32)
-        self.vectors = _unit(x @ self.axes)
+        axes = np.ascontiguousarray((basis @ right.T)[:, :axes]).astype(np.float32)
+        return cls(labels, float(labels.mean()) if n else 0.5, rarity, axes, _unit(x @ axes))
 
     def scores(self, counts: np.ndarray, neighbours: int = NEIGHBOURS,
                power: int = POWER) -> np.ndarray:
@@ -115,16 +122,6 @@ def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              pa.binary())], names=["label", "counts"])
 
 
-def _score_pass(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in textblock.text_slices(whole, "text"):
-                counts = gram_counts(*textblock.block(b.column("text"), lower=False))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("row"), pa.array(model.scores(counts))], names=["row", "score"])
-    return run
-
-
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled texts: those of smallest id hash."""
@@ -140,21 +137,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         _count_pass, "label double, counts binary").collect()
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<f4").reshape(-1, FEATURES)
     order = np.lexsort(counts.T[:8])            # the same model whatever the row order
-    return Model(counts[order], np.array([r["label"] for r in rows])[order])
+    return Model.fit(counts[order], np.array([r["label"] for r in rows])[order])
+
+
+def score_of(spark: SparkSession, text: Column, model: Model) -> Column:
+    """Score of a text (0 to 1).  Only the text travels to Python; the model is
+    broadcast as plain arrays, which executors read without this package."""
+    shared = spark.sparkContext.broadcast(tuple(model))
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Model(*shared.value)
+        for texts in batches:
+            parts = [known.scores(gram_counts(*textblock.block(part, lower=False)))
+                     for part in textblock.array_slices(texts)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    return run(text)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text",
           keep: list[str] | None = None) -> DataFrame:
     """(row: the columns ``keep`` of ``docs``, by default all; score: 0 to 1)."""
-    spark = docs.sparkSession
-    src = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        yield from _score_pass(shared.value)(batches)
-
-    return src.mapInArrow(run, T.StructType([src.schema["row"],
-                                             T.StructField("score", T.DoubleType())]))
+    return docs.select(F.struct(*(keep or ["*"])).alias("row"),
+                       score_of(docs.sparkSession, F.col(text_col), model).alias("score"))
 
 
 def train_split(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

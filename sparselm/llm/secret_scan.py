@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ class Rule:
     pattern: str
     group: int = 0              # the group whose length counts
     least: int = 0              # its least length; shorter matches are dropped
+    head: str = ""              # a run of these before the pattern, from its first letter
+                                # on, belongs to the match and is needed (two or more)
 
 
 BASE_RULES = (
@@ -53,11 +55,25 @@ MORE_RULES = (
     Rule("stripe", r"sk_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?ai:bearer) [A-Za-z0-9._~+/-]{20,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,256}:[^\s:/@]{1,256}@"),
+    Rule("url_login", r"://[^\s:/@]++:[^\s:/@]++@",
+         head="abcdefghijklmnopqrstuvwxyz0123456789+.-"),
 )
 RULES = BASE_RULES + MORE_RULES
 
 
+def _matches(rule: Rule, expr: re.Pattern, s: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in expr.finditer(s):
+        if rule.head:
+            run = s[done:m.start()]
+            run = run[len(run.rstrip(rule.head)):].lstrip("0123456789+.-")
+            done = m.end()
+            if len(run) >= 2:
+                yield m.start() - len(run), m.end()
+        elif m.end(rule.group) - m.start(rule.group) >= rule.least:
+            yield m.start(), m.end()
+
+
 class _Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(_whole(r)), trigram_query(r.pattern)) for r in rules]
@@ -74,9 +90,7 @@ class _Scanner:
             for i in index.matching(query, self.number).tolist():
                 if i not in strings:
                     strings[i] = texts[i].as_py() or ""
-                for m in expr.finditer(strings[i]):
-                    if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        out[i].append((m.start(), k, m.end()))
+                out[i] += [(a, k, b) for a, b in _matches(rule, expr, strings[i])]
         for spans in out:
             spans.sort()
         return out
@@ -92,13 +106,17 @@ def _whole(rule: Rule) -> str:
 _scanners: dict[tuple, _Scanner] = {}
 
 
+def _scanner(rules: tuple[Rule, ...]) -> _Scanner:
+    if rules not in _scanners:
+        _scanners[rules] = _Scanner(rules)
+    return _scanners[rules]
+
+
 def _scan_pass(rules: tuple[Rule, ...], mask: str | None):
     kinds = [r.kind for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rules not in _scanners:
-            _scanners[rules] = _Scanner(rules)
-        scanner = _scanners[rules]
+        scanner = _scanner(rules)
         for whole in batches:
             for b in textblock.text_slices(whole, "text"):
                 texts = b.column("text")
@@ -129,6 +147,21 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str = MASK) -> st
     return "".join(out)
 
 
+def masked_or_null(text: Column, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -> Column:
+    """The text with its secrets replaced; null where it has none (or is null).
+    Only the text travels to Python, and only changed texts come back."""
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = _scanner(rules)
+        for texts in batches:
+            out = []
+            for part in textblock.array_slices(texts):
+                out += [masked(part[i].as_py(), spans, mask) if spans else None
+                        for i, spans in enumerate(scanner.scan(part))]
+            yield pa.array(out, pa.string())
+    return run(text)
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
                  mask: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """(row: the columns ``keep`` of ``docs``, by default all; spans: array of

@@ -39,6 +39,12 @@ def text_slices(batch: pa.RecordBatch, column: str):
         yield batch.slice(a, b - a)
 
 
+def array_slices(texts: pa.Array):
+    """:func:`text_slices` of a single column."""
+    for b in text_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        yield b.column(0)
+
+
 def block(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -51,7 +57,8 @@ def block(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = texts.buffers()
     off = np.frombuffer(off, dtype=np.int64)[texts.offset:texts.offset + n + 1]
-    raw = b"" if data is None else data.to_pybytes()[off[0]:off[-1]]
+    # only this slice's bytes: the buffer behind it holds the whole batch
+    raw = b"" if data is None else data.slice(off[0], off[-1] - off[0]).to_pybytes()
     if lower:
         raw = raw.translate(LOWER)
     return np.frombuffer(raw, dtype=np.uint8), off - off[0]
