@@ -33,8 +33,7 @@ def _key(found: DataFrame) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of good quality stay."""
     model = quality.learn(docs, quality.train_split(table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where(
-        F.col("score") >= quality.THRESHOLD).select("row.*")
+    return docs.where(quality.score_of(spark, F.col("text"), model) >= quality.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +53,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; n_chars follows where that changes it."""
-    found = secret_scan.find_secrets(docs, mask=secret_scan.MASK)
-    changed = F.size("spans") > 0
-    new = {"text": F.col("masked"),
-           "n_chars": F.when(changed, F.char_length("masked").cast(
-               dict(docs.dtypes).get("n_chars", "long"))).otherwise(
-               F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
-    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    found = docs.select(F.struct("*").alias("row"),
+                        secret_scan.masked_or_null(F.col("text")).alias("masked"))
+    changed = F.col("masked").isNotNull()
+    new = {"text": lambda old: F.coalesce("masked", old),
+           "n_chars": lambda old: F.when(changed, F.char_length("masked").cast(
+               dict(docs.dtypes)["n_chars"])).otherwise(old)}
+    return found.select(*[new.get(c, lambda old: old)(F.col("row").getField(c)).alias(c)
+                          for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
