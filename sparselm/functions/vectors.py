@@ -1,12 +1,13 @@
 """Column expressions over dense vectors stored as ``array<double>``.
 
-All helpers return built-in Spark expressions (higher-order array
-functions), so they run JVM-side inside the generated stage and never call
-back into Python.
+All helpers but :func:`pair_products` return built-in Spark expressions
+(higher-order array functions), which run JVM-side inside the generated stage.
+The products are p² numbers a row: those are formed by numpy on Arrow batches.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,22 +66,55 @@ def soft_threshold_array(a, kappa) -> Column:
     return F.transform(_c(a), lambda v: soft_threshold(v, k))
 
 
+def _pair_batch(a):
+    """Products of every row of an Arrow batch of vectors, row lengths as they
+    come; a null vector gives null, a null factor a null product."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = a.flatten()
+    known = None if not flat.null_count else flat.is_valid().to_numpy(zero_copy_only=False)
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    wide = size * (size - 1) // 2
+    out = np.empty(int(wide.sum()))
+    valid = np.ones(len(out), dtype=bool)
+    off, at = np.cumsum(size) - size, np.cumsum(wide) - wide
+    for n in np.unique(size).tolist():
+        k, j = np.triu_indices(n, 1)
+        for rows in np.array_split(np.flatnonzero(size == n),
+                                   max(1, int((size == n).sum() * len(k) >> 22))):
+            here = off[rows][:, None]
+            there = (at[rows][:, None] + np.arange(len(k))).ravel()
+            out[there] = (x[here + k] * x[here + j]).ravel()
+            if known is not None:
+                valid[there] = (known[here + k] & known[here + j]).ravel()
+    ends = np.append(0, np.cumsum(wide))
+    values = pa.array(out, mask=None if known is None else ~valid)
+    return pa.ListArray.from_arrays(
+        pa.array(ends.astype(np.int32)), values,
+        mask=None if not a.null_count else a.is_null())
+
+
 def pair_products(a, n=None) -> Column:
     """All products a[k]*a[j] for k<j, in order (0,1),(0,2)...(n-2,n-1).
 
-    Built from ``sequence`` + ``transform`` + ``flatten`` so the interaction
-    row is produced inside the scan stage, without any join.
+    Numpy on Arrow batches of the vectors, inside the scan stage and without any
+    join. Vectors of fewer than two elements have none. With ``n`` the vectors
+    must have that many.
     """
     a = _c(a)
     if n is not None and int(n) < 2:
         return F.array().cast("array<double>")
-    n = F.size(a) if n is None else F.lit(int(n))
-    prods = F.flatten(F.transform(
-        F.sequence(F.lit(0), n - 2),
-        lambda k: F.transform(F.sequence(k + 1, n - 1),
-                              lambda j: F.element_at(a, k + 1) * F.element_at(a, j + 1))))
-    # sequence() counts down when n < 2, so guard the empty case explicitly
-    return F.when(n >= 2, prods).otherwise(F.array().cast("array<double>"))
+    if n is not None:
+        a = F.when(a.isNull() | (F.size(a) == int(n)), a).otherwise(F.raise_error(
+            F.concat(F.lit(f"expected {int(n)} features, found "), F.size(a).cast("string"))))
+
+    @F.arrow_udf("array<double>")
+    def products(v: pa.Array) -> pa.Array:
+        return _pair_batch(v)
+
+    return products(a)
 
 
 def pair_index(n: int) -> Column:

@@ -220,6 +220,8 @@ DENSE_MAX_FEATURES = 2048
 # bytes of one fat block's rows, from which the rows per block are derived
 FAT_BLOCK_BYTES = 16 << 20
 FAT_BLOCK_ROWS = 512
+# blocks of one value of ``block_col`` that a task builds, about
+_HOT_BLOCKS = 16
 
 _FAT_BLOCK_SCHEMA = T.StructType([
     T.StructField("block_id", T.LongType()),
@@ -322,7 +324,15 @@ def fat_block_statistics(df: DataFrame, features: str = "features", label: str =
     src = df.select(key.cast("long").alias("key"), F.col(features).alias("features"),
                     F.col(label).cast("double").alias("label"))
     if block_col is not None:
-        src = src.repartition("key")        # asked for: rows of a value in one task
+        # asked for: rows of a value lie together, those of a hot value in as many
+        # tasks as it has blocks' worth of rows
+        part = _HOT_BLOCKS * (rows_per_block or FAT_BLOCK_ROWS)
+        size = src.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
+        hot = size.where("parts > 1").withColumnRenamed("key", "hot_key")
+        src = src.join(hot, F.col("key").eqNullSafe(F.col("hot_key")), "left").select(
+            "key", "features", "label",
+            F.coalesce(F.pmod(F.xxhash64("features", "label"), F.col("parts")),
+                       F.lit(0)).alias("part")).repartition("key", "part").drop("part")
     return src.mapInArrow(_fat_blocks_fn(rows_per_block, pairs), _FAT_BLOCK_SCHEMA)
 
 

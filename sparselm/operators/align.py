@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import bounded_broadcast, written
 from ..sources.text import LINE_PLACE, LabeledMatrix
 
 
@@ -27,8 +27,8 @@ def with_row_index(df: DataFrame, name: str = "row_idx", order_by: list | None =
     The ordered frame, each row tagged with its partition and its place there,
     is **written once** to the checkpoint folder; partition offsets and rows
     both come from that copy, so they always belong together (two runs of a
-    plan may partition differently). Offsets are one row per partition: the
-    broadcast and the window over them grow with the partition count only.
+    plan may partition differently). Offsets are one row per partition (or split
+    of a file); their broadcast is hinted only while their number is small.
     Raises if the result would not have as many rows as the input.
     """
     spark = df.sparkSession
@@ -49,13 +49,14 @@ def with_row_index(df: DataFrame, name: str = "row_idx", order_by: list | None =
                                       F.min("_rix_mid").alias("_rix_first"),
                                       F.max("_rix_mid").alias("_rix_last"))
     # ids of a partition (or split) run without a gap
-    whole = parts.select(F.bool_and(F.col("_rix_last") - F.col("_rix_first") + 1
-                                    == F.col("_rix_n"))).first()[0]
+    whole, groups = parts.select(
+        F.bool_and(F.col("_rix_last") - F.col("_rix_first") + 1 == F.col("_rix_n")),
+        F.count(F.lit(1))).first()
     if whole is False:
         raise RuntimeError("row positions of a partition are not contiguous")
     offsets = parts.select(*keys, "_rix_first",
                            F.coalesce(F.sum("_rix_n").over(w), F.lit(0)).alias("_rix_off"))
-    return (tagged.join(F.broadcast(offsets), keys)
+    return (tagged.join(bounded_broadcast(offsets, groups), keys)
             .withColumn(name, F.col("_rix_off") + F.col("_rix_mid") - F.col("_rix_first"))
             .select(*cols, name))
 

@@ -3,6 +3,8 @@ interaction features and the combined-matrix text rows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,24 +13,94 @@ from ..session import bounded_broadcast
 from ..sources.text import TAB, LabeledMatrix, MarkerMajor
 
 
+# cells of one assembled block of samples, and cells a scanning task sorts into tiles
+TILE_CELLS = 1 << 20
+
+
+def _tile_fn(width: int):
+    """Cells of a scan as tiles: per ``width`` samples the markers seen so far."""
+    def tiles(parts):
+        sample = np.concatenate([b.column("sample_idx").to_numpy() for b in parts]).astype(np.int64)
+        marker = np.concatenate([b.column("marker_idx").to_numpy() for b in parts])
+        value = pa.concat_arrays([b.column("value") for b in parts])
+        block = sample // width
+        order = np.argsort(block, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0]) if len(order) else order
+        ends = pa.array(np.append(cut, len(order)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[order[cut]]),
+             pa.ListArray.from_arrays(ends, pa.array(sample[order])),
+             pa.ListArray.from_arrays(ends, pa.array(marker[order].astype(np.int32))),
+             pa.ListArray.from_arrays(ends, value.take(pa.array(order)))],
+            names=["block", "samples", "markers", "cells"])
+
+    def run(batches):
+        parts, held = [], 0
+        for b in batches:
+            parts.append(b)
+            held += b.num_rows
+            if held >= TILE_CELLS:
+                yield tiles(parts)
+                parts, held = [], 0
+        if held:
+            yield tiles(parts)
+
+    return run
+
+
+def _assembled(p: int):
+    """Tiles of a block of samples, and their names → one row per sample."""
+    schema = pa.schema([("sample_idx", pa.int64()), ("sample_id", pa.string()),
+                        ("features", pa.list_(pa.float64()))])
+
+    def run(tiles: pa.Table, names: pa.Table) -> pa.Table:
+        def flat(c):
+            return pa.concat_arrays([x.flatten() for x in tiles.column(c).chunks])
+
+        if not tiles.num_rows:
+            return schema.empty_table()
+        sample, marker = flat("samples").to_numpy(), flat("markers").to_numpy()
+        order = np.lexsort((marker, sample))
+        sample, marker = sample[order], marker[order]
+        at = np.flatnonzero(np.r_[True, np.diff(sample) != 0])
+        found = np.diff(np.append(at, len(sample)))
+        again = (np.diff(sample) == 0) & (np.diff(marker) == 0)
+        if (found != p).any() or again.any():
+            bad = sample[at[np.flatnonzero(found != p)[0]]] if (found != p).any() \
+                else sample[np.flatnonzero(again)[0]]
+            raise ValueError(f"a sample does not have one cell per marker: {bad}")
+        values = pa.ListArray.from_arrays(pa.array(np.append(at, len(sample)).astype(np.int32)),
+                                          flat("cells").take(pa.array(order)))
+        rows = pa.table({"sample_idx": pa.array(sample[at]), "place": pa.array(np.arange(len(at)))})
+        named = names.select(["sample_idx", "sample_id"]).join(rows, "sample_idx", join_type="inner")
+        return pa.Table.from_arrays(
+            [named.column("sample_idx"), named.column("sample_id"),
+             values.take(named.column("place").combine_chunks())], schema=schema)
+
+    return run
+
+
 def transpose_long(mm: MarkerMajor) -> LabeledMatrix:
     """Marker-major long form → sample-major matrix.
 
-    Groups by sample (group size = number of markers, bounded by p, never by
-    the sample count), orders each group by marker index, then attaches the
-    sample names and the marker dictionary. A sample with a missing or a
-    repeated cell raises: its row would have shifted values.
+    The scan sorts its cells into tiles (a run of markers × ``width`` samples,
+    arrays of numbers), which are shuffled once, by block of samples; a block of
+    some ``TILE_CELLS`` cells is assembled in one task and meets its sample
+    names there, so neither cells nor assembled rows move again. A sample with
+    a missing or a repeated cell raises: its row would have shifted values. A
+    sample without a name, or without any cell, has no row.
     """
-    rows = (mm.long.groupBy("sample_idx")
-            .agg(F.array_sort(F.collect_list(F.struct("marker_idx", "value"))).alias("cells"),
-                 F.count_distinct("marker_idx").alias("found")))
     p = mm.markers.count()
-    whole = (F.col("found") == p) & (F.size("cells") == p)
-    rows = rows.select("sample_idx", F.when(whole, F.transform("cells", lambda c: c["value"]))
-                       .otherwise(F.raise_error(F.concat(
-                           F.lit("a sample does not have one cell per marker: "),
-                           F.col("sample_idx").cast("string")))).alias("features"))
-    df = rows.join(mm.samples, "sample_idx").select("sample_idx", "sample_id", "features")
+    width = max(1, TILE_CELLS // max(p, 1))
+    tiles = mm.long.select(F.col("sample_idx").cast("long").alias("sample_idx"), "marker_idx",
+                           F.col("value").cast("double").alias("value")).mapInArrow(
+        _tile_fn(width),
+        "block long, samples array<long>, markers array<int>, cells array<double>")
+    names = mm.samples.select(F.col("sample_idx").cast("long").alias("sample_idx"),
+                              F.col("sample_id").cast("string").alias("sample_id"))
+    names = names.withColumn("block", F.floor(F.col("sample_idx") / F.lit(width)).cast("long"))
+    df = tiles.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(
+        _assembled(p), "sample_idx long, sample_id string, features array<double>")
     names = mm.markers.select(F.col("marker_idx").alias("idx"), F.col("marker").alias("name"))
     return LabeledMatrix(df, names, "features")
 

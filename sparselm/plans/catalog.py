@@ -49,6 +49,7 @@ JOB_ROWS_PER_BLOCK = 32     # fewer than the 64 features
 LINEITEM_CENTER = 53.0
 RHO_FACTOR = 3.0
 FOLDS = 5
+FILE_SAMPLES = 1000        # of one folder of marker-major files, about
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -163,23 +164,41 @@ def q_combined_names(spark, d):
     return _combined_files(spark, d).names
 
 
+def _marker_major_files(spark, m: LabeledMatrix, base: str) -> list[str]:
+    """The matrix written as marker-major files in blocks of some ``FILE_SAMPLES``
+    samples, a folder each; a header line and a marker's line hold one block."""
+    df, _ = written(spark, m.df.select("sample_id", "features"), "marker-major-source")
+    n = max(1, -(-df.count() // FILE_SAMPLES))
+    df = df.withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(n)))
+    paths = []
+    for part in range(n):
+        block = df.where(F.col("part") == part)
+        ids = [str(r[0]) for r in block.select("sample_id").orderBy("sample_id").collect()]
+        if not ids:
+            continue
+        cells = block.select("sample_id", F.posexplode("features").alias("idx", "value")) \
+            .groupBy("idx").agg(F.array_sort(F.collect_list(
+                F.struct("sample_id", "value"))).alias("cells")).join(m.names, "idx")
+        lines = cells.orderBy("idx").select(F.concat_ws(
+            text.TAB, "name", F.lit("A/C"), F.lit("1"), F.col("idx").cast("string"), F.lit("+"),
+            F.concat_ws(text.TAB, F.transform("cells", lambda c: c["value"].cast("string"))))
+            .alias("value"))
+        paths.append(f"{base}/geno-{part}")
+        text.write_with_header(lines, paths[-1], text.TAB.join(
+            ["rs", "alleles", "chrom", "pos", "strand", *ids]))
+    return paths
+
+
 def q_interaction_files(spark, d):
-    """The embeddings written as marker-major files, the labels
-    as a trait table, the interaction job over both, its output scanned back."""
+    """The embeddings written as marker-major files in blocks of
+    samples, the labels as a trait table, the interaction job over both, its
+    output scanned back."""
     m = emb_matrix(spark, d)
     tr = label_traits(spark, d)
     base = scratch_path(spark, "interaction-job")
-    ids = [str(r[0]) for r in m.df.select("sample_id").orderBy("sample_id").collect()]
-    cells = m.long().groupBy("idx").agg(F.array_sort(F.collect_list(
-        F.struct("sample_id", "value"))).alias("cells")).join(m.names, "idx")
-    lines = cells.orderBy("idx").select(F.concat_ws(
-        text.TAB, "name", F.lit("A/C"), F.lit("1"), F.col("idx").cast("string"), F.lit("+"),
-        F.concat_ws(text.TAB, F.transform("cells", lambda c: c["value"].cast("string"))))
-        .alias("value"))
-    text.write_with_header(lines, f"{base}/geno",
-                           text.TAB.join(["rs", "alleles", "chrom", "pos", "strand", *ids]))
+    geno = _marker_major_files(spark, m, base)
     text.write_sample_major(tr.df, "traits", tr.names, f"{base}/pheno", id_label="id")
-    jobs.interaction_job(spark, f"{base}/geno", f"{base}/pheno", f"{base}/out", header=True)
+    jobs.interaction_job(spark, geno, f"{base}/pheno", f"{base}/out", header=True)
     back = text.read_combined(spark, f"{base}/out")
     back.check_rows(back.df.count())
     first = F.element_at("features", 1)

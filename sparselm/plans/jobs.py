@@ -50,12 +50,15 @@ def lasso_job(spark: SparkSession, geno_path: str, pheno_path: str, out: str | N
     return result
 
 
-def interaction_rows(spark: SparkSession, marker_major_path: str, pheno_path: str,
+def interaction_rows(spark: SparkSession, marker_major_path: str | list[str], pheno_path: str,
                      lead: int = 5, positional: bool = False
                      ) -> tuple[DataFrame, int, int, text.LabeledMatrix]:
     """Combined rows ``(sample_id, value)``, the marker and trait counts, and
-    the transposed genotype table."""
-    mm = text.read_marker_major(spark, marker_major_path, lead)
+    the transposed genotype table. A list of paths holds the genotypes in blocks
+    of samples (:func:`..sources.text.read_marker_major_blocks`)."""
+    mm = (text.read_marker_major(spark, marker_major_path, lead)
+          if isinstance(marker_major_path, str)
+          else text.read_marker_major_blocks(spark, marker_major_path, lead))
     geno = features.transpose_long(mm)
     pheno = text.read_traits(spark, pheno_path, keep_text=True)  # traits copied verbatim
     p = geno.width()
@@ -76,7 +79,8 @@ def interaction_rows(spark: SparkSession, marker_major_path: str, pheno_path: st
     return rows, p, pheno.width(), geno
 
 
-def interaction_job(spark: SparkSession, marker_major_path: str, pheno_path: str, out: str,
+def interaction_job(spark: SparkSession, marker_major_path: str | list[str], pheno_path: str,
+                    out: str,
                     lead: int = 5, positional: bool = False, header: bool = False) -> int:
     """Write the combined matrix as TSV text; returns the trait count.
 

@@ -208,6 +208,32 @@ def read_marker_major(spark: SparkSession, path: str, lead: int = 5,
     return parse_marker_major(read_lines(spark, path), lead, lenient)
 
 
+def read_marker_major_blocks(spark: SparkSession, paths: list[str], lead: int = 5,
+                             lenient: bool = False) -> MarkerMajor:
+    """One marker-major table in blocks of samples: every path has its own header
+    line with its block's sample names, and the same markers in the same order
+    (checked). Samples are numbered block after block, so no header line, and
+    nothing the driver holds at a time, has more than a block's samples."""
+    if not paths:
+        raise ValueError("no marker-major blocks")
+    blocks, at = [], 0
+    for path in paths:
+        b = read_marker_major(spark, path, lead, lenient)
+        shift = F.lit(at).cast("long")
+        at += b.samples.count()
+        blocks.append(MarkerMajor(
+            b.long.withColumn("sample_idx", F.col("sample_idx") + shift), b.markers,
+            b.samples.withColumn("sample_idx", F.col("sample_idx") + shift)))
+    marks = [b.markers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(
+        "marker_idx", "marker").cast("decimal(20,0)")), F.lit(0)).alias("h")) for b in blocks]
+    long, samples, seen = blocks[0].long, blocks[0].samples, marks[0]
+    for b, m in zip(blocks[1:], marks[1:]):
+        long, samples, seen = long.union(b.long), samples.union(b.samples), seen.union(m)
+    if seen.distinct().count() != 1:
+        raise ValueError("blocks of samples hold different markers")
+    return MarkerMajor(long, blocks[0].markers, samples)
+
+
 @dataclass
 class CombinedMatrix:
     """``df``: ``traits``, ``features`` (``array<double>``); ``names``: ``idx,

@@ -324,3 +324,21 @@ def test_default_blocks_do_not_follow_the_partitioning(spark):
     for f, r in zip(fits[1:], rows[1:]):
         assert np.allclose(f.coef, fits[0].coef, atol=1e-12)
         assert np.allclose(np.array(r, dtype=float), np.array(rows[0], dtype=float), atol=1e-9)
+
+
+def test_a_hot_block_key_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(admm, "_HOT_BLOCKS", 2)
+    df = spark.range(400).select(
+        F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features"),
+        (F.col("id") % 7).cast("double").alias("label"),
+        F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 5).alias("k"))
+    stats = admm.fat_block_statistics(df, rows_per_block=10, block_col="k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = stats.select("block_id", "ni", F.element_at("q0", 2).alias("y")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["ni"] for r in rows) == 400 and max(r["ni"] for r in rows) <= 10
+    assert sum(r["y"] for r in rows) == sum(i % 7 for i in range(400))
+    tasks = {r["block_id"] >> 31 for r in rows}
+    assert len(tasks) > 4

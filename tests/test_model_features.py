@@ -170,3 +170,55 @@ def test_interaction_output_feeds_the_grid_job(spark, tmpdir_path):
     jobs.interaction_job(spark, mm, ph, out, header=True)
     res = jobs.grid_job(spark, out, [0.1, 1.0], max_iter=200)
     assert res["model"].names == ["mk1", "mk2", "mk3", "mk1:mk2", "mk1:mk3", "mk2:mk3"]
+
+
+def test_marker_major_in_blocks_of_samples(spark, tmpdir_path):
+    """The blocks together are the whole table; other markers are refused."""
+    lead = "rs\tallele\tchrom\tpos\tstrand"
+    a = write(os.path.join(tmpdir_path, "a.tsv"), [
+        lead + "\tA\tB", "mk1\tx\t1\t10\t+\t1\t0", "mk2\tx\t1\t20\t+\t0\t1",
+        "mk3\tx\t2\t30\t+\t2\t2"])
+    b = write(os.path.join(tmpdir_path, "b.tsv"), [
+        lead + "\tC", "mk1\tx\t1\t10\t+\t2", "mk2\tx\t1\t20\t+\t1", "mk3\tx\t2\t30\t+\t0"])
+    c = write(os.path.join(tmpdir_path, "c.tsv"), [
+        lead + "\tD", "mk2\tx\t1\t10\t+\t2", "mk1\tx\t1\t20\t+\t1", "mk3\tx\t2\t30\t+\t0"])
+    m = features.transpose_long(text.read_marker_major_blocks(spark, [a, b]))
+    rows = {r["sample_id"]: r["features"] for r in m.df.collect()}
+    assert rows == {"A": [1.0, 0.0, 2.0], "B": [0.0, 1.0, 2.0], "C": [2.0, 1.0, 0.0]}
+    with pytest.raises(ValueError, match="different markers"):
+        text.read_marker_major_blocks(spark, [a, c])
+
+
+def test_transpose_moves_cells_once(spark, monkeypatch):
+    """Many tiles, nulls and shuffled cells; one exchange of the cells, one of the
+    names."""
+    monkeypatch.setattr(features, "TILE_CELLS", 64)
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(50, 11))
+    cells = [(j, i, None if (i + j) % 17 == 0 else float(X[i, j]))
+             for i in range(50) for j in range(11)]
+    rng.shuffle(cells)
+    long = spark.createDataFrame([(int(a), int(b), c) for a, b, c in cells],
+                                 "marker_idx int, sample_idx int, value double").repartition(3)
+    markers = spark.createDataFrame([(j, f"m{j}") for j in range(11)], "marker_idx int, marker string")
+    samples = spark.createDataFrame([(i, f"s{i}") for i in range(49)], "sample_idx int, sample_id string")
+    m = features.transpose_long(text.MarkerMajor(long, markers, samples))
+    got = {r["sample_id"]: r["features"] for r in m.df.collect()}
+    assert got == {f"s{i}": [None if (i + j) % 17 == 0 else X[i, j] for j in range(11)]
+                   for i in range(49)}
+    plan = m.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(block") == 2
+    twice = long.union(long.limit(1))
+    with pytest.raises(Exception, match="one cell per marker"):
+        features.transpose_long(text.MarkerMajor(twice, markers, samples)).df.collect()
+
+
+def test_pair_products_of_any_row(spark):
+    from sparselm.functions.vectors import pair_products
+
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, None), (2, []), (3, [4.0]),
+                                (4, [2.0, None, 5.0])], "i int, v array<double>")
+    got = {r["i"]: r["p"] for r in df.select("i", pair_products("v").alias("p")).collect()}
+    assert got == {0: [2.0, 3.0, 6.0], 1: None, 2: [], 3: [], 4: [None, 10.0, None]}
+    with pytest.raises(Exception, match="expected 3 features"):
+        df.select(pair_products("v", 3)).collect()
