@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import soft_threshold
-from ..operators import admm, align, features, model, moments, tune
+from ..operators import admm, align, features, model, moments, sharing, tune
 from ..session import scratch_path, written
 from ..sources import text
 from ..sources.text import LabeledMatrix, MarkerMajor
@@ -49,6 +49,7 @@ JOB_ROWS_PER_BLOCK = 32     # fewer than the 64 features
 LINEITEM_CENTER = 53.0
 RHO_FACTOR = 3.0
 FOLDS = 5
+COLUMN_BLOCKS = 6
 FILE_SAMPLES = 1000        # of one folder of marker-major files, about
 
 
@@ -507,6 +508,16 @@ def q_lasso_interactions(spark, d):
     return _optimality(spark, prob, f, WIDE_LAMBDA, 1e-3)
 
 
+def q_lasso_feature_split(spark, d):
+    """M18/M11 by columns: the same model on at least four column blocks (sharing
+    ADMM); no task holds a vector of all pairs next to its data."""
+    m = emb_matrix(spark, d)
+    cols = sharing.column_blocks(m.df, n_blocks=COLUMN_BLOCKS, pairs=True)
+    f = sharing.fit_sharing(cols, WIDE_LAMBDA, abs_tol=1e-7, rel_tol=1e-7)
+    return sharing.optimality(cols, f.coef, WIDE_LAMBDA, 1e-3 * WIDE_LAMBDA).select(
+        "idx", "kkt_ok", r4(F.col("xty")).alias("xty"), F.lit(len(cols.b)).cast("long").alias("n"))
+
+
 def q_streaming_statistics(spark, d):
     """Streaming form of the block statistics: the embeddings written as
     sample-major files, read back as a file stream one file per micro-batch,
@@ -613,6 +624,7 @@ QUERIES = {
     "lasso_job_files": q_lasso_job_files,
     "lasso_job_wide": q_lasso_job_wide,
     "lasso_interactions": q_lasso_interactions,
+    "lasso_feature_split": q_lasso_feature_split,
     "streaming_statistics": q_streaming_statistics,
     "predict": q_predict,
     "mse": q_mse,

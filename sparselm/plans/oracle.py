@@ -102,6 +102,16 @@ SELECT CAST(p.p + a.idx * (2 * p.p - a.idx - 1) // 2 + (b.idx - a.idx - 1) AS IN
        a.name || ':' || b.name AS name
   FROM n a JOIN n b ON a.idx < b.idx CROSS JOIN p"""
 
+_INTERACTIONS_SQL = f"""
+WITH e AS {EMB_LONG}, p AS (SELECT max(idx) + 1 AS p FROM e)
+SELECT idx, true AS kkt_ok, round(sum(v * y), 4) + 0.0 AS xty, CAST(count(*) AS BIGINT) AS n
+  FROM e GROUP BY idx
+UNION ALL
+SELECT CAST(p + a.idx * (2 * p - a.idx - 1) // 2 + (b.idx - a.idx - 1) AS INTEGER), true,
+       round(sum(a.v * b.v * a.y), 4) + 0.0, CAST(count(*) AS BIGINT)
+  FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.idx < b.idx CROSS JOIN p
+ GROUP BY p, a.idx, b.idx"""
+
 ORACLE_SQL = {
     "sample_matrix_long": f"""
 SELECT CAST(vec_id AS VARCHAR) AS sample_id, idx, v AS value FROM {EMB_LONG}""",
@@ -355,15 +365,9 @@ SELECT idx, true AS kkt_ok, round(sum(v * y), 4) + 0.0 AS xty,
 
     "lasso_job_wide": _JOB_SQL,
 
-    "lasso_interactions": f"""
-WITH e AS {EMB_LONG}, p AS (SELECT max(idx) + 1 AS p FROM e)
-SELECT idx, true AS kkt_ok, round(sum(v * y), 4) + 0.0 AS xty, CAST(count(*) AS BIGINT) AS n
-  FROM e GROUP BY idx
-UNION ALL
-SELECT CAST(p + a.idx * (2 * p - a.idx - 1) // 2 + (b.idx - a.idx - 1) AS INTEGER), true,
-       round(sum(a.v * b.v * a.y), 4) + 0.0, CAST(count(*) AS BIGINT)
-  FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.idx < b.idx CROSS JOIN p
- GROUP BY p, a.idx, b.idx""",
+    "lasso_interactions": _INTERACTIONS_SQL,
+
+    "lasso_feature_split": _INTERACTIONS_SQL,
 
     "streaming_statistics": f"""
 SELECT idx AS i, round(sum(v * y), 6) + 0.0 AS xty FROM {EMB_LONG} GROUP BY idx""",
