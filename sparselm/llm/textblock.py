@@ -27,8 +27,8 @@ IS_WORD_BYTE = ~_SPACE                          # words [^\x20\x09-\x0D]+
 
 
 def text_slices(batch: pa.RecordBatch, column: str):
-    """Slices of a batch of about 2 MB of text (null counts as empty); a single
-    longer text is a slice of its own."""
+    """Slices of a batch of about 2 MB of text (null counts as empty), longer by
+    at most one text."""
     n = batch.num_rows
     if n == 0:
         return
