@@ -295,13 +295,13 @@ def test_sums_are_added_in_levels(spark, parts):
 
 def test_one_decomposition_serves_every_rho(spark):
     df, X, y = _random(spark)
-    for kw in ({"n_blocks": 3}, {"mode": "fat", "rows_per_block": 7}):
-        prob = admm.prepare(df, rho=1.0, **kw)
-        other = prob.with_rho(4.0)
-        assert other.factors is prob.factors and other.rho == 4.0
-        a = admm.fit(prob, 3.0, max_iter=5000, abs_tol=1e-9, rel_tol=1e-9)
-        b = admm.fit(other, 3.0, max_iter=5000, abs_tol=1e-9, rel_tol=1e-9, init=a.state)
-        assert np.allclose(a.coef, b.coef, atol=1e-5)
+    prob = admm.prepare(df, rho="auto", n_blocks=3)
+    other = prob.with_rho(2 * prob.rho)
+    assert other.factors is prob.factors and other.rho == 2 * prob.rho
+    a = admm.fit(prob, 3.0, max_iter=200, abs_tol=1e-5, rel_tol=1e-5)
+    b = admm.fit(other, 3.0, max_iter=200, abs_tol=1e-5, rel_tol=1e-5, init=a.state)
+    assert a.converged and b.converged and b.iterations < a.iterations
+    assert np.allclose(a.coef, b.coef, atol=1e-2)
     A = np.random.Generator(np.random.PCG64(1)).standard_normal((9, 6))
     for rho in (0.1, 30.0):
         for M, fat in ((A, True), (A[:4], True), (A.T @ A, False)):
