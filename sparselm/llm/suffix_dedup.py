@@ -44,6 +44,7 @@ from sparselm.llm.tables import saved, table, text_key
 from sparselm.llm.windows import window_blocks
 
 LENGTH = 400
+BLOCK_SLICE = 1 << 20       # text cut into blocks at a time; some 80 bytes of work space each
 PARCEL = 2 << 20            # bytes of one suffix-sorted parcel, about
 MOST_VARIANTS = 4096        # of one core; at most some 2 MB
 
@@ -51,7 +52,7 @@ MOST_VARIANTS = 4096        # of one core; at most some 2 MB
 def _block_pass(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in textblock.text_slices(whole, "text"):
+            for b in textblock.text_slices(whole, "text", BLOCK_SLICE):
                 data, off = textblock.block(b.column("text"), lower=False)
                 text, ref, first, last, core, hull = window_blocks(
                     data, off, length, textblock.RangeHasher(data))

@@ -26,14 +26,14 @@ SLICE_BYTES = 2 << 20
 IS_WORD_BYTE = ~_SPACE                          # words [^\x20\x09-\x0D]+
 
 
-def text_slices(batch: pa.RecordBatch, column: str):
-    """Slices of a batch of about 2 MB of text (null counts as empty), longer by
-    at most one text."""
+def text_slices(batch: pa.RecordBatch, column: str, size_bytes: int = SLICE_BYTES):
+    """Slices of a batch of about ``size_bytes`` of text (null counts as empty),
+    longer by at most one text."""
     n = batch.num_rows
     if n == 0:
         return
     size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size.astype(np.int64)) // SLICE_BYTES
+    part = np.cumsum(size.astype(np.int64)) // size_bytes
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
