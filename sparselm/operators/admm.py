@@ -185,14 +185,17 @@ def _factor_fn(p: int, fat: bool):
 _SPREAD_BLOCKS = 4096
 
 
-def _partitions_for(blocks: DataFrame, n_blocks: int, parts: int) -> int:
-    """Partitions of the factor table. With few blocks a hash puts some of them
-    together; the smallest count near ``parts`` that does so least is taken."""
+def _partitions_for(blocks: DataFrame, n_blocks: int, wide: int) -> int:
+    """Partitions of the factor table, for ``wide`` cores. With few blocks a hash
+    puts some of them together; of the counts near the number of cores (or
+    blocks) the one whose fullest partition, times its waves of tasks, is
+    smallest is taken."""
+    parts = max(1, min(n_blocks, wide))
     if n_blocks > _SPREAD_BLOCKS:
         return 4 * parts
     ids = np.array([r[0] for r in blocks.select(F.hash("block_id")).collect()], dtype=np.int64)
     load = {k: int(np.bincount(ids % k).max(initial=0)) for k in range(parts, 4 * parts + 1)}
-    return min(load, key=lambda k: (load[k], k))
+    return min(load, key=lambda k: (load[k] * -(-k // wide), k))
 
 
 def _factor(blocks: DataFrame, p: int, fat: bool, parts: int) -> DataFrame:
@@ -438,7 +441,7 @@ def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
     have = blocks.rdd.getNumPartitions()
     if have < min(n_eff, wide):
         blocks = blocks.repartition(min(n_eff, wide))
-    parts = _partitions_for(blocks, n_eff, max(1, min(n_eff, wide)))
+    parts = _partitions_for(blocks, n_eff, wide)
     return LassoProblem(_factor(blocks, p, fat, parts), blocks, p, n_eff, rho_v, xty,
                         float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat, parts)
 
