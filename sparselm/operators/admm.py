@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_broadcast, checkpoint_dir, checkpointed, delete_path
-from .moments import _list_array, full_from_upper_rows, hash_blocks, moments
+from .moments import _list_array, _pair_columns, full_from_upper_rows, hash_blocks, moments
 from .reduction import added
 
 _LIST = pa.list_(pa.float64())
@@ -245,12 +245,6 @@ def fat_rows(p: int) -> int:
     return max(1, min(FAT_BLOCK_ROWS, FAT_BLOCK_BYTES // (8 * max(p, 1))))
 
 
-def _pair_columns(X: np.ndarray) -> np.ndarray:
-    """Main effects, then the products x_k·x_j for k<j in that order."""
-    k, j = np.triu_indices(X.shape[1], 1)
-    return np.concatenate([X, X[:, k] * X[:, j]], axis=1)
-
-
 def _fat_blocks_fn(rows_per_block: int | None, pairs: bool):
     """Blocks of consecutive rows of one key, built in the reading task."""
 

@@ -76,10 +76,28 @@ def full_from_upper_rows(rows, p: int) -> np.ndarray:
 
 # memory a task may spend on open accumulators before it emits them early
 ACCUMULATOR_BUDGET_BYTES = 256 << 20
+# cells of the pair products that a task forms at a time
+PAIR_CELLS = 1 << 21
+
+
+def _pair_columns(X: np.ndarray) -> np.ndarray:
+    """Main effects, then the products x_k·x_j for k<j in that order."""
+    k, j = np.triu_indices(X.shape[1], 1)
+    return np.concatenate([X, X[:, k] * X[:, j]], axis=1)
+
+
+def _pair_slices(batches: Iterable[pa.RecordBatch], features: str):
+    """Batches cut so that their pair products stay within ``PAIR_CELLS``."""
+    for rb in batches:
+        if rb.num_rows:
+            p = rb.column(rb.schema.get_field_index(features)).value_lengths()[0].as_py() or 1
+            step = max(1, PAIR_CELLS // (p * (p + 1) // 2))
+            for lo in range(0, rb.num_rows, step):
+                yield rb.slice(lo, step)
 
 
 def _partials_fn(keys: list[str], features: str, label: str | None, width: int | None,
-                 budget: int | None = None):
+                 budget: int | None = None, pairs: bool = False):
     """Build the per-task accumulator used by ``mapInArrow``.
 
     One running ``XᵀX`` per group key seen by the task. When the open
@@ -101,8 +119,8 @@ def _partials_fn(keys: list[str], features: str, label: str | None, width: int |
     def run(batches: Iterable[pa.RecordBatch]):
         acc: dict = {}
         ktypes: dict = {}
-        p = width
-        for rb in batches:
+        p, wide = width, 0
+        for rb in _pair_slices(batches, features) if pairs else batches:
             if rb.num_rows == 0:
                 continue
             feats = rb.column(rb.schema.get_field_index(features))
@@ -118,6 +136,9 @@ def _partials_fn(keys: list[str], features: str, label: str | None, width: int |
             if flat.null_count:
                 raise ValueError("null feature value")
             X = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, p)
+            if pairs:
+                X = _pair_columns(X)
+            wide = X.shape[1]
             if label is not None:
                 ycol = rb.column(rb.schema.get_field_index(label))
                 if ycol.null_count:
@@ -152,32 +173,39 @@ def _partials_fn(keys: list[str], features: str, label: str | None, width: int |
                 yg = y if rows is None else y[rows]
                 a = acc.get(key)
                 if a is None:
-                    a = acc[key] = [np.zeros((p, p)), np.zeros(p), np.zeros(p), 0, 0.0]
+                    a = acc[key] = [np.zeros((wide, wide)), np.zeros(wide), np.zeros(wide), 0, 0.0]
                 a[0] += Xg.T @ Xg
                 a[1] += Xg.T @ yg
                 a[2] += Xg.sum(axis=0)
                 a[3] += Xg.shape[0]
                 a[4] += float(yg @ yg)
-            if len(acc) * 8 * (p * p + 2 * p + 2) > limit:
-                yield from emit(acc, ktypes, p)
+            if len(acc) * 8 * (wide * wide + 2 * wide + 2) > limit:
+                yield from emit(acc, ktypes, wide)
                 acc = {}
-        yield from emit(acc, ktypes, p)
+        yield from emit(acc, ktypes, wide)
 
     return run
 
 
 def moments(df: DataFrame, features: str = "features", label: str | None = "label",
-            keys: list[str] | None = None, width: int | None = None) -> DataFrame:
+            keys: list[str] | None = None, width: int | None = None,
+            pairs: bool = False) -> DataFrame:
     """Moments table ``(keys..., i, g, c, s, n, yy)``; see the module doc.
 
     ``features`` must be ``array<double>`` (cast floats first); rows must all
-    have the same length. ``label=None`` gives ``c = yy = 0``.
+    have the same length. ``label=None`` gives ``c = yy = 0``. With ``pairs`` the
+    moments are those of the features and their pairwise products.
     """
+    keys = list(keys or [])
+    return summed_moments(partial_moments(df, features, label, keys, width, pairs), keys)
+
+
+def summed_moments(partial: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Moments table of per-task partial moments."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     keys = list(keys or [])
-    partial = partial_moments(df, features, label, keys, width)
     return (partial.groupBy(*keys, "i").agg(
         vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
         F.sum("c").alias("c"), F.sum("s").alias("s"),
@@ -185,7 +213,8 @@ def moments(df: DataFrame, features: str = "features", label: str | None = "labe
 
 
 def partial_moments(df: DataFrame, features: str = "features", label: str | None = "label",
-                    keys: list[str] | None = None, width: int | None = None) -> DataFrame:
+                    keys: list[str] | None = None, width: int | None = None,
+                    pairs: bool = False) -> DataFrame:
     """Per-task partial moments, before the cross-task sum: p rows per group
     and task. Stateless, so it also runs on a streaming DataFrame."""
     keys = list(keys or [])
@@ -200,7 +229,7 @@ def partial_moments(df: DataFrame, features: str = "features", label: str | None
             T.StructField("s", T.DoubleType(), False),
             T.StructField("n", T.LongType(), False),
             T.StructField("yy", T.DoubleType(), False)])
-    return src.mapInArrow(_partials_fn(keys, features, label, width), out_schema)
+    return src.mapInArrow(_partials_fn(keys, features, label, width, pairs=pairs), out_schema)
 
 
 # ---------------------------------------------------------------- views

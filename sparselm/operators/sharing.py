@@ -20,7 +20,14 @@ shuffle. A block holds at most ``BLOCK_BYTES``; pair products are formed while
 the tiles are cut. A round is one stage: x (the coefficients) and two
 vectors of n numbers travel to the tasks, one vector of p + n numbers comes back,
 added in levels. n is the number of samples of a wide table and bounded by
-``MOST_SAMPLES``; for tall tables use :mod:`.admm`.
+``MOST_SAMPLES``.
+
+A table of more rows than columns (over ``REDUCED_ROWS`` rows, up to
+``REDUCED_MOST`` columns) is reduced first: its second moments M = [A b]ᵀ[A b] are summed on the executors, and the
+p + 1 rows R with RᵀR = M take the place of the n samples. R is [A b] in another
+orthonormal basis, and rounds use inner products and norms of sample vectors
+only, so the x of every round and the round that stops are those of the whole
+table (up to rounding), at a cost that no longer grows with n.
 """
 
 from __future__ import annotations
@@ -36,12 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, written
-from .admm import _pair_columns
-from .moments import _list_array
+from .moments import _list_array, _pair_columns, full_from_upper_rows, moments
 from .reduction import added
 
 BLOCK_BYTES = 64 << 20
 MOST_SAMPLES = 8 << 20
+REDUCED_ROWS = 4096         # up to so many, or p + 1, the rows are kept as they are
+REDUCED_MOST = 4096         # columns: second moments of 128 MB
 _CHUNK_CELLS = 1 << 21      # cells a scanning task cuts into tiles at a time
 _TILES = "block int, chunk long, rows int, cells binary"
 
@@ -85,14 +93,38 @@ def _assemble(t: pa.Table) -> pa.Table:
                      "a": pa.array([A.tobytes()], pa.binary())})
 
 
+def _reduced_fn(edges: list[int]):
+    """Moment rows of the whole table → column blocks of its equivalent rows; as
+    blocks −1 and −2 the response there, and Aᵀb."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        p = edges[-1]
+        c = t.column("c").to_numpy()
+        M = np.zeros((p + 1, p + 1))
+        M[:p, :p] = full_from_upper_rows([g.values.to_numpy() for ch in t.column("g").chunks
+                                          for g in ch], p)
+        M[:p, p] = M[p, :p] = c
+        M[p, p] = t.column("yy")[0].as_py()
+        s, V = np.linalg.eigh(M)
+        R = V * np.sqrt(np.maximum(s, 0.0))          # row i: column i of the table
+        cells = [R[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.table({"block": pa.array([*range(len(cells)), -1, -2], pa.int32()),
+                         "a": pa.array([*cells, R[p].tobytes(), c.astype("<f8").tobytes()],
+                                       pa.binary())})
+    return run
+
+
 @dataclass
 class ColumnBlocks:
-    """``blocks``: ``block, a`` (binary, columns × n), cached; ``edges``: first
-    column of every block and p; ``b``: the response, in the rows' order."""
+    """``blocks``: ``block, a`` (binary, columns × len(b)), cached; ``edges``: first
+    column of every block and p; ``b``: the response, in the rows' order (or
+    that of the equivalent rows); ``n``: samples; ``xty``: Aᵀb, if it was summed."""
     blocks: DataFrame
     edges: list[int]
     b: np.ndarray
     names: DataFrame | None = None
+    n: int = 0
+    xty: np.ndarray | None = None
 
     @property
     def p(self) -> int:
@@ -117,9 +149,11 @@ def column_blocks(df: DataFrame, features: str = "features", label: str = "label
     n, p0 = src.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     if not n:
         raise ValueError("no rows to fit")
+    p = p0 * (p0 + 1) // 2 if pairs else p0
+    if n > max(p + 1, REDUCED_ROWS) and p <= REDUCED_MOST:
+        return _reduced_blocks(src, n, p, p0, n_blocks, pairs, names)
     if n > MOST_SAMPLES:
         raise ValueError(f"{n} samples: column blocks are for wide tables")
-    p = p0 * (p0 + 1) // 2 if pairs else p0
     wide = max(int(n_blocks or 1), -(-8 * n * p // BLOCK_BYTES), 1)
     edges = [p * k // min(wide, p) for k in range(min(wide, p) + 1)]
     tiles, _ = written(spark, src.mapInArrow(_tile_fn(edges, p0, pairs), _TILES), "column-tiles")
@@ -128,7 +162,24 @@ def column_blocks(df: DataFrame, features: str = "features", label: str = "label
     blocks = (tiles.where("block >= 0").repartition(len(edges) - 1, "block").groupBy("block")
               .applyInArrow(_assemble, "block int, a binary")
               .persist(StorageLevel.MEMORY_AND_DISK))
-    return ColumnBlocks(blocks, edges, np.frombuffer(b"".join(c for _, c in y), "<f8"), names)
+    return ColumnBlocks(blocks, edges, np.frombuffer(b"".join(c for _, c in y), "<f8"), names, n)
+
+
+def _reduced_blocks(src: DataFrame, n: int, p: int, p0: int, n_blocks: int | None, pairs: bool,
+                    names: DataFrame | None) -> ColumnBlocks:
+    """Column blocks of the p + 1 rows that have the second moments of the table."""
+    wide = min(max(int(n_blocks or 1), -(-8 * (p + 1) * p // BLOCK_BYTES)), p)
+    edges = [p * k // wide for k in range(wide + 1)]
+    rows = moments(src, "features", "label", width=p0, pairs=pairs)
+    # one group: the p moment rows, bounded by the columns
+    cells, _ = written(src.sparkSession, rows.select(F.lit(0).alias("all"), "i", "g", "c", "yy")
+                       .groupBy("all").applyInArrow(_reduced_fn(edges), "block int, a binary"),
+                       "column-blocks")
+    aside = {r["block"]: np.frombuffer(bytes(r["a"]), "<f8")
+             for r in cells.where("block < 0").collect()}
+    blocks = (cells.where("block >= 0").repartitionByRange(wide, "block")
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    return ColumnBlocks(blocks, edges, aside[-1], names, n, aside[-2])
 
 
 def descend(A: np.ndarray, v: np.ndarray, x: np.ndarray, lam: float, tol: float = 1e-10,
@@ -192,9 +243,8 @@ def fit_sharing(problem: ColumnBlocks, lam: float, rho: float = 1.0, max_iter: i
                 abs_tol: float = 1e-6, rel_tol: float = 1e-6) -> SharingFit:
     """Rounds over the column blocks until both residuals are small."""
     t0 = time.time()
-    b, N, p = problem.b, problem.n_blocks, problem.p
-    n = len(b)
-    x, m, z, u = np.zeros(p), np.zeros(n), np.zeros(n), np.zeros(n)
+    b, N, p, n = problem.b, problem.n_blocks, problem.p, problem.n
+    x, m, z, u = np.zeros(p), np.zeros(len(b)), np.zeros(len(b)), np.zeros(len(b))
     ok, j = False, 0
     for j in range(1, max_iter + 1):
         v, _ = added(problem.blocks.mapInArrow(
@@ -214,7 +264,7 @@ def fit_sharing(problem: ColumnBlocks, lam: float, rho: float = 1.0, max_iter: i
 
 def optimality(problem: ColumnBlocks, coef: np.ndarray, lam: float, tol: float) -> DataFrame:
     """``(idx, coef, xty, grad, kkt_ok)`` per feature, from the column blocks."""
-    b, edges = problem.b, problem.edges
+    b, edges, xty = problem.b, problem.edges, problem.xty
     v, _ = added(problem.blocks.mapInArrow(_fitted_fn(coef, edges, len(b)),
                                            "v array<double>, nb long"), problem.n_blocks)
     r = b - v
@@ -225,7 +275,8 @@ def optimality(problem: ColumnBlocks, coef: np.ndarray, lam: float, tol: float)
                 A = np.frombuffer(cell.as_buffer(), "<f8").reshape(-1, len(b))
                 at = np.arange(edges[k], edges[k + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int32()), pa.array(coef[at]), pa.array(A @ b),
+                    [pa.array(at, pa.int32()), pa.array(coef[at]),
+                     pa.array(A @ b if xty is None else xty[at]),
                      pa.array(A @ r)], names=["idx", "coef", "xty", "grad"])
 
     out = problem.blocks.mapInArrow(run, "idx int, coef double, xty double, grad double")

@@ -515,7 +515,7 @@ def q_lasso_feature_split(spark, d):
     cols = sharing.column_blocks(m.df, n_blocks=COLUMN_BLOCKS, pairs=True)
     f = sharing.fit_sharing(cols, WIDE_LAMBDA, abs_tol=1e-7, rel_tol=1e-7)
     return sharing.optimality(cols, f.coef, WIDE_LAMBDA, 1e-3 * WIDE_LAMBDA).select(
-        "idx", "kkt_ok", r4(F.col("xty")).alias("xty"), F.lit(len(cols.b)).cast("long").alias("n"))
+        "idx", "kkt_ok", r4(F.col("xty")).alias("xty"), F.lit(cols.n).cast("long").alias("n"))
 
 
 def q_streaming_statistics(spark, d):

@@ -119,3 +119,25 @@ def test_split_by_features_reaches_the_optimum(spark, pairs):
     cols.release()
     with pytest.raises(ValueError, match="no rows"):
         sharing.column_blocks(df.limit(0))
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_tall_tables_are_split_as_equivalent_rows(spark, pairs, monkeypatch):
+    """Blocks of a tall table grow with its columns only; rounds are the same."""
+    df, X, y = _table(spark, n=6000, p=7)
+    p = 28 if pairs else 7
+    cols = sharing.column_blocks(df, n_blocks=4, pairs=pairs)
+    assert (cols.n, len(cols.b), cols.n_blocks) == (6000, p + 1, 4)
+    monkeypatch.setattr(sharing, "REDUCED_ROWS", 1 << 30)
+    whole = sharing.column_blocks(df, n_blocks=4, pairs=pairs)
+    assert (whole.n, len(whole.b)) == (6000, 6000)
+    for lam in (3.0, 300.0):
+        f, g = (sharing.fit_sharing(c, lam, abs_tol=1e-7, rel_tol=1e-7) for c in (cols, whole))
+        assert f.converged and f.iterations == g.iterations
+        assert np.allclose(f.coef, g.coef, atol=1e-8)
+        a, b = (sharing.optimality(c, f.coef, lam, 1e-2).orderBy("idx").collect()
+                for c in (cols, whole))
+        assert all(r["kkt_ok"] for r in a) and all(r["kkt_ok"] for r in b)
+        assert np.allclose([r["xty"] for r in a], [r["xty"] for r in b])
+    cols.release()
+    whole.release()
