@@ -30,6 +30,9 @@ Spark layout:
   Only sums leave it: neither iterates nor factors are moved or copied.
 * The partitions' sums are added on the executors, in levels
   (:func:`.reduction.added`) until a bounded number of rows is left.
+* A fit of many fat blocks starts from the optimum of their summed moments
+  instead of zeros (:func:`summed_start`): the number of rounds does not grow
+  with that of the blocks, and the rounds confirm the start or correct it.
 * Every ``checkpoint_every`` rounds the iterates are written, partitioned like
   the factors and cached, which bounds the replay and the lineage; a superseded
   checkpoint is deleted. Both sides of the join are partitioned by block, so no
@@ -610,6 +613,69 @@ def _round_sums(joined: DataFrame, rounds: list, rho: float, p: int, fat: bool,
             **dict(zip(("xx", "uu", "r2", "zgz"), tot)), "nb": nb}
 
 
+# fewest fat blocks, and most features (moments of 128 MB), of a summed start
+SUMMED_START_BLOCKS = 16
+SUMMED_START_FEATURES = 4096
+
+
+def _block_moments_fn(p: int):
+    """Rows ``(i, g)`` of Σ A_iᵀA_i over the blocks of a partition."""
+    def run(batches):
+        G = np.zeros((p, p))
+        for rb in batches:
+            for r in range(rb.num_rows):
+                A = _row_values(rb.column(0), r).reshape(-1, p)
+                G += A.T @ A
+        for lo in range(0, p, 256):
+            k = min(256, p - lo)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(lo, lo + k), pa.int32()), _list_array(G[lo:lo + k])],
+                names=["i", "g"])
+    return run
+
+
+def summed_start(problem: LassoProblem, lams) -> np.ndarray:
+    """K×p: the optimum of every penalty, from the moments of all fat blocks. They
+    are added on the executors; one task gets p rows of p numbers, whatever the
+    number of rows, and the driver the coefficients."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from .local_fit import support_fit
+
+    p, c, lams = problem.p, problem.xty, list(lams)
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        G = np.stack([g.values.to_numpy() for ch in t.column("g").chunks for g in ch])
+        z = np.stack([support_fit(G, c, lam) for lam in lams])
+        return pa.table({"k": pa.array(range(len(z)), pa.int32()), "z": _list_array(z)})
+
+    total = (problem.blocks.select("a").mapInArrow(_block_moments_fn(p), "i int, g array<double>")
+             .groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")))
+    rows = total.select(F.lit(0).alias("all"), "i", "g").groupBy("all").applyInArrow(
+        solve, "k int, z array<double>").collect()
+    return np.array([r["z"] for r in sorted(rows, key=lambda r: r["k"])])
+
+
+def _start_fn(Z: np.ndarray, rho: float):
+    """Iterates at rest on z, per block and fit: ``x = z, u = (A_iᵀb_i − A_iᵀA_i z)/ρ``."""
+    K, p = Z.shape
+
+    def run(batches):
+        for rb in (part for batch in batches for part in _same_size(batch)):
+            rows = rb.num_rows
+            B = _stacked(rb.column("b"), rows).reshape(rows, -1, p)
+            q0 = _mat(rb.column("q0"), rows, p)[:, None, :]
+            U = ((q0 - (Z @ np.swapaxes(B, 1, 2)) @ B) / rho).reshape(rows, K * p)
+            X = np.tile(Z.reshape(-1), (rows, 1))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("block_id"), *[_list_array(M) for M in (X, U, X, U)]],
+                names=["block_id", *_STATE])
+
+    return run
+
+
 # ---------------------------------------------------------------- fit
 
 
@@ -766,12 +832,17 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
         return problem.factors.join(held.hint("shuffle_hash"), "block_id").select(
             "block_id", "b", "s", "q0", *_STATE), held
 
-    if init is None:                # all zeros where the factors are: nothing to place
+    z0 = np.tile(np.asarray(state.z, dtype=np.float64), (K, 1))
+    if init is None and problem.fat and N >= SUMMED_START_BLOCKS and p <= SUMMED_START_FEATURES:
+        z0 = summed_start(problem, lams)
+        joined, held = placed(problem.factors.select("block_id", "b", "q0", "s").mapInArrow(
+            _start_fn(z0, rho), _STATE_SCHEMA))
+    elif init is None:              # all zeros where the factors are: nothing to place
         joined, held = problem.factors.select(
             "block_id", "b", "s", "q0", *[zero.alias(c) for c in _STATE]), None
     else:
         joined, held = placed(start)
-    Z = np.tile(np.asarray(state.z, dtype=np.float64), (K, 1))
+    Z = z0
     kappa = np.array(lams) / (rho * N)
     sqrt_pn = math.sqrt(p * N)
     history: list = [[] for _ in range(K)]

@@ -141,3 +141,19 @@ def test_tall_tables_are_split_as_equivalent_rows(spark, pairs, monkeypatch):
         assert np.allclose([r["xty"] for r in a], [r["xty"] for r in b])
     cols.release()
     whole.release()
+
+
+def test_many_fat_blocks_start_at_the_summed_optimum(spark, monkeypatch):
+    """Rounds do not grow with the number of blocks."""
+    df, X, y = _table(spark, n=800, p=7)
+    prob = admm.prepare(df, mode="fat", rows_per_block=5, rho="auto")
+    assert prob.n_blocks >= 160
+    kw = {"max_iter": 5000, "abs_tol": 1e-8, "rel_tol": 1e-8}
+    for lam, f in zip((3.0, 300.0), admm.fit_many(prob, (3.0, 300.0), **kw)):
+        assert f.converged and f.iterations <= 3
+        assert np.allclose(f.coef, _lasso(X, y, lam, 400), atol=1e-5)
+    # a poor start is corrected by the rounds
+    monkeypatch.setattr(local_fit, "support_fit", lambda G, c, lam: np.ones(len(c)))
+    g = admm.fit(prob, 300.0, **kw)
+    assert g.converged and g.iterations > 3 and np.allclose(g.coef, f.coef, atol=1e-5)
+    prob.release()
