@@ -171,23 +171,23 @@ def _marker_major_files(spark, m: LabeledMatrix, base: str) -> list[str]:
     df, _ = written(spark, m.df.select("sample_id", "features"), "marker-major-source")
     n = max(1, -(-df.count() // FILE_SAMPLES))
     df = df.withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(n)))
-    paths = []
-    for part in range(n):
-        block = df.where(F.col("part") == part)
-        ids = [str(r[0]) for r in block.select("sample_id").orderBy("sample_id").collect()]
-        if not ids:
-            continue
-        cells = block.select("sample_id", F.posexplode("features").alias("idx", "value")) \
-            .groupBy("idx").agg(F.array_sort(F.collect_list(
-                F.struct("sample_id", "value"))).alias("cells")).join(m.names, "idx")
-        lines = cells.orderBy("idx").select(F.concat_ws(
-            text.TAB, "name", F.lit("A/C"), F.lit("1"), F.col("idx").cast("string"), F.lit("+"),
-            F.concat_ws(text.TAB, F.transform("cells", lambda c: c["value"].cast("string"))))
-            .alias("value"))
-        paths.append(f"{base}/geno-{part}")
-        text.write_with_header(lines, paths[-1], text.TAB.join(
-            ["rs", "alleles", "chrom", "pos", "strand", *ids]))
-    return paths
+    # one line of a block's sample names, before those of its markers
+    heads = df.groupBy("part").agg(F.array_sort(F.collect_list("sample_id")).alias("ids")).select(
+        "part", F.lit(-1).alias("idx"), F.concat_ws(
+            text.TAB, F.lit("rs"), F.lit("alleles"), F.lit("chrom"), F.lit("pos"), F.lit("strand"),
+            F.transform("ids", lambda v: v.cast("string"))).alias("value"))
+    cells = df.select("part", "sample_id", F.posexplode("features").alias("idx", "value")) \
+        .groupBy("part", "idx").agg(F.array_sort(F.collect_list(
+            F.struct("sample_id", "value"))).alias("cells")).join(m.names, "idx")
+    lines = cells.select("part", "idx", F.concat_ws(
+        text.TAB, "name", F.lit("A/C"), F.lit("1"), F.col("idx").cast("string"), F.lit("+"),
+        F.concat_ws(text.TAB, F.transform("cells", lambda c: c["value"].cast("string"))))
+        .alias("value"))
+    # a block's lines are one task's and one file's; all folders in one job
+    heads.union(lines).repartition("part").sortWithinPartitions("part", "idx").select(
+        "part", "value").write.partitionBy("part").text(f"{base}/geno")
+    found = [r["part"] for r in df.select("part").distinct().collect()]
+    return [f"{base}/geno/part={k}" for k in sorted(found)]
 
 
 def q_interaction_files(spark, d):

@@ -17,6 +17,7 @@ driver, the way a header-aware reader does.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,7 @@ TAB = "\t"
 LINE_PLACE = ("_file", "_split")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines (``value``) with their place. Scans deal splits to tasks by size,
     so neither partitions nor files come in name order; the place columns say
     where a line belongs."""
@@ -69,7 +70,7 @@ class LabeledMatrix:
 def _cells(line: Column) -> Column:
     # Java's String.split drops trailing empty cells; Spark's split keeps
     # them, so strip trailing tabs first to read the same cells.
-    return F.split(F.regexp_replace(line, "\t+$", ""), TAB)
+    return F.split(F.rtrim(line, F.lit(TAB)), TAB)
 
 
 def header_names(header: DataFrame, skip: int = 1) -> DataFrame:
@@ -103,7 +104,7 @@ def parse_sample_major(lines: DataFrame, vector_col: str = "features",
     # every copy of the header line is dropped (a folder of files each with
     # its own header); one literal comparison, no join
     body = lines.where(F.col("value") != F.lit(header))
-    body = body.where(F.length(F.regexp_replace("value", "\\s", "")) > 0)
+    body = body.where(F.col("value").rlike("\\S"))
     cells = _cells(F.col("value"))
     width = len(header.rstrip(TAB).split(TAB))
     vector = F.slice(cells, 2, 1 << 30)
@@ -184,7 +185,7 @@ def parse_marker_major(lines: DataFrame, lead: int = 5, lenient: bool = False) -
     # every file may repeat the header
     body = lines.select("value", *place).where(
         (F.col("value") != F.lit(header[0]))
-        & (F.length(F.regexp_replace("value", "\\s", "")) > 0))
+        & F.col("value").rlike("\\S"))
     indexed = with_row_index(body, "marker_idx").withColumn(
         "marker_idx", F.col("marker_idx").cast("int"))
     cells = _cells(F.col("value"))
@@ -214,24 +215,93 @@ def read_marker_major_blocks(spark: SparkSession, paths: list[str], lead: int =
     line with its block's sample names, and the same markers in the same order
     (checked). Samples are numbered block after block, so no header line, and
     nothing the driver holds at a time, has more than a block's samples."""
+    from ..operators.align import with_row_index
+    from ..session import bounded_broadcast, written
+
     if not paths:
         raise ValueError("no marker-major blocks")
-    blocks, at = [], 0
-    for path in paths:
-        b = read_marker_major(spark, path, lead, lenient)
-        shift = F.lit(at).cast("long")
-        at += b.samples.count()
-        blocks.append(MarkerMajor(
-            b.long.withColumn("sample_idx", F.col("sample_idx") + shift), b.markers,
-            b.samples.withColumn("sample_idx", F.col("sample_idx") + shift)))
-    marks = [b.markers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(
-        "marker_idx", "marker").cast("decimal(20,0)")), F.lit(0)).alias("h")) for b in blocks]
-    long, samples, seen = blocks[0].long, blocks[0].samples, marks[0]
-    for b, m in zip(blocks[1:], marks[1:]):
-        long, samples, seen = long.union(b.long), samples.union(b.samples), seen.union(m)
-    if seen.distinct().count() != 1:
+    # all blocks in one scan, whose lines are numbered once
+    lines, _ = written(spark, read_lines(spark, paths).withColumn(
+        "_at", F.monotonically_increasing_id()), "marker-lines")
+    firsts = lines.where("_split = 0").groupBy("_file").agg(F.min("_at").alias("_at"))
+    files = sorted(r["_file"] for r in firsts.select("_file").collect())
+    block = dict(zip(files, _path_of(files, paths)))
+    heads = _first_files(block, len(paths))
+    if None in heads:
+        raise ValueError("empty input: no header line")
+    of_file = spark.createDataFrame([(f, block[f], heads[block[f]] == f) for f in files],
+                                    "_file string, block int, head boolean")
+    of_file = bounded_broadcast(of_file, len(files))
+    names = lines.join(firsts, ["_file", "_at"]).join(of_file, "_file").where("head").select(
+        "block", F.xxhash64("value").alias("_hash"), F.length("value").alias("_length"),
+        F.slice(_cells(F.col("value")), lead + 1, 1 << 30).alias("names"))
+    names, _ = written(spark, names, "marker-samples")
+    sizes = sorted(names.select("block", F.size("names").alias("n"), "_hash", "_length").collect())
+    shift, at = [], 0
+    for k, n, h, size in sizes:
+        shift.append((k, at, n, h, size))
+        at += n
+    shift = bounded_broadcast(spark.createDataFrame(
+        shift, "block int, _shift long, _names int, _hash long, _length int"), len(sizes))
+    samples = names.select("block", F.posexplode("names").alias("_k", "sample_id")).join(
+        shift, "block").select((F.col("_shift") + F.col("_k")).alias("sample_idx"), "sample_id")
+    # every file may repeat its block's header
+    body = lines.join(of_file, "_file").join(shift, "block").where(
+        ((F.xxhash64("value") != F.col("_hash")) | (F.length("value") != F.col("_length")))
+        & F.col("value").rlike("\\S"))
+    body = with_row_index(body.select("value", "block", "_shift", "_names", *LINE_PLACE), "_row")
+    # the files of a block follow each other, and so do its lines
+    first = body.groupBy("block").agg(F.min("_row").alias("_first"))
+    body = body.join(bounded_broadcast(first, len(paths)), "block").withColumn(
+        "marker_idx", (F.col("_row") - F.col("_first")).cast("int"))
+    cells = _cells(F.col("value"))
+    marker = body.select("block", "marker_idx", F.element_at(cells, 1).alias("marker"))
+    marks = marker.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(
+        "marker_idx", "marker").cast("decimal(20,0)")).alias("h"))
+    kinds = marks.groupBy("n", "h").agg(F.count(F.lit(1)).alias("blocks")).collect()
+    if kinds and (len(kinds) > 1 or kinds[0]["blocks"] != len(paths)):
         raise ValueError("blocks of samples hold different markers")
-    return MarkerMajor(long, blocks[0].markers, samples)
+    cast = (lambda v: v.try_cast("double")) if lenient else (lambda v: v.cast("double"))
+    # a missing cell would shift every later one to another sample
+    whole = F.when(F.size(cells) == F.lit(lead) + F.col("_names"), F.slice(cells, lead + 1, 1 << 30)) \
+        .otherwise(F.raise_error(F.concat(
+            F.lit("a marker line does not have the header's number of cells: "),
+            F.element_at(cells, 1))))
+    long = body.select("marker_idx", "_shift", F.posexplode(whole).alias("_k", "cell")).select(
+        "marker_idx", (F.col("_shift") + F.col("_k")).alias("sample_idx"),
+        cast(F.col("cell")).alias("value"))
+    return MarkerMajor(long, marker.where("block = 0").drop("block"), samples)
+
+
+def _path_of(files: list[str], paths: list[str]) -> list[int]:
+    """Which of ``paths`` (files or folders) holds each of ``files``."""
+    from urllib.parse import unquote
+
+    def bare(path: str) -> str:
+        head, colon, tail = path.partition(":")
+        tail = tail if colon and "/" not in head else path
+        return re.sub("^//[^/]*", "", tail).rstrip("/")
+
+    place = {bare(path): k for k, path in enumerate(paths)}
+    out = []
+    for f in files:
+        for at in (bare(f), bare(unquote(f))):
+            while at and at not in place:
+                at = at.rpartition("/")[0]
+            if at:
+                out.append(place[at])
+                break
+        else:
+            raise ValueError(f"a file of none of the blocks: {f}")
+    return out
+
+
+def _first_files(block: dict, n: int) -> list:
+    """First file by name of every block."""
+    heads: list = [None] * n
+    for f in sorted(block, reverse=True):
+        heads[block[f]] = f
+    return heads
 
 
 @dataclass
@@ -284,7 +354,7 @@ def parse_combined(lines: DataFrame, lenient: bool = False) -> CombinedMatrix:
     else:
         is_head = at_head & F.col("value").isin(head)
         body = lines.where(~is_head)
-    body = body.where(F.length(F.regexp_replace("value", "\\s", "")) > 0)
+    body = body.where(F.col("value").rlike("\\S"))
     cells = _cells(F.col("value"))
     vals = F.when(is_head, F.lit(None))
     if not lenient:

@@ -222,3 +222,20 @@ def test_pair_products_of_any_row(spark):
     assert got == {0: [2.0, 3.0, 6.0], 1: None, 2: [], 3: [], 4: [None, 10.0, None]}
     with pytest.raises(Exception, match="expected 3 features"):
         df.select(pair_products("v", 3)).collect()
+
+
+def test_interaction_files_take_as_many_jobs_for_any_number_of_blocks(spark, monkeypatch):
+    from sparselm.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    sc, seen = spark.sparkContext, []
+    for size in (100, 20):
+        monkeypatch.setattr(catalog, "FILE_SAMPLES", size)
+        sc.setJobGroup(f"blocks-of-{size}", "")
+        rows = sorted(map(tuple, catalog.q_interaction_files(spark, sf).collect()))
+        seen.append((rows, len(sc.statusTracker().getJobIdsForGroup(f"blocks-of-{size}"))))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[0][0] and seen[0][0] == seen[1][0]
+    assert seen[1][1] <= seen[0][1] + 5
