@@ -62,9 +62,11 @@ def gram_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * rarity
+    x = np.log1p(counts)
+    x *= rarity
     size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(size > 0, size, 1)
+    x /= np.where(size > 0, size, 1)
+    return x
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
@@ -122,6 +124,24 @@ def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              pa.binary())], names=["label", "counts"])
 
 
+def _fit_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, as one row of little-endian float32 bytes."""
+    rows, labels = [], []
+    for b in batches:
+        rows += [np.frombuffer(c.as_buffer(), "<f4") for c in b.column("counts")]
+        labels += b.column("label").to_pylist()
+    counts = np.stack(rows) if rows else np.zeros((0, FEATURES), np.float32)
+    del rows
+    order = np.lexsort(counts.T[:8])            # the same model whatever the row order
+    counts = counts[order]
+    m = Model.fit(counts, np.array(labels, dtype=float)[order])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([m.base], pa.float64()),
+         *(pa.array([x.astype("<f4").tobytes()], pa.binary())
+           for x in (m.labels, m.rarity, m.axes, m.vectors))],
+        names=["base", "labels", "rarity", "axes", "vectors"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled texts: those of smallest id hash."""
@@ -133,11 +153,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .join(F.broadcast(picked), "id")
              .groupBy("id", "label").agg(F.max("text").alias("text")))
-    rows = texts.select("label", "text").mapInArrow(
-        _count_pass, "label double, counts binary").collect()
-    counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<f4").reshape(-1, FEATURES)
-    order = np.lexsort(counts.T[:8])            # the same model whatever the row order
-    return Model.fit(counts[order], np.array([r["label"] for r in rows])[order])
+    counted = texts.select("label", "text").mapInArrow(
+        _count_pass, "label double, counts binary")
+    # the sample's counts (34 MB at most) meet in one task; the driver gets the
+    # model alone (2 MB)
+    row = counted.repartition(1).mapInArrow(
+        _fit_pass, "base double, labels binary, rarity binary, axes binary, vectors binary").first()
+    if row is None:             # an empty plan runs no task
+        return Model.fit(np.zeros((0, FEATURES), np.float32), np.zeros(0))
+    wide = {k: np.frombuffer(row[k], "<f4") for k in ("labels", "rarity", "axes", "vectors")}
+    n_axes = len(wide["axes"]) // FEATURES
+    return Model(wide["labels"], row["base"], wide["rarity"],
+                 wide["axes"].reshape(FEATURES, n_axes),
+                 wide["vectors"].reshape(len(wide["labels"]), n_axes))
 
 
 def score_of(spark: SparkSession, text: Column, model: Model) -> Column:

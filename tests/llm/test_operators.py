@@ -4,6 +4,7 @@ and on empty tables."""
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -282,6 +283,30 @@ def test_quality(spark, docs, none):
     assert {r["score"] for r in quality.score(docs, blank).collect()} == {0.5}
 
 
+def test_quality_sample_stays_off_the_driver(spark):
+    import pyarrow as pa
+
+    from sparselm.llm import textblock
+
+    texts = [prose(60, 2000 + k) if k % 3 else " ".join([VOCAB[k % 300]] * 60) for k in range(900)]
+    known = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(900)],
+                                   "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        model = quality.learn(known, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 900 * quality.FEATURES * 4        # less than the counts take
+    counts = quality.gram_counts(*textblock.block(pa.array(texts), lower=False))
+    order = np.lexsort(counts.T[:8])
+    want = quality.Model.fit(counts[order], (np.arange(900) % 3 > 0)[order])
+    assert model.vectors.shape == (900, quality.AXES) and model.base == want.base
+    assert np.allclose(model.rarity, want.rarity)
+    assert np.allclose(model.scores(counts[:50]), want.scores(counts[:50]), atol=1e-4)
+
+
 def test_maxent_lm(spark, docs, none):
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     model, counts, n, v = maxent_lm.train(spark, docs.where(crc_mod5() != 1), F.floor(crc / 5),
