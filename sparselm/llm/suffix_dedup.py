@@ -17,6 +17,10 @@ anywhere else, in the same document or another.
    its own fingerprint, which is exact as well.
 4. Repeated windows go back to the documents, where their bytes are cut out.
 
+Joins deal the rows of a core, a variant or a window with more than ``MOST_ROWS``
+of them to several tasks (``dealt_join``), so a passage or a text with many copies
+is no task of its own.
+
 Texts are shuffled once, to fetch the variants' bytes, and those of documents
 with a repeated core once more.  Strings are told apart by 64-bit hashes within
 equal cores, or byte by byte in the suffix arrays.
@@ -47,6 +51,7 @@ LENGTH = 400
 BLOCK_SLICE = 1 << 20       # text cut into blocks at a time; some 80 bytes of work space each
 PARCEL = 2 << 20            # bytes of one suffix-sorted parcel, about
 MOST_VARIANTS = 4096        # of one core; at most some 2 MB
+MOST_ROWS = 1024            # of one key that a join leaves to one task, about
 
 
 def _block_pass(length: int):
@@ -115,6 +120,23 @@ def _sorted_parcel(length: int):
     return run
 
 
+def dealt_join(rows: DataFrame, other: DataFrame, keys: list[str],
+               counts: DataFrame) -> DataFrame:
+    """``rows`` joined to ``other`` by ``keys``.  A key with more than ``MOST_ROWS``
+    rows, by the ``n_rows`` of ``counts``, is split into parts of about so many:
+    its rows are dealt to the parts in turn, its rows of ``other`` go to each.
+    ``counts`` has a key once; one in ``MOST_ROWS`` rows at most has its key
+    broadcast."""
+    split = F.broadcast(counts.where(F.col("n_rows") > MOST_ROWS).select(
+        *keys, F.ceil(F.col("n_rows") / MOST_ROWS).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("turn", F.monotonically_increasing_id()).join(
+        split, keys, "left").withColumn("part", F.pmod("turn", parts)).drop("turn", "parts")
+    other = other.join(split, keys, "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return rows.join(other, [*keys, "part"]).drop("part")
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of (start, end) spans; touching ones are one run."""
     if len(spans) == 0:
@@ -177,13 +199,17 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
         doc, T.StructField("core", T.LongType()), T.StructField("hull", T.LongType()),
         T.StructField("start", T.LongType()), T.StructField("width", T.IntegerType()),
         T.StructField("back", T.IntegerType())])), "sa-blocks")
-    repeated = blocks.groupBy("core").agg(F.count("*").alias("times")).where("times > 1")
-    blocks = saved(spark, blocks.join(repeated.select("core"), "core"), "sa-repeated")
+    repeated = saved(spark, blocks.groupBy("core").agg(F.count("*").alias("n_rows")).where(
+        "n_rows > 1"), "sa-cores")
+    blocks = saved(spark, dealt_join(blocks, repeated.select("core"), ["core"], repeated),
+                   "sa-repeated")
 
     variants = saved(spark, blocks.groupBy("core", "hull", "width", "back").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("where")), "sa-variants")
+    same = variants.select("core", "hull", F.col("n").alias("n_rows"))
     crowd = variants.groupBy("core").agg(F.count("*").alias("variants"))
-    variants = variants.join(crowd, "core")
+    variants = dealt_join(variants, crowd, ["core"],
+                          crowd.select("core", F.col("variants").alias("n_rows")))
     alone = variants.where("variants = 1").select(
         "core", "hull", F.lit(0).alias("a"), F.col("width").alias("b"))
 
@@ -205,17 +231,17 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     window = parts.where("windows IS NOT NULL").dropDuplicates(["core", "hull"]).select(
         "core", "hull", "back", "n", F.posexplode("windows").alias("at", "window"))
     window = window.withColumn("back", F.col("back") - F.col("at"))
-    counted = window.groupBy("core", "back", "window").agg(F.sum("n").alias("times")).where(
+    at = ["core", "back", "window"]
+    counted = window.groupBy(*at).agg(F.sum("n").alias("times"), F.count("*").alias("n_rows")).where(
         "times > 1")
-    by_count = window.join(counted.select("core", "back", "window"),
-                           ["core", "back", "window"]).select(
+    by_count = dealt_join(window, counted.select(*at), at, counted).select(
         "core", "hull", F.col("at").alias("a"), F.col("at").alias("b"))
 
     found = alone.union(by_array).union(by_count)
-    spans = blocks.select("doc", "core", "hull", "start").join(found, ["core", "hull"]).groupBy(
-        "doc").agg(F.collect_list(F.struct(
-            (F.col("start") + F.col("a")).alias("start"),
-            (F.col("b") - F.col("a")).alias("more"))).alias("found"))
+    spans = dealt_join(blocks.select("doc", "core", "hull", "start"), found, ["core", "hull"],
+                       same).groupBy("doc").agg(F.collect_list(F.struct(
+                           (F.col("start") + F.col("a")).alias("start"),
+                           (F.col("b") - F.col("a")).alias("more"))).alias("found"))
     fields = [doc, T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
               T.StructField("kept_sha256", T.StringType()), T.StructField("spans", _SPANS)]
     if with_text:

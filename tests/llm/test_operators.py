@@ -87,6 +87,35 @@ def test_suffix_dedup_of_a_crowded_core(spark, monkeypatch):
          [(k, *w) for k, w in enumerate(want)])
 
 
+def test_suffix_dedup_deals_the_copies_of_a_text_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_ROWS", 16, raising=False)
+    fullest, inner = {}, suffix_dedup.saved
+
+    def saved(spark, df, name):
+        by_task = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        fullest[name] = (max(by_task, default=0), sum(by_task))
+        return inner(spark, df, name)
+
+    monkeypatch.setattr(suffix_dedup, "saved", saved)
+    monkeypatch.setattr(suffix_dedup, "MOST_VARIANTS", 50)
+    texts = [LONG[:400]] * 3000 + [prose(15, 100 + k) + " " + LONG[600:1100] + " "
+                                   + prose(15, 300 + k) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = suffix_dedup.repeated_strings(spark, df).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    want = brute.repeated_bytes(texts, 400)
+    assert all(tuple(r[1:5]) == want[r["id"]] for r in got) and len(got) == len(texts)
+    most, rows = fullest["sa-repeated"]
+    assert most < rows / 3
+
+
 def test_suffix_dedup_of_passages_copied_to_the_start_of_a_text(spark):
     """First equal windows that lie behind the head of the source's block."""
     source = prose(60_000, 20)
