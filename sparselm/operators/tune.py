@@ -152,9 +152,12 @@ def cross_validate(df: DataFrame, lambdas, folds: int = 5, fold_col: Column | st
 
 def cross_validated_best(results: DataFrame) -> DataFrame:
     """Per λ the error over all held-out rows, and whether it is the smallest
-    (ties go to the earliest grid position)."""
+    (ties go to the earliest grid position). Errors are added in the order of
+    the folds, so equal folds give equal sums however the rows lie."""
+    by_fold = F.sort_array(F.collect_list(F.struct("fold", "sse")))     # a row a fold
     per = results.groupBy("pos", "lambda").agg(
-        F.sum("n").alias("n"), (F.sum("sse") / F.sum("n")).alias("mse"))
+        F.sum("n").alias("n"), F.aggregate(by_fold, F.lit(0.0), lambda t, x: t + x["sse"])
+        .alias("sse")).withColumn("mse", F.col("sse") / F.col("n"))
     best = per.agg(F.min_by("pos", F.struct("mse", "pos")).alias("best_pos"))
     return per.crossJoin(F.broadcast(best)).select(
         "pos", "lambda", "n", "mse", (F.col("pos") == F.col("best_pos")).alias("best"))

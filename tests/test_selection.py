@@ -58,6 +58,14 @@ def test_cross_validation_equals_refitting(spark):
         tune.cross_validate(df, lambdas, fold_col=F.lit(0))
 
 
+def test_equal_folds_are_a_tie_in_any_order_of_rows(spark):
+    sse = [0.1, 0.2, 0.3]                       # 0.6000000000000001, backwards 0.6
+    rows = [(f, 0, 8.0, 1, sse[f]) for f in (0, 1, 2)] + [(f, 1, 9.0, 1, sse[f]) for f in (2, 1, 0)]
+    df = spark.createDataFrame(rows, "fold long, pos int, lambda double, n long, sse double")
+    got = {r["pos"]: r for r in tune.cross_validated_best(df.coalesce(1)).collect()}
+    assert got[0]["mse"] == got[1]["mse"] and got[0]["best"] and not got[1]["best"]
+
+
 @pytest.mark.parametrize("kw", [{"n_blocks": 3}, {"mode": "fat", "rows_per_block": 20}])
 def test_screened_path_is_the_unscreened_one(spark, kw):
     df, X, y = _table(spark, p=12)
