@@ -22,12 +22,16 @@ Spark layout:
 * A narrow map adds each block's *eigen-factor*: rows B and values s with
   ``A_iᵀA_i = Bᵀ diag(s) B`` (dense) or ``A_iᵀA_i = BᵀB, BBᵀ = diag(s)`` (fat).
   One decomposition answers every ρ and gives ``zᵀA_iᵀA_i z`` as well. Factors
-  are binary columns, hash-partitioned by block and cached.
+  are binary columns, hash-partitioned by block and cached, in partitions of at
+  most about ``FACTOR_PART_BYTES``. Blocks of pair products have the rows of the
+  features as their factor (:class:`PairRows`): neither products nor what is
+  made of them are stored or moved.
 * A block's iterate is a function of a saved iterate and the z of the rounds
   since. A round *replays* those rounds in the task that holds the factor, in
   one ``mapInArrow`` step that applies the pending u-update, takes every norm
   the stopping rule needs and solves for x_i, for all penalties in lockstep.
-  Only sums leave it: neither iterates nor factors are moved or copied.
+  Only sums leave it: neither iterates nor factors are moved or copied. The
+  iterates that a fit begins with are formed there too, unless they are given.
 * The partitions' sums are added on the executors, in levels
   (:func:`.reduction.added`) until a bounded number of rows is left.
 * A fit of many fat blocks starts from the optimum of their summed moments
@@ -55,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_broadcast, checkpoint_dir, checkpointed, delete_path
-from .moments import _list_array, _pair_columns, full_from_upper_rows, hash_blocks, moments
+from .moments import _list_array, _upper_rows, full_from_upper_rows, hash_blocks, moments
 from .reduction import added
 
 _LIST = pa.list_(pa.float64())
@@ -78,6 +82,67 @@ def _mat(col: pa.Array, rows: int, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(rows, width)
 
 
+# ---------------------------------------------------------------- pair products
+
+
+def pair_base(p: int) -> int:
+    """The features whose pairwise products make p columns with them."""
+    return (math.isqrt(8 * p + 1) - 1) // 2
+
+
+def _pair_columns_t(x: np.ndarray) -> np.ndarray:
+    """Columns [x, x_k·x_j (k<j)] of rows x, as rows."""
+    k, j = np.triu_indices(x.shape[1], 1)
+    x = np.ascontiguousarray(x.T)
+    return np.concatenate([x, x[k] * x[j]])
+
+
+@dataclass
+class PairRows:
+    """Rows ``x`` (blocks × r × p₀) that stand for A = [x, x_k·x_j (k<j)]. With C the
+    upper triangle of a vector's product part, a row times the vector is
+    ``x·(v + Cᵀx)``, so products with A are products of small matrices: A, p₀/2
+    times as wide as x, is only formed to take ``inv``, (AAᵀ + ρI)⁻¹, of a block."""
+
+    x: np.ndarray
+    inv: np.ndarray | None = None
+
+    @classmethod
+    def solving(cls, x: np.ndarray, rho: float) -> "PairRows":
+        S = np.stack([A.T @ A for A in map(_pair_columns_t, x)])
+        return cls(x, np.linalg.inv(S + rho * np.eye(x.shape[1])))
+
+    def dot(self, V: np.ndarray) -> np.ndarray:
+        """``V Aᵀ`` (blocks × K × r) of V, K×p or blocks × K × p."""
+        p0 = self.x.shape[-1]
+        k, j = np.triu_indices(p0, 1)
+        C = np.zeros((*V.shape[:-1], p0, p0))
+        C[..., k, j] = V[..., p0:]
+        x = self.x[:, None]
+        return ((x @ C + V[..., None, :p0]) * x).sum(axis=-1)
+
+    def back(self, T: np.ndarray) -> np.ndarray:
+        """``T A`` (blocks × K × p) of T, blocks × K × r."""
+        k, j = np.triu_indices(self.x.shape[-1], 1)
+        x = self.x[:, None]
+        Q = np.swapaxes(x, 2, 3) @ (T[..., None] * x)
+        return np.concatenate([T @ self.x, Q[..., k, j]], axis=-1)
+
+
+def _dot(V: np.ndarray, B) -> np.ndarray:
+    return B.dot(V) if isinstance(B, PairRows) else V @ np.swapaxes(B, 1, 2)
+
+
+def _back(T: np.ndarray, B) -> np.ndarray:
+    return B.back(T) if isinstance(B, PairRows) else T @ B
+
+
+def _fat_row(col: pa.Array, r: int, p: int, pairs: bool):
+    """The rows of one fat block, as one block for :func:`_dot` and :func:`_back`."""
+    a = _row_values(col, r)
+    return PairRows(a.reshape(1, -1, pair_base(p))) if pairs else a.reshape(1, -1, p)
+
+
 # ---------------------------------------------------------------- problem
 
 
@@ -90,7 +155,8 @@ class LassoProblem:
     written to the checkpoint folder, the only thing kept from the data scan.
     ``factors``: ``block_id, b, s, q0`` (see the module text), derived from
     ``blocks`` by a narrow map (recomputed from the checkpoint if lost); the
-    same for every ρ.
+    same for every ρ. With ``pairs`` the blocks hold rows of the features whose
+    products are meant, and those are the factors: ``block_id, b, q0``.
     ``xty``/``yy``/``n`` are totals kept on the driver (p numbers).
     """
 
@@ -106,6 +172,11 @@ class LassoProblem:
     names: DataFrame | None = None
     fat: bool = False
     partitions: int = 1
+    pairs: bool = False
+
+    @property
+    def cells(self) -> list[str]:
+        return ["block_id", "b", "q0"] if self.pairs else ["block_id", "b", "s", "q0"]
 
     def with_rho(self, rho: float | str) -> "LassoProblem":
         """The same problem for another ρ: the decomposition serves every ρ."""
@@ -117,6 +188,13 @@ class LassoProblem:
         """Drop the cached factor rows (the checkpointed statistics stay)."""
         self.factors.unpersist()
 
+    def rows(self, *columns: str) -> DataFrame:
+        """``a``, the rows of fat blocks, or ``g``, with other columns of the blocks.
+        Those of pair products are the factors, in the partitions of these."""
+        if self.pairs:
+            return self.factors.select(F.col("b").alias("a"), *columns)
+        return self.blocks.select("a" if self.fat else "g", *columns)
+
     @property
     def moments(self) -> DataFrame:
         """Row form ``(block_id, i, g, c)`` of the block statistics."""
@@ -170,7 +248,7 @@ def eigen_rows(A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _factor_fn(p: int, fat: bool):
     def factor(batches):
-        for rb in batches:
+        for rb in (part for batch in batches for part in _few(batch, p)):
             col = rb.schema.get_field_index
             rows = rb.column(col("a" if fat else "g"))
             found = [(eigen_rows if fat else eigen_factor)(
@@ -186,26 +264,46 @@ def _factor_fn(p: int, fat: bool):
 
 # block ids whose spread over partitions is looked at, at most
 _SPREAD_BLOCKS = 4096
+# bytes of the factors of one partition, about: what a task holds as one Arrow batch
+FACTOR_PART_BYTES = 16 << 20
+# not serialized: that takes chunks of 1 MB, each of which fills two 1 MB regions of a
+# heap of up to 4 GB, so a store that counts as half full has the heap full
+KEPT = StorageLevel.MEMORY_AND_DISK_DESER
+
+
+def _factor_bytes(p: int, rows: float, fat: bool, pairs: bool) -> float:
+    """Of a block's factor; ``rows`` per block."""
+    if pairs:
+        return 8 * (rows * pair_base(p) + p)
+    return 8 * ((rows if fat else p) * (p + 1) + p)
 
 
-def _partitions_for(blocks: DataFrame, n_blocks: int, wide: int) -> int:
+def _partitions_for(blocks: DataFrame, n_blocks: int, wide: int, nbytes: float = 0) -> int:
     """Partitions of the factor table, for ``wide`` cores. With few blocks a hash
     puts some of them together; of the counts near the number of cores (or
     blocks) the one whose fullest partition, times its waves of tasks, is
-    smallest is taken."""
+    smallest is taken. Blocks of more than ``FACTOR_PART_BYTES`` for each of so
+    many partitions (``nbytes``: of a block) have as many as they fill."""
     parts = max(1, min(n_blocks, wide))
+    full = min(n_blocks, math.ceil(n_blocks * nbytes / FACTOR_PART_BYTES))
+    if full > 4 * parts:
+        return full
     if n_blocks > _SPREAD_BLOCKS:
         return 4 * parts
     ids = np.array([r[0] for r in blocks.select(F.hash("block_id")).collect()], dtype=np.int64)
-    load = {k: int(np.bincount(ids % k).max(initial=0)) for k in range(parts, 4 * parts + 1)}
+    load = {k: int(np.bincount(ids % k).max(initial=0))
+            for k in range(max(parts, full), 4 * parts + 1)}
     return min(load, key=lambda k: (load[k] * -(-k // wide), k))
 
 
-def _factor(blocks: DataFrame, p: int, fat: bool, parts: int) -> DataFrame:
+def _factor(blocks: DataFrame, p: int, fat: bool, parts: int, pairs: bool = False) -> DataFrame:
     """The eigen-factor per block, partitioned by block and kept in memory."""
-    return (blocks.select("block_id", "a" if fat else "g", "q0")
-            .mapInArrow(_factor_fn(p, fat), _FACTOR_SCHEMA)
-            .repartition(parts, "block_id").persist(StorageLevel.MEMORY_AND_DISK))
+    if pairs:
+        factors = blocks.select("block_id", F.col("a").alias("b"), "q0")
+    else:
+        factors = blocks.select("block_id", "a" if fat else "g", "q0").mapInArrow(
+            _factor_fn(p, fat), _FACTOR_SCHEMA)
+    return factors.repartition(parts, "block_id").persist(KEPT)
 
 
 # ---------------------------------------------------------------- fat blocks
@@ -218,6 +316,8 @@ def _factor(blocks: DataFrame, p: int, fat: bool, parts: int) -> DataFrame:
 # so a round costs O(n_i·p) per block instead of O(p²), and no p×p matrix is
 # ever formed. Blocks are runs of at most ``rows_per_block`` consecutive rows
 # of a reading task, so their size is bounded whatever the key distribution.
+# Blocks of pair products keep the rows of the features, 2/p₀ of the numbers of B; a
+# task takes (A_iA_iᵀ + ρI)⁻¹ anew, in about the time that B would take to reach it.
 
 # dense blocks of a fit that asks for no number
 DEFAULT_BLOCKS = 4
@@ -255,12 +355,16 @@ def _fat_blocks_fn(rows_per_block: int | None, pairs: bool):
         A = np.concatenate([x for x, _ in parts])
         b = np.concatenate([y for _, y in parts])
         if pairs:
-            A = _pair_columns(A)
+            wide = A.shape[1] * (A.shape[1] + 1) // 2
+            q0 = PairRows(A[None]).back(b[None, None])[0, 0]
+            tr = PairRows((A * A)[None]).dot(np.ones((1, wide))).sum()
+        else:
+            q0, tr = A.T @ b, (A * A).sum()
         return pa.RecordBatch.from_pydict({
             "block_id": pa.array([(pid << 31) + seq], pa.int64()),
             "a": pa.array([A.reshape(-1)], _LIST), "ni": pa.array([len(b)], pa.int64()),
-            "q0": pa.array([A.T @ b], _LIST), "n": pa.array([len(b)], pa.int64()),
-            "yy": pa.array([float(b @ b)]), "tr": pa.array([float((A * A).sum())])})
+            "q0": pa.array([q0], _LIST), "n": pa.array([len(b)], pa.int64()),
+            "yy": pa.array([float(b @ b)]), "tr": pa.array([float(tr)])})
 
     def run(batches):
         from pyspark import TaskContext
@@ -316,8 +420,9 @@ def fat_block_statistics(df: DataFrame, features: str = "features", label: str =
     rows of one reading task, built in that task: the rows are not shuffled,
     and a retried task builds its blocks anew as a whole. With ``block_col`` the
     rows are dealt to tasks by its value and rows of different values never
-    share a block; a value of more rows has several. ``pairs`` appends all pairwise products to the features, in numpy,
-    after the scan.
+    share a block; a value of more rows has several. With ``pairs`` the blocks
+    are those of the features and all their pairwise products: ``q0`` and ``tr``
+    have these, ``a`` the features only (:class:`PairRows`).
     """
     key = F.lit(0) if block_col is None else (
         F.col(block_col) if isinstance(block_col, str) else block_col)
@@ -382,7 +487,7 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
     (any number of rows per block; p up to a few thousand). ``mode="fat"``:
     blocks of at most ``rows_per_block`` rows keep their rows and a small
     n_i×n_i factor (for p ≫ rows per block, e.g. interaction features; with
-    ``pairs`` the pairwise products are appended while the blocks are built).
+    ``pairs`` the model has all pairwise products too, which are never stored).
     The layout sets N and with it every iterate, so it is the caller's choice;
     ``mode="auto"`` derives it from the memory of a dense factor (dense up to
     ``DENSE_MAX_FEATURES`` features). ``LassoProblem.fat`` and ``n_blocks``
@@ -410,14 +515,15 @@ def prepare(df: DataFrame, features: str = "features", label: str = "label",
     else:
         raise ValueError("mode must be 'dense', 'fat' or 'auto'")
     # the one write of the preparation: a lost executor never re-reads data
-    return problem_from_blocks(stats.checkpoint(eager=True), rho, names)
+    return problem_from_blocks(stats.checkpoint(eager=True), rho, names, pairs)
 
 
 def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
-                        names: DataFrame | None = None) -> LassoProblem:
+                        names: DataFrame | None = None, pairs: bool = False) -> LassoProblem:
     """LassoProblem from a block-statistics table (``block_id, g, q0, n, yy,
-    tr``), e.g. one accumulated by :mod:`sparselm.streaming`. The table
-    should already be materialised (checkpointed or written)."""
+    tr``), e.g. one accumulated by :mod:`sparselm.streaming`, or from fat blocks
+    (``pairs`` as they were built). The table should already be materialised
+    (checkpointed or written)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
@@ -436,11 +542,14 @@ def problem_from_blocks(blocks: DataFrame, rho: float | str = 1.0,
     # a decomposition per block, by all cores; then one task per partition a round
     wide = blocks.sparkSession.sparkContext.defaultParallelism
     have = blocks.rdd.getNumPartitions()
-    if have < min(n_eff, wide):
-        blocks = blocks.repartition(min(n_eff, wide))
-    parts = _partitions_for(blocks, n_eff, wide)
-    return LassoProblem(_factor(blocks, p, fat, parts), blocks, p, n_eff, rho_v, xty,
-                        float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat, parts)
+    spread = blocks
+    if have < min(n_eff, wide) and not pairs:
+        spread = blocks.repartition(min(n_eff, wide))
+    parts = _partitions_for(blocks, n_eff, wide,
+                            _factor_bytes(p, int(tot["n"]) / n_eff, fat, pairs))
+    return LassoProblem(_factor(spread, p, fat, parts, pairs), blocks, p, n_eff, rho_v, xty,
+                        float(tot["yy"]), int(tot["n"]), float(tot["tr"]), names, fat, parts,
+                        pairs)
 
 
 def merge_block_statistics(parts: DataFrame) -> DataFrame:
@@ -467,23 +576,23 @@ def gradient_check(problem: "LassoProblem", z: np.ndarray, lam: float,
 
     p, zz = problem.p, np.asarray(z, dtype=np.float64)
 
-    fat = problem.fat
+    fat, pairs = problem.fat, problem.pairs
 
     def part(batches):
+        total = np.zeros(p)
         for rb in batches:
             rows = rb.num_rows
-            q0 = _mat(rb.column(rb.schema.get_field_index("q0")), rows, p)
+            total += _mat(rb.column(rb.schema.get_field_index("q0")), rows, p).sum(axis=0)
             if fat:
-                col = rb.schema.get_field_index
-                gz = np.stack([(lambda A: A.T @ (A @ zz))(
-                    _row_values(rb.column(col("a")), r).reshape(-1, p)) for r in range(rows)])
+                for r in range(rows):
+                    A = _fat_row(rb.column(rb.schema.get_field_index("a")), r, p, pairs)
+                    total -= _back(_dot(zz[None, None], A), A)[0, 0]
             else:
                 G = _mat(rb.column(rb.schema.get_field_index("g")), rows, p * p)
-                gz = G.reshape(rows, p, p) @ zz
-            yield pa.RecordBatch.from_arrays([_list_array(q0 - gz)], names=["r"])
+                total -= (G.reshape(rows, p, p) @ zz).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([_list_array(total[None, :])], names=["r"])
 
-    src = problem.blocks.select("a" if fat else "g", "q0")
-    grad = (src.mapInArrow(part, "r array<double>")
+    grad = (problem.rows("q0").mapInArrow(part, "r array<double>")
             .agg(vector_to_array(Summarizer.sum(array_to_vector("r"))).alias("grad")))
     zarr = F.array(*[F.lit(float(v)) for v in zz])
     out = grad.select(F.posexplode("grad").alias("idx", "grad"))
@@ -527,18 +636,32 @@ _SUM_SCHEMA = T.StructType([T.StructField("v", _DARR), T.StructField("nb", T.Lon
 
 
 def _solve(B, s, Q, rho: float, fat: bool) -> np.ndarray:
-    """(A_iᵀA_i + ρI)⁻¹ q for every block and fit: B rows×r×p, s rows×1×r, Q rows×K×p."""
-    T_ = (Q @ np.swapaxes(B, 1, 2)) / (s + rho)
-    return (Q - T_ @ B) / rho if fat else T_ @ B
+    """(A_iᵀA_i + ρI)⁻¹ q for every block and fit: B rows×r×p and s rows×1×r, or pair
+    rows for this ρ; Q rows×K×p."""
+    T_ = _dot(Q, B)
+    T_ = T_ @ B.inv if isinstance(B, PairRows) else T_ / (s + rho)
+    return (Q - _back(T_, B)) / rho if fat else _back(T_, B)
+
+
+# numbers of the vectors (p a block and fit) that a task works on at a time
+_FEW_CELLS = 1 << 17
+
+
+def _few(rb: pa.RecordBatch, width: int):
+    """A batch of blocks in slices whose vectors of ``width`` numbers are few."""
+    step = max(1, _FEW_CELLS // max(width, 1))
+    for lo in range(0, rb.num_rows, step):
+        yield rb.slice(lo, step)
 
 
-def _same_size(rb: pa.RecordBatch):
-    """Runs of blocks with factors of one size, so that they stack."""
-    size = pc.binary_length(rb.column("s")).to_numpy(zero_copy_only=False)
+def _same_size(rb: pa.RecordBatch, width: int):
+    """Runs of few blocks with factors of one size, so that they stack."""
+    b = rb.column("b")
+    size = b.value_lengths() if pa.types.is_list(b.type) else pc.binary_length(b)
+    size = size.to_numpy(zero_copy_only=False)
     cut = np.flatnonzero(np.diff(size)) + 1
     for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), rb.num_rows]):
-        if hi > lo:
-            yield rb.slice(lo, hi - lo)
+        yield from _few(rb.slice(lo, hi - lo), width)
 
 
 def _stacked(col: pa.Array, rows: int) -> np.ndarray:
@@ -550,9 +673,19 @@ def _stacked(col: pa.Array, rows: int) -> np.ndarray:
                          count=int(off[-1] - off[0]) // 8).reshape(rows, -1)
 
 
-def _replay_fn(rounds: list, rho: float, p: int, fat: bool, sums: bool):
+def _first_iterates(Z: np.ndarray, rest: bool, B, q0: np.ndarray, rho: float) -> tuple:
+    """``X, Up, XP, UP`` of blocks where a fit begins: zeros or, with ``rest``, at rest
+    on Z: ``x = z, u = (A_iᵀb_i − A_iᵀA_i z)/ρ``."""
+    X = np.broadcast_to(Z, (len(q0), *Z.shape))
+    U = (q0 - _back(_dot(X, B), B)) / rho if rest else np.zeros(X.shape)
+    return X, U, X, U
+
+
+def _replay_fn(rounds: list, rho: float, p: int, fat: bool, sums: bool, pairs: bool = False,
+               begin: tuple | None = None):
     """Replay ``rounds`` (Z, active, solve) on the blocks of a partition, K fits
-    at once, from their saved iterates.
+    at once, from their saved iterates or, with ``begin`` (Z, rest), from
+    :func:`_first_iterates`.
 
     A round, per block and fit: apply the pending u-update
     ``u^k = u^{k-1} + x^k − z^k`` and solve
@@ -565,12 +698,17 @@ def _replay_fn(rounds: list, rho: float, p: int, fat: bool, sums: bool):
 
     def run(batches: Iterable[pa.RecordBatch]):
         sx, su, tot, nb = np.zeros((K, p)), np.zeros((K, p)), np.zeros((4, K)), 0
-        for rb in (part for batch in batches for part in _same_size(batch)):
+        for rb in (part for batch in batches for part in _same_size(batch, K * p)):
             rows = rb.num_rows
-            s = _stacked(rb.column("s"), rows)[:, None, :]
-            B = _stacked(rb.column("b"), rows).reshape(rows, -1, p)
+            if pairs:
+                b = rb.column("b").flatten().to_numpy(zero_copy_only=False)
+                B, s = PairRows.solving(b.reshape(rows, -1, pair_base(p)), rho), None
+            else:
+                B = _stacked(rb.column("b"), rows).reshape(rows, -1, p)
+                s = _stacked(rb.column("s"), rows)[:, None, :]
             q0 = _mat(rb.column("q0"), rows, p)[:, None, :]
-            X, Up, XP, UP = (_mat(rb.column(c), rows, K * p).reshape(rows, K, p) for c in _STATE)
+            X, Up, XP, UP = _first_iterates(*begin, B, q0, rho) if begin else (
+                _mat(rb.column(c), rows, K * p).reshape(rows, K, p) for c in _STATE)
             for Z, active, solve in rounds:
                 U = Up + X - Z                                   # pending u-update
                 Xn = _solve(B, s, q0 + rho * (Z - U), rho, fat) if solve else X
@@ -589,7 +727,7 @@ def _replay_fn(rounds: list, rho: float, p: int, fat: bool, sums: bool):
                 continue
             sx += Xn.sum(axis=0)
             su += U.sum(axis=0)
-            D, BZ = last - Z, Z @ np.swapaxes(B, 1, 2)
+            D, BZ = last - Z, _dot(Z, B)
             tot += [np.einsum("rkj,rkj->k", last, last), np.einsum("rkj,rkj->k", U, U),
                     np.einsum("rkj,rkj->k", D, D),
                     np.einsum("rkj,rkj->k", BZ if fat else BZ * s, BZ)]
@@ -602,12 +740,13 @@ def _replay_fn(rounds: list, rho: float, p: int, fat: bool, sums: bool):
     return run
 
 
-def _round_sums(joined: DataFrame, rounds: list, rho: float, p: int, fat: bool,
-                partitions: int) -> dict:
+def _round_sums(joined: DataFrame, rounds: list, problem: LassoProblem,
+                begin: tuple | None) -> dict:
     """Sums of the last of ``rounds``; a bounded number of rows reaches the driver."""
-    K = rounds[-1][0].shape[0]
-    v, nb = added(joined.mapInArrow(_replay_fn(rounds, rho, p, fat, True), _SUM_SCHEMA),
-                  partitions)
+    K, p = rounds[-1][0].shape[0], problem.p
+    v, nb = added(joined.mapInArrow(_replay_fn(rounds, problem.rho, p, problem.fat, True,
+                                               problem.pairs, begin), _SUM_SCHEMA),
+                  problem.partitions)
     tot = v[2 * K * p:].reshape(4, K)
     return {"sx": v[:K * p].reshape(K, p), "su": v[K * p:2 * K * p].reshape(K, p),
             **dict(zip(("xx", "uu", "r2", "zgz"), tot)), "nb": nb}
@@ -618,26 +757,38 @@ SUMMED_START_BLOCKS = 16
 SUMMED_START_FEATURES = 4096
 
 
-def _block_moments_fn(p: int):
-    """Rows ``(i, g)`` of Σ A_iᵀA_i over the blocks of a partition."""
+def _block_moments_fn(p: int, pairs: bool):
+    """Rows ``(i, g)`` of Σ A_iᵀA_i over the blocks of a partition, from the diagonal on."""
+    width = pair_base(p) if pairs else p
+
     def run(batches):
         G = np.zeros((p, p))
+        step = max(1, _MOMENT_CELLS // p)
         for rb in batches:
-            for r in range(rb.num_rows):
-                A = _row_values(rb.column(0), r).reshape(-1, p)
-                G += A.T @ A
+            cell = rb.column(0)
+            flat = cell.flatten().to_numpy(zero_copy_only=False) if pairs else np.concatenate(
+                [np.frombuffer(b.as_buffer(), "<f8") for b in cell]) if len(cell) else []
+            rows = np.reshape(flat, (-1, width))
+            for lo in range(0, len(rows), step):
+                A = _pair_columns_t(rows[lo:lo + step]) if pairs else rows[lo:lo + step].T
+                G += A @ A.T
+        upper = _upper_rows(G)
         for lo in range(0, p, 256):
             k = min(256, p - lo)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(lo, lo + k), pa.int32()), _list_array(G[lo:lo + k])],
-                names=["i", "g"])
+                [pa.array(range(lo, lo + k), pa.int32()), upper.slice(lo, k)], names=["i", "g"])
     return run
 
 
+# cells of the rows whose moments a task adds at a time
+_MOMENT_CELLS = 1 << 20
+
+
 def summed_start(problem: LassoProblem, lams) -> np.ndarray:
     """K×p: the optimum of every penalty, from the moments of all fat blocks. They
-    are added on the executors; one task gets p rows of p numbers, whatever the
-    number of rows, and the driver the coefficients."""
+    are added on the executors, from one partial sum per core; one task gets p
+    rows of up to p numbers, whatever the number of rows, and the driver the
+    coefficients."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
@@ -647,35 +798,22 @@ def summed_start(problem: LassoProblem, lams) -> np.ndarray:
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by("i")
-        G = np.stack([g.values.to_numpy() for ch in t.column("g").chunks for g in ch])
+        G = np.empty((p, p))
+        for i, g in enumerate(g for ch in t.column("g").chunks for g in ch):
+            G[i, i:] = G[i:, i] = g.values.to_numpy()
         z = np.stack([support_fit(G, c, lam) for lam in lams])
         return pa.table({"k": pa.array(range(len(z)), pa.int32()), "z": _list_array(z)})
 
-    total = (problem.blocks.select("a").mapInArrow(_block_moments_fn(p), "i int, g array<double>")
+    rows = problem.factors.select("b")
+    wide = rows.sparkSession.sparkContext.defaultParallelism
+    total = (rows.coalesce(wide).mapInArrow(_block_moments_fn(p, problem.pairs),
+                                            "i int, g array<double>")
              .groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")))
     rows = total.select(F.lit(0).alias("all"), "i", "g").groupBy("all").applyInArrow(
         solve, "k int, z array<double>").collect()
     return np.array([r["z"] for r in sorted(rows, key=lambda r: r["k"])])
 
 
-def _start_fn(Z: np.ndarray, rho: float):
-    """Iterates at rest on z, per block and fit: ``x = z, u = (A_iᵀb_i − A_iᵀA_i z)/ρ``."""
-    K, p = Z.shape
-
-    def run(batches):
-        for rb in (part for batch in batches for part in _same_size(batch)):
-            rows = rb.num_rows
-            B = _stacked(rb.column("b"), rows).reshape(rows, -1, p)
-            q0 = _mat(rb.column("q0"), rows, p)[:, None, :]
-            U = ((q0 - (Z @ np.swapaxes(B, 1, 2)) @ B) / rho).reshape(rows, K * p)
-            X = np.tile(Z.reshape(-1), (rows, 1))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("block_id"), *[_list_array(M) for M in (X, U, X, U)]],
-                names=["block_id", *_STATE])
-
-    return run
-
-
 # ---------------------------------------------------------------- fit
 
 
@@ -761,20 +899,20 @@ def _zgz_many(problem: LassoProblem, Z: np.ndarray) -> np.ndarray:
 
     ZZ, p = np.asarray(Z, dtype=np.float64), problem.p
 
-    fat = problem.fat
+    fat, pairs = problem.fat, problem.pairs
 
     def part(batches):
         for rb in batches:
             if fat:
                 out = np.stack([
-                    ((_row_values(rb.column(0), r).reshape(-1, p) @ ZZ.T) ** 2).sum(axis=0)
+                    (_dot(ZZ[None], _fat_row(rb.column(0), r, p, pairs))[0] ** 2).sum(axis=1)
                     for r in range(rb.num_rows)]) if rb.num_rows else np.zeros((0, len(ZZ)))
             else:
                 G = _mat(rb.column(rb.schema.get_field_index("g")), rb.num_rows, p * p)
                 out = np.einsum("kj,rjl,kl->rk", ZZ, G.reshape(rb.num_rows, p, p), ZZ)
             yield pa.RecordBatch.from_arrays([_list_array(out)], names=["zgz"])
 
-    row = (problem.blocks.select("a" if fat else "g").mapInArrow(part, "zgz array<double>")
+    row = (problem.rows().mapInArrow(part, "zgz array<double>")
            .agg(vector_to_array(Summarizer.sum(array_to_vector("zgz"))).alias("s")).first())
     return np.asarray(row["s"] if row["s"] is not None else np.zeros(len(ZZ)))
 
@@ -809,40 +947,33 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
     spark = problem.factors.sparkSession
     K, p, N, rho = len(lams), problem.p, problem.n_blocks, problem.rho
     state = init or initial_state(problem)
-    blocks = state.blocks
-    if state.rho != rho:
-        blocks = blocks.select("block_id", "x",
-                               F.transform("u", lambda v: v * F.lit(state.rho / rho)).alias("u"))
     parts = problem.partitions
 
     def tile(c):
         return F.flatten(F.array_repeat(F.col(c), K)).alias(c) if K > 1 else F.col(c)
 
-    if init is None:
-        zero = F.array_repeat(F.lit(0.0), K * p)
-        start = problem.factors.select("block_id", *[zero.alias(c) for c in _STATE])
-    else:
-        start = blocks.select("block_id", tile("x"), tile("u")).select(
-            "block_id", "x", "u", F.col("x").alias("xp"), F.col("u").alias("up"))
-
     def placed(iterates: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(factors with iterates, the cached iterates): both sides lie by block
         on the same partitions, so the join moves neither."""
-        held = iterates.repartition(parts, "block_id").persist(StorageLevel.MEMORY_AND_DISK)
+        held = iterates.repartition(parts, "block_id").persist(KEPT)
         return problem.factors.join(held.hint("shuffle_hash"), "block_id").select(
-            "block_id", "b", "s", "q0", *_STATE), held
-
-    z0 = np.tile(np.asarray(state.z, dtype=np.float64), (K, 1))
-    if init is None and problem.fat and N >= SUMMED_START_BLOCKS and p <= SUMMED_START_FEATURES:
-        z0 = summed_start(problem, lams)
-        joined, held = placed(problem.factors.select("block_id", "b", "q0", "s").mapInArrow(
-            _start_fn(z0, rho), _STATE_SCHEMA))
-    elif init is None:              # all zeros where the factors are: nothing to place
-        joined, held = problem.factors.select(
-            "block_id", "b", "s", "q0", *[zero.alias(c) for c in _STATE]), None
+            *problem.cells, *_STATE), held
+
+    Z = np.tile(np.asarray(state.z, dtype=np.float64), (K, 1))
+    begin = None
+    if init is None:                # formed where the factors are: nothing to place
+        rest = problem.fat and N >= SUMMED_START_BLOCKS and p <= SUMMED_START_FEATURES
+        if rest:
+            Z = summed_start(problem, lams)
+        begin = (Z.copy(), rest)
+        joined, held = problem.factors.select(*problem.cells), None
     else:
-        joined, held = placed(start)
-    Z = z0
+        blocks = state.blocks
+        if state.rho != rho:
+            blocks = blocks.select("block_id", "x", F.transform(
+                "u", lambda v: v * F.lit(state.rho / rho)).alias("u"))
+        joined, held = placed(blocks.select("block_id", tile("x"), tile("u")).select(
+            "block_id", "x", "u", F.col("x").alias("xp"), F.col("u").alias("up")))
     kappa = np.array(lams) / (rho * N)
     sqrt_pn = math.sqrt(p * N)
     history: list = [[] for _ in range(K)]
@@ -859,7 +990,7 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
         active = ~done
         rounds.append((Z.copy(), active, not last))
         t_round = time.time()
-        agg = _round_sums(joined, rounds, rho, p, problem.fat, parts)
+        agg = _round_sums(joined, rounds, problem, begin)
         spent.append((state.iteration + j, time.time() - t_round))
         for k in np.flatnonzero(active):
             pend = pending[k]
@@ -895,16 +1026,17 @@ def fit_many(problem: LassoProblem, lams, max_iter: int = 1000, abs_tol: float =
             break
         if checkpoint_every and (j + 1) % checkpoint_every == 0:
             before, gone = saved_path, held
-            iterates, saved_path = checkpointed(joined.mapInArrow(
-                _replay_fn(rounds, rho, p, problem.fat, False), _STATE_SCHEMA))
+            iterates, saved_path = checkpointed(joined.mapInArrow(_replay_fn(
+                rounds, rho, p, problem.fat, False, problem.pairs, begin), _STATE_SCHEMA))
             joined, held = placed(iterates)
-            rounds = []
+            rounds, begin = [], None
             if gone is not None:
                 gone.unpersist()
             if before:
                 delete_path(spark, before)
     # write the resumable states (frozen xp/up of every fit), release caches
-    final = joined.mapInArrow(_replay_fn(rounds, rho, p, problem.fat, False), _STATE_SCHEMA) \
+    final = joined.mapInArrow(_replay_fn(
+        rounds, rho, p, problem.fat, False, problem.pairs, begin), _STATE_SCHEMA) \
         .select("block_id", "xp", "up").checkpoint(eager=True)
     if held is not None:
         held.unpersist()

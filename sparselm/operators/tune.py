@@ -178,32 +178,43 @@ class PathResult:
     coefs: np.ndarray
 
 
-def _columns_fn(at: np.ndarray, p: int, fat: bool):
+def _columns_fn(at: np.ndarray, p: int, fat: bool, pairs: bool = False):
     """Gram matrix of the columns ``at``, summed over the blocks of a task."""
     def run(batches):
         total, n = np.zeros((len(at), len(at))), 0
         for rb in batches:
             for r in range(rb.num_rows):
+                n += 1
+                if pairs:
+                    B = admm._pair_columns_t(admm._fat_row(rb.column("b"), r, p, True).x[0])[at]
+                    total += B @ B.T
+                    continue
                 B = np.frombuffer(rb.column("b")[r].as_buffer(), "<f8").reshape(-1, p)[:, at]
                 s = np.frombuffer(rb.column("s")[r].as_buffer(), "<f8")
                 total += B.T @ B if fat else B.T @ (s[:, None] * B)
-                n += 1
         yield pa.RecordBatch.from_arrays(
             [_list_array(total.reshape(1, -1)), pa.array([n], pa.int64())], names=["v", "nb"])
     return run
 
 
-def _gradient_fn(z: np.ndarray, at: np.ndarray, p: int, fat: bool):
+def _gradient_fn(z: np.ndarray, at: np.ndarray, p: int, fat: bool, pairs: bool = False):
     """``AᵀA z`` of a z that lives on the columns ``at``, summed over a task."""
+    full = np.zeros((1, 1, p))
+    full[0, 0, at] = z
+
     def run(batches):
         total, n = np.zeros(p), 0
         for rb in batches:
             for r in range(rb.num_rows):
+                n += 1
+                if pairs:
+                    B = admm._fat_row(rb.column("b"), r, p, True)
+                    total += B.back(B.dot(full))[0, 0]
+                    continue
                 B = np.frombuffer(rb.column("b")[r].as_buffer(), "<f8").reshape(-1, p)
                 s = np.frombuffer(rb.column("s")[r].as_buffer(), "<f8")
                 y = B[:, at] @ z
                 total += (y if fat else s * y) @ B
-                n += 1
         yield pa.RecordBatch.from_arrays(
             [_list_array(total[None, :]), pa.array([n], pa.int64())], names=["v", "nb"])
     return run
@@ -226,6 +237,7 @@ def strong_path(problem: "admm.LassoProblem", lambdas, tol: float = 1e-6,
     spark = problem.factors.sparkSession
     p, fat, c = problem.p, problem.fat, problem.xty
     most = admm.DENSE_MAX_FEATURES if most is None else most
+    cells = [x for x in problem.cells if x in ("b", "s")]
     schema = "v array<double>, nb long"
     lambdas = [float(v) for v in lambdas]
     coefs = np.zeros((len(lambdas), p))
@@ -242,16 +254,16 @@ def strong_path(problem: "admm.LassoProblem", lambdas, tol: float = 1e-6,
                 z, ok = f.coef.copy(), f.converged
                 passes += f.iterations
             elif len(at):
-                v, _ = added(problem.factors.select("b", "s").mapInArrow(
-                    _columns_fn(at, p, fat), schema), problem.partitions)
+                v, _ = added(problem.factors.select(*cells).mapInArrow(
+                    _columns_fn(at, p, fat, problem.pairs), schema), problem.partitions)
                 small, _, done = fit_moments(v.reshape(len(at), -1), c[at], [lam], **fit_kw)
                 z[at], ok = small[0], bool(done[0])
                 passes += 1
             on = np.flatnonzero(z)
             gz = np.zeros(p)
             if len(on):
-                gz, _ = added(problem.factors.select("b", "s").mapInArrow(
-                    _gradient_fn(z[on], on, p, fat), schema), problem.partitions)
+                gz, _ = added(problem.factors.select(*cells).mapInArrow(
+                    _gradient_fn(z[on], on, p, fat, problem.pairs), schema), problem.partitions)
                 passes += 1
             grad = c - gz
             wrong = ~keep & (np.abs(grad) > lam + tol)

@@ -342,3 +342,69 @@ def test_a_hot_block_key_is_dealt_to_several_tasks(spark, monkeypatch):
     assert sum(r["y"] for r in rows) == sum(i % 7 for i in range(400))
     tasks = {r["block_id"] >> 31 for r in rows}
     assert len(tasks) > 4
+
+
+def test_pair_blocks_hold_the_features_only(spark, monkeypatch):
+    """A block of pair products does not hold them: the cells of blocks and factors
+    are those of the features, and partitions are as many as the bytes fill."""
+    df, X, y = _random(spark)
+    stats = admm.fat_block_statistics(df.coalesce(1), rows_per_block=7, pairs=True)
+    rows = stats.select(F.size("a").alias("a"), "ni", F.size("q0").alias("p")).collect()
+    assert [(r["a"], r["p"]) for r in rows] == [(r["ni"] * 6, 21) for r in rows]
+    prob = admm.prepare(df.coalesce(1), mode="fat", rows_per_block=7, pairs=True, rho="auto")
+    cells = prob.factors.select(*prob.cells).drop("block_id", "q0").first()
+    assert sum(len(c) for c in cells) <= 7 * 6
+    wide = spark.sparkContext.defaultParallelism
+    assert prob.partitions <= 4 * wide
+    # each of the 18 blocks of 504 bytes fills a partition
+    monkeypatch.setattr(admm, "FACTOR_PART_BYTES", 400)
+    assert admm._partitions_for(prob.blocks, 18, 2, 504) == 18
+    assert admm._partitions_for(prob.blocks, 10 ** 5, 2, 504) == 10 ** 5
+    assert admm._partitions_for(prob.blocks, 10 ** 5, 2, 0.001) == 8
+
+
+def test_pair_blocks_fit_like_formed_products(spark):
+    """The same rounds, states, checks and paths as with the products as columns."""
+    from sparselm.operators import tune
+
+    df, X, y = _random(spark)
+    k, j = np.triu_indices(X.shape[1], 1)
+    A = np.concatenate([X, X[:, k] * X[:, j]], axis=1)
+    wide = spark.createDataFrame([(i, A[i].tolist(), float(y[i])) for i in range(len(y))],
+                                 "sample_id long, features array<double>, label double")
+    by = F.floor(F.col("sample_id") / 12)           # ten blocks: no summed start
+    a, b = (admm.prepare(d, block_col=by, mode="fat", rho="auto", pairs=q)
+            for d, q in ((df, True), (wide, False)))
+    assert a.n_blocks == b.n_blocks == 10 and abs(a.trace - b.trace) < 1e-9 * b.trace
+    assert a.rho == pytest.approx(b.rho) and np.allclose(a.xty, A.T @ y)
+    kw = {"abs_tol": 1e-6, "rel_tol": 1e-6}
+    for every in (0, 3):
+        fa, fb = (admm.fit_many(q, (4.0, 40.0), max_iter=7, checkpoint_every=every, **kw)
+                  for q in (a, b))
+        for ga, gb in zip(fa, fb):
+            assert ga.iterations == gb.iterations and np.allclose(ga.coef, gb.coef, atol=1e-9)
+            assert np.allclose(np.array(ga.history_rows), np.array(gb.history_rows), rtol=1e-6)
+    # another ρ, from a saved state
+    ra, rb = (admm.fit(q.with_rho(2 * q.rho), 4.0, max_iter=5, init=f[0].state, **kw)
+              for q, f in ((a, fa), (b, fb)))
+    assert np.allclose(ra.coef, rb.coef, atol=1e-9)
+    ga, gb = (admm.gradient_check(q, ra.coef, 4.0).orderBy("idx").collect() for q in (a, b))
+    assert np.allclose([r["grad"] for r in ga], [r["grad"] for r in gb])
+    assert np.allclose(admm._zgz_many(a, np.stack([ra.coef, y[:21]])),
+                       admm._zgz_many(b, np.stack([ra.coef, y[:21]])))
+    pa_, pb = (tune.strong_path(q, [30.0, 6.0]) for q in (a, b))
+    assert np.allclose(pa_.coefs, pb.coefs, atol=1e-6)
+
+
+def test_a_summed_start_of_pair_blocks_is_confirmed(spark):
+    df, X, y = _random(spark)
+    k, j = np.triu_indices(X.shape[1], 1)
+    A = np.concatenate([X, X[:, k] * X[:, j]], axis=1)
+    prob = admm.prepare(df.coalesce(1), mode="fat", rows_per_block=5, pairs=True, rho="auto")
+    assert prob.n_blocks >= admm.SUMMED_START_BLOCKS
+    f = admm.fit(prob, 5.0, max_iter=1000, abs_tol=1e-8, rel_tol=1e-8)
+    assert f.converged and f.iterations <= 3
+    assert np.allclose(f.coef, cd_lasso(A, y, 5.0), atol=1e-5)
+    # and goes on from its state
+    again = admm.fit(prob, 5.0, max_iter=1000, abs_tol=1e-8, rel_tol=1e-8, init=f.state)
+    assert again.converged and np.allclose(again.coef, f.coef, atol=1e-7)
